@@ -68,8 +68,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
     """A model from documents with a label 0 or 1, where crc32(doc_id as text) mod 3 is not 1.
 
-    Fitted on about max_per_class labelled rows of each class, chosen by a hash of the doc_id; one
-    half makes the dictionaries, the other fits the curve (weighted by the classes' true shares).
+    Fitted on about max_per_class labelled rows of each class, chosen by a hash of the doc_id. The
+    curve is fitted on sizes by dictionaries from the half of the rows that a text isn't in, and
+    corrected for the classes' true shares; the model's own dictionaries are from all rows.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(crc_mod(F.col("doc_id"), 3) != 1).distinct()
     sizes = {r.y: r["count"] for r in labels.groupBy("y").count().collect()}
@@ -80,13 +81,16 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labels.where(pick)), "doc_id").where("text is not null").select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).alias("part")).collect()
     rows.sort(key=lambda r: (r.part, r.y, r.text))
     kind = {(y, p): [r.text for r in rows if r.y == y and r.part == p] for y in (0, 1) for p in (0, 1)}
-    model = Model(_dictionary(kind[1, 0]), _dictionary(kind[0, 0]), np.zeros(5))
-    compressors = model.compressors()
-    x = model.features(kind[1, 1] + kind[0, 1], compressors)
-    y = np.array([1.0] * len(kind[1, 1]) + [0.0] * len(kind[0, 1]))
-    if len(kind[1, 1]) and len(kind[0, 1]):
+    model = Model(*(_dictionary(kind[y, 0] + kind[y, 1]) for y in (1, 0)), np.zeros(5))
+    x, y = [], []
+    for p in (0, 1):  # each half's features by dictionaries from the other
+        half = Model(*(_dictionary(kind[c, 1 - p]) for c in (1, 0)), np.zeros(5))
+        x.append(half.features(kind[1, p] + kind[0, p], half.compressors()))
+        y += [1.0] * len(kind[1, p]) + [0.0] * len(kind[0, p])
+    x, y = np.vstack(x), np.array(y)
+    if 0 < y.sum() < len(y):
         model.weights = _logistic(x, y)
-        odds = (sizes[1] / sizes[0]) / (len(kind[1, 1]) / len(kind[0, 1]))
+        odds = (sizes[1] / sizes[0]) / (y.sum() / (len(y) - y.sum()))
         model.weights[0] += np.log(odds)
     elif sizes:  # one class only
         n = sizes.get(1, 0), sizes.get(0, 0)

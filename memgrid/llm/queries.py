@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memgrid.llm import bpe, decontaminate, language_id, quality, quality_rules, secret_scan, token_counts, url_filter
+from memgrid.llm import bpe, decontaminate, hmm, language_id, near_duplicates, quality, quality_rules, secret_scan, token_counts, url_filter
 from memgrid.llm.common import read
 
 
@@ -17,6 +17,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(read(spark, sf_dir, "documents")).drop("values")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents")).drop("node")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.train_on(docs))
@@ -41,11 +45,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(read(spark, sf_dir, "documents"))
     base = F.expr(" OR ".join(f"({r.rejects})" for r in quality_rules.RULES if r.name in quality_rules.BASE))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op4_language, op5_quality, op6_urls, op7_decontaminate, op8_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_near_duplicates, op4_language, op5_quality, op6_urls, op7_decontaminate, op8_token_counts, op9_language_model, op10_quality_rules)}
 ORACLES = {"op6_urls": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
