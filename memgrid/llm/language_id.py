@@ -177,7 +177,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                     low = np.concatenate([grams(s, k - 1) for s in texts])[first]
                     for column, v in zip(out, (np.full(len(h), lang), np.full(len(h), k), h.view(np.int64), c.view(np.int64), low.view(np.int64), n), strict=True):
                         column.append(v)
-            columns = [np.concatenate(c) if c else np.array([]) for c in out]
+            columns = [np.concatenate(c) if c else [] for c in out]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), *[pa.int64()] * 4), strict=True)], ["lang", "k", "h", "context", "low", "n"])
 
         return f
