@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memgrid.llm.common import WORD
+from memgrid.llm.common import WORD, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: Rows up to which a side of hashes or keys is broadcast (about 64 MB); beyond it Spark shuffles.
@@ -50,7 +50,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     sketch = items.withColumn("k", F.least("n_item", F.floor((1 - threshold) * bound + 1e-9) + 1).cast("int")).select("item", F.explode(F.expr("slice(array_sort(sh), 1, k)")).alias("h"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h_doc"))
     hashes = rows.select("doc_id", "h_doc", F.explode(F.expr(shingles(words))).alias("h"))
-    candidates = hashes.join(small(sketch, broadcast_rows), "h").select("doc_id", "h_doc", "item").distinct()
+    # written, as it is read three times and takes a scan of all shingles
+    candidates = written(hashes.join(small(sketch, broadcast_rows), "h").select("doc_id", "h_doc", "item").distinct(), "candidates")
     found = small(candidates.select("h_doc").distinct().withColumnRenamed("h_doc", "hd"), broadcast_rows)
     again = rows.join(found, rows.h_doc == found.hd, "left_semi")
     own = again.select("h_doc", F.explode(F.expr(shingles(words))).alias("h"))
