@@ -1 +1,145 @@
-"""Queries."""
+"""Queries on text functions; where documents lack a feature (links, headings, CJK), it is written into them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from memgrid.functions import folds, knowledge as K, text as T
+from memgrid.plans.catalog import query
+from memgrid.sources.logical import sql
+
+CJK = "一-鿿"
+
+
+@query(sql(f"SELECT seq, CAST(len(regexp_extract_all(content, '[A-Za-z0-9]+(?:[''_-][A-Za-z0-9]+)*')) + len(regexp_extract_all(content, '[{CJK}]')) AS INTEGER) AS words FROM nodes"))
+def word_count(t):
+    return t.nodes().select("seq", T.word_count(F.col("content")).alias("words"))
+
+
+_MIX = "CASE seq % 3 WHEN 0 THEN concat(left(content, 40), '数据库連接') WHEN 1 THEN '全部是中文字' ELSE left(content, 60) END"
+
+
+@query(sql(f"SELECT seq, round(length(regexp_replace(x, '[^{CJK}぀-ヿ]', '', 'g')) / nullif(length(x), 0), 4) AS ratio FROM (SELECT seq, {_MIX} AS x FROM nodes)"))
+def cjk_ratio(t):
+    return t.nodes().select("seq", T.cjk_ratio(F.expr(_MIX)).alias("ratio"))
+
+
+@query(sql(f"SELECT seq, CAST(c + ceil((length(x) - c) / 2) AS BIGINT) AS estimate FROM (SELECT seq, x, len(regexp_extract_all(x, '[㐀-䶿一-鿿぀-ヿ가-힯]')) AS c FROM (SELECT seq, {_MIX} AS x FROM nodes))"))
+def token_estimate(t):
+    return t.nodes().select("seq", T.token_estimate(F.expr(_MIX)).alias("estimate"))
+
+
+@query("SELECT x AS text, y AS bigrams FROM (VALUES ('数据库', '数据 据库'), ('a数b', 'a数b'), ('ab 数据库cd字', 'ab 数据 据库cd字'), ('', ''), ('一二三四', '一二 二三 三四')) v(x, y)")
+def cjk_bigrams(t):
+    df = t.spark.createDataFrame([("数据库",), ("a数b",), ("ab 数据库cd字",), ("",), ("一二三四",)], "text string")
+    return df.select("text", T.cjk_bigrams(F.col("text")).alias("bigrams"))
+
+
+@query(sql("SELECT a, b, round(coalesce(k / nullif(len(x) + len(y) - k, 0), 0), 6) AS jaccard FROM (SELECT p.seq AS a, q.seq AS b, list_distinct(regexp_extract_all(lower(p.content), '[a-z0-9]{2,}')) AS x, list_distinct(regexp_extract_all(lower(q.content), '[a-z0-9]{2,}')) AS y, len(list_intersect(x, y)) AS k FROM nodes p JOIN nodes q ON q.seq = p.seq + 1)"))
+def token_jaccard(t):
+    a = t.nodes().select(F.col("seq").alias("a"), T.token_set(F.col("content")).alias("x"))
+    b = t.nodes().select((F.col("seq") - 1).alias("a"), F.col("seq").alias("b"), T.token_set(F.col("content")).alias("y"))
+    return a.join(b, "a").select("a", "b", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+
+
+_RULES = [(p.replace("'", "''"), r.replace("$1", "\\1").replace("$2", "\\2")) for _, p, r in T.REDACTIONS]
+
+
+def _chain(n: int) -> str:
+    x = "content"
+    for p, r in _RULES[:n]:
+        x = f"regexp_replace({x}, '{p}', '{r}', 'g')"
+    return x
+
+
+@query(sql(f"SELECT seq, sha256(x) AS digest FROM (SELECT seq, content, {_chain(len(_RULES))} AS x FROM nodes) WHERE x <> content"))
+def redact_text(t):
+    x = T.redacted(F.col("content"))
+    return t.nodes().where(x != F.col("content")).select("seq", F.sha2(x, 256).alias("digest"))
+
+
+@query(sql("SELECT " + ", ".join(f"CAST(sum(len(regexp_extract_all({_chain(i)}, '{p}'))) AS BIGINT) AS {T.REDACTIONS[i][0].lower()}" for i, (p, _) in enumerate(_RULES)) + " FROM nodes"))
+def redaction_counts(t):
+    counts = t.nodes().select(*T.redaction_counts(F.col("content")))
+    return counts.agg(*[F.sum(c).alias(c) for c in counts.columns])
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 > 0 THEN left(sha1(CAST(user_id AS VARCHAR)), 12) END AS hash FROM events")
+def session_hash(t):
+    key = F.expr("CASE WHEN user_id % 3 > 0 THEN concat('  ', cast(user_id as string), ' ') ELSE '   ' END")
+    return t.raw("events").select("event_id", T.session_hash(key).alias("hash"))
+
+
+@query(sql("SELECT seq, CASE WHEN length(l) > 40 THEN rtrim(left(l, 39)) || '…' ELSE l END AS title FROM (SELECT seq, trim(split_part(trim(content), chr(10), 1)) AS l FROM nodes)"))
+def short_titles(t):
+    return t.nodes().select("seq", T.short(F.col("content"), 40).alias("title"))
+
+
+@query(sql(r"SELECT seq, regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), '^$', '') AS slug, CASE WHEN length(u) >= 3 THEN 'mem_' || strftime(created_at, '%Y%m%d') || '_' || rtrim(left(u, 48), '_') ELSE 'node_' || left(sha1(title), 10) END AS id FROM (SELECT seq, title, created_at, trim(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '_') AS u FROM nodes)"))
+def slugs(t):
+    return t.nodes().select("seq", T.kebab(F.col("title")).alias("slug"), T.knowledge_id(F.col("title"), F.col("created_at")).alias("id"))
+
+
+_BODY = r"concat('## Takeaway\n', left(content, seq % 300), '\n\n', CASE seq % 6 WHEN 0 THEN '## Context\nc\n## Decision\nd\n## Consequences\n\n' WHEN 1 THEN '## Details\nx 12 ms\n' WHEN 2 THEN '## Steps\n1. run /usr/bin/x1\n' WHEN 3 THEN '## Symptom\ns\n## Cause\nc\n## Fix\nf\n' ELSE '## Details\n## Details\ny\n' END, CASE WHEN seq % 5 > 0 THEN '## Sources\n- mem_1\n' ELSE '' END)"
+
+
+@query()
+def okf_validate(t):
+    df = t.nodes().select("seq", "title", "okf_type", "sources", F.expr(_BODY).alias("body"))
+    return df.select("seq", F.array_join(K.validation_codes(F.col("title"), F.col("body"), F.col("okf_type"), F.col("sources")), ",").alias("codes"), K.inferred_type(F.col("body")).alias("inferred"))
+
+
+@query()
+def section_merge(t):
+    n = t.nodes()
+    old, new = n.select("seq", F.col("content").alias("old")), n.select((F.col("seq") - 1).alias("seq"), F.col("content").alias("new"))
+    df = old.join(new, "seq").select("seq", "old", "new", K.merged(F.col("old"), F.col("new")).alias("m"))
+    return df.select("seq", F.length("m").alias("chars"), F.size(K.omitted_lines(F.col("old"), F.col("m"))).alias("lost"))
+
+
+@query()
+def anchors(t):
+    return t.nodes().select("seq", F.array_join(K.anchors(F.expr(_BODY)), " ").alias("anchors"), F.size(K.missing_anchors(F.expr(_BODY), F.col("content"))).alias("missing"))
+
+
+def _transcripts(t):
+    block = F.concat(F.lit("## T"), (F.col("number") + 1).cast("string"), F.lit(" "), F.when(F.col("role") == "user", "User").otherwise("Assistant"), F.lit("\n\n"), F.col("body"), F.when(F.col("number") % 2 == 1, "\n\n### Tool T1.1 read\ncall: cat x\nresult [ok]: 12: alpha beta\n13: gamma\n").otherwise("\n"))
+    rows = t.turns().where("role <> 'system'").select("conv_id", F.struct("number", block.alias("b")).alias("x"))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "\n").alias("text"))
+
+
+@query(sql("SELECT conv_id, CAST(number + 1 AS INTEGER) AS number, CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END AS role, sha256(trim(body, ' ' || chr(10) || chr(9))) AS body, CAST(number % 2 AS INTEGER) AS tools FROM turns WHERE role <> 'system'"))
+def transcript_parse(t):
+    x = _transcripts(t).select("conv_id", F.explode(K.turns(F.col("text"))).alias("t"))
+    return x.select("conv_id", "t.number", "t.role", F.sha2("t.body", 256).alias("body"), F.size("t.tools").alias("tools"))
+
+
+@query(sql("SELECT conv_id, CAST(number + 1 AS INTEGER) AS number, role = 'user' AS from_body, role <> 'user' AND number % 2 = 1 AS from_tool FROM turns WHERE role <> 'system' AND length(trim(body)) > 0"))
+def evidence_check(t):
+    x = _transcripts(t).select("conv_id", F.explode(K.turns(F.col("text"))).alias("t"))
+    text = K.evidence_text(F.col("t"), F.lit(False))
+    return x.where(F.length(F.trim(F.col("t.body"))) > 0).select("conv_id", "t.number", K.verified(F.col("t.body"), text).alias("from_body"), K.verified(F.lit("ALPHA  beta gamma"), F.when(F.col("t.role") != "User", text)).alias("from_tool"))
+
+
+@query(sql("SELECT conv_id, array_to_string(list(CASE WHEN length(body) > 350 THEN left(body, 347) || '...' ELSE body END ORDER BY number), chr(10)) AS spine FROM turns WHERE role = 'user' GROUP BY conv_id"))
+def user_spine(t):
+    line = F.when(F.length("body") > 350, F.concat(F.substring("body", 1, 347), F.lit("..."))).otherwise(F.col("body"))
+    df = t.turns().where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("number", line.alias("l")))).alias("x"))
+    return df.select("conv_id", F.array_join(F.transform("x", lambda y: y["l"]), "\n").alias("spine"))
+
+
+_O = "o AS (SELECT conv_id, number, length(body) + 10 AS s, row_number() OVER (PARTITION BY conv_id ORDER BY number) AS i FROM turns)"
+
+
+@query(sql("SELECT conv_id, number, CAST(chunk AS INTEGER) AS chunk FROM f", _O, "f AS (SELECT conv_id, number, i, s AS size, 0 AS chunk FROM o WHERE i = 1 UNION ALL SELECT o.conv_id, o.number, o.i, CASE WHEN f.size + o.s + 2 > 2000 THEN o.s ELSE f.size + o.s + 2 END, chunk + CASE WHEN f.size + o.s + 2 > 2000 THEN 1 ELSE 0 END FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1)"))
+def turn_chunks(t):
+    df = t.turns().select("conv_id", F.struct("number", (F.length("body") + 10).alias("s")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    df = df.select("conv_id", F.arrays_zip(F.transform("x", lambda y: y["number"]).alias("number"), folds.chunks(F.transform("x", lambda y: y["s"]), 2000, 2).alias("chunk")).alias("z"))
+    return df.select("conv_id", F.explode("z").alias("z")).select("conv_id", "z.number", "z.chunk")
+
+
+@query(sql("SELECT conv_id, number, take FROM f", _O, "f AS (SELECT conv_id, number, i, s <= 1500 AS take, 1500 - CASE WHEN s <= 1500 THEN s ELSE 0 END AS rest FROM o WHERE i = 1 UNION ALL SELECT o.conv_id, o.number, o.i, o.s <= rest, rest - CASE WHEN o.s <= rest THEN o.s ELSE 0 END FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1)"))
+def budget_pack(t):
+    df = t.turns().select("conv_id", F.struct("number", (F.length("body") + 10).cast("long").alias("s")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    df = df.select("conv_id", F.arrays_zip(F.transform("x", lambda y: y["number"]).alias("number"), folds.greedy_budget(F.transform("x", lambda y: y["s"]), 1500).alias("take")).alias("z"))
+    return df.select("conv_id", F.explode("z").alias("z")).select("conv_id", "z.number", "z.take")
