@@ -36,6 +36,8 @@ BANDS, ROWS, REGISTERS, EST = 24, 5, 240, 0.72
 #: Keys up to which a side is broadcast (16 MB); beyond it Spark shuffles.
 BROADCAST_ROWS = 2_000_000
 CACHE = 300_000
+#: Edges or labels to a file. Few files are kinder to the shared folder, and to executors: creating one forks a process on some file systems.
+FILE_ROWS = 500_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -184,18 +186,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return arrow_map(full.select("a", "b", "x", "y"), make, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """node, lab: the least node of its connected component, for each node of an edge (a, b).
 
-    Each round takes the least label of the neighbours, then the label's own label.
+    Each round takes the least label of the neighbours, then the label's own label, so chains
+    halve. A round's labels are written, in as few files as their number calls for (files, or one
+    for each FILE_ROWS edges): a plan that held all rounds would grow with each.
     """
-    both = written(edges.union(edges.select("b", "a")).where("a != b").distinct(), "edges").toDF("node", "other")
-    labels = written(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("lab")), "labels")
+    files = files or edges.count() // FILE_ROWS + 1
+    both = written(edges.union(edges.select("b", "a")).where("a != b").distinct().toDF("node", "other").coalesce(files), "edges")
+    labels = written(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("lab")).coalesce(files), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "lab"), "other").groupBy("node").agg(F.min("lab").alias("m"))
         one = labels.join(near, "node").select("node", F.col("lab").alias("old"), F.least("lab", "m").alias("up"))
         own = labels.select(F.col("node").alias("up"), F.col("lab").alias("lab2"))
-        new = written(one.join(own, "up", "left").select("node", "old", F.least("up", "lab2").alias("lab")), "labels")
+        new = written(one.join(own, "up", "left").select("node", "old", F.least("up", "lab2").alias("lab")).coalesce(files), "labels")
         labels = new.select("node", "lab")
         if new.where("old != lab").isEmpty():
             return labels
@@ -208,15 +213,15 @@ def _relabelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("lab", F.coalesce("lab", "node"))
 
 
-def _merged(labels: DataFrame | None, members: DataFrame, edges: DataFrame) -> DataFrame | None:
+def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """labels after more edges between nodes; contracts the classes so far."""
     if labels is None:
         return components(edges)
     ends = edges.join(labels.selectExpr("node a", "lab la"), "a", "left").join(labels.selectExpr("node b", "lab lb"), "b", "left")
-    top = components(ends.selectExpr("coalesce(la, a) a", "coalesce(lb, b) b").where("a != b"))
+    top = components(ends.selectExpr("coalesce(la, a) a", "coalesce(lb, b) b").where("a != b"), edges.count() // FILE_ROWS + 1)
     all_ = labels.join(top.selectExpr("node lab", "lab up"), "lab", "left").selectExpr("node", "coalesce(up, lab) lab")
     new = top.join(labels, "node", "left_anti")
-    return written(all_.union(new.select("node", "lab")), "labels")
+    return written(all_.union(new.select("node", "lab")).coalesce(labels.count() // FILE_ROWS + 1), "labels")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -230,7 +235,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = rows.select("node", F.explode("keys").alias("key"))
     order = F.col("node").bitwiseXOR(F.col("key"))
     several = buckets.groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo != hi").select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("leader"))
-    members = written(buckets.join(several, "key").select("node", "key", "leader").distinct(), "members")
+    members = buckets.join(several, "key").select("node", "key", "leader").distinct().persist()
     nodes = members.select("node").distinct()
     few = nodes.count() <= BROADCAST_ROWS
     texts = hashed.select("node", "text").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
@@ -239,23 +244,27 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # 1: the leader that a text shares most buckets with
     most = members.where("node != leader").groupBy("node", "leader").count().groupBy("node").agg(F.max(F.struct("count", "leader")).alias("m"))
     edges = written(_verified(most.selectExpr("node a", "m.leader b"), texts, threshold), "links")
-    labels = _merged(None, members, edges)
+    labels = _merged(None, edges)
 
     # 2: the text with most links of each bucket that has several classes
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-    placed = written(_relabelled(members.select("node", "key"), labels).join(degree, "node", "left").na.fill(0, ["count"]), "placed")
+    placed = _relabelled(members.select("node", "key"), labels).join(degree, "node", "left").na.fill(0, ["count"]).persist()
     central = placed.groupBy("key").agg(F.max(F.struct("count", "node", "lab")).alias("m"), F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo != hi").selectExpr("key", "m.node b", "m.lab lb")
     pairs = placed.join(central, "key").where("lab != lb").selectExpr("node a", "b").distinct()
-    labels = _merged(labels, members, written(_verified(pairs, texts, threshold), "links"))
+    labels = _merged(labels, written(_verified(pairs, texts, threshold), "links"))
+
+    placed.unpersist()
 
     # 3: texts of different classes in a bucket, if their signatures agree enough
-    placed = written(_relabelled(members.select("node", "key"), labels), "placed")
+    placed = _relabelled(members.select("node", "key"), labels).persist()
     open_ = placed.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo != hi").select("key")
     signed = placed.join(open_, "key", "left_semi").join(texts.select("node", "sig"), "node")
     left, right = signed.selectExpr("key", "node a", "lab la", "sig sa"), signed.selectExpr("key", "node b", "lab lb", "sig sb")
     alike = F.expr(f"la < lb AND size(array_intersect(sa, sb)) >= {round(EST * REGISTERS)}")
     pairs = left.join(right, "key").where(alike).select("a", "b").distinct()
-    labels = _merged(labels, members, written(_verified(pairs, texts, threshold), "links"))
+    labels = _merged(labels, written(_verified(pairs, texts, threshold), "links"))
+    placed.unpersist()
+    members.unpersist()
     return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("lab", "node").alias("comp"))
 
 
@@ -267,7 +276,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows the one with the lowest text hash; rows that repeat both are all marked. A null text is a
     class of its own: class_id is its doc_id, and it is kept.
     """
-    rows = written(classes(docs, threshold), "classes")
+    rows = classes(docs, threshold)
     # the least (doc_id, node), null ids last; sums up on the way, so one large class is no burden
     rep = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")).alias("r"), F.count("*").alias("size"))
     out = rows.join(rep, "comp", "left")
