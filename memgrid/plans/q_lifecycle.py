@@ -13,7 +13,7 @@ from memgrid.sources.logical import NOW, sql
 TS = f"TIMESTAMP '{NOW}'"
 
 
-@query(sql("SELECT node_id, retrieved_count + coalesce(r, 0) AS retrieved_count, injected_count + coalesce(i, 0) AS injected_count, access_count + coalesce(i, 0) AS access_count, CAST(epoch(greatest(last_accessed, hit_at)) AS BIGINT) AS last_accessed FROM nodes LEFT JOIN (SELECT node_id, count(*) AS r, count(*) FILTER (b) AS i, max(ts) FILTER (b) AS hit_at FROM (SELECT event_id, node_id, bool_or(inject) AS b, max(ts) AS ts FROM hits GROUP BY event_id, node_id) GROUP BY node_id) USING (node_id)"))
+@query(sql("SELECT node_id, retrieved_count + coalesce(r, 0) AS retrieved_count, injected_count + coalesce(i, 0) AS injected_count, access_count + coalesce(i, 0) AS access_count, CAST(floor(epoch(greatest(last_accessed, hit_at))) AS BIGINT) AS last_accessed FROM nodes LEFT JOIN (SELECT node_id, count(*) AS r, count(*) FILTER (b) AS i, max(ts) FILTER (b) AS hit_at FROM (SELECT event_id, node_id, bool_or(inject) AS b, max(ts) AS ts FROM hits GROUP BY event_id, node_id) GROUP BY node_id) USING (node_id)"))
 def access_accounting(t):
     df = L.access_accounted(t.nodes(), E.hits(t.searches()))
     return df.select("node_id", "retrieved_count", "injected_count", "access_count", F.unix_seconds("last_accessed").alias("last_accessed"))
