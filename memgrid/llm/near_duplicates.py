@@ -6,12 +6,13 @@ keeps its first. A shingle stops once its next arrival is later than the latest
 text, so most stop at their first. Two texts agree in a register with the probability of their
 probability Jaccard similarity J_P. Bands of registers make buckets.
 
-Pairs inside a bucket are never listed. In three rounds, the texts of a bucket are held against:
-1. its leader, the lowest by a hash of text and bucket; each text against the leader that it shares
-   most buckets with;
-2. the one with most verified links (a centre of the group), if the two aren't in one class yet;
-3. those of other classes, where the full signatures agree in EST of the registers at least (the
-   exact way for what the leaders left; inside one class no link can change anything).
+Pairs inside a bucket are never listed. In three rounds, a text is held against:
+1. of the leaders of its buckets the one that it shares most buckets with; a bucket's leader is the
+   text whose buckets are the largest together, so the one most in the middle of a group;
+2. its other leaders, if they aren't in its class yet;
+3. the texts of other classes in its buckets, where the full signatures agree in EST of the
+   registers at least (the exact way for what the leaders left; inside one class no link can change
+   anything). A pair is looked at in the first bucket that it shares only.
 Each pair is verified on the whole texts: J_P, or the Jaccard similarity of the sets, is at least
 THRESHOLD. Verified links make classes (connected components).
 
@@ -233,35 +234,37 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hashed = _hashed(docs)
     rows = written(_banded(hashed), "bands")
     buckets = rows.select("node", F.explode("keys").alias("key"))
-    order = F.col("node").bitwiseXOR(F.col("key"))
-    several = buckets.groupBy("key").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo != hi").select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("leader"))
-    members = buckets.join(several, "key").select("node", "key", "leader").distinct().persist()
-    nodes = members.select("node").distinct()
+    several = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
+    members = buckets.join(several, "key").distinct().persist()
+    # a text near the middle of a group is in its large buckets; the leader of a bucket is the one most in the middle
+    size = members.groupBy("key").agg(F.count("*").alias("n"))
+    weight = members.join(size, "key").groupBy("node").agg(F.sum("n").alias("w"))
+    leaders = written(members.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", "node")).alias("m")).select("key", F.col("m.node").alias("leader")), "leaders")
+    nodes = weight.select("node")
     few = nodes.count() <= BROADCAST_ROWS
     texts = hashed.select("node", "text").join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = written(_signed(texts), "texts")
 
     # 1: the leader that a text shares most buckets with
-    most = members.where("node != leader").groupBy("node", "leader").count().groupBy("node").agg(F.max(F.struct("count", "leader")).alias("m"))
-    edges = written(_verified(most.selectExpr("node a", "m.leader b"), texts, threshold), "links")
-    labels = _merged(None, edges)
-
-    # 2: the text with most links of each bucket that has several classes
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
-    placed = _relabelled(members.select("node", "key"), labels).join(degree, "node", "left").na.fill(0, ["count"]).persist()
-    central = placed.groupBy("key").agg(F.max(F.struct("count", "node", "lab")).alias("m"), F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo != hi").selectExpr("key", "m.node b", "m.lab lb")
-    pairs = placed.join(central, "key").where("lab != lb").selectExpr("node a", "b").distinct()
-    labels = _merged(labels, written(_verified(pairs, texts, threshold), "links"))
+    led = members.join(leaders, "key").where("node != leader").groupBy("node", "leader").count().persist()
+    most = led.groupBy("node").agg(F.max(F.struct("count", "leader")).alias("m"))
+    labels = _merged(None, written(_verified(most.selectExpr("node a", "m.leader b"), texts, threshold), "links"))
 
-    placed.unpersist()
+    # 2: its other leaders that are in another class
+    two = _relabelled(led.select("node", "leader"), labels).withColumnRenamed("lab", "la").join(labels.selectExpr("node leader", "lab lb"), "leader", "left")
+    pairs = two.where("la != coalesce(lb, leader)").selectExpr("node a", "leader b")
+    labels = _merged(labels, written(_verified(pairs, texts, threshold), "links"))
+    led.unpersist()
 
-    # 3: texts of different classes in a bucket, if their signatures agree enough
-    placed = _relabelled(members.select("node", "key"), labels).persist()
+    # 3: texts of different classes in a bucket, if their signatures agree enough; in the first bucket that they share
+    placed = _relabelled(members, labels).persist()
     open_ = placed.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo != hi").select("key")
-    signed = placed.join(open_, "key", "left_semi").join(texts.select("node", "sig"), "node")
-    left, right = signed.selectExpr("key", "node a", "lab la", "sig sa"), signed.selectExpr("key", "node b", "lab lb", "sig sb")
-    alike = F.expr(f"la < lb AND size(array_intersect(sa, sb)) >= {round(EST * REGISTERS)}")
-    pairs = left.join(right, "key").where(alike).select("a", "b").distinct()
+    placed_open = placed.join(open_, "key", "left_semi")
+    all_keys = placed_open.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    signed = placed_open.join(all_keys, "node").join(texts.select("node", "sig"), "node")
+    left, right = signed.selectExpr("key", "node a", "lab la", "keys ka", "sig sa"), signed.selectExpr("key", "node b", "lab lb", "keys kb", "sig sb")
+    alike = F.expr(f"la < lb AND key = array_min(array_intersect(ka, kb)) AND size(array_intersect(sa, sb)) >= {round(EST * REGISTERS)}")
+    pairs = left.join(right, "key").where(alike).select("a", "b")
     labels = _merged(labels, written(_verified(pairs, texts, threshold), "links"))
     placed.unpersist()
     members.unpersist()
@@ -279,9 +282,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = classes(docs, threshold)
     # the least (doc_id, node), null ids last; sums up on the way, so one large class is no burden
     rep = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")).alias("r"), F.count("*").alias("size"))
+    # classes of one row need none; written, so that Spark can split a class that holds many rows
+    rep = written(rep.where("size > 1").coalesce(rows.count() // FILE_ROWS + 1), "classes")
     out = rows.join(rep, "comp", "left")
-    kept = F.col("comp").isNull() | (F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("node") == F.col("r.node")))
-    return out.select("doc_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("r.doc_id")).alias("class_id"), F.coalesce("size", F.lit(1).cast("long")).alias("class_size"), kept.alias("is_kept"), "node")
+    kept = F.col("size").isNull() | (F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("node") == F.col("r.node")))
+    return out.select("doc_id", F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("r.doc_id")).alias("class_id"), F.coalesce("size", F.lit(1).cast("long")).alias("class_size"), kept.alias("is_kept"), "node")
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
