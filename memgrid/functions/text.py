@@ -101,7 +101,7 @@ def wiki_links(text: Column) -> Column:
 def sections(text: Column) -> Column:
     """headings of level two and their trimmed bodies; of equal headings the first."""
     parts = F.filter(F.split(text, r"(?m)^(?=## )"), lambda p: p.startswith("## "))
-    pairs = F.transform(parts, lambda p: F.struct(F.trim(F.substring(F.substring_index(p, "\n", 1), 4, 1 << 20)).alias("heading"), F.trim(F.when(F.instr(p, "\n") > 0, F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise("")).alias("body")))
+    pairs = F.transform(parts, lambda p: F.struct(F.trim(F.substring(F.substring_index(p, "\n", 1), 4, 1 << 20)).alias("heading"), F.trim(F.when(F.instr(p, "\n") > 0, F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise(""), F.lit(" \n\t\r")).alias("body")))
     return F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda y: y["heading"] == x["heading"]))
 
 

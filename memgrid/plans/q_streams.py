@@ -1 +1,58 @@
-"""Queries."""
+"""Queries that run a stream over a table, or what a stream does to one batch."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from memgrid.operators.nodes import vectorless
+from memgrid.plans.catalog import query
+from memgrid.sources import pages
+from memgrid.sources.logical import sql
+from memgrid.streaming import pipelines as S
+
+_CH = "CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END"
+
+
+@query("WITH c AS (SELECT 'p' || (user_id % 300) AS path, ts, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS action, event_id FROM events), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, action DESC, event_id DESC) AS n FROM c) WHERE n = 1), i AS (SELECT 'p' || x AS path, CAST(0 AS BIGINT) AS event_id FROM range(200, 400) t(x)) SELECT coalesce(l.path, i.path) AS path, coalesce(l.event_id, i.event_id) AS event_id FROM i FULL JOIN l ON i.path = l.path WHERE coalesce(action, 'upsert') <> 'delete'")
+def changes_applied(t):
+    c = t.raw("events").select(F.concat(F.lit("p"), (F.col("user_id") % 300).cast("string")).alias("path"), "ts", F.expr(_CH).alias("action"), "event_id")
+    c = c.withColumn("ts", F.struct("ts", "action", "event_id"))
+    index = t.spark.range(200, 400).selectExpr("concat('p', cast(id as string)) path", "cast(0 as bigint) event_id")
+    return S.apply_changes(index, c)
+
+
+@query("SELECT conv_id, CAST(0 AS BIGINT) AS from_turn, max(turn) AS to_turn, false AS rescan FROM conversations GROUP BY conv_id")
+def pending_turns(t):
+    df = t.spark.readStream.schema(t.raw("conversations").schema).parquet(_folder(t, "conversations"))
+    df = df.selectExpr("conv_id", "turn number", "text body")
+    return S.drained(t.spark, S.pending_turns(df), f"pending_{uuid.uuid4().hex}", "update").groupBy("conv_id").agg(F.min("from_turn").alias("from_turn"), F.max("to_turn").alias("to_turn"), F.bool_or("rescan").alias("rescan"))
+
+
+@query("SELECT user_id, CAST(min(event_id) AS BIGINT) AS first_event, count(*) AS events FROM events WHERE user_id % 10 = 0 GROUP BY user_id")
+def events_once(t):
+    df = t.spark.readStream.schema(t.raw("events").schema).parquet(_folder(t, "events")).where("user_id % 10 = 0").withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = df.union(df)
+    rows = S.drained(t.spark, S.retained(twice, "1000 days", ["event_id"]).select("user_id", "event_id"), f"once_{uuid.uuid4().hex}")
+    return rows.groupBy("user_id").agg(F.min("event_id").alias("first_event"), F.count("*").alias("events"))
+
+
+def _folder(t, name: str) -> str:
+    """A stream reads folders; the table may be one file."""
+    return f"{t.dir}/{name}.parq*t"
+
+
+@query("WITH d AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 600 MINUTE THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM d) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM s GROUP BY user_id, k")
+def idle_windows(t):
+    return S.idle_sessions(t.raw("events"), "600 minutes").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+
+
+@query(sql("SELECT node_id FROM nodes WHERE type <> 'transient' AND node_id NOT IN (SELECT node_id FROM vectors)"))
+def reembed_retry(t):
+    return vectorless(t.nodes().where("type <> 'transient'"), t.vectors()).select("node_id")
+
+
+@query()
+def handbook(t):
+    return pages.handbook(t.nodes()).select("path", F.length("text").alias("chars"))
