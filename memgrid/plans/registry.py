@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from memgrid.plans import catalog
-from memgrid.plans import q_events, q_graph, q_nodes, q_retrieval, q_text, q_vectors, q_lifecycle, q_evaluation, q_streams  # noqa: F401  they register themselves
+from memgrid.plans import q_engines, q_events, q_graph, q_nodes, q_retrieval, q_text, q_vectors, q_lifecycle, q_evaluation, q_streams  # noqa: F401  they register themselves
 from memgrid.sources.logical import Tables
 
 

@@ -13,7 +13,7 @@ from memgrid.plans import catalog, registry
 from memgrid.sources.logical import Tables
 
 #: Queries that SQL does not express; their operators are tested one by one.
-WITHOUT_SQL = {"complete_linkage", "okf_validate", "section_merge", "anchors", "supersede_downgrade", "handbook"}
+WITHOUT_SQL = {"deterministic_embed", "synthesis_hubs", "index_rebuild", "complete_linkage", "okf_validate", "section_merge", "anchors", "supersede_downgrade", "handbook"}
 
 
 def plain(v):
