@@ -48,3 +48,10 @@ def median_run(runs: DataFrame) -> DataFrame:
     w = W.partitionBy("query_id")
     place = F.row_number().over(w.orderBy("latency_ms", "run"))
     return runs.withColumn("place", place).withColumn("n", F.count("*").over(w)).where("place = n div 2 + 1").drop("place", "n")
+
+
+def history_line(report_: DataFrame, ts: str, golden_hash: str) -> DataFrame:
+    """A run as one JSON line: all, and each slice."""
+    parts = report_.agg(F.collect_list(F.struct(*report_.columns)).alias("x"))
+    slices = F.map_from_entries(F.transform(F.array_sort(F.filter("x", lambda p: p["part"] != "overall")), lambda p: F.struct(p["part"], p)))
+    return parts.select(F.to_json(F.struct(F.lit(ts).alias("ts"), F.lit(golden_hash).alias("golden_sha256"), F.element_at(F.filter("x", lambda p: p["part"] == "overall"), 1).alias("overall"), slices.alias("slices"))).alias("value"))
