@@ -212,11 +212,22 @@ def exact_duplicates(nodes: DataFrame) -> DataFrame:
     return df.where("n > 1").select("node_id", "keeper")
 
 
+#: Characters after the title that texts must share before their prefixes are compared.
+HEAD = 64
+
+
 def prefix_duplicates(nodes: DataFrame) -> DataFrame:
-    """Nodes whose collapsed content is a strict prefix of a newer one's with the same title; `newest` such."""
+    """Nodes whose collapsed content is a strict prefix of a newer one's with the same title; `newer` is the newest such.
+
+    Many texts may share a title, so longer texts are joined by what follows it as well; a text
+    that ends before that has few characters that can differ.
+    """
     flat = nodes.select("node_id", "title", "created_at", F.lower(F.trim(F.regexp_replace("content", r"[ \t\n\x0B\f\r]+", " "))).alias("body"))
+    flat = flat.withColumn("head", F.expr(f"CASE WHEN length(body) >= length(title) + {HEAD} THEN left(body, length(title) + {HEAD}) END"))
     a, b = flat.select([F.col(c).alias(f"a_{c}") for c in flat.columns]), flat.select([F.col(c).alias(f"b_{c}") for c in flat.columns])
-    pairs = a.join(b, (F.col("a_title") == F.col("b_title")) & (F.col("a_created_at") < F.col("b_created_at")) & (F.length("a_body") < F.length("b_body")) & F.col("b_body").startswith(F.col("a_body")))
+    longer = (F.col("a_created_at") < F.col("b_created_at")) & (F.length("a_body") < F.length("b_body")) & F.col("b_body").startswith(F.col("a_body"))
+    same = F.col("a_title") == F.col("b_title")
+    pairs = a.where("a_head IS NOT NULL").join(b, same & (F.col("a_head") == F.col("b_head")) & longer).unionByName(a.where("a_head IS NULL").join(b, same & longer))
     return pairs.groupBy(F.col("a_node_id").alias("node_id")).agg(F.max(F.struct("b_created_at", "b_node_id")).alias("m")).select("node_id", F.col("m.b_node_id").alias("newer"))
 
 

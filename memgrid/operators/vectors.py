@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: Vectors to a block of the similarity join.
+PER_BLOCK = 8192
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -66,13 +68,14 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, by: str | None = None, blocks: int = 8) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, by: str | None = None, blocks: int | None = None) -> DataFrame:
     """id_a, id_b, sim of pairs of unit vectors with one size (and one `by`) and sim >= threshold.
 
     Vectors are dealt to blocks by a hash; a cell is a pair of blocks, and each vector goes to the
-    cells of its row and column: blocks + 1 copies. A cell is one matrix product, cut into strips.
-    With more vectors, raise blocks: a cell holds 2 / blocks of a group.
+    cells of its row and column: blocks copies. A cell is one matrix product, cut into strips.
+    blocks follows from the number of vectors, so that a cell holds about 2 x PER_BLOCK at the most.
     """
+    blocks = blocks or vectors.count() // PER_BLOCK + 1
     group = F.coalesce(F.col(by), F.lit("")) if by else F.lit("")
     df = vectors.where("embedding IS NOT NULL").select("node_id", "embedding", group.alias("g"), F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int").alias("b"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("b", k).alias("i"), F.greatest("b", k).alias("j")))

@@ -132,9 +132,14 @@ def exact_duplicates(t):
 _FLAT = r"flat AS (SELECT node_id, title, created_at, lower(trim(regexp_replace(content, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS body FROM nodes)"
 
 
-@query(sql("SELECT a.node_id, arg_max(b.node_id, struct_pack(t := b.created_at, n := b.node_id)) AS newer FROM flat a JOIN flat b ON a.title = b.title AND a.created_at < b.created_at AND length(a.body) < length(b.body) AND starts_with(b.body, a.body) GROUP BY a.node_id", _FLAT))
+_CUT = "src AS (SELECT node_id, title, content, created_at FROM nodes UNION ALL SELECT node_id || 'p', title, left(content, length(content) // 2), created_at - INTERVAL 1 DAY FROM nodes WHERE seq % 3 = 0)"
+
+
+@query(sql("SELECT a.node_id, arg_max(b.node_id, struct_pack(t := b.created_at, n := b.node_id)) AS newer FROM flat a JOIN flat b ON a.title = b.title AND a.created_at < b.created_at AND length(a.body) < length(b.body) AND starts_with(b.body, a.body) GROUP BY a.node_id", _CUT, _FLAT.replace("FROM nodes", "FROM src")))
 def prefix_duplicates(t):
-    return N.prefix_duplicates(t.nodes())
+    n = t.nodes().select("node_id", "seq", "title", "content", "created_at")
+    cut = n.where("seq % 3 = 0").withColumns({"node_id": F.concat("node_id", F.lit("p")), "content": F.expr("left(content, length(content) div 2)"), "created_at": F.expr("created_at - interval 1 day")})
+    return N.prefix_duplicates(n.union(cut))
 
 
 @query(sql("SELECT d.seq AS draft_id, arg_max(n.node_id, struct_pack(t := n.created_at, n := n.node_id)) AS node_id FROM nodes d JOIN nodes n ON d.title = n.title AND d.content = n.content WHERE n.status = 'active' AND d.seq % 3 = 0 GROUP BY d.seq"))
