@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from memgrid.llm.common import arrow_map, texts_of
 
 RANKS = "byte_bpe_50k.tiktoken"
-LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS, CACHE = 8192, 96, 4096, 400_000
+#: Pieces, and pairs of tokens, whose encoding a worker remembers.
+LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS, CACHE = 8192, 96, 4096, 150_000
 LOOK = 3
 
 

@@ -65,6 +65,33 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def arrow_filter(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows of df, with all their columns, for which a function that is made once for each task says so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                yield part.filter(pa.array(keep(part), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def arrow_replace(df: DataFrame, column: str, make: Callable[[], Callable[[str | None], str | None]]) -> DataFrame:
+    """df with a text column put through a function that is made once for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                i = part.schema.get_field_index(column)
+                yield part.set_column(i, part.schema.field(i), pa.array(map(f, part.column(i).to_pylist()), part.schema.field(i).type))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Texts of a batch; null counts as the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]

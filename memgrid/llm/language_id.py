@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memgrid.llm.common import arrow_map, crc_mod, share, texts_of
+from memgrid.llm.common import arrow_filter, arrow_map, crc_mod, share, texts_of
 
 ORDER, MAX_PER_LANG, KEEP_OUT = 4, 600, 4
 #: A text is rejected that is this many deviations, and this many nats, above its language's mean.
@@ -87,12 +87,9 @@ class Model:
         h, first, n = np.unique(grams(s, ORDER), return_index=True, return_counts=True)
         total = np.zeros(len(self.langs))
         weight = np.zeros((len(h), len(self.langs)), np.float32)
-        lower = {k: (grams(s, k)[first] if k < ORDER else h) for k in (ORDER,)}
         left = np.arange(len(h))
         for k in range(ORDER, 0, -1):
-            if k < ORDER:
-                lower[k] = grams(s, k)[first]
-            g = lower[k][left]
+            g = (h if k == ORDER else grams(s, k)[first])[left]
             i = np.minimum(np.searchsorted(self.keys[k - 1], g), len(self.keys[k - 1]) - 1)
             hit = self.keys[k - 1][i] == g
             at = left[hit]
@@ -264,11 +261,6 @@ def train_on(docs: DataFrame, max_per_lang: int = MAX_PER_LANG) -> Model:
     return train(docs.where(crc_mod(F.col("doc_id"), 3) != 1), max_per_lang)
 
 
-def rejected(text, model: Model):
-    """Column: whether a text is rejected."""
-
-    @F.pandas_udf("boolean")
-    def f(texts):
-        return texts.map(lambda x: model.judge(x)[2])
-
-    return f(text)
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, whose text is not rejected."""
+    return arrow_filter(docs, lambda: lambda batch: [not model.judge(x)[2] for x in batch.column("text").to_pylist()])

@@ -36,7 +36,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, REGISTERS, EST = 24, 5, 240, 0.72
 #: Keys up to which a side is broadcast (16 MB); beyond it Spark shuffles.
 BROADCAST_ROWS = 2_000_000
-CACHE = 300_000
+CACHE = 100_000
 #: Edges or labels to a file. Few files are kinder to the shared folder, and to executors: creating one forks a process on some file systems.
 FILE_ROWS = 500_000
 

@@ -7,19 +7,16 @@ shape (digest, UUID, number, date, identifier made of words) or overlaps a patte
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from memgrid.llm.bpe import RANKS
-from memgrid.llm.common import arrow_map, texts_of
+from memgrid.llm.bpe import RANKS, bpe
+from memgrid.llm.common import arrow_map, arrow_replace, texts_of
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -54,9 +51,7 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 
 class Scanner:
     def __init__(self, path: str, chars_per_token: float = CHARS_PER_TOKEN):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bpe = bpe(path)
         self.least = chars_per_token
 
     def is_random(self, run: str) -> bool:
@@ -64,7 +59,7 @@ class Scanner:
             return False
         if DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run) or CAMEL.fullmatch(run):
             return False
-        return len(run) / len(self.encoding.encode_ordinary(run)) < self.least
+        return 4 * len(run) / len(self.bpe.encode(run)) < self.least
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Spans of the patterns, and those with the ones that the token test adds."""
@@ -112,12 +107,11 @@ def scan_secrets(docs: DataFrame, chars_per_token: float = CHARS_PER_TOKEN, rank
     return arrow_map(docs.selectExpr("cast(doc_id as long) doc_id", "text"), make, schema)
 
 
-def mask_secrets(text: Column, chars_per_token: float = CHARS_PER_TOKEN, ranks_path: str | None = None, mask: str = MASK) -> Column:
-    """The text with its secrets replaced by a mask; null stays null, a text without secrets stays as it is."""
+def mask_secrets(docs: DataFrame, chars_per_token: float = CHARS_PER_TOKEN, ranks_path: str | None = None, mask: str = MASK) -> DataFrame:
+    """docs, with all columns, and each secret of text replaced by a mask; null stays null, a text without secrets as it is."""
 
-    @F.pandas_udf("string")
-    def f(texts):
+    def make():
         s = scanner(ranks_path or public_tokenizers.path(RANKS), chars_per_token)
-        return texts.map(lambda x: masked(x, s.spans(x)[1], mask) if x else x)
+        return lambda x: masked(x, s.spans(x)[1], mask) if x else x
 
-    return f(text)
+    return arrow_replace(docs, "text", make)

@@ -131,7 +131,7 @@ def test_scan_secrets(spark, sf_dir):
         assert r.n_random == 0
     assert secret_scan.scan_secrets(odd(spark, [])).collect() == []
     df = odd(spark, more)
-    masked = {r[0]: r[1] for r in df.select("doc_id", secret_scan.mask_secrets(df.text)).collect()}
+    masked = {r[0]: r[1] for r in secret_scan.mask_secrets(df).select("doc_id", "text").collect()}
     assert masked[90] == "é use [SECRET] now, [SECRET]' and [SECRET] [SECRET]" and masked[91] == more[1][1]
 
 
