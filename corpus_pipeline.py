@@ -18,7 +18,7 @@ from memgrid.llm.common import read, written
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose text is null, has no letter, or fits no language that was learned."""
     model = language_id.train_on(docs)
-    return docs.where(~language_id.rejected(docs["text"], model))
+    return language_id.accepted(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in each text; n_chars follows. No document is dropped."""
-    clean = docs.withColumn("text", secret_scan.mask_secrets(docs["text"]))
+    clean = secret_scan.mask_secrets(docs)
     if "n_chars" not in docs.columns:
         return clean
     kind = docs.schema["n_chars"].dataType
