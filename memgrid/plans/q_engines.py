@@ -8,7 +8,8 @@ from memgrid.functions import episodes as E
 from memgrid.operators import engines, graph, lexical, nodes as N, vectors as V
 from memgrid.plans.catalog import query
 from memgrid.plans.q_graph import _ENDS, _WALK
-from memgrid.plans.q_vectors import _PAIRS, _V
+from memgrid.plans.q_retrieval import LEX
+from memgrid.plans.q_vectors import _PAIRS, _REACH, _T, _V
 from memgrid.sources.logical import NOW, sql
 
 TS = f"TIMESTAMP '{NOW}'"
@@ -48,7 +49,10 @@ def deterministic_embed(t):
     return v.select("node_id", F.round(V.dot("embedding", "embedding"), 4).alias("norm"))
 
 
-@query()
+_C = "c AS (SELECT label, node_id FROM lab WHERE label IN (SELECT label FROM lab GROUP BY label HAVING count(*) BETWEEN 3 AND 20)), cov AS (SELECT label FROM (SELECT c.label, h.node_id, count(*) AS k FROM c JOIN (SELECT DISTINCT node_id, unnest(sources) AS s FROM nodes WHERE status = 'active' AND okf_type IS NOT NULL) h ON h.s = c.node_id WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.label = c.label AND x.node_id = h.node_id) GROUP BY ALL) JOIN (SELECT label, count(*) AS n FROM c GROUP BY label) USING (label) WHERE k >= 0.7 * n)"
+
+
+@query(sql("SELECT label, count(*) AS size, min(node_id) AS first FROM c WHERE label NOT IN (SELECT label FROM cov) GROUP BY label ORDER BY first LIMIT 20", _T, _PAIRS, "p AS (SELECT id_a, id_b FROM pairs JOIN v a ON a.node_id = id_a JOIN v b ON b.node_id = id_b WHERE a.project = b.project AND sim >= 0.2)", _REACH, _C))
 def synthesis_hubs(t):
     """Clusters of a project that no node covers yet, first 20."""
     n = t.nodes()
@@ -57,7 +61,7 @@ def synthesis_hubs(t):
     return open_.groupBy("label").agg(F.count("*").alias("size"), F.min("node_id").alias("first")).orderBy("first").limit(20)
 
 
-@query()
+@query(sql("SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'vectors', count(*) FROM nodes WHERE type <> 'transient' UNION ALL SELECT 'edges', count(*) FROM nodes WHERE contains(content, '[[') UNION ALL SELECT 'postings', count(*) FROM posts", LEX[3]))
 def index_rebuild(t):
     """Sizes of what is derived from the notes: vectors, links, postings."""
     n = t.nodes()

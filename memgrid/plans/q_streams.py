@@ -53,6 +53,10 @@ def reembed_retry(t):
     return vectorless(t.nodes().where("type <> 'transient'"), t.vectors()).select("node_id")
 
 
-@query()
+_CELL = "trim(replace({}, '|', chr(92) || '|'))"
+_NL = "chr(10)"
+
+
+@query(sql(f"SELECT project || '.md' AS path, CAST(length(t) AS INTEGER) AS chars FROM g UNION ALL SELECT 'index.md', CAST(length('# Handbook' || {_NL} || {_NL} || '| Project | Notes |' || {_NL} || '|---|---|' || {_NL} || string_agg('| [' || project || '](' || project || '.md) | ' || n || ' |', {_NL} ORDER BY project) || {_NL}) AS INTEGER) FROM g", f"w AS (SELECT project, coalesce(okf_type, 'untyped') AS kind, title, node_id, '- **' || {_CELL.format('title')} || '** — ' || {_CELL.format('left(title, 200)')} AS l FROM nodes WHERE status = 'active' AND type = 'persistent' AND project IS NOT NULL AND coalesce(verified, true))", f"p AS (SELECT project, kind, count(*) AS n, '## ' || upper(left(kind, 1)) || substr(kind, 2) || {_NL} || {_NL} || string_agg(l, {_NL} ORDER BY title, node_id) AS p FROM w GROUP BY project, kind)", f"g AS (SELECT project, CAST(sum(n) AS BIGINT) AS n, '# ' || project || {_NL} || {_NL} || string_agg(p, {_NL} || {_NL} ORDER BY kind) || {_NL} AS t FROM p GROUP BY project)"))
 def handbook(t):
     return pages.handbook(t.nodes()).select("path", F.length("text").alias("chars"))
