@@ -4,7 +4,9 @@ Weights are how often a text has a shingle of five lower-cased words. For each s
 process of that rate, seeded by the shingle, sends arrivals to random registers; each register
 keeps its first. A shingle stops once its next arrival is later than the latest register of the
 text, so most stop at their first. Two texts agree in a register with the probability of their
-probability Jaccard similarity J_P. Bands of registers make buckets.
+probability Jaccard similarity J_P. Bands of registers make buckets. A text that repeats a shingle
+gets a second signature with all weights 1, with which J_P is the Jaccard similarity of the sets;
+so a link by either measure is found.
 
 Pairs inside a bucket are never listed. In three rounds, a text is held against:
 1. of the leaders of its buckets the one that it shares most buckets with; a bucket's leader is the
@@ -130,15 +132,32 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("node"))
 
 
+def both_signatures(shingles: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Signatures with all weights 1, and by place those with true weights of texts that repeat a shingle.
+
+    With weights of 1 the probability Jaccard is the Jaccard of the sets.
+    """
+    plain = signatures([(h, np.ones(len(h), np.int64)) for h, _ in shingles])
+    repeats = [i for i, (_, n) in enumerate(shingles) if n.max() > 1]
+    return plain, dict(zip(repeats, signatures([shingles[i] for i in repeats]), strict=True))
+
+
 def _banded(docs: DataFrame) -> DataFrame:
     """doc_id, node, keys for each row; keys is null for a text without a word."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             s = [weighted_shingles(x or "") for x in batch.column("text").to_pylist()]
-            some = [x for x in s if len(x[0])]
-            keys = iter(band_keys(signatures(some)).tolist()) if some else iter(())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array([next(keys) if len(x[0]) else None for x in s], pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
+            places = [i for i, x in enumerate(s) if len(x[0])]
+            keys: list[list[int] | None] = [None] * len(s)
+            if places:
+                plain, weighted = both_signatures([s[i] for i in places])
+                for i, k in zip(places, band_keys(plain).tolist(), strict=True):
+                    keys[i] = k
+                if weighted:
+                    for k, more in zip(weighted, band_keys(np.stack(list(weighted.values()))).tolist(), strict=True):
+                        keys[places[k]] = list({*keys[places[k]], *more})
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
 
         return f
 
@@ -146,19 +165,24 @@ def _banded(docs: DataFrame) -> DataFrame:
     return arrow_map(df, make, "doc_id long, node long, keys array<long>")
 
 
+def _coded(signature: np.ndarray) -> np.ndarray:
+    """A number for each register: its place and 24 bits of its shingle."""
+    code = (signature & np.uint64(0xFFFFFF)).astype(np.int64) | (np.arange(REGISTERS, dtype=np.int64) << 24)
+    return code.astype(np.uint32).view(np.int32)
+
+
 def _signed(texts: DataFrame) -> DataFrame:
-    """node, text, sig: register and 24 bits of its shingle, one number for each register."""
+    """node, text, sig with weights of 1, wsig with true weights (null if no shingle repeats)."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            s = signatures([weighted_shingles(x) for x in batch.column("text").to_pylist()])
-            code = (s & np.uint64(0xFFFFFF)).astype(np.int64) | (np.arange(REGISTERS, dtype=np.int64) << 24)
-            code = code.astype(np.uint32).view(np.int32)
-            return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(code.tolist(), pa.list_(pa.int32()))], ["node", "text", "sig"])
+            plain, weighted = both_signatures([weighted_shingles(x) for x in batch.column("text").to_pylist()])
+            more = [_coded(weighted[i]).tolist() if i in weighted else None for i in range(len(plain))]
+            return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(_coded(plain).tolist(), pa.list_(pa.int32())), pa.array(more, pa.list_(pa.int32()))], ["node", "text", "sig", "wsig"])
 
         return f
 
-    return arrow_map(texts, make, "node long, text string, sig array<int>")
+    return arrow_map(texts, make, "node long, text string, sig array<int>, wsig array<int>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -261,10 +285,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_ = placed.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo != hi").select("key")
     placed_open = placed.join(open_, "key", "left_semi")
     all_keys = placed_open.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    signed = placed_open.join(all_keys, "node").join(texts.select("node", "sig"), "node")
-    left, right = signed.selectExpr("key", "node a", "lab la", "keys ka", "sig sa"), signed.selectExpr("key", "node b", "lab lb", "keys kb", "sig sb")
-    alike = F.expr(f"la < lb AND key = array_min(array_intersect(ka, kb)) AND size(array_intersect(sa, sb)) >= {round(EST * REGISTERS)}")
-    pairs = left.join(right, "key").where(alike).select("a", "b")
+    signed = placed_open.join(all_keys, "node").join(texts.select("node", "sig", "wsig"), "node")
+    left, right = (signed.selectExpr("key", *[f"{c} {c}_{x}" for c in ("node", "lab", "keys", "sig", "wsig")]) for x in "ab")
+    enough = f">= {round(EST * REGISTERS)}"
+    weighted = f"(wsig_a IS NOT NULL OR wsig_b IS NOT NULL) AND size(array_intersect(coalesce(wsig_a, sig_a), coalesce(wsig_b, sig_b))) {enough}"
+    alike = F.expr(f"lab_a < lab_b AND key = array_min(array_intersect(keys_a, keys_b)) AND (size(array_intersect(sig_a, sig_b)) {enough} OR {weighted})")
+    pairs = left.join(right, "key").where(alike).selectExpr("node_a a", "node_b b")
     labels = _merged(labels, written(_verified(pairs, texts, threshold), "links"))
     placed.unpersist()
     members.unpersist()

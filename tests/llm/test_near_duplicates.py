@@ -81,6 +81,19 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert sum(t is None for _, t in texts) == 2
 
 
+def test_links_by_sets_alone_are_found(spark):
+    """Texts with the same shingles but other repeats: near by sets, far by weights."""
+    rng = random.Random(8)
+    rows = []
+    for d in range(0, 80, 2):
+        base, block = words(rng, 60), words(rng, 7)
+        rows += [(d, base + f" {block}" * 30), (d + 1, base + f" {block}" * 3)]
+    a, b = (N.weighted_shingles(t) for _, t in rows[:2])
+    assert N.similarity(a, b)[0] < 0.5 and N.similarity(a, b)[1] == 1
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(odd(spark, [(d, t, "en", "a", 1) for d, t in rows])).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_whole_table_equals_all_pairs(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
