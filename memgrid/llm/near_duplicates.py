@@ -24,6 +24,7 @@ short of EST with less than 1e-3 (in the third round only). Texts are told apart
 
 from __future__ import annotations
 
+import gc
 from functools import lru_cache
 
 import numpy as np
@@ -318,6 +319,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, of which each class keeps one."""
     kept = near_duplicates(docs, threshold).where("is_kept").select(F.col("doc_id").alias("__doc"), F.col("node").alias("__node")).distinct()
+    # what the finished rounds have shuffled goes when the driver collects garbage; the next step moves all texts
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
     text = docs["text"]
     keyed = docs.withColumn("__key", F.when(text.isNotNull(), F.xxhash64(text)))
     same = (F.col("__doc").eqNullSafe(keyed["doc_id"].cast("long"))) & (F.col("__node").eqNullSafe(keyed["__key"]))
