@@ -2,7 +2,9 @@
 
 Random strings cost a tokenizer more tokens than words of the same length. A run of key characters
 with few characters per token is therefore held for a secret, unless it is of a known harmless
-shape (digest, UUID, number, date, identifier made of words) or overlaps a pattern's span.
+shape (digest, UUID, number, date, identifier made of words). Where the whole run has enough of
+them, its stretches between separators are judged, so that words glued to a secret don't hide it.
+What a pattern's span covers is not added again, but the rest of the run is judged.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 #: Words, numbers and versions joined by separators: paths, slugs, constants, dates.
 IDENTIFIER = re.compile(r"(?:v?\d+|[A-Z]?[a-z]+|[A-Z]+)(?:[_/=+-]+(?:v?\d+|[A-Z]?[a-z]+|[A-Z]+))*[_/=+-]*")
 CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+\d{0,4}")
+#: UUIDs and what stands between separators; a stretch of such parts is what is judged within a run.
+PART = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
+LEAST_CHARS = 20
 KINDS = ("assign", "access", "hex", "random")
 CHARS_PER_TOKEN, MASK = 2.0, "[SECRET]"
 
@@ -61,10 +66,84 @@ class Scanner:
             return False
         return 4 * len(run) / len(self.bpe.encode(run)) < self.least
 
+    def cost(self, text: str) -> float:
+        """Above 0 where text has fewer characters a token than the threshold."""
+        return self.least * len(self.bpe.encode(text)) / 4 - len(text)
+
+    def is_word(self, part: str) -> bool:
+        """Whether a part between separators is a word, a number, a digest or a UUID."""
+        if DIGEST.fullmatch(part) or UUID.fullmatch(part) or part.isdigit():
+            return True
+        return bool(IDENTIFIER.fullmatch(part) or CAMEL.fullmatch(part)) and (len(part) < 4 or self.cost(part) <= 0)
+
+    def stretches(self, run: str) -> list[tuple[int, int]]:
+        """Random stretches of a run: all of it, or else those of its parts that stand out.
+
+        A stretch starts and ends at separators and is the one with the largest cost of all that
+        hold no digest or UUID; half of its characters at least are in parts that are no words.
+        """
+        if self.is_random(run):
+            return [(0, len(run))]
+        groups, group = [], []
+        for m in PART.finditer(run):
+            if DIGEST.fullmatch(m.group()) or UUID.fullmatch(m.group()):
+                groups.append(group)
+                group = []
+            else:
+                group.append((m.start(), m.end(), self.is_word(m.group())))
+        groups, out = [*groups, group], []
+        while groups:
+            parts = groups.pop()
+            if not parts or parts[-1][1] - parts[0][0] < LEAST_CHARS or all(w for *_, w in parts):
+                continue
+            best, total, first = (0.0, 0, 0), 0.0, 0
+            for i, (a, b, _) in enumerate(parts):
+                if total <= 0:
+                    total, first = 0.0, i
+                total += self.cost(run[a if i == first else parts[i - 1][1] : b])
+                best = max(best, (total, first, i + 1), key=lambda x: x[0])
+            total, i, j = best
+            if total <= 0:
+                continue
+            a, b = parts[i][0], parts[j - 1][1]
+            if b - a >= LEAST_CHARS and 2 * sum(y - x for x, y, w in parts[i:j] if not w) >= b - a and self.is_random(run[a:b]):
+                out.append((a, b))
+            groups += [parts[:i], parts[j:]]
+        return sorted(out)
+
+    def rests(self, run: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        """What is random in a run besides the spans of patterns in it.
+
+        A rest as long as a run is judged like one. A shorter one belongs to the secret if the
+        stretch around a span of hex digits or an access key is random, but for words at its end.
+        """
+        left, at = [], 0
+        for a, _, b in base:
+            if a > at:
+                left.append((at, a))
+            at = max(at, b)
+        if at < len(run):
+            left.append((at, len(run)))
+        out = [(a + x, a + y) for a, b in left if b - a >= LEAST_CHARS for x, y in self.stretches(run[a:b])]
+        keys = [(a, b) for a, k, b in base if k]
+        for x, y in self.stretches(run) if keys else ():
+            for a, b in left:
+                a, b = max(a, x), min(b, y)
+                if not 0 < b - a < LEAST_CHARS:
+                    continue
+                parts = [(a + m.start(), a + m.end()) for m in PART.finditer(run[a:b])]
+                own = [p for p in parts if any(p[1] == k or p[0] == e for k, e in keys) or not self.is_word(run[p[0] : p[1]])]
+                if own:
+                    out.append((own[0][0], own[-1][1]))
+        return sorted(set(out))
+
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Spans of the patterns, and those with the ones that the token test adds."""
-        base = base_spans(text)
-        more = [(m.start(), 3, m.end()) for m in RUN.finditer(text) if self.is_random(m.group()) and not any(a < m.end() and m.start() < b for a, _, b in base)]
+        base, more = base_spans(text), []
+        for m in RUN.finditer(text):
+            at, end = m.span()
+            inside = [(max(a, at) - at, k, min(b, end) - at) for a, k, b in base if a < end and at < b]
+            more += [(at + a, 3, at + b) for a, b in (self.rests(m.group(), inside) if inside else self.stretches(m.group()))]
         return base, sorted(base + more) if more else base
 
 

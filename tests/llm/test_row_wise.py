@@ -135,6 +135,24 @@ def test_scan_secrets(spark, sf_dir):
     assert masked[90] == "é use [SECRET] now, [SECRET]' and [SECRET] [SECRET]" and masked[91] == more[1][1]
 
 
+def test_secrets_glued_to_words():
+    rng = random.Random(4)
+    s = secret_scan.scanner(public_tokenizers.path(secret_scan.RANKS), secret_scan.CHARS_PER_TOKEN)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def masked(text):
+        return secret_scan.masked(text, s.spans(text)[1])
+
+    for before in ("documentation_authorization_credential=", "production/services/payments/"):
+        keys = ["".join(rng.choices(letters, k=24)) for _ in range(200)]
+        assert sum(k in masked(before + k) for k in keys) <= 10
+        assert masked(f"{before}AbX9kQ2mZr7Lw4Tn8Vc1Hd6Js3/readable") in (f"{before}[SECRET]/readable", "[SECRET]")
+    assert masked("so AbX9kQ2mZr7Lw4" + "0f" * 13 + "Tn8Vc1Hd6 it") == "so [SECRET][SECRET][SECRET] it"
+    assert masked("my_api_key=AbX9kQ2mZr7Lw4Tn8Vc1Hd6Js3") == "my_[SECRET]"
+    for plain in ("production/services/payments/2024-01-31/release_notes_v2", "request/by/identifier/123e4567-e89b-12d3-a456-426614174000", "documentation/checksums/D41D8CD98F00B204E9800998ECF8427E"):
+        assert masked(plain) == plain
+
+
 def test_long_texts_are_whole(theirs, ours):
     text = words(random.Random(1), 20_000)
     assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode_ordinary(text)
