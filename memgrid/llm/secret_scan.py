@@ -32,7 +32,7 @@ IDENTIFIER = re.compile(r"(?:v?\d+|[A-Z]?[a-z]+|[A-Z]+)(?:[_/=+-]+(?:v?\d+|[A-Z]
 CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})+\d{0,4}")
 #: UUIDs and what stands between separators; a stretch of such parts is what is judged within a run.
 PART = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
-LEAST_CHARS = 20
+SEPARATORS, LEAST_CHARS = re.compile(r"[+/_=-]+"), 20
 KINDS = ("assign", "access", "hex", "random")
 CHARS_PER_TOKEN, MASK = 2.0, "[SECRET]"
 
@@ -60,10 +60,15 @@ class Scanner:
         self.least = chars_per_token
 
     def is_random(self, run: str) -> bool:
-        if run.isdigit() or not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)):
-            return False
-        if DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run) or CAMEL.fullmatch(run):
+        if not any(map(str.isalpha, run)) or DIGEST.fullmatch(run) or UUID.fullmatch(run):
             return False
+        if any(map(str.isdigit, run)):
+            if IDENTIFIER.fullmatch(run) or CAMEL.fullmatch(run):
+                return False
+        else:  # names of short words are costly in capitals; what is in one piece is left to the ratio
+            parts = [x for x in SEPARATORS.split(run) if x]
+            if all(len(x) < LEAST_CHARS and (IDENTIFIER.fullmatch(x) or CAMEL.fullmatch(x)) for x in parts):
+                return False
         return 4 * len(run) / len(self.bpe.encode(run)) < self.least
 
     def cost(self, text: str) -> float:

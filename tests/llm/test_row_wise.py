@@ -153,6 +153,16 @@ def test_secrets_glued_to_words():
         assert masked(plain) == plain
 
 
+def test_secrets_without_digits():
+    rng = random.Random(5)
+    s = secret_scan.scanner(public_tokenizers.path(secret_scan.RANKS), secret_scan.CHARS_PER_TOKEN)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for n in (20, 24, 32):
+        assert sum(s.is_random("".join(rng.choices(letters, k=n))) for _ in range(300)) >= 297
+    for plain in ("HAVE_SCHED_SETAFFINITY", "_ORDERED_LIST_PREFIX_RE", "documentationAuthorizationHandler", "internationalization", "-" * 30):
+        assert s.spans(plain)[1] == []
+
+
 def test_long_texts_are_whole(theirs, ours):
     text = words(random.Random(1), 20_000)
     assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode_ordinary(text)
