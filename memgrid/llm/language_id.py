@@ -27,6 +27,8 @@ from memgrid.llm.common import arrow_filter, arrow_map, crc_mod, share, texts_of
 ORDER, MAX_PER_LANG, KEEP_OUT = 4, 600, 4
 #: A text is rejected that is this many deviations, and this many nats, above its language's mean.
 SLACK, LEAST = 8.0, 1.5
+#: Texts from which a language's mean and deviation are taken.
+LEAST_TEXTS = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,19 +188,20 @@ def _counted(rows: DataFrame) -> DataFrame:
 def train(rows: DataFrame, max_per_lang: int = MAX_PER_LANG) -> Model:
     """A model from rows of text and lang; rows that lack either are left out.
 
-    Fitted on about max_per_lang rows of each language, chosen by a hash of the text; one in
-    KEEP_OUT of them calibrates instead of being counted. What comes to the driver is bounded by
-    that sample: n-gram counts of the one part, cross-entropies of the other.
+    Fitted on about max_per_lang different texts of each language, chosen by a hash of the text;
+    copies of a text count once, and a language with fewer texts uses all of them. One in KEEP_OUT
+    calibrates instead of being counted, but none of a language with too few. What comes to the
+    driver is bounded by that sample: n-gram counts of the one part, cross-entropies of the other.
     """
     rows = rows.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
     if not sizes:
         return _fit({})
     pick = F.lit(False)
     for lang, n in sizes.items():
         pick = pick | ((F.col("lang") == lang) & share(n, max_per_lang, F.col("text")))
-    sample = rows.where(pick)
-    out = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(KEEP_OUT)) == 0
+    sample = rows.where(pick).distinct()
+    out = (F.pmod(F.xxhash64("text", F.lit(7)), F.lit(KEEP_OUT)) == 0) & ~F.col("lang").isin([x for x, n in sizes.items() if n < KEEP_OUT * LEAST_TEXTS])
     table = _counted(sample.where(~out)).toPandas()
     if table.empty:  # so few rows that all are kept out
         out = F.lit(True)
@@ -221,7 +224,7 @@ def train(rows: DataFrame, max_per_lang: int = MAX_PER_LANG) -> Model:
         e, n, j = np.vstack(kept.e), kept.n.to_numpy(), kept.j.to_numpy()
         for x in range(len(model.langs)):
             own = e[(j == x) & (n >= 50), x]
-            if len(own) >= 5:
+            if len(own) >= LEAST_TEXTS:
                 model.limit[x] = own.mean(), max(own.std(), 0.02)
 
         def loss(t: float) -> float:

@@ -63,6 +63,21 @@ def test_language_odd_rows(spark, docs):
     assert model.judge("日本語の文章がここにあります。" * 20)[2] and not model.judge("the thing that was in the heart of all the other ones")[2]
 
 
+
+def test_language_copies_count_once(spark):
+    texts = [(f"{'zo' * (i % 7 + 1)} wuxi{i} qarel{i * i} {'mip' * (i % 5 + 1)} tondu", "xx") for i in range(20)]
+    texts += [(f"the quick fox number {i} runs over {i * 7} lazy dogs {'and on' * (i % 4)}", "en") for i in range(60)]
+    kind = "text string, lang string"
+    once = language_id.train(spark.createDataFrame(texts, kind), 30)
+    copies = language_id.train(spark.createDataFrame(texts + texts[:1] * 3000 + texts[1:20] * 40, kind), 30)
+    assert copies.langs == once.langs == ["en", "xx"]
+    for a, b in ((copies.keys, once.keys), (copies.logp, once.logp), (copies.backoff, once.backoff)):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+    assert np.allclose(copies.limit, once.limit) and copies.sharp == once.sharp
+    one = language_id.train(spark.createDataFrame([(f"only text {i}", f"l{i}") for i in range(12)], kind))
+    assert len(one.langs) == 12
+
+
 def test_quality_held_out_accuracy(spark, docs):
     labels = read(spark, SF, "labels")
     rows = queries.op5_quality(spark, SF).join(labels, "doc_id").collect()
