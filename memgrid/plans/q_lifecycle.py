@@ -62,7 +62,7 @@ def decision_validation(t):
 @query()
 def supersede_downgrade(t):
     n = t.nodes()
-    d = n.where("seq % 3 = 0").select(F.col("seq").alias("draft_id"), F.when(F.col("seq") % 2 == 0, "supersede").otherwise("complement").alias("action"), F.expr("concat('n', lpad(cast(seq div 2 as string), 8, '0'))").alias("target"), "content")
+    d = n.select(F.col("seq").alias("draft_id"), F.when(F.col("seq") % 2 == 0, "supersede").otherwise("complement").alias("action"), F.expr("concat('n', lpad(cast(seq div 2 as string), 8, '0'))").alias("target"), "content")
     return L.downgraded(d, n)
 
 

@@ -180,3 +180,12 @@ def test_downgrades_and_decisions(spark):
     d = spark.createDataFrame([(1, "supersede", "k", "x"), (2, "supersede", "d", "nothing"), (3, "supersede", "e", "new"), (4, "supersede", "e", "newer"), (5, "complement", "e", "c")], "draft_id long, action string, target string, content string")
     got = {r.draft_id: (r.action, r.reason) for r in B.downgraded(d, nodes).collect()}
     assert got == {1: ("complement", "curated"), 2: ("complement", "literals_missing"), 3: ("supersede", None), 4: ("complement", "claimed"), 5: ("complement", None)}
+
+
+def test_supersede_downgrade_judges_all_drafts(spark, sf_dir):
+    from memgrid.plans import q_lifecycle
+    from memgrid.sources.logical import Tables
+
+    t = Tables(spark, sf_dir)
+    got = {r[0] for r in q_lifecycle.supersede_downgrade(t).select("draft_id").collect()}
+    assert got == {r[0] for r in t.nodes().select("seq").collect()}
