@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch; with it a batch of the longest texts still fits a small Python worker.
-BATCH_ROWS = 256
+#: Rows and bytes of strings of one slice of an Arrow batch, so that long texts fit a small Python worker too.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 #: What separates words wherever a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+#: Lists of (session, path, schema) that tables written from now on are noted in; see scratch().
+_noted: list[list[tuple]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,20 +52,59 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memgrid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for notes in _noted:
+        notes.append((spark, path, df.schema))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with a function that is made once for each task.
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Empties what was written inside, when the block ends: only for results that are stored by then.
 
-    Batches are held to BATCH_ROWS rows here, so the session's setting stays as it is.
+    A table is overwritten by one without rows, through Spark, so any shared store will do.
     """
+    notes: list[tuple] = []
+    _noted.append(notes)
+    try:
+        yield
+    finally:
+        _noted.remove(notes)
+        for spark, path, schema in notes:
+            spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, each with as many underscores more as df's own columns call for."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(batch: pa.RecordBatch, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of no more than `rows` rows (BATCH_ROWS) and about BATCH_BYTES bytes of strings; a longer string is a part of its own."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + (rows or BATCH_ROWS), int(np.searchsorted(ends, before + BATCH_BYTES, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with a function that is made once for each task, on slices of the batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                yield f(batch.slice(at, BATCH_ROWS))
+            yield from map(f, slices(batch))
 
     return df.mapInArrow(run, schema)
 
@@ -71,8 +115,7 @@ def arrow_filter(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in slices(batch):
                 yield part.filter(pa.array(keep(part), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
@@ -84,8 +127,7 @@ def arrow_replace(df: DataFrame, column: str, make: Callable[[], Callable[[str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in slices(batch):
                 i = part.schema.get_field_index(column)
                 yield part.set_column(i, part.schema.field(i), pa.array(map(f, part.column(i).to_pylist()), part.schema.field(i).type))
 

@@ -24,7 +24,7 @@ def test_pipeline_equals_plain_version(spark, sf_dir):
     items = [tuple(r) for r in read(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
     leaks = {p[0] for p in plain_pairs(rows, items)}
     assert leaks
-    rows = [(d, secret_scan.masked(t, secret_scan.scanner(public_tokenizers.path(bpe.RANKS), 2.0).spans(t)[1])) for d, t in rows if d not in leaks]
+    rows = [(d, secret_scan.masked(t, secret_scan.scanner(public_tokenizers.path(bpe.RANKS), secret_scan.CHARS_PER_TOKEN).spans(t)[1])) for d, t in rows if d not in leaks]
     b = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Bpe(public_tokenizers.path(bpe.RANKS)).ranks, special_tokens={})
     want = []
     for d, t in rows:

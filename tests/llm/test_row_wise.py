@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import sys
+import time
 
 import numpy as np
 import public_tokenizers
@@ -128,13 +129,55 @@ def test_scan_secrets(spark, sf_dir):
         base = plain_spans(r.text)
         assert r.base_sha256 == hashlib.sha256(secret_scan.shown(base).encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
-        assert r.n_random == 0
     assert secret_scan.scan_secrets(odd(spark, [])).collect() == []
     df = odd(spark, more)
     masked = {r[0]: r[1] for r in secret_scan.mask_secrets(df).select("doc_id", "text").collect()}
     assert masked[90] == "é use [SECRET] now, [SECRET]' and [SECRET] [SECRET]" and masked[91] == more[1][1]
 
 
+def test_planted_keys_are_found_and_clean_texts_left_alone(spark, sf_dir):
+    """Random keys without a keyword before them, put between words of the documents."""
+    rng = random.Random(11)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = (upper + lower + digits, upper + lower + digits + "+/", upper + "234567", lower + digits, lower)
+    rows, keys = [], {}
+    for d, text in read(spark, sf_dir, "documents").select("doc_id", "text").collect():
+        at = [m.start() for m in re.finditer(" ", text or "")]
+        rows.append((d, text, None, None, None))
+        if at:
+            key = "".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 64)))
+            i = rng.choice(at)
+            keys[d] = key
+            rows.append((1_000_000 + d, f"{text[:i]} {key}{text[i:]}", None, None, None))
+    found = {r.doc_id: r for r in secret_scan.scan_secrets(odd(spark, rows)).collect()}
+    assert len(keys) > 150 and sum(any(k in v for v in found[1_000_000 + d]["values"]) for d, k in keys.items()) >= 0.95 * len(keys)
+    assert sum(found[d].n_random for d in keys) <= 0.01 * len(keys)
+
+
+def test_long_runs_take_one_pass():
+    s = secret_scan.scanner(public_tokenizers.path(secret_scan.RANKS), secret_scan.CHARS_PER_TOKEN)
+    rng = random.Random(12)
+    blob = "".join("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64)) + rng.choice(["/", "_readable_word_", "-"]) for _ in range(800))
+    for text in ("a" * 100_000 + "12345", "aB" * 50_000 + "12345", "Ab1/" * 25_000, "token=" * 20_000 + "abcdef", ("0f" * 13 + "Xq9Zk2/") * 3_000, blob):
+        began = time.perf_counter()
+        s.spans(f"x {text} y")
+        assert time.perf_counter() - began < 2, text[:30]
+
+
+def test_maximal_stretches_equal_recursive_search():
+    def plain(c):
+        best = max(((sum(c[i:j]), -i, -j) for i in range(len(c)) for j in range(i + 1, len(c) + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        i, j = -best[1], -best[2]
+        return plain(c[:i]) + [(i, j)] + [(a + j, b + j) for a, b in plain(c[j:])]
+
+    rng = random.Random(13)
+    for _ in range(500):
+        c = [rng.uniform(-3, 3) for _ in range(rng.randint(0, 12))]
+        assert secret_scan.maximal(c) == plain(c)
+
+
 def test_secrets_glued_to_words():
     rng = random.Random(4)
     s = secret_scan.scanner(public_tokenizers.path(secret_scan.RANKS), secret_scan.CHARS_PER_TOKEN)
