@@ -73,6 +73,26 @@ def test_cascade_order_does_not_change_the_verdict(spark, sf_dir):
     assert quality_rules.judge(odd(spark, [])).collect() == []
 
 
+def test_rules_after_the_first_that_rejects_are_never_worked_out(spark, monkeypatch):
+    monkeypatch.setitem(quality_rules.COUNTS, "dear", "CASE WHEN size(w) < 10 THEN raise_error('worked out in vain') ELSE size(w) END")
+    few, dear = quality_rules.RULES[0], quality_rules.Rule("dear", ("dear",), "dear > 1000")
+    rows = [(i, "a b c" if i % 2 else f"{i} b c d e f g h i j k l", None, None, None) for i in range(40)]
+    got = quality_rules.judged(odd(spark, rows), [few, dear]).collect()
+    assert {(r.doc_id % 2, r.failed_rule, r.kept) for r in got} == {(1, "few_words", False), (0, None, True)}
+    with pytest.raises(Exception, match="worked out in vain"):
+        quality_rules.judged(odd(spark, rows), [dear, few]).collect()
+
+
+def test_order_follows_rejection_per_cost(spark, monkeypatch):
+    slow = "size(filter(sequence(1, 3000), x -> x % 7 = size(w)))"
+    monkeypatch.setitem(quality_rules.COUNTS, "slow", slow)
+    rules = (quality_rules.Rule("slow", ("slow",), "slow >= 0 and n_words < 10".replace("n_words", "size(w)")), quality_rules.Rule("never", ("n_words",), "n_words < 0"), quality_rules.RULES[0])
+    rows = [(i, "a b c" if i % 2 else f"{i} b c d e f g h i j k l", None, None, None) for i in range(300)]
+    names = [r.name for r in quality_rules.ordered(odd(spark, rows), rules)]
+    assert names.index("few_words") < names.index("slow") and names.index("few_words") < names.index("never")
+    assert quality_rules.ordered(odd(spark, []), rules) == list(rules)
+
+
 # --- 7
 
 
