@@ -99,12 +99,15 @@ def test_order_follows_rejection_per_cost(spark, monkeypatch):
 def plain_pairs(docs, items, threshold=0.8):
     def shingles(t):
         w = WORD.findall(t.lower())
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        k = min(5, len(w))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
 
     best = {}
     own = [(i, shingles(t)) for i, t in items if t is not None]
+    sizes = {len(next(iter(b))) for _, b in own if b}
     for d, t in docs:
-        s = shingles(t) if t is not None else set()
+        w = WORD.findall((t or "").lower())
+        s = {tuple(w[i : i + k]) for k in sizes for i in range(len(w) - k + 1)}
         for i, b in own:
             if b and len(b & s) >= threshold * len(b) - 1e-9:
                 best[d, i] = max(best.get((d, i), (0, 0, 0)), (len(b & s) / len(b), len(b), len(b & s)))
@@ -116,6 +119,7 @@ def test_containment(spark, limit):
     rng = random.Random(6)
     items = [(i, words(rng, rng.randint(3, 70))) for i in range(30)] + [(30, None), (31, ""), (None, words(rng, 20)), (5, words(rng, 20))]
     items += [(32, items[4][1]), items[4]]
+    items += [(40 + n, words(rng, n)) for n in (1, 2, 3, 4)]
     docs = [(r[0], r[1]) for r in odd_rows()]
     for d in range(100, 220):
         w = words(rng, rng.randint(0, 400)).split()
@@ -126,10 +130,13 @@ def test_containment(spark, limit):
             w[at:at] = part[cut:] if rng.random() < 0.5 else [x.upper() for x in part]
         docs.append((d, " ".join(w)))
     docs.append(docs[-1])
+    docs += [(300, items[-1][1]), (301, items[-1][1].rsplit(" ", 1)[0]), (302, "x " + items[-2][1].upper() + " y"), (303, items[-4][1])]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumns({x: F.lit("clash") for x in CLASHING if x != "item_id"})
     df = decontaminate.contained(odd(spark, [(d, t, None, None, None) for d, t in docs]), bench, broadcast_rows=limit)
     no_python(df)
-    assert {tuple(r)[:5] for r in df.collect()} == plain_pairs(docs, items)
+    want = plain_pairs(docs, items)
+    assert {(300, 44), (302, 43), (303, 41)} <= {p[:2] for p in want} and (301, 44) not in {p[:2] for p in want}
+    assert {tuple(r)[:5] for r in df.collect()} == want
     assert decontaminate.contained(odd(spark, []), bench).collect() == [] and decontaminate.contained(odd(spark), bench.where("false")).collect() == []
 
 
