@@ -98,7 +98,9 @@ def test_quality_odd_rows(spark, docs):
     assert all(0 <= r.score <= 1 for r in quality.score(odd(spark), quality.train(odd(spark), one)).collect())
 
 
-def test_forward_equals_sum_over_paths():
+@pytest.mark.parametrize("piece", [2048, 2, 1])
+def test_forward_equals_sum_over_paths(piece, monkeypatch):
+    monkeypatch.setattr(hmm, "PIECE", piece)
     model = hmm.Hmm.random(3, np.array([0.4, 0.3, 0.2, 0.1]), 7)
     texts = [np.array(x) for x in ([1, 2, 0], [0], [3, 3, 1, 0], [2, 1, 2, 1, 0])]
     for x, got in zip(texts, model.log10(texts), strict=True):
@@ -106,11 +108,14 @@ def test_forward_equals_sum_over_paths():
         assert got == pytest.approx(math.log10(p))
 
 
-def test_expected_counts_equal_sum_over_paths():
+@pytest.mark.parametrize(("piece", "block"), [(2048, 64), (2048, 2), (2, 64), (3, 1), (1, 1)])
+def test_expected_counts_equal_sum_over_paths(piece, block, monkeypatch):
+    monkeypatch.setattr(hmm, "PIECE", piece)
+    monkeypatch.setattr(hmm, "BLOCK", block)
     model = hmm.Hmm.random(2, np.array([0.5, 0.3, 0.2]), 3)
-    texts = [np.array([1, 2, 0]), np.array([2, 0])]
+    texts = [np.array(x) for x in ([2, 0], [1, 2, 0], [0], [2, 1, 1, 2, 1, 2, 0], [1, 1, 2, 0])]
     got = np.zeros((3 + 2 + 1, 2))
-    model.expected(texts, np.array([True, True]), got)
+    model.expected(texts, got)
     want = np.zeros_like(got)
     for x in texts:
         paths = {s: model.start[s[0]] * model.emit[s[0], x[0]] * math.prod(model.move[a, b] * model.emit[b, o] for a, b, o in zip(s, s[1:], x[1:])) for s in itertools.product(range(2), repeat=len(x))}
@@ -124,8 +129,50 @@ def test_expected_counts_equal_sum_over_paths():
     assert got == pytest.approx(want)
 
 
-@pytest.mark.parametrize(("head", "symbols"), [(200_000, 2048), (40, 10), (0, 0)])
-def test_language_model(spark, docs, head, symbols):
+def test_long_texts_are_computed_as_wholes(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = hmm.Hmm.random(4, np.full(9, 1 / 9), 5)
+    texts = [np.append(rng.integers(1, 9, n), 0) for n in (0, 3, 70, 129, 1000, 3000)]
+    whole = np.zeros((9 + 4 + 1, 4))
+    model.expected(texts, whole)
+    assert whole[9:13].sum() == pytest.approx(sum(map(len, texts)) - len(texts)) and whole[:9].sum() == pytest.approx(sum(map(len, texts)))
+    scores = model.log10(texts)
+    for piece, matrices in ((64, 1024), (50, 3), (700, 2)):
+        monkeypatch.setattr(hmm, "PIECE", piece)
+        monkeypatch.setattr(hmm, "MATRICES", matrices)
+        got = np.zeros_like(whole)
+        model.expected(texts, got)
+        assert got == pytest.approx(whole) and model.log10(texts) == pytest.approx(scores)
+
+
+def test_score_equals_sum_over_paths(spark):
+    """The whole result, on short texts: paths of states times the words' shares of their buckets."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(["the", "of", "a", "x1", "x2", "x3"], rng.integers(0, 6))), None, None, None) for i in range(300)]
+    rows += [(300, "never seen the", None, None, None), (301, None, None, None, None)]
+    df = odd(spark, rows)
+    t = hmm.train(df, states=2, iterations=2, head=4, share=0.2, buckets=2)
+    scores = sorted((r.doc_id, r.score) for r in hmm.score(df, states=2, iterations=2, head=4, share=0.2, buckets=2).collect())
+    c = Counter(w for d, x, *_ in rows if zlib.crc32(str(d).encode()) % 10 for w in (x or "").split())
+    n = sum(c.values()) + sum(zlib.crc32(str(r[0]).encode()) % 10 > 0 for r in rows)
+    top = sorted((w for w in t.vocabulary.head for w in [w.decode()] if c[w] >= 0.2 * n), key=lambda w: (-c[w], w))
+    assert len(top) < len(c)
+    mass = [0.1 + sum(c[w] + 0.1 for w in c if w not in top and zlib.crc32(w.encode()) % 2 == b) for b in (0, 1)]
+    m = t.model
+    assert m.emit.shape[1] == 1 + len(top) + 2 and np.allclose(m.emit.sum(1), 1) and np.allclose(m.move.sum(1), 1)
+    for (d, got), (_, x, *_) in zip(scores, sorted(rows), strict=True):
+        o, share = [], 1.0
+        for w in (x or "").split():
+            b = zlib.crc32(w.encode()) % 2
+            o.append(1 + top.index(w) if w in top else 1 + len(top) + b)
+            share *= 1.0 if w in top else (c[w] + 0.1) / mass[b]
+        o.append(0)
+        p = sum(m.start[s[0]] * m.emit[s[0], o[0]] * math.prod(m.move[a, b] * m.emit[b, y] for a, b, y in zip(s, s[1:], o[1:])) for s in itertools.product(range(2), repeat=len(o)))
+        assert got == pytest.approx(math.log10(p * share)), d
+
+
+@pytest.mark.parametrize(("head", "share"), [(200_000, 1e-5), (40, 0.01), (0, 1)])
+def test_language_model(spark, docs, head, share):
     rows = [tuple(r) for r in docs.select("doc_id", "text").where("doc_id < 300").collect()] + [r[:2] for r in odd_rows() if r[0] is None or r[0] in (0, 1, 4, 8)]
     df = odd(spark, [(d, t, None, None, None) for d, t in rows])
     train = [t or "" for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 10]
@@ -136,7 +183,7 @@ def test_language_model(spark, docs, head, symbols):
     for d, t in rows:
         w = [*(t or "").encode().lower().split(), None]
         want.append((str(d), d is not None and zlib.crc32(str(d).encode()) % 10 == 0, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)))
-    got = hmm.score(df, head=head, symbols=symbols, iterations=1).collect()
+    got = hmm.score(df, head=head, share=share, iterations=1).collect()
     key = lambda r: (r[0], r[2], r[5])
     for a, b in zip(sorted([(str(r[0]), *r[1:]) for r in got], key=key), sorted(want, key=key), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6)
