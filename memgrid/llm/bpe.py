@@ -3,7 +3,8 @@
 Two reductions nest. A text is halved down to leaves; a leaf is cut into pattern matches
 ("pieces"), and neighbours are joined by cutting a window around the seam anew. A piece that is
 long is halved as bytes; neighbours are joined by encoding a window of tokens around the seam anew.
-Either window grows until what lies outside it is proven to stay:
+Leaves are small, so that all but the shortest texts and pieces go through joins. Either window grows
+until what lies outside it is proven to stay:
 
 * A match depends on nothing but the characters from its start to two after its end (one of
   lookahead, two more letters of a contraction). So matches of the left text that end three
@@ -31,9 +32,11 @@ from pyspark.sql import DataFrame
 from memgrid.llm.common import arrow_map, texts_of
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces, and pairs of tokens, whose encoding a worker remembers.
-LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS, CACHE = 8192, 96, 4096, 150_000
-LOOK = 3
+LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS = 256, 8, 1024
+#: Pieces, and pairs of tokens, whose encoding a worker remembers, and bytes of the longest such piece; so the memory is bounded, too.
+CACHE, CACHE_BYTES = 150_000, 128
+#: Characters after its end that a match may depend on, and the first window to the right of a seam.
+LOOK, WINDOW = 3, 64
 
 
 class Bpe:
@@ -75,9 +78,12 @@ class Bpe:
         return self.join_tokens(self.piece_tokens(piece[:half]), self.piece_tokens(piece[half:]))
 
     def piece_ids(self, piece: str) -> bytes:
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        ids = self.cache[piece] = np.array(self.piece_tokens(piece.encode()), "<u4").tobytes()
+        data = piece.encode()
+        ids = np.array(self.piece_tokens(data), "<u4").tobytes()
+        if len(data) <= CACHE_BYTES:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[piece] = ids
         return ids
 
     # --- a text: pieces joined up a tree over its characters
@@ -87,7 +93,7 @@ class Bpe:
         while kept and end > left_chars - LOOK:
             kept -= 1
             end -= len(left[kept])
-        tail, w = "".join(left[kept:]), 64
+        tail, w = "".join(left[kept:]), WINDOW
         while True:
             window = tail + right_text[:w]
             whole = w >= len(right_text)

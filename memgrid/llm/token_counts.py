@@ -1,9 +1,12 @@
 """Operator 8: token counts, by batch encoding in Arrow functions that return lengths only.
 
-A text is split where a byte-level pattern always starts a new match: before white space that
-follows something else (no alternative of the pattern goes on from a non-space into white space,
-and none looks behind). A unit's count does not depend on its neighbours then, so units that were
-seen before are not encoded again, and new ones are encoded in batches of about equal bytes.
+A text is split where a byte-level pattern always starts a new match, so that the parts' counts add
+up: before white space that follows something else, and within a run without white space after a
+letter or a number that something of another kind follows. No alternative of the pattern goes on
+there, and none looks behind. (After other characters it may: an apostrophe takes letters with it.)
+What has no such place, as a run of nothing but letters, is encoded as it is, whatever its length.
+A part's count does not depend on its neighbours, so parts that were seen before are not encoded
+again, and new ones are encoded in batches of about equal bytes.
 """
 
 from __future__ import annotations
@@ -14,15 +17,22 @@ from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from memgrid.llm.common import arrow_map, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
-LIMIT, BATCH_BYTES, CACHE = 1024, 1 << 18, 600_000
+LIMIT, BATCH_BYTES = 1024, 1 << 18
+#: Units whose counts a worker remembers, and bytes of the longest such unit; so the memory is bounded, too.
+CACHE, CACHE_BYTES = 600_000, 96
+#: Characters from which a run without white space is split further.
+LONG = 64
 #: The property White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Parts of a long unit: up to the end of a run of letters or of numbers.
+PART = regex.compile(r"[^\p{L}\p{N}]*+(?:\p{L}++|\p{N}++)|[^\p{L}\p{N}]++")
 
 
 class Counter:
@@ -35,33 +45,45 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, int] = {}
 
-    def learn(self, units: list[str]) -> None:
-        """Counts of units, in batches balanced by bytes; a long unit is a batch of its own."""
-        if len(self.known) + len(units) > CACHE:
-            self.known.clear()
-        units.sort(key=len)
-        batch, size = [], 0
-        for u in [*units, None]:
-            if batch and (u is None or size + len(u) > BATCH_BYTES):
-                for k, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                    self.known[k] = len(e)
+    def encoded(self, units: list[str]) -> list[int]:
+        """Counts of units, encoded in batches balanced by bytes; a long unit is a batch of its own."""
+        sizes = [len(u.encode()) for u in units]
+        order = sorted(range(len(units)), key=sizes.__getitem__)
+        out, batch, size = [0] * len(units), [], 0
+        for i in [*order, None]:
+            if batch and (i is None or size + sizes[i] > BATCH_BYTES):
+                for k, e in zip(batch, self.tokenizer.encode_batch_fast([units[k] for k in batch], add_special_tokens=False), strict=True):
+                    out[k] = len(e)
                 batch, size = [], 0
-            if u is not None:
-                batch.append(u)
-                size += len(u)
+            if i is not None:
+                batch.append(i)
+                size += sizes[i]
+        return out
+
+    def units(self, text: str) -> list[str]:
+        found = UNIT.findall(text)
+        if max(map(len, found), default=0) <= LONG:
+            return found
+        out = []
+        for u in found:
+            # a special string is found wherever it stands, so what holds one is not split
+            out += [u] if len(u) <= LONG or any(x in u for x in self.special) else PART.findall(u)
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        units = [UNIT.findall(x) for x in texts]
+        units = [self.units(x) for x in texts]
         new = set().union(*units).difference(self.known) if units else set()
         if new and len(self.known) + len(new) > CACHE:
             self.known.clear()
             new = set().union(*units)
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [sum(map(get, u)) for u in units]
+        ordered = list(new)
+        learned = dict(zip(ordered, self.encoded(ordered), strict=True))
+        self.known.update((u, n) for u, n in learned.items() if len(u) * 4 <= CACHE_BYTES or len(u.encode()) <= CACHE_BYTES)
+        known = self.known
+        return [sum(known[x] if x in known else learned[x] for x in u) for u in units]
 
 
 @lru_cache(maxsize=4)

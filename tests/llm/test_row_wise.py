@@ -60,7 +60,8 @@ def test_tree_equals_library(ours, theirs, leaf, monkeypatch):
         ids = ours.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == theirs.encode_ordinary(text)
         assert ours.decode(ids) == text.encode()
-    for text in ("a" * 3000, "ab" * 2000, " " * 999, "xyzzy" * 500 + "'re" * 300):
+    rng = random.Random(leaf)
+    for text in ("a" * 3000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)), "".join(rng.choices("漢字仮名交文章", k=3000)), "ab" * 2000, " " * 999, "xyzzy" * 500 + "'re" * 300):
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == theirs.encode_ordinary(text)
     ours.cache.clear()
 
@@ -101,6 +102,11 @@ def test_token_counts(spark, sf_dir):
     rng = random.Random(2)
     texts = ["".join(rng.choices(["a", "the", " ", "  ", "\n", "'s", "12", "!", "\x1c", "\x85", "　", "<|endoftext|>", "é"], k=60)) for _ in range(400)]
     assert c.counts(texts) == [len(t.encode(x, add_special_tokens=False)) for x in texts]
+    kinds = ["ab", "é", "漢字", "かな", "123", "٣", "½", "!", "'", "'s", "'re", "ll", "_", "-", "<|endoftext|>", "<|", "\u0301", "🙂", "’t"]
+    texts = ["".join(rng.choices(kinds, k=rng.choice([3, 40, 200]))) + rng.choice(["", " x", "\n"]) for _ in range(600)]
+    texts += ["漢" * 30_000, "ab1" * 20_000, "x='y';" * 10_000, "漢字、かな。" * 5_000, "it's" * 9_000]
+    assert c.counts(texts) == [len(t.encode(x, add_special_tokens=False)) for x in texts]
+    assert len(c.units("漢字、かな。" * 5_000)) > 9_000 and max(map(len, c.known)) <= token_counts.CACHE_BYTES
 
 
 def plain_spans(text: str):
