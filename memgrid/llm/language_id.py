@@ -8,7 +8,11 @@ search for all languages; only n-grams that none has seen go to the next order.
 
 The language is the one with the lowest cross-entropy per character. A part of the training rows
 is kept out of the counts and calibrates (a) how fast the posterior sharpens with a text's length
-and (b) the cross-entropy above which a text is rejected.
+and (b) the rejection. A text's excess is its cross-entropy over its language's median, less ERRORS
+standard errors for its length. The limit on it is set by two stated rates: of calibration texts
+whose own language is left out of the models (of texts with their letters shuffled, if there is one
+language only) no more than LET_PASS may pass, unless more than FALSE_REJECT of the texts with their
+own language would be rejected; then the limit is as high as that takes.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ from pyspark.sql import functions as F
 from memgrid.llm.common import arrow_filter, arrow_map, crc_mod, share, texts_of
 
 ORDER, MAX_PER_LANG, KEEP_OUT = 4, 600, 4
-#: A text is rejected that is this many deviations, and this many nats, above its language's mean.
-SLACK, LEAST = 8.0, 1.5
-#: Texts from which a language's mean and deviation are taken.
+#: Rates that the limit is set by, and the standard errors that a text's length is allowed.
+LET_PASS, FALSE_REJECT, ERRORS = 0.05, 0.001, 3.0
+#: Texts of one language below which none of it is kept out, and kept-out texts below which nothing is rejected.
 LEAST_TEXTS = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,14 +82,17 @@ class Model:
     contexts: list[np.ndarray]  # for each order: sorted context hashes
     backoff: list[np.ndarray]  # [contexts, languages]
     unseen: float  # log probability of a symbol that no language has seen, below order 1
-    limit: np.ndarray | None = None  # for each language: mean, deviation of the cross-entropy
+    medians: np.ndarray | None = None  # for each language, of the cross-entropy of texts that are taken for it
+    spread: float = 1.0  # standard deviation of a symbol's log probability
+    most: float = float("inf")  # excess above which a text is rejected
     sharp: float = 1.0
 
     def entropy(self, text: str) -> tuple[np.ndarray, int] | None:
         """Cross-entropy per symbol under each language, in nats, and the number of symbols."""
         s = symbols(text)
-        if not len(s):
-            return None
+        return self.entropy_of(s) if len(s) else None
+
+    def entropy_of(self, s: np.ndarray) -> tuple[np.ndarray, int]:
         h, first, n = np.unique(grams(s, ORDER), return_index=True, return_counts=True)
         total = np.zeros(len(self.langs))
         weight = np.zeros((len(h), len(self.langs)), np.float32)
@@ -115,8 +122,35 @@ class Model:
         e, n = found
         best = int(e.argmin())
         z = -(e - e[best]) * n**0.5 * self.sharp
-        mean, deviation = self.limit[best]
-        return self.langs[best], float(1 / np.exp(z).sum()), bool(e[best] > mean + max(LEAST, SLACK * deviation) * max(1.0, (200 / n) ** 0.5)), float(e[best])
+        return self.langs[best], float(1 / np.exp(z).sum()), bool(self.excess(e[best], best, n) > self.most), float(e[best])
+
+    def excess(self, entropy, language, n):
+        return entropy - self.medians[language] - ERRORS * self.spread / n**0.5
+
+    def calibrate(self, e: np.ndarray, n: np.ndarray, j: np.ndarray, shuffled: np.ndarray) -> None:
+        """e: [texts, languages] cross-entropies; n: symbols; j: the true language; shuffled: [texts] with the letters shuffled."""
+        best = e.argmin(1)
+        low = e[np.arange(len(e)), best]
+        for x in range(len(self.langs)):
+            if (best == x).any():
+                self.medians[x] = np.median(low[best == x])
+        away = np.abs(low - self.medians[best]) * n**0.5
+        self.spread = float(np.median(away)) / 0.6745 or 1.0  # the median of |a normal variable| is 0.6745
+        own = self.excess(low, best, n)
+        if len(self.langs) > 1:
+            others = e.copy()
+            others[np.arange(len(e)), j] = np.inf
+            foreign = self.excess(others.min(1), others.argmin(1), n)
+        else:
+            foreign = self.excess(shuffled, 0, n)
+        self.most = float(max(np.quantile(foreign, LET_PASS), np.quantile(own, 1 - FALSE_REJECT, method="higher")))
+
+        def loss(t: float) -> float:
+            z = -(e - e.min(1, keepdims=True)) * (n**0.5)[:, None] * t
+            z -= np.log(np.exp(z).sum(1, keepdims=True))
+            return -np.maximum(z[np.arange(len(j)), j], -30).mean() + 1e-4 * t
+
+        self.sharp = min((0.05, 0.1, 0.2, 0.4, 0.7, 1.0, 1.5, 2.0, 3.0), key=loss)
 
 
 def _fit(counts: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]) -> Model:
@@ -213,26 +247,20 @@ def train(rows: DataFrame, max_per_lang: int = MAX_PER_LANG) -> Model:
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [(model.langs.index(x), *e) for t, x in zip(texts_of(batch), batch.column("lang").to_pylist(), strict=True) if x in model.langs and (e := model.entropy(t))]
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1].tolist() for g in got], pa.list_(pa.float64())), pa.array([g[2] for g in got], pa.int64())], ["j", "e", "n"])
+            got = []
+            for t, x in zip(texts_of(batch), batch.column("lang").to_pylist(), strict=True):
+                if x in model.langs and len(text := symbols(t)):
+                    e, n = model.entropy_of(text)
+                    mixed = np.concatenate([[0], np.random.default_rng(n).permutation(text[1:-1]), [0]]).astype(np.uint64)
+                    got.append((model.langs.index(x), e.tolist(), n, model.entropy_of(mixed)[0].min()))
+            return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.float64()))], ["j", "e", "n", "shuffled"])
 
         return f
 
-    model.limit = np.array([[0.0, 1e9]] * len(model.langs))
-    kept = arrow_map(sample.where(out), make, "j int, e array<double>, n long").toPandas()
-    if len(kept):
-        e, n, j = np.vstack(kept.e), kept.n.to_numpy(), kept.j.to_numpy()
-        for x in range(len(model.langs)):
-            own = e[(j == x) & (n >= 50), x]
-            if len(own) >= LEAST_TEXTS:
-                model.limit[x] = own.mean(), max(own.std(), 0.02)
-
-        def loss(t: float) -> float:
-            z = -(e - e.min(1, keepdims=True)) * (n**0.5)[:, None] * t
-            z -= np.log(np.exp(z).sum(1, keepdims=True))
-            return -np.maximum(z[np.arange(len(j)), j], -30).mean() + 1e-4 * t
-
-        model.sharp = min((0.05, 0.1, 0.2, 0.4, 0.7, 1.0, 1.5, 2.0, 3.0), key=loss)
+    kept = arrow_map(sample.where(out), make, "j int, e array<double>, n long, shuffled double").toPandas()
+    model.medians = np.zeros(len(model.langs))
+    if len(kept) >= LEAST_TEXTS:
+        model.calibrate(np.vstack(kept.e), kept.n.to_numpy(), kept.j.to_numpy(), kept.shuffled.to_numpy())
     return model
 
 
@@ -240,8 +268,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text's language, its posterior, whether it is rejected, cross-entropy; a row for each row of docs.
 
     A text that is null or has no letter, or any text if nothing was learned, is `und` with score 0
-    and rejected. A text that fits no language (cross-entropy far above what its best language's
-    calibration texts have) is rejected too, but keeps the best language. doc_id is only copied.
+    and rejected. A text that fits no language (its excess is above the calibrated limit) is
+    rejected too, but keeps the best language; of two as good the first by name. doc_id is only copied.
     """
 
     def make():
@@ -265,5 +293,5 @@ def train_on(docs: DataFrame, max_per_lang: int = MAX_PER_LANG) -> Model:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is not rejected."""
+    """The rows of docs, with all their columns, whose text is not rejected; null texts and texts without a letter go, repeated rows stay or go together."""
     return arrow_filter(docs, lambda: lambda batch: [not model.judge(x)[2] for x in batch.column("text").to_pylist()])
