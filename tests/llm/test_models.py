@@ -130,6 +130,33 @@ def test_quality_held_out_accuracy(spark, docs):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_quality_equals_plain_version(spark, docs):
+    """Scores from the model's dictionaries by plain compression of each whole text, and the rows that it was fitted on."""
+    import zstandard
+
+    labels = read(spark, SF, "labels")
+    model = quality.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    good, bad = (zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad))
+    for r in quality.score(docs, model).collect():
+        data = texts[r.doc_id].encode()
+        d = (len(bad.compress(data)) - len(good.compress(data))) / len(data) if data else 0.0
+        assert r.difference == pytest.approx(d) and r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, model.bias + model.slope * d)))))
+    assert model.slope > 0
+    # labels of held-out documents, whatever they say, change nothing; nor do repeated rows
+    flipped = labels.withColumn("quality", F.when(language_id.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = quality.train(docs.union(docs), flipped.union(flipped))
+    assert (again.good, again.bad, again.bias, again.slope) == (model.good, model.bad, model.bias, model.slope)
+
+
+def test_quality_sample_is_bounded(spark, docs, monkeypatch):
+    seen = []
+    real = quality._dictionary
+    monkeypatch.setattr(quality, "_dictionary", lambda texts: seen.append(sum(len(t.encode()) for t in texts)) or real(texts))
+    quality.train(docs, read(spark, SF, "labels"), max_bytes=100_000)
+    assert 0 < seen[0] + seen[1] < 300_000
+
+
 def test_quality_odd_rows(spark, docs):
     labels = read(spark, SF, "labels")
     model = quality.train(docs, labels)
