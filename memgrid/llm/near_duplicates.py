@@ -12,19 +12,22 @@ Pairs inside a bucket are never listed. In three rounds, a text is held against:
 1. of the leaders of its buckets the one that it shares most buckets with; a bucket's leader is the
    text whose buckets are the largest together, so the one most in the middle of a group;
 2. its other leaders, if they aren't in its class yet;
-3. the texts of other classes in its buckets, where the full signatures agree in EST of the
-   registers at least (the exact way for what the leaders left; inside one class no link can change
-   anything). A pair is looked at in the first bucket that it shares only.
+3. the texts of other classes in its buckets (the exact way for what the leaders left; inside one
+   class no link can change anything). In a bucket of no more than HOT texts, each is held against
+   each. In a larger one, as texts that share a passage make it, a text is only held against those
+   that share one of its rarest shingles: alike texts have THRESHOLD of either's weight in common,
+   so with all shingles in one order, rare ones first, both have their first common shingle within
+   the first 1 - THRESHOLD of their weight. A pair is looked at once, and goes on if its full
+   signatures agree in EST of the registers at least.
 Each pair is verified on the whole texts: J_P, or the Jaccard similarity of the sets, is at least
 THRESHOLD. Verified links make classes (connected components).
 
 Loss: a pair at the threshold shares no bucket with probability (1 - 0.8^5)^24 = 7e-5, and falls
-short of EST with less than 1e-3 (in the third round only). Texts are told apart by a 64-bit hash.
+short of EST with less than 1e-7 (in the third round only). Texts are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
 
-import gc
 from functools import lru_cache
 
 import numpy as np
@@ -33,10 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memgrid.llm.common import arrow_map, written
+from memgrid.llm.common import arrow_map, fresh, written
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS, REGISTERS, EST = 24, 5, 240, 0.72
+BANDS, ROWS, REGISTERS, EST = 24, 5, 240, 0.65
+#: Texts of a bucket up to which each is held against each, and those that share a shingle up to which it counts as rare.
+HOT, RARE = 64, 64
+#: Pairs with one text up to which they may be verified in one task.
+PAIRS = 2000
 #: Keys up to which a side is broadcast (16 MB); beyond it Spark shuffles.
 BROADCAST_ROWS = 2_000_000
 CACHE = 100_000
@@ -186,6 +193,11 @@ def _signed(texts: DataFrame) -> DataFrame:
     return arrow_map(texts, make, "node long, text string, sig array<int>, wsig array<int>")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Those pairs (a, b) of nodes that are alike."""
 
@@ -207,8 +219,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
         return f
 
+    # a text that is in many pairs, as a leader of a large group, is dealt to several tasks
+    many = _small(pairs.groupBy("b").agg((F.floor(F.count("*") / PAIRS) + 1).cast("int").alias("parts")).where("parts > 1"))
     t = texts.select("node", "text")
-    full = pairs.join(t.selectExpr("node a", "text x"), "a").join(t.selectExpr("node b", "text y"), "b")
+    left = pairs.join(t.selectExpr("node a", "text x"), "a").join(many, "b", "left").withColumn("part", F.pmod(F.hash("a"), F.coalesce("parts", F.lit(1))))
+    right = t.selectExpr("node b", "text y").join(many, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    full = left.join(right, ["b", "part"])
     return arrow_map(full.select("a", "b", "x", "y"), make, "a long, b long")
 
 
@@ -283,21 +299,55 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # 3: texts of different classes in a bucket, if their signatures agree enough; in the first bucket that they share
     placed = _relabelled(members, labels).persist()
-    open_ = placed.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo != hi").select("key")
-    placed_open = placed.join(open_, "key", "left_semi")
-    all_keys = placed_open.groupBy("node").agg(F.collect_set("key").alias("keys"))
-    signed = placed_open.join(all_keys, "node").join(texts.select("node", "sig", "wsig"), "node")
-    left, right = (signed.selectExpr("key", *[f"{c} {c}_{x}" for c in ("node", "lab", "keys", "sig", "wsig")]) for x in "ab")
-    enough = f">= {round(EST * REGISTERS)}"
-    weighted = f"(wsig_a IS NOT NULL OR wsig_b IS NOT NULL) AND size(array_intersect(coalesce(wsig_a, sig_a), coalesce(wsig_b, sig_b))) {enough}"
-    alike = F.expr(f"lab_a < lab_b AND key = array_min(array_intersect(keys_a, keys_b)) AND (size(array_intersect(sig_a, sig_b)) {enough} OR {weighted})")
-    pairs = left.join(right, "key").where(alike).selectExpr("node_a a", "node_b b")
+    open_ = placed.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", (F.col("n") > HOT).alias("hot"))
+    placed_open = written(placed.join(open_, "key").select("key", "node", "lab", "hot"), "open")
+    signed = texts.select("node", "sig", "wsig")
+    pairs = _alike(placed_open.where("not hot").select("key", "node", "lab"), signed)
+    hot = placed_open.where("hot").select("node", "lab").distinct()
+    if not hot.isEmpty():
+        pairs = pairs.union(_alike(_rarest(hot, texts, threshold), signed)).distinct()
     labels = _merged(labels, written(_verified(pairs, texts, threshold), "links"))
     placed.unpersist()
     members.unpersist()
     return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("lab", "node").alias("comp"))
 
 
+def _alike(placed: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs of nodes of different classes (lab) that share a key and whose signatures agree enough; each in its first key only."""
+    all_keys = placed.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    full = placed.join(all_keys, "node").join(signed, "node")
+    left, right = (full.selectExpr("key", *[f"{c} {c}_{x}" for c in ("node", "lab", "keys", "sig", "wsig")]) for x in "ab")
+    enough = f">= {round(EST * REGISTERS)}"
+    weighted = f"(wsig_a IS NOT NULL OR wsig_b IS NOT NULL) AND size(array_intersect(coalesce(wsig_a, sig_a), coalesce(wsig_b, sig_b))) {enough}"
+    alike = F.expr(f"lab_a < lab_b AND key = array_min(array_intersect(keys_a, keys_b)) AND (size(array_intersect(sig_a, sig_b)) {enough} OR {weighted})")
+    return left.join(right, "key").where(alike).selectExpr("node_a a", "node_b b")
+
+
+def _rarest(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """key, node, lab: of each node the shingles that come first, up to 1 - threshold of its weight.
+
+    Shingles that more than RARE of the nodes have come last, by how many have them; the others are
+    ordered by hash. Shingles that only one node has make no pair, but count as weight.
+    """
+
+    def make():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            each = [weighted_shingles(x) for x in batch.column("text").to_pylist()]
+            sizes = [len(h) for h, _ in each]
+            columns = [np.repeat(batch.column("node").to_numpy(), sizes), np.concatenate([h for h, _ in each]).view(np.int64), np.concatenate([n / n.sum() for _, n in each]), np.concatenate([np.full(k, 1 / k) for k in sizes])]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "key", "w", "u"])
+
+        return f
+
+    own = _small(nodes.select("node"))
+    shingles = written(arrow_map(texts.select("node", "text").join(own, "node", "left_semi"), make, "node long, key long, w double, u double"), "shingles")
+    common = shingles.groupBy("key").count().where(F.col("count") > RARE)
+    before = "over (partition by node order by common, key rows between unbounded preceding and 1 preceding)"
+    ranked = shingles.join(_small(common.withColumnRenamed("count", "common")), "key", "left").selectExpr("node", "key", "w", "u", "coalesce(common, 0) common")
+    ranked = ranked.selectExpr("node", "key", f"coalesce(sum(w) {before}, 0) w", f"coalesce(sum(u) {before}, 0) u").where(F.least("w", "u") <= 1 - threshold + 1e-9)
+    return ranked.select("key", "node").join(nodes, "node")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, class_size, is_kept, node; a row for each row of docs.
 
@@ -317,15 +367,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, of which each class keeps one."""
-    kept = near_duplicates(docs, threshold).where("is_kept").select(F.col("doc_id").alias("__doc"), F.col("node").alias("__node")).distinct()
-    # what the finished rounds have shuffled goes when the driver collects garbage; the next step moves all texts
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    """The rows of docs, with all their columns, of which each class keeps one.
+
+    It is the row with the least doc_id (among its rows the one with the lowest text hash), and one
+    of those that repeat both. Null texts all stay. docs is read again to fetch its rows; what goes
+    is looked up by doc_id and text hash, so texts are moved only if that list is too long to send
+    to every task.
+    """
+    n_, doc, node = fresh(docs, "n", "doc", "node")
+    found = written(near_duplicates(docs, threshold).where("node is not null").groupBy("doc_id", "node").agg(F.count("*").alias("n"), F.first("is_kept").alias("kept")).where("not kept or n > 1"), "found")
+    list_ = _small(found.select(F.col("doc_id").alias(doc), F.col("node").alias(node), F.when(F.col("kept"), F.col("n")).otherwise(0).alias(n_)))
     text = docs["text"]
-    keyed = docs.withColumn("__key", F.when(text.isNotNull(), F.xxhash64(text)))
-    same = (F.col("__doc").eqNullSafe(keyed["doc_id"].cast("long"))) & (F.col("__node").eqNullSafe(keyed["__key"]))
-    rows = keyed.join(kept, same)
-    # repeated rows of a kept document: groups of one, but for them; a null text stays as often as it comes
-    ranked = rows.withColumn("__n", F.expr("row_number() over (partition by __doc, __node order by __doc)"))
-    return ranked.where("__n = 1 or __node is null").drop("__key", "__doc", "__node", "__n")
+    same = list_[doc].eqNullSafe(docs["doc_id"].cast("long")) & (list_[node] == F.when(text.isNotNull(), F.xxhash64(text)))
+    rows = docs.join(list_, same, "left").where(f"`{n_}` is null or `{n_}` > 0")
+    single = rows.where(f"`{n_}` is null").select(*[docs[c] for c in docs.columns])
+    if found.where("kept").isEmpty():
+        return single
+    # rows that repeat: of each doc_id and text one
+    first = rows.where(f"`{n_}` > 0").groupBy(doc, node).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return single.union(first.select("row.*"))

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from memgrid.llm import near_duplicates as N
 from memgrid.llm.common import read
@@ -81,6 +82,49 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert sum(t is None for _, t in texts) == 2
 
 
+@pytest.mark.parametrize(("hot", "rare"), [(2, 2), (5, 10**6), (10**6, 1)])
+def test_large_buckets_of_texts_that_share_passages(spark, monkeypatch, hot, rare):
+    """Texts with a passage in common, as much as 0.7 of each, and some near copies among them."""
+    monkeypatch.setattr(N, "HOT", hot)
+    monkeypatch.setattr(N, "RARE", rare)
+    monkeypatch.setattr(N, "PAIRS", 3)
+    rng = random.Random(9)
+    passage = words(rng, 90)
+    rows = []
+    for d in range(120):
+        own = words(rng, rng.choice([25, 35, 60]))
+        rows.append((d, f"{own} {passage}" if d % 2 else f"{passage} {own} {passage}"))
+        if d % 5 == 0:
+            rows.append((1000 + d, rows[-1][1] + " " + words(rng, 6)))
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(odd(spark, [(d, t, "en", "a", 1) for d, t in rows])).collect()}
+    assert got == dict(zip([d for d, _ in rows], plain_classes(rows)))
+
+
+def test_rarest_shingles_hold_a_common_one(spark):
+    """Each alike pair shares one of the shingles that _rarest() names."""
+    rng = random.Random(10)
+    base = [words(rng, 40) for _ in range(6)]
+    texts = {i: " ".join(rng.choices(base, k=rng.randint(1, 4))) + " " + words(rng, rng.randint(0, 8)) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "node long, text string")
+    first: dict[int, set] = {}
+    for r in N._rarest(df.selectExpr("node", "node lab"), df, N.THRESHOLD).collect():
+        first.setdefault(r.node, set()).add(r.key)
+    s = {i: N.weighted_shingles(t) for i, t in texts.items()}
+    pairs = [(i, j) for i in texts for j in texts if i < j and max(N.similarity(s[i], s[j])) >= N.THRESHOLD]
+    assert len(pairs) > 20 and all(first[i] & first[j] for i, j in pairs)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rng = random.Random(11)
+    text = words(rng, 50)
+    rows = [(1, text, "x", "y", 1)] * 3 + [(2, text, "x", "y", 1), (3, None, "x", "y", 1), (3, None, "x", "y", 1), (None, words(rng, 50), "x", "y", 2)] + [(4, words(rng, 30), "x", "y", 2)] * 2 + [(5, words(rng, 30), "x", "y", 2)]
+    docs = odd(spark, rows).withColumns({c: F.lit(c) for c in ("n", "doc", "__key", "__doc", "__node", "__n", "row", "N_")})
+    out = N.deduplicated(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted((r.doc_id for r in got), key=str) == [1, 3, 3, 4, 5, None] and all(r.node == "clash" and r.row == "row" and r.lang == "x" for r in got)
+
+
 def test_links_by_sets_alone_are_found(spark):
     """Texts with the same shingles but other repeats: near by sets, far by weights."""
     rng = random.Random(8)
