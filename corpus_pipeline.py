@@ -12,29 +12,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memgrid.llm import bpe, decontaminate, language_id, near_duplicates, secret_scan
-from memgrid.llm.common import read, written
+from memgrid.llm.common import fresh, read, scratch, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose text is null, has no letter, or fits no language that was learned."""
+    """Drops documents whose text is null, has no letter, or fits no language that was learned.
+
+    If nothing can be learned (no row with a text and a lang), all go. Rows that repeat stay or go
+    together; long texts are judged as wholes.
+    """
     model = language_id.train_on(docs)
     return language_id.accepted(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of copies and near copies."""
+    """Keeps one document of each class of copies and near copies: the least doc_id.
+
+    Rows that repeat a doc_id and text are copies, one stays; of copies without a doc_id as well.
+    Null texts are copies of nothing, all stay; empty texts are copies of each other.
+    """
     return near_duplicates.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain four fifths of a benchmark item's shingles at least."""
-    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).withColumnRenamed("h_doc", "__h")
+    """Drops documents that contain four fifths of a benchmark item's shingles at least.
+
+    Null and empty texts contain nothing and stay; rows that repeat stay or go together. Without
+    benchmark items all stay.
+    """
+    (h,) = fresh(docs, "h")
+    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).withColumnRenamed("h_doc", h)
     small = decontaminate.small(found)
-    return docs.join(small, F.xxhash64(docs["text"]) == small["__h"], "left_anti")
+    return docs.join(small, F.xxhash64(docs["text"]) == small[h], "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in each text; n_chars follows. No document is dropped."""
+    """Masks secrets in each text; n_chars, where there is one, follows. No document is dropped; null and empty texts stay as they are."""
     clean = secret_scan.mask_secrets(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -43,7 +56,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each text with the digests of the round trip."""
+    """Tokens of each text with the digests of the round trip; a row for each document, null texts as empty ones."""
     return bpe.encode_decode(docs)
 
 
@@ -53,7 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What stages write on the way is emptied once the next stage's input is stored."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():
+            out = stage(spark, docs, sf_dir)
+            kept = stored(out, f"stage-{name}")
+        docs = kept
     return docs

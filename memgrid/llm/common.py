@@ -22,7 +22,7 @@ BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
-#: Lists of (session, path, schema) that tables written from now on are noted in; see scratch().
+#: Lists of (session, path, schema) that tables which are written() from now on are noted in; see scratch().
 _noted: list[list[tuple]] = []
 
 
@@ -47,14 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def _table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memgrid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    return _table(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As stored(), for what an operator needs on the way: inside scratch() it is emptied at the end."""
+    out, path = _table(df, name)
     for notes in _noted:
-        notes.append((spark, path, df.schema))
-    return spark.read.schema(df.schema).parquet(path)
+        notes.append((df.sparkSession, path, df.schema))
+    return out
 
 
 @contextlib.contextmanager

@@ -7,11 +7,12 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from memgrid.llm import bpe, language_id, secret_scan
-from memgrid.llm.common import read
-from tests.llm.cases import odd
+from memgrid.llm.common import read, scratch, stored, written
+from tests.llm.cases import odd, odd_rows
 from tests.llm.test_native import plain_pairs
 from tests.llm.test_near_duplicates import plain_classes
 
@@ -33,11 +34,38 @@ def test_pipeline_equals_plain_version(spark, sf_dir):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(want)
 
 
-def test_stages_on_odd_rows(spark, sf_dir, tmp_path):
-    docs = odd(spark)
+HELPERS = ("h", "doc", "n", "__key", "__doc", "__node", "__n", "__h", "h_doc")
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Each stage's own rule on nulls, empty and long texts, ties, repeats and clashing names; extra columns come through."""
+    docs = odd(spark).withColumns({c: F.lit("clash") for c in HELPERS})
+    ids = [r[0] for r in odd_rows()]
+    want = {
+        "decontamination": ids,
+        "secrets": ids,
+        "tokens": ids,
+    }
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        got = sorted((r.doc_id for r in rows), key=str)
+        if name == "language":
+            assert not {0, 1, 2} & set(got) and None in got and set(got) <= set(ids)
+        elif name == "near_dedup":
+            texts = [r.text for r in rows]
+            assert texts.count(None) == 2 and len([t for t in texts if t]) == len({r[1] for r in odd_rows() if r[1] and r[1].strip()}) + 1
+            assert sum(r.doc_id == 4 for r in rows) == 1 and 5 not in got and 10 not in got
+        else:
+            assert got == sorted(want[name], key=str)
         if name != "tokens":
-            assert out.columns == docs.columns
-        out.collect()
-        assert stage(spark, odd(spark, []), sf_dir).collect() == []
+            assert out.columns == docs.columns and all(r[c] == "clash" for r in rows for c in HELPERS)
+        assert stage(spark, docs.where("false"), sf_dir).collect() == []
+
+
+def test_tables_on_the_way_are_emptied(spark):
+    with scratch():
+        a = written(spark.range(50).toDF("x"), "test")
+        b = stored(a.selectExpr("x + 1 as x"), "test")
+    assert b.count() == 50
+    assert spark.read.schema("x long").parquet(a.inputFiles()[0].rsplit("/", 1)[0]).count() == 0
