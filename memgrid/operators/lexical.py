@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memgrid.functions.scoring import reciprocal_rank
-from memgrid.functions.text import cjk_bigrams, fts_tokens, or_terms
+from memgrid.functions.text import cjk_bigrams, fts_tokens, has_cjk, or_terms
 
 K1, B = 1.2, 0.75
 #: Positions that a column takes up, so that no phrase runs from one into the next.
@@ -16,51 +16,76 @@ COLUMN = 1 << 24
 BROADCAST_ROWS = 1_000_000
 
 
-def postings(nodes: DataFrame, bigrams: bool = False) -> DataFrame:
-    """node_id, pos, token over title, content and tags; with bigrams the shadow index (L1)."""
-    fields = [F.col("title"), F.col("content"), F.array_join("tags", " ")]
-    if bigrams:
-        fields = [cjk_bigrams(f) for f in fields]
+def tokenized(nodes: DataFrame) -> DataFrame:
+    """L1, L2: node_id, plain and bigram: tokens of title, content and tags, an array for each field.
 
-    def placed(field: Column, k: int) -> Column:
-        return F.transform(fts_tokens(F.coalesce(field, F.lit(""))), lambda t, i: F.struct((i + k * COLUMN).alias("pos"), t.alias("token")))
+    bigram is the shadow index; it is null where the fields hold no CJK character, as both are the same then.
+    """
+    fields = [F.coalesce(f, F.lit("")) for f in (F.col("title"), F.col("content"), F.array_join("tags", " "))]
+    plain = F.array(*map(fts_tokens, fields))
+    bigram = F.when(has_cjk(F.concat(*fields)), F.array(*[fts_tokens(cjk_bigrams(f)) for f in fields]))
+    return nodes.select("node_id", plain.alias("plain"), bigram.alias("bigram"))
 
-    at = [placed(f, k) for k, f in enumerate(fields)]
-    return nodes.select("node_id", F.explode(F.concat(*at)).alias("p")).select("node_id", "p.*")
 
+def postings(nodes: DataFrame) -> DataFrame:
+    """node_id, pos, token of the shadow index; a position counts from its field's multiple of COLUMN."""
+    at = F.flatten(F.transform(F.coalesce("bigram", "plain"), lambda f, k: F.transform(f, lambda t, i: F.struct((i + k * COLUMN).alias("pos"), t.alias("token")))))
+    return tokenized(nodes).select("node_id", F.explode(at).alias("p")).select("node_id", "p.*")
 
-def bm25(queries: DataFrame, nodes: DataFrame, bigrams: bool = False) -> DataFrame:
-    """L3, L4: query_id, node_id, score for each node that holds a term of the query.
+
+def length(fields: Column) -> Column:
+    return F.aggregate(fields, F.lit(0), lambda n, f: n + F.size(f))
+
+
+def leg_scores(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """L3, L4 for both legs at once: query_id, leg (0 plain, 1 bigram), node_id, score for each node that holds a term.
 
     queries: query_id, text. A term is a phrase of one or more tokens. A term's token i at position
-    p votes for a phrase that starts at p - i; a start with all votes is an occurrence.
+    p votes for a phrase that starts at p - i; a start with all votes is an occurrence. Nodes are
+    cut into tokens once for their postings, of which only those that some query asks for leave the
+    task, with the length of their node, and once for the lengths' sum. leg is null while both are the same.
     """
-    posts = postings(nodes, bigrams)
-    terms = queries.select("query_id", F.posexplode(or_terms(F.col("text"))).alias("term", "t")).select("query_id", "term", fts_tokens(F.col("t")).alias("tokens")).withColumn("size", F.size("tokens")).where("size > 0")
+    terms = queries.select("query_id", F.posexplode(or_terms(F.col("text"))).alias("term", "t")).select("query_id", fts_tokens(F.col("t")).alias("tokens")).withColumn("size", F.size("tokens")).where("size > 0")
     # the same phrase in several queries is looked up once
     phrases = terms.select("tokens", "size").distinct()
     wanted = phrases.select("tokens", "size", F.posexplode("tokens").alias("i", "token"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = posts.join(wanted, "token").groupBy("tokens", "size", "node_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("votes"))
-    tf = found.where("votes = size").groupBy("tokens", "node_id").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("tokens").agg(F.count("*").alias("df"))
-    sizes = posts.groupBy("node_id").agg(F.count("*").alias("len"))
-    total = nodes.agg(F.count("*").alias("n")).crossJoin(sizes.agg(F.sum("len").alias("sum")))  # one row each
-    df = df.crossJoin(F.broadcast(total)).select("tokens", F.greatest(F.lit(1e-6), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"), (F.col("sum") / F.col("n")).alias("avg"))
-    weight = tf.join(df, "tokens").join(sizes, "node_id")
+
+    def posts(fields: Column, leg: Column) -> Column:
+        each = F.transform(fields, lambda f, k: F.transform(f, lambda t, i: F.struct(leg.alias("leg"), (i + k * COLUMN).alias("pos"), t.alias("token"))))
+        return F.flatten(each)
+
+    cut = tokenized(nodes)
+    same = F.col("bigram").isNull()
+    both = F.when(same, posts(F.col("plain"), F.lit(None).cast("int"))).otherwise(F.concat(posts(F.col("plain"), F.lit(0)), posts(F.col("bigram"), F.lit(1))))
+    rows = cut.select("node_id", length(F.col("plain")).alias("len0"), length(F.coalesce("bigram", "plain")).alias("len1"), F.explode(both).alias("p")).select("node_id", "len0", "len1", "p.*")
+    found = rows.join(wanted, "token").groupBy("tokens", "size", "node_id", "leg", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("votes"), F.first("len0").alias("len0"), F.first("len1").alias("len1"))
+    tf = found.where("votes = size").groupBy("tokens", "node_id", "leg").agg(F.count("*").alias("tf"), F.first("len0").alias("len0"), F.first("len1").alias("len1"))
+    tf = tf.select("tokens", "node_id", "tf", "len0", "len1", F.explode(F.when(F.col("leg").isNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array("leg"))).alias("leg"))
+    tf = tf.select("tokens", "node_id", "tf", "leg", F.when(F.col("leg") == 0, F.col("len0")).otherwise(F.col("len1")).alias("len"))
+    df = tf.groupBy("tokens", "leg").agg(F.count("*").alias("df"))
+    total = cut.agg(F.count("*").alias("n"), F.sum(length(F.col("plain"))).alias("sum0"), F.sum(length(F.coalesce("bigram", "plain"))).alias("sum1"))  # one row
+    idf = F.greatest(F.lit(1e-6), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    df = df.crossJoin(F.broadcast(total)).select("tokens", "leg", idf.alias("idf"), (F.when(F.col("leg") == 0, F.col("sum0")).otherwise(F.col("sum1")) / F.col("n")).alias("avg"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return terms.select("query_id", "tokens").join(weight.select("tokens", "node_id", part.alias("part")), "tokens").groupBy("query_id", "node_id").agg(F.sum("part").alias("score"))
+    weight = tf.join(df, ["tokens", "leg"]).select("tokens", "leg", "node_id", part.alias("part"))
+    return terms.select("query_id", "tokens").join(weight, "tokens").groupBy("query_id", "leg", "node_id").agg(F.sum("part").alias("score"))
+
+
+def bm25(queries: DataFrame, nodes: DataFrame, bigrams: bool = False) -> DataFrame:
+    """One leg: query_id, node_id, score."""
+    return leg_scores(queries, nodes).where(F.col("leg") == int(bigrams)).drop("leg")
 
 
-def ranked(scores: DataFrame, limit: int) -> DataFrame:
-    """Rank within each query by score, then id. Scores are rounded first, so ties are ties."""
-    w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 8)), "node_id")
+def ranked(scores: DataFrame, limit: int, *by: str) -> DataFrame:
+    """Rank within each query (and `by`) by score, then id. Scores are rounded first, so ties are ties."""
+    w = W.partitionBy("query_id", *by).orderBy(F.desc(F.round("score", 8)), "node_id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
 def merged_legs(queries: DataFrame, nodes: DataFrame, limit: int = 20) -> DataFrame:
     """Two legs, the plain and the bigram index, summed by reciprocal rank (times 100)."""
-    legs = ranked(bm25(queries, nodes), limit).unionByName(ranked(bm25(queries, nodes, bigrams=True), limit))
+    legs = ranked(leg_scores(queries, nodes), limit, "leg")
     total = legs.groupBy("query_id", "node_id").agg((F.sum(reciprocal_rank(F.col("rank"))) * 100).alias("score"))
     return ranked(total, limit)
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memgrid.functions.text import jaccard, token_set
+
 BLOCK = 1024
 #: Vectors to a block of the similarity join.
 PER_BLOCK = 8192
@@ -37,33 +39,79 @@ def top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.where(F.size("embedding") == len(query)).select("node_id", distance(F.col("embedding"), normalized(q)).alias("distance")).orderBy("distance", "node_id").limit(k)
 
 
-def top_k_many(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """V1 for a table of queries (query_id, vector): blocks of queries against Arrow batches of vectors.
+#: Numbers in the queries' vectors (64 MB) up to which they are sent to each task; and queries of a block beyond that.
+SENT, PER_QUERY_BLOCK = 8_000_000, 4096
+
+
+class _Nearest:
+    """The k nearest of what was seen so far for each of a block of queries; ties go to the lower id."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        self.best: list[list[tuple[float, str]]] = [[] for _ in ids]
+
+    def see(self, names: np.ndarray, vectors: list) -> None:
+        fits = np.array([x is not None and len(x) == self.q.shape[1] for x in vectors], bool)
+        names = names[fits]
+        if not len(names):
+            return
+        m = np.array([x for x, f in zip(vectors, fits, strict=True) if f], float)
+        for at in range(0, len(self.q), 256):
+            d = np.round(1 - np.clip(self.q[at : at + 256] @ m.T, -1, 1), 8) + 0.0
+            cut = np.partition(d, self.k - 1, axis=1)[:, self.k - 1] if d.shape[1] > self.k else d.max(1)
+            for i, row in enumerate(d):
+                own = self.best[at + i]
+                most = min(cut[i], own[-1][0]) if len(own) == self.k else cut[i]
+                new = np.flatnonzero(row <= most)
+                if len(new):
+                    self.best[at + i] = sorted([*own, *zip(row[new].tolist(), names[new].tolist(), strict=True)])[: self.k]
 
-    Each task keeps its k best for each query; the rest is a rank over those few. A query's k best
-    ties are all kept until ids decide, as distances are rounded first.
+    def found(self) -> pa.RecordBatch:
+        rows = [(i, name, d) for i, best in zip(self.ids.tolist(), self.best, strict=True) for d, name in best]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "node_id", "distance"])
+
+
+def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, sent: int = SENT) -> DataFrame:
+    """V1 for a table of queries (query_id, vector): query_id, node_id, distance, rank of the k nearest, ties by id.
+
+    Queries of another size than a vector don't meet it. Few queries are sent to each task, which
+    hands on its k best for each. Are there more than `sent` numbers in them, then queries and
+    vectors are dealt to the cells of a grid, and a cell hands on its k best for each of its queries.
     """
-    rows = queries.select("query_id", "vector").collect()  # a stated query set, bounded by the caller
-    if not rows:
-        return queries.sparkSession.createDataFrame([], "query_id long, node_id string, distance double, rank int")
-    ids, q = [r.query_id for r in rows], np.array([r.vector for r in rows], float)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = np.array(batch.column("node_id").to_pylist(), object)
-            m = np.array([x if x is not None and len(x) == q.shape[1] else [0.0] * q.shape[1] for x in batch.column("embedding").to_pylist()], float).reshape(-1, q.shape[1])
-            fits = np.array([x is not None and len(x) == q.shape[1] for x in batch.column("embedding").to_pylist()], bool)
-            for at in range(0, len(q), 256):
-                d = np.round(1 - np.clip(q[at : at + 256] @ m.T, -1, 1), 8) + 0.0
-                d[:, ~fits] = np.inf
-                out: list[tuple] = []
-                for i, row in enumerate(d):
-                    cut = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1] if len(row) else np.inf
-                    out += [(ids[at + i], names[j], float(row[j])) for j in np.flatnonzero((row <= cut) & np.isfinite(row))]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "node_id", "distance"])
-
-    best = vectors.select("node_id", "embedding").mapInArrow(run, "query_id long, node_id string, distance double")
+    kind = "query_id long, node_id string, distance double"
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector", F.size("vector").alias("d")).where("vector IS NOT NULL")
+    n = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum("d"), F.lit(0)).alias("size")).first()
+    if n["size"] <= sent:
+        by: dict[int, list] = {}
+        for r in queries.collect():  # no more than `sent` numbers
+            by.setdefault(r.d, []).append(r)
+        blocks = [(np.array([r.query_id for r in rows]), np.array([r.vector for r in rows], float)) for rows in by.values()]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = [_Nearest(ids, q, k) for ids, q in blocks]
+            for batch in batches:
+                names, rows = np.array(batch.column("node_id").to_pylist(), object), batch.column("embedding").to_pylist()
+                for x in near:
+                    x.see(names, rows)
+            yield from (x.found() for x in near)
+
+        best = vectors.select("node_id", "embedding").mapInArrow(run, kind)
+    else:
+        rows, columns = n["n"] // PER_QUERY_BLOCK + 1, vectors.count() // (8 * PER_BLOCK) + 1
+        q = queries.select(F.col("query_id").alias("id"), "vector", "d", F.pmod(F.xxhash64("query_id"), F.lit(rows)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"))
+        v = vectors.where("embedding IS NOT NULL").select("node_id", "embedding", F.size("embedding").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), F.pmod(F.xxhash64("node_id"), F.lit(columns)).alias("j"))
+
+        def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame([], columns=["query_id", "node_id", "distance"])
+            near = _Nearest(left.id.to_numpy(), np.vstack(left.vector.to_numpy()).astype(float), k)
+            for at in range(0, len(right), BLOCK):
+                part = right.iloc[at : at + BLOCK]
+                near.see(part.node_id.to_numpy(object), list(part.embedding))
+            return near.found().to_pandas()
+
+        best = q.groupBy("d", "i", "j").cogroup(v.groupBy("d", "i", "j")).applyInPandas(cell, kind)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "node_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -73,9 +121,12 @@ def similar_pairs(vectors: DataFrame, threshold: float, by: str | None = None, b
 
     Vectors are dealt to blocks by a hash; a cell is a pair of blocks, and each vector goes to the
     cells of its row and column: blocks copies. A cell is one matrix product, cut into strips.
-    blocks follows from the number of vectors, so that a cell holds about 2 x PER_BLOCK at the most.
+    blocks follows from the number of vectors (of the largest group, with `by`), so that a cell
+    holds about 2 x PER_BLOCK at the most.
     """
-    blocks = blocks or vectors.count() // PER_BLOCK + 1
+    if not blocks:
+        largest = vectors.groupBy(by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] if by else vectors.count()
+        blocks = largest // PER_BLOCK + 1
     group = F.coalesce(F.col(by), F.lit("")) if by else F.lit("")
     df = vectors.where("embedding IS NOT NULL").select("node_id", "embedding", group.alias("g"), F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int").alias("b"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("b", k).alias("i"), F.greatest("b", k).alias("j")))
@@ -92,12 +143,12 @@ def similar_pairs(vectors: DataFrame, threshold: float, by: str | None = None, b
             for at in range(0, len(left), BLOCK):
                 part = left.iloc[at : at + BLOCK]
                 s = np.clip(np.vstack(part.embedding.to_numpy()).astype(float) @ m.T, -1, 1)
-                for x, y in zip(*np.where(s >= threshold - 1e-6), strict=True):
-                    a, b = part.node_id.iloc[x], ids[y]
-                    sim = round(1 - round(1 - float(s[x, y]), 8), 8)
-                    if a != b and sim >= threshold and (i != j or a < b):
-                        found.append((min(a, b), max(a, b), sim))
-        return pd.DataFrame(found, columns=["id_a", "id_b", "sim"])
+                x, y = np.where(s >= threshold - 1e-6)
+                a, b = part.node_id.to_numpy(str)[x], ids[y].astype(str)
+                sim = np.round(1 - np.round(1 - s[x, y], 8), 8)
+                keep = (sim >= threshold) & ((a != b) if i != j else (a < b))
+                found.append(pd.DataFrame({"id_a": np.where(a < b, a, b)[keep], "id_b": np.where(a < b, b, a)[keep], "sim": sim[keep]}))
+        return pd.concat(found) if found else pd.DataFrame([], columns=["id_a", "id_b", "sim"])
 
     return df.groupBy("g", "d", "i", "j").applyInPandas(cell, "id_a string, id_b string, sim double")
 
@@ -113,23 +164,31 @@ def histogram(pairs: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     return pairs.select(F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col("sim") >= t)).alias("threshold")).groupBy("threshold").agg(F.count("*").alias("n"))
 
 
-def near_duplicates(vectors: DataFrame, nodes: DataFrame, sources: DataFrame, threshold: float = 0.88, candidates: int = 25) -> DataFrame:
-    """Of each source's nearest `candidates` (itself among them) those that pass; the filter comes after the cut."""
+def near_duplicates(vectors: DataFrame, nodes: DataFrame, sources: DataFrame, threshold: float = 0.88, candidates: int = 25, overlap: float | None = None) -> DataFrame:
+    """Of each source's nearest `candidates` (itself among them) those that pass; the filter comes after the cut.
+
+    With `overlap`, the token sets of both contents must have that Jaccard similarity as well.
+    """
     q = sources.join(vectors, "node_id").select(F.xxhash64("node_id").alias("query_id"), F.col("node_id").alias("source"), F.col("embedding").alias("vector"))
     hits = top_k_many(vectors, q, candidates).join(q.select("query_id", "source"), "query_id").where(F.col("node_id") != F.col("source")).withColumn("sim", F.round(1 - F.col("distance"), 8)).where(F.col("sim") >= threshold)
     fit = nodes.where("status = 'active' AND type = 'persistent' AND okf_type IS NOT NULL").select("node_id", F.coalesce("project", F.lit("")).alias("p"))
     own = nodes.select(F.col("node_id").alias("source"), F.coalesce("project", F.lit("")).alias("p"))
-    return hits.join(fit, "node_id").join(own, ["source", "p"]).select("source", "node_id", "sim")
+    hits = hits.join(fit, "node_id").join(own, ["source", "p"]).select("source", "node_id", "sim")
+    if overlap is None:
+        return hits
+    tokens = nodes.select("node_id", token_set(F.col("content")).alias("x"))
+    both = hits.join(tokens, "node_id").join(tokens.selectExpr("node_id source", "x y"), "source")
+    return both.where(jaccard(F.col("x"), F.col("y")) >= overlap).select("source", "node_id", "sim")
 
 
-def connected(pairs: DataFrame, rounds: int = 64) -> DataFrame:
-    """Least node of each node's component of pairs (id_a, id_b); a label travels and jumps each round."""
+def connected(pairs: DataFrame) -> DataFrame:
+    """Least node of each node's component of pairs (id_a, id_b); a label travels and jumps each round, until none changes."""
     spark = pairs.sparkSession
     both = pairs.select("id_a", "id_b").union(pairs.select("id_b", "id_a")).toDF("node_id", "other").distinct().persist()
     labels = both.groupBy("node_id").agg(F.min("other").alias("m")).select("node_id", F.least("node_id", "m").alias("label"))
-    checkpoint = _cut(spark)
+    checkpoint = cut(spark)
     try:
-        for _ in range(rounds):
+        while True:
             near = both.join(labels.toDF("other", "label"), "other").groupBy("node_id").agg(F.min("label").alias("m"))
             one = labels.join(near, "node_id").select("node_id", F.col("label").alias("old"), F.least("label", "m").alias("up"))
             new = checkpoint(one.join(labels.toDF("up", "jump"), "up", "left").select("node_id", "old", F.least("up", "jump").alias("label")))
@@ -141,7 +200,7 @@ def connected(pairs: DataFrame, rounds: int = 64) -> DataFrame:
     return labels
 
 
-def _cut(spark):
+def cut(spark):
     """checkpoint(), or nothing but a persist where no shared folder is set (one process)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.getCheckpointDir():

@@ -57,17 +57,54 @@ def scored(candidates: DataFrame, now: str) -> DataFrame:
     return candidates.withColumn("score", F.col("rerank_score") + penalty)
 
 
-def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, now: str, keep: Column | None = None, top_k: int = TOP_K, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
-    """Results of each query (query_id, text, vector): query_id, pos, node_id, rerank_score, score, is_anchor, inject."""
+def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, now: str, keep: Column | None = None, top_k: int = TOP_K, max_candidates: int = MAX_CANDIDATES, chunks: DataFrame | None = None, reranks: bool = True) -> DataFrame:
+    """Results of each query (query_id, text, vector): query_id, pos, node_id, rerank_score, score, is_anchor, inject.
+
+    V3: chunks (query_id, chunk > 0, vector) of a long query each vote as a dense leg of their own.
+    R3: without a reranker (reranks false) all rerank scores are 0, and penalties alone decide.
+    """
     allowed = nodes.where(keep) if keep is not None else nodes
     lex = lexical.merged_legs(queries.select("query_id", "text"), nodes, LEG_LIMIT).select("query_id", F.lit("lexical").alias("leg"), "node_id", "rank")
-    dense = V.top_k_many(vectors, queries, LEG_LIMIT).select("query_id", F.lit("dense").alias("leg"), "node_id", "rank")
-    anchors = fused(reranked_legs(lex.unionByName(dense), allowed), max_candidates).select("query_id", "node_id", F.col("score").alias("anchor_score"))
+    asked = queries.select("query_id", F.lit(0).alias("chunk"), "vector")
+    if chunks is not None:
+        asked = asked.unionByName(chunks.select("query_id", "chunk", "vector"))
+    asked = asked.withColumn("ask", F.xxhash64("query_id", "chunk"))
+    dense = V.top_k_many(vectors, asked.selectExpr("ask query_id", "vector"), LEG_LIMIT).withColumnRenamed("query_id", "ask").join(asked.drop("vector"), "ask")
+    dense = dense.select("query_id", F.concat(F.lit("dense"), F.col("chunk")).alias("leg"), "node_id", "rank")
+    # a few rows for each query, which five later joins start from
+    anchors = V.cut(queries.sparkSession)(fused(reranked_legs(lex.unionByName(dense), allowed), max_candidates).select("query_id", "node_id", F.col("score").alias("anchor_score")))
     slots = anchors.groupBy("query_id").agg((F.lit(max_candidates) - F.count("*")).alias("slots"))
     near = N.neighbours(edges, anchors.select("query_id", "node_id"), max_candidates).join(slots, "query_id").where("pos <= slots").select("query_id", "node_id", F.lit(None).cast("double").alias("anchor_score"))
-    found = anchors.unionByName(near).join(allowed, "node_id").join(queries.select("query_id", "text"), "query_id")
-    found = found.withColumn("rerank_score", rerank_score(F.col("text"), document()))
-    found = found.join(N.degrees(nodes, edges), "node_id").join(N.project_sessions(nodes), "project", "left")
+    candidates = anchors.unionByName(near)
+    found = candidates.join(allowed, "node_id").join(queries.select("query_id", "text"), "query_id")
+    found = found.withColumn("rerank_score", rerank_score(F.col("text"), document()) if reranks else F.lit(0.0))
+    found = found.join(N.degrees(candidates.select("node_id").distinct(), edges), "node_id").join(N.project_sessions(nodes), "project", "left")
     pos = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "node_id"))
     final = scored(found, now).withColumn("pos", pos).where(F.col("pos") <= top_k)
     return final.select("query_id", "pos", "node_id", "rerank_score", F.round("score", 6).alias("score"), F.col("anchor_score").isNotNull().alias("is_anchor"), S.inject(F.col("rerank_score"), F.col("verified"), "query_id").alias("inject"))
+
+
+def write_candidates(found: DataFrame, threshold: float = 0.3, limit: int = MAX_CANDIDATES) -> DataFrame:
+    """draft_id, pos, node_id, score, matched: what a draft's queries (in order of query_id) found.
+
+    found: draft_id, query_id, node_id, score. A score counts if it reaches the threshold once it is
+    held to [0, 1]. Each better score starts the list of matching queries anew, so it holds the
+    queries from the first with the best score on.
+    """
+    fit = found.withColumn("held", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))), 6)).where(F.col("held") >= threshold)
+    best = fit.groupBy("draft_id", "node_id").agg(F.max("score").alias("raw"), F.max("held").alias("score"), F.array_sort(F.collect_list(F.struct("query_id", F.col("score").alias("s")))).alias("all"))
+    first = F.array_min(F.transform(F.filter("all", lambda x: x["s"] == F.col("raw")), lambda x: x["query_id"]))
+    matched = F.transform(F.filter("all", lambda x: x["query_id"] >= F.col("first")), lambda x: x["query_id"])
+    pos = F.row_number().over(W.partitionBy("draft_id").orderBy(F.desc("raw"), "node_id"))
+    return best.withColumn("first", first).select("draft_id", pos.alias("pos"), "node_id", "score", matched.alias("matched")).where(F.col("pos") <= limit)
+
+
+def context_block(title: Column, path: Column, status: Column, content: Column) -> Column:
+    """What a result says to a reader."""
+    mark = F.when(status == "disputed", "[DISPUTED] ").otherwise("")
+    return F.trim(F.concat(mark, title, F.lit("\nPath: "), path, F.lit("\nStatus: "), status, F.lit("\n\n"), F.trim(content, F.lit(" \n\t\r"))), F.lit(" \n\t\r"))
+
+
+def contexts(results: DataFrame) -> DataFrame:
+    """query_id, context: the blocks of each query's results (query_id, pos, block) in order, between rules."""
+    return results.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "block"))), lambda x: x["block"]), "\n\n---\n\n").alias("context"))

@@ -11,18 +11,17 @@ from memgrid.plans import hybrid as H
 from memgrid.plans.catalog import query
 from memgrid.sources.logical import NOW, sql
 
-N_QUERIES = 12
-
 
 def queries_of(t):
+    """Each item of the benchmark, with the vector of that number."""
     v = t.raw("embeddings").selectExpr("vec_id query_id", "cast(embedding as array<double>) vector")
-    return t.raw("benchmark").where(f"item_id < {N_QUERIES}").selectExpr("item_id query_id", "text").join(v, "query_id")
+    return t.raw("benchmark").selectExpr("item_id query_id", "text").join(v, "query_id")
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 #: Lexical retrieval. No text here has CJK characters, so both legs are the same.
 LEX = [
-    f"q AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id < {N_QUERIES})",
+    "q AS (SELECT item_id AS query_id, text FROM benchmark JOIN embeddings ON vec_id = item_id)",
     f"qt AS (SELECT query_id, list_filter(string_split_regex(trim(text), '\\s+'), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}_]') AND lower(w) NOT IN ({_STOP}) AND length(w) >= 2) AS l FROM q)",
     "terms AS (SELECT query_id, regexp_extract_all(lower(strip_accents(t)), '[\\p{L}\\p{N}]+') AS tokens FROM (SELECT query_id, unnest(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 24)) AS t FROM qt))",
     "posts AS (SELECT node_id, c, unnest(ts) AS token, unnest(range(len(ts))) AS pos FROM (SELECT node_id, c, regexp_extract_all(lower(strip_accents(x)), '[\\p{L}\\p{N}]+') AS ts FROM (SELECT node_id, unnest([0, 1, 2]) AS c, unnest([title, content, array_to_string(tags, ' ')]) AS x FROM nodes)))",
@@ -36,7 +35,7 @@ LEX = [
 ]
 _CLIPD = "round(1 - greatest(-1, least(1, list_dot_product(v.embedding, CAST(e.embedding AS DOUBLE[])))), 8)"
 LEGS = [
-    f"dn AS (SELECT * FROM (SELECT e.vec_id AS query_id, v.node_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_CLIPD}, v.node_id) AS rank FROM vectors v, embeddings e WHERE e.vec_id < {N_QUERIES}) WHERE rank <= 20)",
+    f"dn AS (SELECT * FROM (SELECT e.vec_id AS query_id, v.node_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_CLIPD}, v.node_id) AS rank FROM vectors v, embeddings e WHERE e.vec_id IN (SELECT query_id FROM q)) WHERE rank <= 20)",
     "ok AS (SELECT * FROM nodes WHERE NOT (type = 'transient' AND seq % 10 = 0))",
     "lg AS (SELECT query_id, leg, node_id, row_number() OVER (PARTITION BY query_id, leg ORDER BY rank) AS rank FROM (SELECT query_id, 'lexical' AS leg, node_id, rank FROM mg UNION ALL SELECT query_id, 'dense', node_id, rank FROM dn) WHERE node_id IN (SELECT node_id FROM ok))",
     "fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS pos FROM (SELECT query_id, node_id, max(1 / (60 + rank)) AS score FROM lg GROUP BY query_id, node_id)) WHERE pos <= 9)",
@@ -112,10 +111,22 @@ def hybrid_search(t):
     return H.search(queries_of(t), t.nodes(), t.edges(), t.vectors(), NOW, keep)
 
 
-@query(sql("SELECT node_id, best AS score, matched FROM (SELECT node_id, max(score) AS best, list(query_id ORDER BY query_id) AS matched FROM (SELECT query_id, node_id, round(1 / (1 + exp(-rerank_score)), 6) AS score FROM rk) WHERE score >= 0.3 GROUP BY node_id)".replace("list(query_id ORDER BY query_id)", "array_to_string(list(query_id ORDER BY query_id), ',')"), *LEX, *LEGS, *CANDIDATES, *RERANK))
+_FOUND = f"sc AS (SELECT query_id // 4 AS draft_id, query_id, node_id, round(rerank_score + {_PEN} + {_STATUS}, 6) AS score FROM rk JOIN deg USING (node_id) LEFT JOIN ses USING (project)), fit AS (SELECT * FROM sc WHERE least(1, greatest(0, score)) >= 0.3), top AS (SELECT draft_id, node_id, max(score) AS best FROM fit GROUP BY ALL), since AS (SELECT draft_id, node_id, best, min(query_id) AS q0 FROM fit JOIN top USING (draft_id, node_id) WHERE score = best GROUP BY ALL)"
+
+
+@query(sql("SELECT draft_id, CAST(pos AS INTEGER) AS pos, node_id, least(1, best) AS score, matched FROM (SELECT draft_id, node_id, best, array_to_string(list(query_id ORDER BY query_id), ',') AS matched, row_number() OVER (PARTITION BY draft_id ORDER BY best DESC, node_id) AS pos FROM fit JOIN since USING (draft_id, node_id) WHERE query_id >= q0 GROUP BY draft_id, node_id, best) WHERE pos <= 9", *LEX, *LEGS, *CTX, *CANDIDATES, *RERANK, _FOUND))
 def write_candidates(t):
-    """Candidates of any query above a similarity, best score first; with all queries that match."""
-    q, n, e = queries_of(t), t.nodes(), t.edges()
+    """Every four queries are one draft's."""
     keep = ~((F.col("type") == "transient") & (F.col("seq") % 10 == 0))
-    found = H.search(q, n, e, t.vectors(), NOW, keep, top_k=H.MAX_CANDIDATES).withColumn("score", F.round(1 / (1 + F.exp(-F.col("rerank_score"))), 6)).where("score >= 0.3")
-    return found.groupBy("node_id").agg(F.max("score").alias("score"), F.array_join(F.array_sort(F.collect_list("query_id")), ",").alias("matched"))
+    found = H.search(queries_of(t), t.nodes(), t.edges(), t.vectors(), NOW, keep, top_k=H.MAX_CANDIDATES)
+    found = H.write_candidates(found.selectExpr("query_id div 4 draft_id", "query_id", "node_id", "score"))
+    return found.withColumn("matched", F.array_join("matched", ","))
+
+
+@query(sql("SELECT query_id, CAST(count(*) AS INTEGER) AS results, sha256(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos)) AS digest FROM (SELECT query_id, pos, CASE status WHEN 'disputed' THEN '[DISPUTED] ' ELSE '' END || title || chr(10) || 'Path: notes/' || node_id || '.md' || chr(10) || 'Status: ' || status || chr(10) || chr(10) || trim(content, ' ' || chr(9) || chr(10) || chr(13)) AS block FROM (SELECT seq % 40 AS query_id, row_number() OVER (PARTITION BY seq % 40 ORDER BY seq) AS pos, * FROM nodes) WHERE pos <= 5) GROUP BY query_id"))
+def context_blocks(t):
+    """Of every fortieth node five, as one reader's context."""
+    n = t.nodes().withColumn("query_id", F.col("seq") % 40).withColumn("pos", F.expr("row_number() over (partition by query_id order by seq)")).where("pos <= 5")
+    block = H.context_block(F.col("title"), F.concat(F.lit("notes/"), F.col("node_id"), F.lit(".md")), F.col("status"), F.col("content"))
+    n = n.select("query_id", "pos", block.alias("block"))
+    return H.contexts(n).join(n.groupBy("query_id").agg(F.count("*").cast("int").alias("results")), "query_id").select("query_id", "results", F.sha2("context", 256).alias("digest"))
