@@ -18,12 +18,12 @@ Pairs inside a bucket are never listed. In three rounds, a text is held against:
    that share one of its rarest shingles: alike texts have THRESHOLD of either's weight in common,
    so with all shingles in one order, rare ones first, both have their first common shingle within
    the first 1 - THRESHOLD of their weight. A pair is looked at once, and goes on if its full
-   signatures agree in EST of the registers at least.
+   signatures agree in EST of FULL registers at least.
 Each pair is verified on the whole texts: J_P, or the Jaccard similarity of the sets, is at least
 THRESHOLD. Verified links make classes (connected components).
 
 Loss: a pair at the threshold shares no bucket with probability (1 - 0.8^5)^24 = 7e-5, and falls
-short of EST with less than 1e-7 (in the third round only). Texts are told apart by a 64-bit hash.
+short of EST with 1e-5 (in the third round only). Texts are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ from pyspark.sql import functions as F
 from memgrid.llm.common import arrow_map, fresh, written
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS, REGISTERS, EST = 24, 5, 240, 0.65
+BANDS, ROWS, REGISTERS = 24, 5, 240
+#: Registers of the signatures that pairs are compared by before verification, and the share that must agree.
+FULL, EST = 480, 0.72
 #: Texts of a bucket up to which each is held against each, and those that share a shingle up to which it counts as rare.
 HOT, RARE = 64, 64
 #: Pairs with one text up to which they may be verified in one task.
@@ -140,14 +142,14 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("node"))
 
 
-def both_signatures(shingles: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+def both_signatures(shingles: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Signatures with all weights 1, and by place those with true weights of texts that repeat a shingle.
 
     With weights of 1 the probability Jaccard is the Jaccard of the sets.
     """
-    plain = signatures([(h, np.ones(len(h), np.int64)) for h, _ in shingles])
+    plain = signatures([(h, np.ones(len(h), np.int64)) for h, _ in shingles], m)
     repeats = [i for i, (_, n) in enumerate(shingles) if n.max() > 1]
-    return plain, dict(zip(repeats, signatures([shingles[i] for i in repeats]), strict=True))
+    return plain, dict(zip(repeats, signatures([shingles[i] for i in repeats], m), strict=True))
 
 
 def _banded(docs: DataFrame) -> DataFrame:
@@ -174,8 +176,8 @@ def _banded(docs: DataFrame) -> DataFrame:
 
 
 def _coded(signature: np.ndarray) -> np.ndarray:
-    """A number for each register: its place and 24 bits of its shingle."""
-    code = (signature & np.uint64(0xFFFFFF)).astype(np.int64) | (np.arange(REGISTERS, dtype=np.int64) << 24)
+    """A number for each register: its place and 23 bits of its shingle."""
+    code = (signature & np.uint64(0x7FFFFF)).astype(np.int64) | (np.arange(FULL, dtype=np.int64) << 23)
     return code.astype(np.uint32).view(np.int32)
 
 
@@ -184,7 +186,7 @@ def _signed(texts: DataFrame) -> DataFrame:
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            plain, weighted = both_signatures([weighted_shingles(x) for x in batch.column("text").to_pylist()])
+            plain, weighted = both_signatures([weighted_shingles(x) for x in batch.column("text").to_pylist()], FULL)
             more = [_coded(weighted[i]).tolist() if i in weighted else None for i in range(len(plain))]
             return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(_coded(plain).tolist(), pa.list_(pa.int32())), pa.array(more, pa.list_(pa.int32()))], ["node", "text", "sig", "wsig"])
 
@@ -219,6 +221,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
         return f
 
+    pairs = written(pairs, "pairs")  # two numbers each; they may be dear to find
     # a text that is in many pairs, as a leader of a large group, is dealt to several tasks
     many = _small(pairs.groupBy("b").agg((F.floor(F.count("*") / PAIRS) + 1).cast("int").alias("parts")).where("parts > 1"))
     t = texts.select("node", "text")
@@ -317,7 +320,7 @@ def _alike(placed: DataFrame, signed: DataFrame) -> DataFrame:
     all_keys = placed.groupBy("node").agg(F.collect_set("key").alias("keys"))
     full = placed.join(all_keys, "node").join(signed, "node")
     left, right = (full.selectExpr("key", *[f"{c} {c}_{x}" for c in ("node", "lab", "keys", "sig", "wsig")]) for x in "ab")
-    enough = f">= {round(EST * REGISTERS)}"
+    enough = f">= {round(EST * FULL)}"
     weighted = f"(wsig_a IS NOT NULL OR wsig_b IS NOT NULL) AND size(array_intersect(coalesce(wsig_a, sig_a), coalesce(wsig_b, sig_b))) {enough}"
     alike = F.expr(f"lab_a < lab_b AND key = array_min(array_intersect(keys_a, keys_b)) AND (size(array_intersect(sig_a, sig_b)) {enough} OR {weighted})")
     return left.join(right, "key").where(alike).selectExpr("node_a a", "node_b b")
