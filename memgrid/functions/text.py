@@ -1,4 +1,4 @@
-"""Text functions as Column expressions."""
+"""Text functions as Column expressions."""
 
 from __future__ import annotations
 
@@ -120,6 +120,46 @@ def kebab(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-"))
 
 
+def clean_slug(node_id: Column) -> Column:
+    """an id without its day, or as it is if nothing is left."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(node_id, r"^mem_\d{8}_", ""), F.lit("-_")), F.lit("")), node_id)
+
+
+def file_stem(node_id: Column) -> Column:
+    """what a note's file is called."""
+    slug = F.trim(F.translate(F.regexp_replace(clean_slug(node_id), r"[^A-Za-z0-9._-]+", "-"), "_", "-"), F.lit("-."))
+    return F.coalesce(F.nullif(slug, F.lit("")), node_id)
+
+
+NO_PROJECT = "general"
+
+
+def project_slug(name: Column) -> Column:
+    """a project's name as part of a path."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower(name), r"[^a-z0-9._/-]+", "-"), F.lit("-.")), F.lit("")), F.lit(NO_PROJECT))
+
+
+def inferred_project(project: Column, node_id: Column, title: Column, content: Column, domains: list[tuple[str, list[str]]]) -> Column:
+    """A node's own project, else the first domain of which a marker is in its id, title or content.
+
+    domains: (project, markers), in order; put those that a user adds before the others.
+    """
+    text = F.lower(F.concat_ws(" ", node_id, title, content))
+    out = F.when(F.trim(project) != "", project_slug(F.trim(project)))
+    for name, markers in domains:
+        hits = [F.contains(text, F.lit(m.strip().lower())) for m in markers if m.strip()]
+        if hits:
+            out = out.when(F.greatest(*hits) if len(hits) > 1 else hits[0], name)
+    return out.otherwise(NO_PROJECT)
+
+
+def merged_domains(own: list[dict], others: list[tuple[str, list[str]]]) -> list[tuple[str, list[str]]]:
+    """A user's domains ({project, markers}) first; another of the same name gives way, and what has no name or marker is left out."""
+    named = [(str(d.get("project") or "").strip().lower(), [str(m) for m in d.get("markers") or [] if str(m).strip()]) for d in own if isinstance(d, dict)]
+    named = [(p, m) for p, m in named if p and m]
+    return named + [d for d in others if d[0] not in {p for p, _ in named}]
+
+
 def table_cell(text: Column) -> Column:
     """safe inside a Markdown table."""
     return F.trim(F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " "))
@@ -127,19 +167,37 @@ def table_cell(text: Column) -> Column:
 
 #: What is redacted, in this order, and what it becomes.
 REDACTIONS = (
-    ("API_KEY", r"\b(?:sk|pk|ghp|gho|xox[baprs])[-_][A-Za-z0-9_-]{16,}\b", "[REDACTED:API_KEY]"),
-    ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED:EMAIL]"),
-    ("IP", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[REDACTED:IP]"),
-    ("UUID", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "[REDACTED:UUID]"),
-    ("JWT", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "[REDACTED:JWT]"),
-    ("SECRET", r"(?i)\b(token|secret|password|api_key)(\s*[:=]\s*)[\"']?[^\s\"']{6,}[\"']?", "$1$2[REDACTED:SECRET]"),
+    ("API_KEY", r"sk-[a-zA-Z0-9]{32,}", "[REDACTED_API_KEY]"),
+    ("EMAIL", r"[^@\s]+@[^@\s]+\.[^@\s]+", "[REDACTED_EMAIL]"),
+    ("IP", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "[REDACTED_IP]"),
+    ("UUID", r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "[REDACTED_UUID]"),
+    ("JWT", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[REDACTED_JWT]"),
+    ("SECRET_ASSIGNMENT", r"""(?i)(\b[A-Z0-9_]*(?:TOKEN|API[_-]?KEY|ACCESS[_-]?KEY|PRIVATE[_-]?KEY|SECRET|PASSWORD|CREDENTIAL)[A-Z0-9_]*\b(?:\\?["'])?\s*[:=]\s*(?:\\?["'])?)([A-Za-z0-9._~+/=-]{16,})""", "$1[REDACTED_SECRET]"),
+    ("AUTHORIZATION", r"(?i)(\b(?:Bearer|Basic)[ \t]+)([A-Za-z0-9._~+/=-]{16,})", "$1[REDACTED_SECRET]"),
+    ("PRIVATE_KEY_BLOCK", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
+    ("URL_PASSWORD", r"(?i)(://[^\s/:@]{1,64}:)([^\s/@]{3,})(@)", "$1[REDACTED_CREDENTIAL]$3"),
+    ("CREDENTIAL_ASSIGNMENT", r"""(?i)(\b(?:password|passwd|pwd|passphrase|client[_-]?secret|secret[_-]?key|app[_-]?secret|api[_-]?key|apikey|access[_-]?token|refresh[_-]?token|auth[_-]?token)\b\s*[:=]\s*["']?)(?!\$|\{|<|\[|\*|%)([A-Za-z0-9._~+/=!@#$%^&*\-]{4,})""", "$1[REDACTED_CREDENTIAL]"),
+    ("CREDENTIAL_BEARER", r"(?i)(\b(?:Bearer|Basic)\s+)([A-Za-z0-9._~+/=-]{12,})", "$1[REDACTED_CREDENTIAL]"),
 )
+#: The rules that notes are scrubbed by before they are stored, and the blocks of a manifest with secret values.
+CREDENTIALS = ("PRIVATE_KEY_BLOCK", "URL_PASSWORD", "CREDENTIAL_ASSIGNMENT", "CREDENTIAL_BEARER")
+MANIFEST_BLOCK, MANIFEST_PAIR, MANIFEST_VALUE = r"^[ \t]*(?:stringData|data):[ \t]*$", r"^([ \t]+)([A-Za-z0-9._\-/]+):[ \t]*(\S.*)$", r"^[A-Za-z0-9+/]{16,}={0,2}$"
+#: What each match of a rule contains: a text without it is not searched.
+NEEDS = {"API_KEY": "sk-", "EMAIL": "@", "JWT": ".eyJ", "PRIVATE_KEY_BLOCK": "PRIVATE KEY-----", "URL_PASSWORD": "://"}
+#: What comes before each leftmost match of a rule: without it a long run without an @ is searched from each of its characters.
+STARTS = {"EMAIL": r"(?<![^@\s])"}
+
+
+def _pattern(label: str, pattern: str) -> str:
+    """As Java is to read it: classes and word ends by Unicode."""
+    return "(?U)" + STARTS.get(label, "") + pattern
 
 
 def redacted(text: Column, rules=REDACTIONS) -> Column:
-    """the rules one after another; further rules (Z4) may be added at the end."""
-    for _, pattern, to in rules:
-        text = F.regexp_replace(text, pattern, to)
+    """the rules one after another; further rules (Z4: label, pattern, replacement with $1) may be added at the end."""
+    for label, pattern, to in rules:
+        new = F.regexp_replace(text, _pattern(label, pattern), to)
+        text = F.when(F.contains(text, F.lit(NEEDS[label])), new).otherwise(text) if label in NEEDS else new
     return text
 
 
@@ -147,6 +205,53 @@ def redaction_counts(text: Column, rules=REDACTIONS) -> list[Column]:
     """How often each rule applies to what the ones before it left."""
     out = []
     for label, pattern, to in rules:
-        out.append(F.regexp_count(text, F.lit(pattern)).cast("long").alias(label.lower()))
-        text = F.regexp_replace(text, pattern, to)
+        out.append(F.regexp_count(text, F.lit(_pattern(label, pattern))).cast("long").alias(label.lower()))
+        text = redacted(text, ((label, pattern, to),))
     return out
+
+
+def scrubbed(text: Column) -> Column:
+    """credentials alone, and the secret values of manifest blocks; identifiers stay.
+
+    A block lasts as long as lines are blank or indented deeper than its head; in it a value goes
+    that starts with < or looks like Base64.
+    """
+    hidden = "[REDACTED_CREDENTIAL]"
+    text = redacted(text, [r for r in REDACTIONS if r[0] in CREDENTIALS])
+    start = F.struct(F.lit(-1).alias("depth"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, line: Column) -> Column:
+        indent = F.length(line) - F.length(F.ltrim(line, F.lit(" \t")))
+        inside = (s["depth"] >= 0) & ((F.trim(line, F.lit(" \t\r")) == "") | (indent > s["depth"]))
+        value = F.regexp_extract(line, MANIFEST_PAIR, 3)
+        secret = value.startswith("<") | F.rlike(value, F.lit(MANIFEST_VALUE))
+        shown = F.when(inside & (value != "") & secret, F.regexp_replace(line, MANIFEST_PAIR, "$1$2: " + hidden.replace("$", r"\$"))).otherwise(line)
+        depth = F.when(inside, s["depth"]).when(F.rlike(line, F.lit(MANIFEST_BLOCK)), indent).otherwise(-1)
+        return F.struct(depth.alias("depth"), F.concat(s["out"], F.array(shown)).alias("out"))
+
+    blocks = F.aggregate(F.split(text, "\n"), start, step, lambda s: F.array_join(s["out"], "\n"))
+    return F.when(F.rlike(text, F.lit(r"(?m)" + MANIFEST_BLOCK)), blocks).otherwise(text)
+
+
+def repaired(json: Column) -> Column:
+    """JSON text whose escapes of half a surrogate pair are escapes of U+FFFD; to be applied before it is parsed."""
+    high, low = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    return F.regexp_replace(F.regexp_replace(json, rf"(?<!\\)((?:\\\\)*){high}(?!{low})", r"$1\\uFFFD"), rf"(?<!{high})(?<!\\)((?:\\\\)*){low}", r"$1\\uFFFD")
+
+
+def valid_utf8(data: Column) -> Column:
+    """F29 for bytes: text in which what is no UTF-8, as half a surrogate pair, is U+FFFD."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
+#: Days of the units of a window.
+WINDOW_DAYS = {"d": 1, "w": 7, "m": 30}
+
+
+def window_days(window: Column) -> Column:
+    """days of a window as 30d, 12w, 6m or a bare number of days; null for anything else, and for none."""
+    n, unit = (F.regexp_extract(F.lower(F.trim(window)), r"^(\d{1,6})\s*([dwm]?)$", k) for k in (1, 2))
+    days = F.nullif(n, F.lit("")).cast("int")
+    for u, k in WINDOW_DAYS.items():
+        days = F.when(unit == u, days * k).otherwise(days)
+    return F.when(days > 0, days)

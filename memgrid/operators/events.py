@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memgrid.operators.nodes import ratio
+from memgrid.operators.nodes import hash_sample, ratio
 
 OUTCOMES = ("distilled", "skipped", "deferred", "failed")
 STAGES = ("source_lookup", "scanner", "gatekeeper", "write", "extract", "integrate", "unknown")
@@ -125,6 +127,43 @@ def precision_by(judged: DataFrame, by: str) -> DataFrame:
     return df.select("*", ratio(F.col("related"), F.col("judged")).alias("precision"), lo.alias("low"), hi.alias("high"))
 
 
+def injection_audit(searches: DataFrame, nodes: DataFrame, judge: Callable[[DataFrame], DataFrame], n: int, sources: tuple[str, ...], by: str = "source") -> DataFrame:
+    """Precision of what was injected: a sample of n injected results of some sources, with their nodes, as a judge grades it.
+
+    judge adds `grade` (0, 1 or 2) to event_id, source, rank, node_id, title and content; a result
+    whose node is gone is sampled, but not judged (J15). The sample is the same each time.
+    """
+    rows = hits(searches).where(F.col("inject") & F.col("source").isin(*sources)).withColumn("key", F.concat_ws(":", F.col("event_id").cast("string"), "node_id"))
+    sample = hash_sample(rows, "key", n).select("event_id", "source", "rank", "node_id")
+    return precision_by(judge(sample.join(nodes.select("node_id", "title", "content"), "node_id")), by)
+
+
+def gate_health(runs: DataFrame, file_codes: DataFrame, stored_codes: DataFrame, dreams: DataFrame, now: Column) -> DataFrame:
+    """Metric, value: how much the gate keeps out.
+
+    runs: items_extracted, items_quarantined; file_codes, stored_codes: code, n; dreams: started_at.
+    Shares are of items and of runs, 0 over nothing. A code's count is the files', and the stored
+    one only where the files have none.
+    """
+    total = runs.agg(F.sum("items_extracted").alias("items"), F.sum("items_quarantined").alias("held"), F.count("*").alias("runs"), F.count_if(F.col("items_extracted") == 0).alias("empty"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).cast("double")
+    shares = total.select(F.explode(F.array(F.struct(F.lit("quarantine_rate").alias("metric"), zero(ratio(F.col("held"), F.col("items") + F.col("held"))).alias("value")), F.struct(F.lit("zero_item_ratio").alias("metric"), zero(ratio(F.col("empty"), F.col("runs"))).alias("value")))).alias("x")).select("x.*")
+    codes = file_codes.withColumnRenamed("n", "f").join(stored_codes.withColumnRenamed("n", "s"), "code", "full_outer")
+    codes = codes.select(F.concat(F.lit("code:"), F.col("code")).alias("metric"), F.coalesce("f", "s").cast("double").alias("value"))
+    week = dreams.where((F.col("started_at") > now - F.make_dt_interval(F.lit(7))) & (F.col("started_at") <= now)).agg(F.count("*").cast("double").alias("value")).select(F.lit("dreams_last_7d").alias("metric"), "value")
+    return shares.union(codes).union(week)
+
+
+def funnel(nodes: DataFrame, searches: DataFrame) -> DataFrame:
+    """A21 with its fallback: retrieved and injected counts of the nodes, or of the events where the nodes have none."""
+    kept = nodes.agg(*[F.coalesce(F.sum(f"{c}_count"), F.lit(0)).alias(c) for c in ("retrieved", "injected", "used")])
+    seen = hits(searches).agg(F.count("*").alias("r"), F.count_if("inject").alias("i"))
+    df = kept.crossJoin(seen)  # a row each
+    none = F.col("retrieved") == 0
+    df = df.select(F.when(none, F.col("r")).otherwise(F.col("retrieved")).alias("retrieved"), F.when(none, F.col("i")).otherwise(F.col("injected")).alias("injected"), "used")
+    return df.select("*", ratio(F.col("injected"), F.col("retrieved")).alias("pass_rate"), ratio(F.col("used"), F.col("injected")).alias("conversion_rate"))
+
+
 def earliest(*tables: tuple[DataFrame, str]) -> DataFrame:
     """The first instant in any table."""
     out = None

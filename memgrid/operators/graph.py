@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memgrid.functions.text import wiki_links
+from memgrid.operators.cuts import checkpointed
 from memgrid.operators.nodes import is_root_source, resolve_aliases
 
 MAX_DEPTH = 64
@@ -57,38 +58,41 @@ def resolved_labels(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels.join(ends.select("node_id", live.alias("live")), "node_id", "left").select("query_id", F.col("live").alias("node_id")).distinct()
 
 
-def closure(links: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
-    """All (a, b) of which b can be reached from a by links (a, b), found frontier by frontier."""
-    seen = links.select("a", "b").distinct().persist()
-    frontier, held = seen, [seen]
-    for _ in range(rounds):
-        step = frontier.join(links.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
-        frontier = step.join(seen, ["a", "b"], "left_anti").persist()
-        held.append(frontier)
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-    return seen
-
-
 def provenance(nodes: DataFrame) -> DataFrame:
     """For each active persistent node its roots, and whether something unknown or a cycle is behind it.
 
     node_id, n_direct, n_roots, unknown, cyclic. A source that is no root and has no sources of its
-    own is unknown.
+    own is unknown. Roots travel from sources to what cites them, each pair of node and root once
+    and only as it is new, until none is; unknowns likewise. What is left of the links once those to
+    nodes without links have been taken away, again and again, leads to a cycle. Each round is cut
+    off, and each ends at its fixed point: as many rounds as the longest chain of sources.
     """
-    links = nodes.select(F.col("node_id").alias("a"), F.explode("sources").alias("b"))
-    inner = links.where(~is_root_source(F.col("b")))
-    reach = closure(inner)
-    loops = reach.where("a = b").select(F.col("a").alias("b"), F.lit(True).alias("loop"))
-    own = nodes.select(F.col("node_id").alias("b"), F.col("sources").alias("behind"))
+    cut = checkpointed(nodes.sparkSession)
+    links = nodes.select(F.col("node_id").alias("a"), F.explode("sources").alias("b")).distinct()
+    inner, roots = cut(links.where(~is_root_source(F.col("b")))), links.where(is_root_source(F.col("b")))
+    up = inner.select(F.col("a").alias("to"), F.col("b").alias("a"))
+
+    def spread(start: DataFrame) -> DataFrame:
+        """start (a, ...) and the same for all nodes from which a is reached."""
+        seen = new = cut(start.distinct())
+        while not new.isEmpty():
+            step = new.join(up, "a").drop("a").withColumnRenamed("to", "a").select(*start.columns).distinct()
+            new = cut(step.join(seen, start.columns, "left_anti"))
+            seen = cut(seen.union(new))
+        return seen
+
+    empty = inner.select(F.col("b").alias("a")).distinct().join(links.select("a").distinct(), "a", "left_anti")
+    above = empty.join(up, "a").select(F.col("to").alias("a"))
+    left, n = inner, inner.count()
+    while n:
+        left = cut(left.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        n, before = left.count(), n
+        if n == before:
+            break
+    n_roots = spread(roots.select("a", "b")).groupBy("a").agg(F.count("*").alias("n_roots"))
+    unknown, cyclic = spread(above).withColumn("unknown", F.lit(True)), left.select("a").distinct().withColumn("cyclic", F.lit(True))
     df = nodes.where("status = 'active' AND type = 'persistent'").select(F.col("node_id").alias("a"), F.size("sources").alias("n_direct"))
-    # everything behind a node, itself only if a source leads back to it
-    behind = df.select("a").join(reach, "a").join(own, "b", "left").join(loops, "b", "left")
-    roots = behind.select("a", F.explode("behind").alias("r")).union(df.select("a").join(links, "a").select("a", F.col("b").alias("r"))).where(is_root_source(F.col("r")))
-    n_roots = roots.groupBy("a").agg(F.countDistinct("r").alias("n_roots"))
-    flags = behind.groupBy("a").agg(F.bool_or(F.coalesce(F.size("behind"), F.lit(0)) <= 0).alias("unknown"), F.bool_or(F.coalesce("loop", F.lit(False))).alias("cyclic"))
-    out = df.join(n_roots, "a", "left").join(flags, "a", "left")
+    out = df.join(n_roots, "a", "left").join(unknown, "a", "left").join(cyclic, "a", "left")
     return out.select(F.col("a").alias("node_id"), "n_direct", F.coalesce("n_roots", F.lit(0)).cast("long").alias("n_roots"), F.coalesce("unknown", F.lit(False)).alias("unknown"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 

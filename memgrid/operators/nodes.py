@@ -58,6 +58,19 @@ def has_distiller_source(sources="sources") -> Column:
 # --- scans
 
 
+def by_path(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """The nodes of paths (path); a path belongs to one node at most."""
+    return nodes.join(paths.select("path").distinct(), "path", "left_semi")
+
+
+def valid_meta(nodes: DataFrame, meta: str = "meta", schema: str = "okf_type string, project string, verified boolean") -> DataFrame:
+    """Nodes whose metadata is JSON and names a kind, with the metadata parsed; a text probe comes before the parser."""
+    probe = F.contains(F.col(meta), F.lit('"okf_type": "'))
+    parsed = F.from_json(F.col(meta), schema)
+    sound = F.try_parse_json(F.col(meta)).isNotNull()
+    return nodes.where(probe & sound).withColumn(meta, parsed).where(F.col(f"{meta}.okf_type").isNotNull())
+
+
 def filtered(nodes: DataFrame, status: str | None = None, type_: str | None = None, title: str | None = None) -> DataFrame:
     """S5."""
     for column, value in (("status", status), ("type", type_), ("title", title)):
@@ -206,10 +219,12 @@ def disputed_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(nodes: DataFrame) -> DataFrame:
-    """Of nodes with one title and content all but the newest; `keeper` is that one."""
-    w = W.partitionBy("title", F.sha2("content", 256)).orderBy(F.desc("created_at"), "node_id")
-    df = nodes.select("node_id", F.row_number().over(w).alias("n"), F.first("node_id").over(w).alias("keeper"))
-    return df.where("n > 1").select("node_id", "keeper")
+    """Of nodes with one title and content all but the newest; `keeper` is that one (of two as new the lower id)."""
+    rows = nodes.select("node_id", F.xxhash64("title").alias("t"), F.sha2("content", 256).alias("h"), "created_at")
+    # adds up on the way, so many copies are no burden; only what has copies is joined
+    low = rows.groupBy("t", "h", "created_at").agg(F.min("node_id").alias("node_id"), F.count("*").alias("n"))
+    keeper = low.groupBy("t", "h").agg(F.max_by("node_id", "created_at").alias("keeper"), F.sum("n").alias("n")).where("n > 1")
+    return rows.join(keeper, ["t", "h"]).where("node_id <> keeper").select("node_id", "keeper")
 
 
 #: Characters after the title that texts must share before their prefixes are compared.
@@ -250,6 +265,23 @@ def takeaways(nodes: DataFrame, k: int = 20) -> DataFrame:
     return df.select("project", "node_id", pos.alias("pos")).where(F.col("pos") <= min(20, max(1, k)))
 
 
+def handbook_order(nodes: DataFrame, kind: str) -> DataFrame:
+    """A kind's nodes with their place in a project: by sources, pitfalls then by reads, then by id."""
+    df = nodes.where((F.col("status") == "active") & (F.col("type") == "persistent") & (F.col("okf_type") == kind) & F.coalesce("verified", F.lit(True)))
+    order = [F.desc(F.size("sources")), *([F.desc("access_count")] if kind == "pitfall" else []), F.asc("node_id")]
+    return df.select("project", "node_id", F.row_number().over(W.partitionBy("project").orderBy(*order)).alias("pos"))
+
+
+def last_entries(df: DataFrame, at: str, key: str, n: int = 5) -> DataFrame:
+    """The n latest rows, newest first."""
+    return df.orderBy(F.desc(at), F.desc(key)).limit(n)
+
+
+def cursor_union(nodes: DataFrame, transcript: Column) -> DataFrame:
+    """Active nodes, and transcripts of any status; a node that is both comes once."""
+    return nodes.where((F.col("status") == "active") | transcript)
+
+
 def hash_sample(df: DataFrame, key: str, n: int, seed: str = "7") -> DataFrame:
     """N rows, the same ones each time, by a hash of the key."""
     return df.orderBy(F.sha1(F.concat(F.col(key).cast("string"), F.lit(seed)).cast("binary")), key).limit(n)

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memgrid.functions.text import jaccard, token_set
+from memgrid.operators.cuts import checkpointed
 
 BLOCK = 1024
 #: Vectors to a block of the similarity join.
@@ -39,6 +40,12 @@ def top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.where(F.size("embedding") == len(query)).select("node_id", distance(F.col("embedding"), normalized(q)).alias("distance")).orderBy("distance", "node_id").limit(k)
 
 
+def changed(vectors: DataFrame, upserts: DataFrame, deletes: DataFrame) -> DataFrame:
+    """V2: the next snapshot of vectors (node_id, embedding); an upsert of a deleted node wins."""
+    gone = upserts.select("node_id").union(deletes.select("node_id"))
+    return vectors.join(gone, "node_id", "left_anti").unionByName(upserts.select("node_id", "embedding"))
+
+
 #: Numbers in the queries' vectors (64 MB) up to which they are sent to each task; and queries of a block beyond that.
 SENT, PER_QUERY_BLOCK = 8_000_000, 4096
 
@@ -186,12 +193,12 @@ def connected(pairs: DataFrame) -> DataFrame:
     spark = pairs.sparkSession
     both = pairs.select("id_a", "id_b").union(pairs.select("id_b", "id_a")).toDF("node_id", "other").distinct().persist()
     labels = both.groupBy("node_id").agg(F.min("other").alias("m")).select("node_id", F.least("node_id", "m").alias("label"))
-    checkpoint = cut(spark)
+    cut = checkpointed(spark)
     try:
         while True:
             near = both.join(labels.toDF("other", "label"), "other").groupBy("node_id").agg(F.min("label").alias("m"))
             one = labels.join(near, "node_id").select("node_id", F.col("label").alias("old"), F.least("label", "m").alias("up"))
-            new = checkpoint(one.join(labels.toDF("up", "jump"), "up", "left").select("node_id", "old", F.least("up", "jump").alias("label")))
+            new = cut(one.join(labels.toDF("up", "jump"), "up", "left").select("node_id", "old", F.least("up", "jump").alias("label")))
             labels = new.select("node_id", "label")
             if new.where("old <> label").isEmpty():
                 break
@@ -200,16 +207,6 @@ def connected(pairs: DataFrame) -> DataFrame:
     return labels
 
 
-def cut(spark):
-    """checkpoint(), or nothing but a persist where no shared folder is set (one process)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.getCheckpointDir():
-        return lambda df: df.persist()
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared)
-    return lambda df: df.checkpoint()
-
-
 def typed(nodes: DataFrame, vectors: DataFrame, hubs: bool = True) -> DataFrame:
     """Active persistent nodes with a kind and a vector."""
     df = nodes.where("status = 'active' AND type = 'persistent' AND okf_type IS NOT NULL")

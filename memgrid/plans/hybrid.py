@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from memgrid.functions import scoring as S
 from memgrid.operators import lexical, nodes as N, vectors as V
+from memgrid.operators.cuts import checkpointed
 
 MAX_CANDIDATES, LEG_LIMIT, TOP_K, RRF_K = 9, 20, 5, 60
 
@@ -72,7 +73,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: Data
     dense = V.top_k_many(vectors, asked.selectExpr("ask query_id", "vector"), LEG_LIMIT).withColumnRenamed("query_id", "ask").join(asked.drop("vector"), "ask")
     dense = dense.select("query_id", F.concat(F.lit("dense"), F.col("chunk")).alias("leg"), "node_id", "rank")
     # a few rows for each query, which five later joins start from
-    anchors = V.cut(queries.sparkSession)(fused(reranked_legs(lex.unionByName(dense), allowed), max_candidates).select("query_id", "node_id", F.col("score").alias("anchor_score")))
+    anchors = checkpointed(queries.sparkSession)(fused(reranked_legs(lex.unionByName(dense), allowed), max_candidates).select("query_id", "node_id", F.col("score").alias("anchor_score")))
     slots = anchors.groupBy("query_id").agg((F.lit(max_candidates) - F.count("*")).alias("slots"))
     near = N.neighbours(edges, anchors.select("query_id", "node_id"), max_candidates).join(slots, "query_id").where("pos <= slots").select("query_id", "node_id", F.lit(None).cast("double").alias("anchor_score"))
     candidates = anchors.unionByName(near)

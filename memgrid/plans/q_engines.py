@@ -61,10 +61,12 @@ def synthesis_hubs(t):
     return open_.groupBy("label").agg(F.count("*").alias("size"), F.min("node_id").alias("first")).orderBy("first").limit(20)
 
 
-@query(sql("SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'vectors', count(*) FROM nodes WHERE type <> 'transient' UNION ALL SELECT 'edges', count(*) FROM nodes WHERE contains(content, '[[') UNION ALL SELECT 'postings', count(*) FROM posts", LEX[3]))
+@query(sql("SELECT seq, type <> 'transient' AS has_vector, coalesce(n, 0) AS postings, coalesce(c, 0) AS chars, coalesce(e, 0) AS edges FROM nodes LEFT JOIN (SELECT node_id, count(*) AS n, CAST(sum(length(token)) AS BIGINT) AS c FROM posts GROUP BY node_id) USING (node_id) LEFT JOIN (SELECT node_id, len(regexp_extract_all(content, '\\[\\[')) AS e FROM nodes) USING (node_id)", LEX[3]))
 def index_rebuild(t):
-    """Sizes of what is derived from the notes: vectors, links, postings."""
+    """What is derived from each note: a vector or none, postings, links."""
     n = t.nodes()
-    one = lambda what, df: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
-    vectors = n.where("type <> 'transient'").select("node_id", engines.embedded(F.col("content")).alias("embedding"))
-    return one("nodes", n).union(one("vectors", vectors)).union(one("edges", graph.edges_from_text(n))).union(one("postings", lexical.postings(n, bigrams=True)))
+    vectors = n.where("type <> 'transient'").select("node_id", engines.embedded(F.col("content")).alias("embedding")).where("embedding IS NOT NULL").select("node_id", F.lit(True).alias("v"))
+    posts = lexical.postings(n).groupBy("node_id").agg(F.count("*").alias("postings"), F.sum(F.length("token")).alias("chars"))
+    edges = graph.edges_from_text(n).groupBy(F.col("source_id").alias("node_id")).agg(F.count("*").alias("edges"))
+    df = n.select("seq", "node_id").join(vectors, "node_id", "left").join(posts, "node_id", "left").join(edges, "node_id", "left")
+    return df.select("seq", F.coalesce("v", F.lit(False)).alias("has_vector"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("postings", "chars", "edges")])

@@ -18,9 +18,11 @@ def search_day_stats(t):
     return E.search_stats(t.searches(), F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
-@query(sql(f"SELECT strftime(ts, '%G-W%V') AS week, {_STATS} FROM s GROUP BY week", _S))
+@query(sql(f"SELECT strftime(ts, '%G-W%V') AS week, count(*) AS searches, {P.format(0.5)} AS p50, {P.format(0.95)} AS p95, coalesce(round(sum(k) / nullif(sum(m), 0), 3), 0) AS inject_rate FROM s GROUP BY week", _S))
 def weekly_latency(t):
-    return E.search_stats(t.searches(), E.iso_week(F.col("ts")).alias("week"))
+    """The rate is that of results."""
+    df = E.search_stats(t.searches(), E.iso_week(F.col("ts")).alias("week"))
+    return df.select("week", "searches", "p50", "p95", F.coalesce("inject_rate_per_result", F.lit(0.0)).alias("inject_rate"))
 
 
 @query(sql(f"SELECT {_STATS} FROM s WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06'", _S))
@@ -76,9 +78,9 @@ def run_windows(t):
 
 @query(sql("""SELECT *, round(related / judged, 4) AS precision, round(greatest(0, (p + 3.8416 / (2 * judged)) / (1 + 3.8416 / judged) - h), 4) AS low, round(least(1, (p + 3.8416 / (2 * judged)) / (1 + 3.8416 / judged) + h), 4) AS high
 FROM (SELECT *, related / judged AS p, 1.96 * sqrt((related / judged) * (1 - related / judged) / judged + 3.8416 / (4 * judged * judged)) / (1 + 3.8416 / judged) AS h
-  FROM (SELECT source, count(*) AS judged, count(*) FILTER ((event_id + rank) % 4 > 0) AS related, count(*) FILTER ((event_id + rank) % 4 > 1) AS useful FROM hits WHERE inject AND event_id % 10 = 0 GROUP BY source))""").replace("SELECT *, round(related", "SELECT source, judged, related, useful, round(related"))
+  FROM (SELECT source, count(*) AS judged, count(*) FILTER ((event_id + rank) % 4 > 0) AS related, count(*) FILTER ((event_id + rank) % 4 > 1) AS useful FROM hits WHERE inject GROUP BY source))""").replace("SELECT *, round(related", "SELECT source, judged, related, useful, round(related"))
 def wilson_precision(t):
-    judged = E.hits(t.searches()).where("inject AND event_id % 10 = 0").withColumn("grade", F.least(F.lit(2), (F.col("event_id") + F.col("rank")) % 4))
+    judged = E.hits(t.searches()).where("inject").withColumn("grade", F.least(F.lit(2), (F.col("event_id") + F.col("rank")) % 4))
     return E.precision_by(judged, "source")
 
 
@@ -106,3 +108,50 @@ def snapshot_upsert(t):
 @query(sql("SELECT event_type AS source, round(quantile_disc(value, 0.5), 1) AS p50, round(quantile_disc(value, 0.95), 1) AS p95 FROM events GROUP BY 1"))
 def percentile_nearest_rank(t):
     return t.searches().groupBy("source").agg(E.nearest_rank("latency_ms", 0.5).alias("p50"), E.nearest_rank("latency_ms", 0.95).alias("p95"))
+
+
+_AUD = "aud AS (SELECT * FROM (SELECT h.*, row_number() OVER (ORDER BY sha1(concat(CAST(event_id AS VARCHAR), ':', node_id, '7')), concat(CAST(event_id AS VARCHAR), ':', node_id)) AS p FROM hits h WHERE inject AND source IN ('view', 'click')) WHERE p <= 300), jd AS (SELECT a.source, n.title, (event_id + rank) % 3 AS grade FROM aud a JOIN nodes n USING (node_id) WHERE n.status <> 'disputed')"
+
+
+@query(sql("""SELECT source, judged, related, useful, round(related / judged, 4) AS precision, round(greatest(0, (p + 3.8416 / (2 * judged)) / (1 + 3.8416 / judged) - h), 4) AS low, round(least(1, (p + 3.8416 / (2 * judged)) / (1 + 3.8416 / judged) + h), 4) AS high
+FROM (SELECT *, related / judged AS p, 1.96 * sqrt((related / judged) * (1 - related / judged) / judged + 3.8416 / (4 * judged * judged)) / (1 + 3.8416 / judged) AS h
+  FROM (SELECT source, count(*) AS judged, count(*) FILTER (grade > 0) AS related, count(*) FILTER (grade > 1) AS useful FROM jd GROUP BY source))""", _AUD))
+def injection_audit(t):
+    """What was injected by two sources, a sample of 300, as a judge grades it; nodes that are gone, here disputed, drop out."""
+    judge = lambda df: df.withColumn("grade", (F.col("event_id") + F.col("rank")) % 3)
+    return E.injection_audit(t.searches(), t.nodes().where("status <> 'disputed'"), judge, 300, ("view", "click"))
+
+
+@query(sql("SELECT n.node_id, title, n FROM (SELECT node_id, count(*) AS n FROM hits WHERE inject GROUP BY node_id) n LEFT JOIN (SELECT node_id, title FROM nodes WHERE seq % 5 > 0) USING (node_id)"))
+def injected_titles(t):
+    """Injected nodes with their titles, null for those that are gone."""
+    n = E.hits(t.searches()).where("inject").groupBy("node_id").agg(F.count("*").alias("n"))
+    return n.join(t.nodes().where("seq % 5 > 0").select("node_id", "title"), "node_id", "left").select("node_id", "title", "n")
+
+
+@query("SELECT user_id, CASE user_id % 6 WHEN 0 THEN 30 WHEN 1 THEN 84 WHEN 2 THEN 180 WHEN 3 THEN CASE WHEN user_id > 0 THEN user_id END END AS days FROM (SELECT DISTINCT CAST(user_id AS INTEGER) AS user_id FROM events)")
+def window_days(t):
+    """F50."""
+    from memgrid.functions.text import window_days as days
+
+    u = t.raw("events").select(F.col("user_id").cast("int").alias("user_id")).distinct()
+    text = F.expr("CASE user_id % 6 WHEN 0 THEN '30d' WHEN 1 THEN ' 12W' WHEN 2 THEN '6 m' WHEN 3 THEN cast(user_id as string) WHEN 4 THEN '0d' ELSE '3y' END")
+    return u.select("user_id", days(text).alias("days"))
+
+
+@query(sql("""SELECT 'quarantine_rate' AS metric, CAST(coalesce(round(sum(items_quarantined) / nullif(sum(items_extracted) + sum(items_quarantined), 0), 4), 0) AS DOUBLE) AS value FROM runs
+UNION ALL SELECT 'zero_item_ratio', CAST(coalesce(round(count(*) FILTER (items_extracted = 0) / nullif(count(*), 0), 4), 0) AS DOUBLE) FROM runs
+UNION ALL SELECT 'code:' || code, CAST(coalesce(max(n) FILTER (f), max(n)) AS DOUBLE) FROM (SELECT 'w' || CAST(seq % 7 AS VARCHAR) AS code, count(*) AS n, true AS f FROM nodes WHERE seq % 7 < 4 GROUP BY 1 UNION ALL SELECT code, count(*), false FROM (SELECT unnest(warning_codes) AS code FROM writes) GROUP BY 1) GROUP BY code
+UNION ALL SELECT 'dreams_last_7d', CAST(count(*) AS DOUBLE) FROM runs WHERE started_at > TIMESTAMP '1998-06-01' - INTERVAL 7 DAY AND started_at <= TIMESTAMP '1998-06-01'"""))
+def gate_health(t):
+    """A23."""
+    files = t.nodes().where("seq % 7 < 4").groupBy(F.concat(F.lit("w"), (F.col("seq") % 7).cast("string")).alias("code")).agg(F.count("*").alias("n"))
+    stored = t.writes().select(F.explode("warning_codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return E.gate_health(t.runs(), files, stored, t.runs(), F.lit("1998-06-01").cast("timestamp"))
+
+
+@query(sql("SELECT r AS retrieved, i AS injected, 0 AS used, round(i / nullif(r, 0), 4) AS pass_rate, round(0 / nullif(i, 0), 4) AS conversion_rate FROM (SELECT count(*) AS r, count(*) FILTER (inject) AS i FROM hits)"))
+def funnel_from_events(t):
+    """Nodes without counters."""
+    n = t.nodes().withColumns({f"{c}_count": F.lit(0) for c in ("retrieved", "injected", "used")})
+    return E.funnel(n, t.searches()).withColumn("used", F.col("used").cast("int"))

@@ -50,12 +50,15 @@ def provenance_counts(t):
 
 
 _TXT = "CASE seq % 4 WHEN 0 THEN concat(content, ' [[', {0}, ']] and [[ ', {1}, ' | other ]]') WHEN 1 THEN concat('[[', title, ']]') WHEN 2 THEN concat('[[none]] [[', node_id, ']]') ELSE content END"
-_IDS = ("concat('n', lpad(cast(seq * 3 % 500 as string), 8, '0'))", "concat('n', lpad(cast(seq * 7 % 500 as string), 8, '0'))")
 
 
-@query(sql("SELECT DISTINCT source_id, t AS target_id FROM (SELECT source_id, coalesce(e.m, l.m) AS t FROM lk LEFT JOIN (SELECT a, min(node_id) AS m FROM al GROUP BY a) e ON e.a = target LEFT JOIN (SELECT lower(a) AS a, min(node_id) AS m FROM al GROUP BY 1) l ON l.a = lower(target)) WHERE t IS NOT NULL AND t <> source_id", f"tx AS (SELECT node_id, title, {_TXT.format(*_IDS)} AS content FROM nodes WHERE seq < 600)", "lk AS (SELECT node_id AS source_id, trim(split_part(unnest(regexp_extract_all(content, '\\[\\[([^\\]]+)\\]\\]', 1)), '|', 1)) AS target FROM tx)", "al AS (SELECT node_id, unnest([node_id, title]) AS a FROM tx)"))
+def _ids(n: str) -> tuple[str, str]:
+    return f"concat('n', lpad(cast(seq * 3 % {n} as string), 8, '0'))", f"concat('n', lpad(cast(seq * 7 % {n} as string), 8, '0'))"
+
+
+@query(sql("SELECT DISTINCT source_id, t AS target_id FROM (SELECT source_id, coalesce(e.m, l.m) AS t FROM lk LEFT JOIN (SELECT a, min(node_id) AS m FROM al GROUP BY a) e ON e.a = target LEFT JOIN (SELECT lower(a) AS a, min(node_id) AS m FROM al GROUP BY 1) l ON l.a = lower(target)) WHERE t IS NOT NULL AND t <> source_id", f"tx AS (SELECT node_id, title, {_TXT.format(*_ids('n'))} AS content FROM nodes, n_docs)", "lk AS (SELECT node_id AS source_id, trim(split_part(unnest(regexp_extract_all(content, '\\[\\[([^\\]]+)\\]\\]', 1)), '|', 1)) AS target FROM tx)", "al AS (SELECT node_id, unnest([node_id, title]) AS a FROM tx)"))
 def wiki_edges(t):
-    n = t.nodes().where("seq < 600").selectExpr("node_id", "title", f"{_TXT.format(*_IDS)} content")
+    n = t.nodes().selectExpr("node_id", "title", f"{_TXT.format(*_ids(t.n()))} content")
     return G.edges_from_text(n)
 
 

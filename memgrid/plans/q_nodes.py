@@ -41,12 +41,12 @@ def node_degree(t):
     return N.degrees(t.nodes(), t.edges())
 
 
-ANCHORS = "anchors AS (SELECT CAST(seq % 20 AS BIGINT) AS query_id, node_id FROM nodes WHERE seq < 60)"
+ANCHORS = "anchors AS (SELECT CAST(seq // 5 AS BIGINT) AS query_id, node_id FROM nodes)"
 
 
 @query(sql("SELECT query_id, node_id, weight, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, node_id) AS pos FROM w) WHERE pos <= 6", ANCHORS, "w AS (SELECT query_id, o AS node_id, count(*) AS weight FROM anchors JOIN (SELECT source_id AS a, target_id AS o FROM edges UNION ALL SELECT target_id, source_id FROM edges) ON a = node_id WHERE NOT EXISTS (SELECT 1 FROM anchors x WHERE x.query_id = anchors.query_id AND x.node_id = o) GROUP BY ALL)"))
 def linked_neighbors(t):
-    anchors = t.nodes().where("seq < 60").select((F.col("seq") % 20).alias("query_id"), "node_id")
+    anchors = t.nodes().selectExpr("seq div 5 query_id", "node_id")
     return N.neighbours(t.edges(), anchors, 6)
 
 
@@ -142,9 +142,9 @@ def prefix_duplicates(t):
     return N.prefix_duplicates(n.union(cut))
 
 
-@query(sql("SELECT d.seq AS draft_id, arg_max(n.node_id, struct_pack(t := n.created_at, n := n.node_id)) AS node_id FROM nodes d JOIN nodes n ON d.title = n.title AND d.content = n.content WHERE n.status = 'active' AND d.seq % 3 = 0 GROUP BY d.seq"))
+@query(sql("SELECT d.seq AS draft_id, arg_max(n.node_id, struct_pack(t := n.created_at, n := n.node_id)) AS node_id FROM nodes d JOIN nodes n ON d.title = n.title AND d.content = n.content WHERE n.status = 'active' GROUP BY d.seq"))
 def identical_guard(t):
-    drafts = t.nodes().where("seq % 3 = 0").select(F.col("seq").alias("draft_id"), "title", "content")
+    drafts = t.nodes().select(F.col("seq").alias("draft_id"), "title", "content")
     return N.identical_active(drafts, t.nodes())
 
 
@@ -164,8 +164,45 @@ def file_state_diff(t):
     return N.file_state_diff(n.where("seq % 4 <> 0").select(F.col("node_id").alias("path"), F.col("seq").alias("mtime")), n.where("seq % 5 <> 0").selectExpr("node_id path", "seq + seq % 3 - 1 mtime"))
 
 
-@query(sql("SELECT source_id, target, coalesce(e.m, l.m) AS node_id FROM links LEFT JOIN (SELECT a, min(node_id) AS m FROM alias GROUP BY a) e ON e.a = target LEFT JOIN (SELECT lower(a) AS a, min(node_id) AS m FROM alias GROUP BY 1) l ON l.a = lower(target)", "links AS (SELECT node_id AS source_id, CASE seq % 4 WHEN 0 THEN title WHEN 1 THEN lower(title) WHEN 2 THEN 'nowhere' ELSE node_id END AS target FROM nodes WHERE seq < 400)", "alias AS (SELECT node_id, unnest([node_id, title]) AS a FROM nodes)"))
+@query(sql("SELECT source_id, target, coalesce(e.m, l.m) AS node_id FROM links LEFT JOIN (SELECT a, min(node_id) AS m FROM alias GROUP BY a) e ON e.a = target LEFT JOIN (SELECT lower(a) AS a, min(node_id) AS m FROM alias GROUP BY 1) l ON l.a = lower(target)", "links AS (SELECT node_id AS source_id, CASE seq % 4 WHEN 0 THEN title WHEN 1 THEN lower(title) WHEN 2 THEN 'nowhere' ELSE node_id END AS target FROM nodes)", "alias AS (SELECT node_id, unnest([node_id, title]) AS a FROM nodes)"))
 def resolve_links(t):
     n = t.nodes()
-    links = n.where("seq < 400").selectExpr("node_id source_id", "CASE seq % 4 WHEN 0 THEN title WHEN 1 THEN lower(title) WHEN 2 THEN 'nowhere' ELSE node_id END target")
+    links = n.selectExpr("node_id source_id", "CASE seq % 4 WHEN 0 THEN title WHEN 1 THEN lower(title) WHEN 2 THEN 'nowhere' ELSE node_id END target")
     return N.resolve_aliases(links, n)
+
+
+@query(sql("SELECT node_id FROM nodes WHERE seq % 3 = 1"))
+def nodes_by_path(t):
+    """Paths of a third of the nodes, some twice, and one of none."""
+    n = t.nodes().withColumn("path", F.concat(F.lit("notes/"), F.col("node_id"), F.lit(".md")))
+    paths = n.where("seq % 3 = 1").select("path")
+    return N.by_path(n, paths.union(paths).union(t.spark.createDataFrame([("notes/none.md",)], "path string"))).select("node_id")
+
+
+@query(sql("SELECT node_id, okf_type, coalesce(project, '') AS project FROM nodes WHERE okf_type IS NOT NULL AND seq % 4 <> 0"))
+def valid_metadata(t):
+    """Metadata as JSON text, of which every fourth is cut off."""
+    meta = F.to_json(F.struct(F.col("okf_type"), F.coalesce("project", F.lit("")).alias("project")))
+    spaced = F.regexp_replace(meta, '":"', '": "')
+    n = t.nodes().withColumn("meta", F.when(F.col("seq") % 4 == 0, F.concat(F.lit('{"x": "\\"okf_type\\": \\"", '), F.substring(spaced, 2, 14))).otherwise(spaced))
+    return N.valid_meta(n.select("node_id", "meta")).select("node_id", "meta.okf_type", "meta.project")
+
+
+@query(sql("SELECT kind, project, node_id, CAST(pos AS INTEGER) AS pos FROM (SELECT 'pitfall' AS kind, project, node_id, row_number() OVER (PARTITION BY project ORDER BY len(sources) DESC, access_count DESC, node_id) AS pos FROM h WHERE okf_type = 'pitfall' UNION ALL SELECT 'decision', project, node_id, row_number() OVER (PARTITION BY project ORDER BY len(sources) DESC, node_id) FROM h WHERE okf_type = 'decision')", "h AS (SELECT * FROM nodes WHERE status = 'active' AND type = 'persistent' AND coalesce(verified, true))"))
+def handbook_orders(t):
+    """T6."""
+    n = t.nodes()
+    a, b = (N.handbook_order(n, k).select(F.lit(k).alias("kind"), "project", "node_id", "pos") for k in ("pitfall", "decision"))
+    return a.union(b)
+
+
+@query("SELECT o_orderkey AS run_id FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5")
+def last_runs(t):
+    """W8."""
+    return N.last_entries(t.runs(), "started_at", "run_id").select("run_id")
+
+
+@query(sql("SELECT node_id FROM nodes WHERE status = 'active' OR type = 'transient'"))
+def cursor_union(t):
+    """U7."""
+    return N.cursor_union(t.nodes(), F.col("type") == "transient").select("node_id")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from memgrid.operators.cuts import scratch_folder
 from memgrid.operators.nodes import vectorless
 from memgrid.plans.catalog import query
 from memgrid.sources import pages
@@ -27,14 +26,14 @@ def changes_applied(t):
 def pending_turns(t):
     df = t.spark.readStream.schema(t.raw("conversations").schema).parquet(_folder(t, "conversations"))
     df = df.selectExpr("conv_id", "turn number", "text body")
-    return S.drained(t.spark, S.pending_turns(df), f"pending_{uuid.uuid4().hex}", "update").groupBy("conv_id").agg(F.min("from_turn").alias("from_turn"), F.max("to_turn").alias("to_turn"), F.bool_or("rescan").alias("rescan"))
+    return S.drained(t.spark, S.pending_turns(df), scratch_folder(t.spark, "pending"), "update").groupBy("conv_id").agg(F.min("from_turn").alias("from_turn"), F.max("to_turn").alias("to_turn"), F.bool_or("rescan").alias("rescan"))
 
 
-@query("SELECT user_id, CAST(min(event_id) AS BIGINT) AS first_event, count(*) AS events FROM events WHERE user_id % 10 = 0 GROUP BY user_id")
+@query("SELECT user_id, CAST(min(event_id) AS BIGINT) AS first_event, count(*) AS events FROM events GROUP BY user_id")
 def events_once(t):
-    df = t.spark.readStream.schema(t.raw("events").schema).parquet(_folder(t, "events")).where("user_id % 10 = 0").withColumn("ts", F.col("ts").cast("timestamp"))
+    df = t.spark.readStream.schema(t.raw("events").schema).parquet(_folder(t, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
     twice = df.union(df)
-    rows = S.drained(t.spark, S.retained(twice, "1000 days", ["event_id"]).select("user_id", "event_id"), f"once_{uuid.uuid4().hex}")
+    rows = S.drained(t.spark, S.retained(twice, "1000 days", ["event_id"]).select("user_id", "event_id"), scratch_folder(t.spark, "once"))
     return rows.groupBy("user_id").agg(F.min("event_id").alias("first_event"), F.count("*").alias("events"))
 
 
@@ -57,6 +56,6 @@ _CELL = "trim(replace({}, '|', chr(92) || '|'))"
 _NL = "chr(10)"
 
 
-@query(sql(f"SELECT project || '.md' AS path, CAST(length(t) AS INTEGER) AS chars FROM g UNION ALL SELECT 'index.md', CAST(length('# Handbook' || {_NL} || {_NL} || '| Project | Notes |' || {_NL} || '|---|---|' || {_NL} || string_agg('| [' || project || '](' || project || '.md) | ' || n || ' |', {_NL} ORDER BY project) || {_NL}) AS INTEGER) FROM g", f"w AS (SELECT project, coalesce(okf_type, 'untyped') AS kind, title, node_id, '- **' || {_CELL.format('title')} || '** — ' || {_CELL.format('left(title, 200)')} AS l FROM nodes WHERE status = 'active' AND type = 'persistent' AND project IS NOT NULL AND coalesce(verified, true))", f"p AS (SELECT project, kind, count(*) AS n, '## ' || upper(left(kind, 1)) || substr(kind, 2) || {_NL} || {_NL} || string_agg(l, {_NL} ORDER BY title, node_id) AS p FROM w GROUP BY project, kind)", f"g AS (SELECT project, CAST(sum(n) AS BIGINT) AS n, '# ' || project || {_NL} || {_NL} || string_agg(p, {_NL} || {_NL} ORDER BY kind) || {_NL} AS t FROM p GROUP BY project)"))
+@query(sql(f"SELECT project || '.md' AS path, sha256(t) AS digest FROM g UNION ALL SELECT 'index.md', sha256('# Handbook' || {_NL} || {_NL} || '| Project | Notes |' || {_NL} || '|---|---|' || {_NL} || string_agg('| [' || project || '](' || project || '.md) | ' || n || ' |', {_NL} ORDER BY project) || {_NL}) FROM g", f"w AS (SELECT project, coalesce(okf_type, 'untyped') AS kind, title, node_id, '- **' || {_CELL.format('title')} || '** — ' || {_CELL.format('left(title, 200)')} AS l FROM nodes WHERE status = 'active' AND type = 'persistent' AND project IS NOT NULL AND coalesce(verified, true))", f"p AS (SELECT project, kind, count(*) AS n, '## ' || upper(left(kind, 1)) || substr(kind, 2) || {_NL} || {_NL} || string_agg(l, {_NL} ORDER BY title, node_id) AS p FROM w GROUP BY project, kind)", f"g AS (SELECT project, CAST(sum(n) AS BIGINT) AS n, '# ' || project || {_NL} || {_NL} || string_agg(p, {_NL} || {_NL} ORDER BY kind) || {_NL} AS t FROM p GROUP BY project)"))
 def handbook(t):
-    return pages.handbook(t.nodes()).select("path", F.length("text").alias("chars"))
+    return pages.handbook(t.nodes()).select("path", F.sha2("text", 256).alias("digest"))

@@ -16,7 +16,7 @@ def word_count(t):
     return t.nodes().select("seq", T.word_count(F.col("content")).alias("words"))
 
 
-_MIX = "CASE seq % 3 WHEN 0 THEN concat(left(content, 40), '数据库連接') WHEN 1 THEN '全部是中文字' ELSE left(content, 60) END"
+_MIX = "CASE seq % 3 WHEN 0 THEN concat(content, '数据库连接') WHEN 1 THEN concat('全部是中文字 ', content, ' a数b') ELSE content END"
 
 
 @query(sql(f"SELECT seq, round(length(regexp_replace(x, '[^{CJK}぀-ヿ]', '', 'g')) / nullif(length(x), 0), 4) AS ratio FROM (SELECT seq, {_MIX} AS x FROM nodes)"))
@@ -29,10 +29,9 @@ def token_estimate(t):
     return t.nodes().select("seq", T.token_estimate(F.expr(_MIX)).alias("estimate"))
 
 
-@query("SELECT x AS text, y AS bigrams FROM (VALUES ('数据库', '数据 据库'), ('a数b', 'a数b'), ('ab 数据库cd字', 'ab 数据 据库cd字'), ('', ''), ('一二三四', '一二 二三 三四')) v(x, y)")
+@query(sql("SELECT seq, sha256(CASE seq % 3 WHEN 0 THEN concat(content, '数据 据库 库连 连接') WHEN 1 THEN concat('全部 部是 是中 中文 文字 ', content, ' a数b') ELSE content END) AS digest FROM nodes"))
 def cjk_bigrams(t):
-    df = t.spark.createDataFrame([("数据库",), ("a数b",), ("ab 数据库cd字",), ("",), ("一二三四",)], "text string")
-    return df.select("text", T.cjk_bigrams(F.col("text")).alias("bigrams"))
+    return t.nodes().select("seq", F.sha2(T.cjk_bigrams(F.expr(_MIX)), 256).alias("digest"))
 
 
 @query(sql("SELECT a, b, round(coalesce(k / nullif(len(x) + len(y) - k, 0), 0), 6) AS jaccard FROM (SELECT p.seq AS a, q.seq AS b, list_distinct(regexp_extract_all(lower(p.content), '[a-z0-9]{2,}')) AS x, list_distinct(regexp_extract_all(lower(q.content), '[a-z0-9]{2,}')) AS y, len(list_intersect(x, y)) AS k FROM nodes p JOIN nodes q ON q.seq = p.seq + 1)"))
@@ -42,26 +41,56 @@ def token_jaccard(t):
     return a.join(b, "a").select("a", "b", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
-_RULES = [(p.replace("'", "''"), r.replace("$1", "\\1").replace("$2", "\\2")) for _, p, r in T.REDACTIONS]
+#: What is written behind every fifth node's text, and what it must become, one for each rule.
+_LEAKS = (
+    ("key sk-0123456789abcdef0123456789abcdef", "key [REDACTED_API_KEY]"),
+    ("mail me@x.org", "mail [REDACTED_EMAIL]"),
+    ("host 10.20.30.40", "host [REDACTED_IP]"),
+    ("run 123e4567-e89b-12d3-a456-426614174000", "run [REDACTED_UUID]"),
+    ("with eyJhbGciOiJI.eyJzdWIiOiIx.sig_1", "with [REDACTED_JWT]"),
+    ("APP_TOKEN: opaque1234567890abcd", "APP_TOKEN: [REDACTED_SECRET]"),
+    ("Bearer abcdefghijklmnop1234", "Bearer [REDACTED_SECRET]"),
+    ("-----BEGIN PRIVATE KEY-----\nMII\n-----END PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
+    ("pg://app:s3cr3t@db", "pg://app:[REDACTED_CREDENTIAL]@db"),
+    ("pwd = hunter2", "pwd = [REDACTED_CREDENTIAL]"),
+    ("Basic abcdefghijkl", "Basic [REDACTED_CREDENTIAL]"),
+)
 
 
-def _chain(n: int) -> str:
-    x = "content"
-    for p, r in _RULES[:n]:
-        x = f"regexp_replace({x}, '{p}', '{r}', 'g')"
-    return x
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\n", "' || chr(10) || '") + "'"
 
 
-@query(sql(f"SELECT seq, sha256(x) AS digest FROM (SELECT seq, content, {_chain(len(_RULES))} AS x FROM nodes) WHERE x <> content"))
+def _leaking(t):
+    """Nodes whose text ends in leaks; the text before a blank line is the documents' own."""
+    tail = F.element_at(F.array(*[F.lit(a) for a, _ in _LEAKS]), (F.col("seq") % len(_LEAKS) + 1).cast("int"))
+    return t.nodes().select("seq", F.concat(F.lit("a "), F.regexp_replace("content", r"[^\p{L}\n]+", " "), F.lit("\n\n"), tail).alias("content"))
+
+
+_TAILS = "CASE seq % 11 " + " ".join(f"WHEN {i} THEN {_quoted(b)}" for i, (_, b) in enumerate(_LEAKS)) + " END"
+
+
+@query(sql(f"SELECT seq, sha256('a ' || regexp_replace(content, '[^\\p{{L}}\\n]+', ' ', 'g') || chr(10) || chr(10) || {_TAILS}) AS digest FROM nodes"))
 def redact_text(t):
-    x = T.redacted(F.col("content"))
-    return t.nodes().where(x != F.col("content")).select("seq", F.sha2(x, 256).alias("digest"))
+    """the documents' words, which hold nothing to redact, and one leak each."""
+    return _leaking(t).select("seq", F.sha2(T.redacted(F.col("content")), 256).alias("digest"))
 
 
-@query(sql("SELECT " + ", ".join(f"CAST(sum(len(regexp_extract_all({_chain(i)}, '{p}'))) AS BIGINT) AS {T.REDACTIONS[i][0].lower()}" for i, (p, _) in enumerate(_RULES)) + " FROM nodes"))
+_LABELS = ("api_key", "email", "ip", "uuid", "jwt", "secret_assignment", "authorization", "private_key_block", "url_password", "credential_assignment", "credential_bearer")
+
+
+@query(sql("SELECT " + ", ".join(f"count(*) FILTER (seq % 11 = {i}) AS {x}" for i, x in enumerate(_LABELS)) + " FROM nodes"))
 def redaction_counts(t):
-    counts = t.nodes().select(*T.redaction_counts(F.col("content")))
-    return counts.agg(*[F.sum(c).alias(c) for c in counts.columns])
+    counts = _leaking(t).select(*T.redaction_counts(F.col("content")))
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns])
+
+
+@query(sql("SELECT seq, sha256('a ' || w || CASE seq % 4 WHEN 0 THEN ' CLIENT_SECRET=[REDACTED_CREDENTIAL] at 10.0.0.1' WHEN 1 THEN chr(10) || 'stringData:' || chr(10) || '  blob: [REDACTED_CREDENTIAL]' || chr(10) || '  name: svc' WHEN 2 THEN ' password=<yours> me@x.org' ELSE '' END) AS digest FROM (SELECT seq, regexp_replace(content, '[^\\p{L}\\n]+', ' ', 'g') AS w FROM nodes)".replace("\\\\", "\\")))
+def scrub_credentials(t):
+    """credentials and secret values of a manifest go, addresses and placeholders stay."""
+    tail = F.when(F.col("seq") % 4 == 0, " CLIENT_SECRET=3gKp9xQ2 at 10.0.0.1").when(F.col("seq") % 4 == 1, "\nstringData:\n  blob: QUJDREVGR0hJSktMTU5P\n  name: svc").when(F.col("seq") % 4 == 2, " password=<yours> me@x.org").otherwise("")
+    text = F.concat(F.lit("a "), F.regexp_replace("content", r"[^\p{L}\n]+", " "), tail)
+    return t.nodes().select("seq", F.sha2(T.scrubbed(text), 256).alias("digest"))
 
 
 @query("SELECT event_id, CASE WHEN user_id % 3 > 0 THEN left(sha1(CAST(user_id AS VARCHAR)), 12) END AS hash FROM events")
@@ -80,26 +109,65 @@ def slugs(t):
     return t.nodes().select("seq", T.kebab(F.col("title")).alias("slug"), T.knowledge_id(F.col("title"), F.col("created_at")).alias("id"))
 
 
-_BODY = r"concat('## Takeaway\n', left(content, seq % 300), '\n\n', CASE seq % 6 WHEN 0 THEN '## Context\nc\n## Decision\nd\n## Consequences\n\n' WHEN 1 THEN '## Details\nx 12 ms\n' WHEN 2 THEN '## Steps\n1. run /usr/bin/x1\n' WHEN 3 THEN '## Symptom\ns\n## Cause\nc\n## Fix\nf\n' ELSE '## Details\n## Details\ny\n' END, CASE WHEN seq % 5 > 0 THEN '## Sources\n- mem_1\n' ELSE '' END)"
+_BODY = r"concat('## Takeaway\n', content, '\n\n', CASE seq % 6 WHEN 0 THEN '## Context\nc\n## Decision\nd\n## Consequences\n\n' WHEN 1 THEN '## Details\nx 12 ms\n' WHEN 2 THEN '## Steps\n1. run /usr/bin/x1\n' WHEN 3 THEN '## Symptom\ns\n## Cause\nc\n## Fix\nf\n' ELSE '## Details\n## Details\ny\n' END, CASE WHEN seq % 5 > 0 THEN '## Sources\n- mem_1\n' ELSE '' END)"
+_LINES = "list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')"
+_CODES = (
+    "CASE WHEN seq % 6 > 3 THEN 'okf_duplicate_section' END",
+    "CASE WHEN regexp_matches(lower(trim(title)), '^(procedure|decision|fact|pitfall|note|summary):') THEN 'okf_title_type_prefix' END",
+    "CASE WHEN seq % 6 = 5 THEN 'okf_missing_type' END",
+    "CASE WHEN seq % 4 > 1 THEN 'okf_unresolvable_source' END",
+    f"CASE WHEN len({_LINES}) <> 1 OR length({_LINES}[1]) > 200 THEN 'okf_takeaway_invalid' END",
+    "CASE WHEN seq % 5 = 0 THEN 'okf_missing_section:Sources' END",
+    "CASE WHEN seq % 6 = 0 THEN 'okf_missing_section:Consequences' END",
+    "CASE WHEN seq % 6 = 4 THEN 'okf_missing_section:Details' END",
+)
 
 
-@query()
+@query(sql(f"SELECT seq, array_to_string(list_sort(list_filter([{', '.join(_CODES)}], lambda x: x IS NOT NULL)), ',') AS codes, CASE seq % 6 WHEN 0 THEN 'decision' WHEN 2 THEN 'procedure' WHEN 3 THEN 'pitfall' ELSE 'fact' END AS inferred FROM nodes"))
 def okf_validate(t):
     df = t.nodes().select("seq", "title", "okf_type", "sources", F.expr(_BODY).alias("body"))
     return df.select("seq", F.array_join(K.validation_codes(F.col("title"), F.col("body"), F.col("okf_type"), F.col("sources")), ",").alias("codes"), K.inferred_type(F.col("body")).alias("inferred"))
 
 
-@query()
+_WORDS = "regexp_replace(content, '[^a-zA-Z]+', ' ', 'g')"
+_OLD = r"concat('# N', seq, '\n\n## Takeaway\n\nT.\n\n## Details\n\n- ', w, '\n- common ', seq % 3, '.\n\n## Sources\n\n- mem_1\n')"
+_NEW = r"concat('## Takeaway\n\nother\n\n## Details\n\n* Common ', seq % 2, '.\n- NEW ', seq, '.\n- ', upper(w), '\n\n## Sources\n\n- mem_1\n- mem_', seq + 2, '\n')"
+
+
+@query(sql(f"SELECT seq, sha256(concat('# N', seq, n, n, '## Takeaway', n, n, 'T.', n, n, '## Details', n, n, '- ', w, n, '- common ', seq % 3, '.', n, n, CASE WHEN seq % 2 <> seq % 3 THEN concat('* Common ', seq % 2, '.', n) ELSE '' END, '- NEW ', seq, '.', n, '## Sources', n, n, '- mem_1', n, n, '- mem_', seq + 2)) AS digest, 0 AS lost FROM (SELECT seq, chr(10) AS n, concat('z', {_WORDS}, 'z') AS w FROM nodes)"))
 def section_merge(t):
-    n = t.nodes()
-    old, new = n.select("seq", F.col("content").alias("old")), n.select((F.col("seq") - 1).alias("seq"), F.col("content").alias("new"))
-    df = old.join(new, "seq").select("seq", "old", "new", K.merged(F.col("old"), F.col("new")).alias("m"))
-    return df.select("seq", F.length("m").alias("chars"), F.size(K.omitted_lines(F.col("old"), F.col("m"))).alias("lost"))
+    """a note that says the same again, and something new."""
+    df = t.nodes().select("seq", F.concat(F.lit("z"), F.regexp_replace("content", "[^a-zA-Z]+", " "), F.lit("z")).alias("w")).select("seq", F.expr(_OLD).alias("old"), F.expr(_NEW).alias("new"))
+    df = df.select("seq", "old", K.merged(F.col("old"), F.col("new")).alias("m"))
+    return df.select("seq", F.sha2("m", 256).alias("digest"), F.size(K.omitted_lines(F.col("old"), F.col("m"))).alias("lost"))
 
 
-@query()
+@query(sql(f"SELECT seq, array_to_string(list_sort(['/opt/r' || seq || '/x.conf', '--flag_' || seq, 'parsehtml' || seq, CAST(seq AS VARCHAR) || ' seconds', CAST(seq AS VARCHAR), 'opt/r' || seq || '/x.conf']), ' ') AS anchors, CAST(1 AS INTEGER) AS missing FROM nodes".replace("'--flag_' || seq", "'flag_' || seq")))
 def anchors(t):
-    return t.nodes().select("seq", F.array_join(K.anchors(F.expr(_BODY)), " ").alias("anchors"), F.size(K.missing_anchors(F.expr(_BODY), F.col("content"))).alias("missing"))
+    """The documents' words and six literals, of which a rewrite keeps all but the flag."""
+    w = F.regexp_replace(F.lower(F.regexp_replace("content", "[^a-zA-Z]+", " ")), r"\s+", " ")
+    body = F.concat(F.lit("## Details\n- "), w, F.expr("concat(' waits ', seq, ' seconds for /opt/r', seq, '/x.conf, `flag_', seq, '` and parseHtml', seq, '\n## Sources\n- mem_77\n')"))
+    kept = F.expr("concat('in ', seq, ' SECONDS: parsehtml', seq, ' reads /opt/r', seq, '/x.conf (flag)')")
+    df = t.nodes().select("seq", body.alias("body"), kept.alias("kept"))
+    return df.select("seq", F.array_join(K.anchors(F.col("body")), " ").alias("anchors"), F.size(K.missing_anchors(F.col("body"), F.col("kept"))).alias("missing"))
+
+
+@query(sql(f"SELECT seq, CASE WHEN length(l) > 180 THEN left(l, 179) || '…' ELSE l END AS summary FROM (SELECT seq, CASE WHEN seq % 2 = 0 THEN 'in code' ELSE rtrim('z' || {_WORDS}) END AS l FROM nodes)"))
+def summary_lines(t):
+    """F12."""
+    w = F.concat(F.lit("z"), F.regexp_replace("content", "[^a-zA-Z]+", " "))
+    text = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("# Head\n---\n```sh\nuser:\nin code\n```\n"), w)).otherwise(F.concat(F.lit("<!-- c -->\n## T1 User\nassistant:\n2. "), w, F.lit("\nmore")))
+    return t.nodes().select("seq", K.summary_line(text).alias("summary"))
+
+
+_DOMAINS = [("own", ["zzz", "Mesh"]), ("grid", ["the", "und"])]
+
+
+@query(sql("SELECT seq, CASE WHEN project IS NOT NULL THEN project WHEN contains(x, 'zzz') OR contains(x, 'mesh') THEN 'own' WHEN contains(x, 'the') OR contains(x, 'und') THEN 'grid' ELSE 'general' END AS project FROM (SELECT seq, CASE WHEN seq % 2 = 0 THEN project END AS project, lower(concat_ws(' ', node_id, title, content)) AS x FROM nodes)"))
+def inferred_projects(t):
+    """Half of the nodes by their text."""
+    own = F.when(F.col("seq") % 2 == 0, F.col("project"))
+    return t.nodes().select("seq", T.inferred_project(own, F.col("node_id"), F.col("title"), F.col("content"), _DOMAINS).alias("project"))
 
 
 def _transcripts(t):

@@ -66,16 +66,38 @@ def complete_linkage(t):
     return V.complete_linkage(t.nodes(), t.vectors(), 0.22, 0.15)
 
 
-_NN = f"nn AS (SELECT s.node_id AS source, a.node_id, 1 - round(1 - {_CLIP.format('list_dot_product(a.embedding, s.embedding)')}, 8) AS sim, row_number() OVER (PARTITION BY s.node_id ORDER BY round(1 - {_CLIP.format('list_dot_product(a.embedding, s.embedding)')}, 8), a.node_id) AS r FROM vectors a, (SELECT node_id, embedding FROM vectors JOIN nodes USING (node_id) WHERE seq % 7 = 3) s)"
+_NN = f"nn AS (SELECT s.node_id AS source, a.node_id, 1 - round(1 - {_CLIP.format('list_dot_product(a.embedding, s.embedding)')}, 8) AS sim, row_number() OVER (PARTITION BY s.node_id ORDER BY round(1 - {_CLIP.format('list_dot_product(a.embedding, s.embedding)')}, 8), a.node_id) AS r FROM vectors a, (SELECT node_id, embedding FROM vectors JOIN nodes USING (node_id)) s)"
 
 
 @query(sql(f"SELECT source, n.node_id, round(sim, 5) AS sim FROM nn n JOIN nodes x ON x.node_id = n.node_id JOIN nodes y ON y.node_id = source WHERE r <= 25 AND n.node_id <> source AND sim >= 0.1 AND x.status = 'active' AND x.type = 'persistent' AND x.okf_type IS NOT NULL AND coalesce(x.project, '') = coalesce(y.project, '')", _NN))
 def near_duplicate_nodes(t):
     n = t.nodes()
-    return V.near_duplicates(t.vectors(), n, n.where("seq % 7 = 3").select("node_id"), 0.1).withColumn("sim", F.round("sim", 5))
+    return V.near_duplicates(t.vectors(), n, n.select("node_id"), 0.1).withColumn("sim", F.round("sim", 5))
 
 
 @query(sql("SELECT DISTINCT label FROM (SELECT c.label, h.node_id, count(*) AS k FROM c JOIN (SELECT DISTINCT node_id, unnest(sources) AS s FROM nodes WHERE status = 'active' AND okf_type IS NOT NULL) h ON h.s = c.node_id WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.label = c.label AND x.node_id = h.node_id) GROUP BY ALL) JOIN (SELECT label, count(*) AS n FROM c GROUP BY label) USING (label) WHERE k >= 0.7 * n", "c AS (SELECT seq // 2 AS label, node_id FROM nodes)"))
 def covered_clusters(t):
     n = t.nodes()
     return V.hub_covered(n.selectExpr("seq div 2 label", "node_id"), n)
+
+
+@query(sql(f"SELECT source, node_id, round(sim, 5) AS sim FROM (SELECT n.source, n.node_id, sim, list_distinct(regexp_extract_all(lower(x.content), '[a-z0-9]{{2,}}')) AS p, list_distinct(regexp_extract_all(lower(y.content), '[a-z0-9]{{2,}}')) AS q FROM nn n JOIN nodes x ON x.node_id = n.node_id JOIN nodes y ON y.node_id = source WHERE r <= 25 AND n.node_id <> source AND sim >= 0.1 AND x.status = 'active' AND x.type = 'persistent' AND x.okf_type IS NOT NULL AND coalesce(x.project, '') = coalesce(y.project, '')) WHERE len(p) + len(q) > 0 AND len(list_intersect(p, q)) / (len(p) + len(q) - len(list_intersect(p, q))) >= 0.3", _NN))
+def near_duplicate_gate(t):
+    """Near by vectors and by tokens."""
+    n = t.nodes()
+    return V.near_duplicates(t.vectors(), n, n.select("node_id"), 0.1, overlap=0.3).withColumn("sim", F.round("sim", 5))
+
+
+@query(sql("SELECT id_a, id_b FROM pairs WHERE sim >= 0.3 ORDER BY id_a, id_b LIMIT 100", _V, _PAIRS))
+def capped_pairs(t):
+    """What one run looks at, the first pairs by id."""
+    return V.similar_pairs(t.vectors(), 0.3).orderBy("id_a", "id_b").limit(100).select("id_a", "id_b")
+
+
+@query(sql("SELECT node_id, CAST(floor(embedding[1] * 1000) AS BIGINT) AS first FROM (SELECT node_id, CASE WHEN n % 3 = 1 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding, n FROM (SELECT *, CAST(substr(node_id, 2) AS BIGINT) AS n FROM vectors)) WHERE n % 3 <> 2"))
+def vector_changes(t):
+    """V2: a snapshot after some vectors were replaced and some deleted."""
+    v = t.vectors().withColumn("n", F.substring("node_id", 2, 8).cast("long"))
+    new = v.where("n % 3 = 1").select("node_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    out = V.changed(v.drop("n"), new, v.where("n % 3 = 2").select("node_id"))
+    return out.select("node_id", F.floor(F.element_at("embedding", 1) * 1000).alias("first"))

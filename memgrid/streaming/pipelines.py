@@ -15,9 +15,10 @@ from memgrid.operators.lifecycle import upserted
 
 
 def latest(events: DataFrame, key: str = "path", at: str = "ts") -> DataFrame:
-    """Of several events of a key in a batch the last; deletes come first, then by key."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(F.desc(at), F.desc("action")))
-    return events.withColumn("__n", n).where("__n = 1").drop("__n").orderBy(F.when(F.col("action") == "delete", 0).otherwise(1), key)
+    """Of several events of a key in a batch the last."""
+    # adds up on the way: a key with many events is no burden
+    last = F.max_by(F.struct(*events.columns), F.struct(at, "action"))
+    return events.groupBy(F.col(key).alias("__k")).agg(last.alias("e")).select("e.*")
 
 
 def apply_changes(index: DataFrame, changes: DataFrame, key: str = "path") -> DataFrame:
@@ -37,25 +38,27 @@ def sync(source: DataFrame, read: Callable[[], DataFrame], write: Callable[[Data
 
 
 PENDING = "conv_id long, from_turn long, to_turn long, rescan boolean"
-MARK = "last_turn long, prefix string"
+#: State of a conversation: its last turn, and number and hash of each turn.
+MARK = "last_turn long, sums array<long>"
 
 
 def pending_turns(turns: DataFrame) -> DataFrame:
     """For each conversation and micro-batch the turns above its watermark.
 
-    State: the last turn and a hash chain over all turns up to it. A turn at or below the mark whose
-    text changed breaks the chain; then all turns are pending again (rescan).
+    A turn at or below the mark whose text is not the one seen before makes all turns pending again
+    (rescan). A turn takes sixteen bytes of state, whatever its text; turns that are not to be
+    compared any more can be let go by a shorter retention of the source.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, marks = state.get if state.exists else (-1, "")
-        seen = dict(x.split("=") for x in marks.split(",") if x)
+        last, sums = state.get if state.exists else (-1, [])
+        seen = {int(n): int(h) for n, h in zip(sums[::2], sums[1::2], strict=True)}
         pdf = pd.concat(list(batches)).sort_values("number")
-        digest = {str(n): hashlib.sha1(str(b).encode()).hexdigest()[:12] for n, b in zip(pdf.number, pdf.body, strict=True)}
+        digest = {int(n): int.from_bytes(hashlib.blake2b(str(b).encode(), digest_size=8).digest(), "big", signed=True) for n, b in zip(pdf.number, pdf.body, strict=True)}
         changed = any(n in seen and seen[n] != h for n, h in digest.items())
-        new = [int(n) for n in pdf.number if changed or n > last]
+        new = [n for n in digest if changed or n > last]
         seen |= digest
-        state.update((max([last, *map(int, digest)]), ",".join(f"{n}={seen[n]}" for n in sorted(seen, key=int))))
+        state.update((max([last, *digest]), [x for n in sorted(seen) for x in (n, seen[n])]))
         if new:
             yield pd.DataFrame({"conv_id": [key[0]], "from_turn": [0 if changed else min(new)], "to_turn": [max(new)], "rescan": [changed]})
 
@@ -85,8 +88,15 @@ def retained(events: DataFrame, late: str, keys: list[str]) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and returns its rows; for tests and small results."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def drained(spark: SparkSession, df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what there is, writes its rows as Parquet to a folder that all executors share, and reads them.
+
+    In update mode a batch's rows are those that changed; all of them are kept.
+    """
+    out, marks = f"{folder}/rows", f"{folder}/checkpoint"
+    if mode == "append":
+        q = df.writeStream.format("parquet").option("path", out)
+    else:
+        q = df.writeStream.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/batch={k}"))
+    q.option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)

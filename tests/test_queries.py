@@ -13,7 +13,7 @@ from memgrid.plans import catalog, registry
 from memgrid.sources.logical import Tables
 
 #: Queries that SQL does not express; their operators are tested one by one.
-WITHOUT_SQL = {"deterministic_embed", "complete_linkage", "okf_validate", "section_merge", "anchors", "supersede_downgrade"}
+WITHOUT_SQL = {"deterministic_embed", "complete_linkage", "supersede_downgrade"}
 
 
 def plain(v):

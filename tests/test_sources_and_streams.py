@@ -128,7 +128,7 @@ def test_threshold(spark, tmp_path):
     for k, rows in enumerate([[("a", 20), ("b", 5)], [("a", 15)], [("a", 10), ("b", 26)]]):
         spark.createDataFrame(rows, "key string, n long").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
     df = spark.readStream.schema("key string, n long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    got = sorted((r.key, r.fired) for r in S.drained(spark, S.threshold_trigger(df), "fires", "update").collect())
+    got = sorted((r.key, r.fired) for r in S.drained(spark, S.threshold_trigger(df), str(tmp_path / "fires"), "update").collect())
     assert [k for k, _ in got] == ["a", "b"] and all(n >= 30 for _, n in got)
 
 
