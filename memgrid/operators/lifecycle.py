@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memgrid.functions.knowledge import keeps_anchors, takeaway
-from memgrid.functions.text import short
+from memgrid.functions.knowledge import keeps_anchors, merged, omitted_lines, section, summary_line, takeaway
 from memgrid.operators import graph, nodes as N
 
 
@@ -137,7 +136,7 @@ def links_woven(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def condensed(nodes: DataFrame, by: str) -> DataFrame:
     """A draft for each group: title, body with a line for each note, the three commonest tags."""
-    line = F.struct("node_id", F.concat(F.lit("- **"), F.col("title"), F.lit("** (`"), F.col("node_id"), F.lit("`): "), short(takeaway(F.col("content"), F.col("title")), 180)).alias("line"))
+    line = F.struct("node_id", F.concat(F.lit("- **"), F.col("title"), F.lit("** (`"), F.col("node_id"), F.lit("`): "), summary_line(F.col("content"))).alias("line"))
     bodies = nodes.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(line)).alias("x"))
     tags = nodes.select(by, F.explode("tags").alias("tag")).groupBy(by, "tag").agg(F.count("*").alias("k"))
     top = tags.withColumn("p", F.row_number().over(W.partitionBy(by).orderBy(F.desc("k"), "tag"))).where("p <= 3").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("p", "tag"))).alias("t"))
@@ -174,10 +173,13 @@ def write_plan(drafts: DataFrame) -> DataFrame:
     return drafts.select("draft_id", plan.alias("plan"))
 
 
-def compaction_ok(old: Column, new: Column) -> Column:
-    """Shorter, a takeaway on one short line, nothing important lost."""
+def compaction_ok(old: Column, new: Column, required: tuple[str, ...] = ()) -> Column:
+    """Shorter, a takeaway on one short line, the required sections there, nothing important lost."""
     t = takeaway(new, F.lit(""))
-    return (F.octet_length(new) < F.octet_length(old)) & (F.length(t).between(1, 200)) & keeps_anchors(old, new)
+    out = (F.octet_length(new) < F.octet_length(old)) & (F.length(t).between(1, 200)) & keeps_anchors(old, new)
+    for name in required:
+        out = out & (F.coalesce(section(new, name), F.lit("")) != "")
+    return out
 
 
 def related_ids(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -206,3 +208,92 @@ def citing(nodes: DataFrame, node_id: str) -> DataFrame:
 def pruned(df: DataFrame, ts: str, cutoff: Column) -> DataFrame:
     """Rows from the cutoff on."""
     return df.where(F.col(ts) >= cutoff)
+
+
+# --- triage, archive, vectors
+
+
+def triage_applied(nodes: DataFrame, decisions: DataFrame, now: str) -> DataFrame:
+    """B2: nodes after decisions (node_id, decision keep, archive or condense): node_id, status, last_accessed, fate.
+
+    Only nodes that are still active are touched: what an earlier stage has retired stays so. fate
+    is kept, archived or condensed, or untouched; a decision on an unknown node changes nothing.
+    """
+    d = decisions.groupBy("node_id").agg(F.min("decision").alias("decision"))
+    live = F.col("status") == "active"
+    fate = F.when(live & (F.col("decision") == "keep"), "kept").when(live & (F.col("decision") == "archive"), "archived").when(live & (F.col("decision") == "condense"), "condensed").otherwise("untouched")
+    df = nodes.join(d, "node_id", "left").withColumn("fate", fate)
+    return df.select("node_id", "status", F.when(F.col("fate") == "kept", F.lit(now).cast("timestamp")).otherwise(F.col("last_accessed")).alias("last_accessed"), "fate")
+
+
+def archived(nodes: DataFrame, archive: DataFrame) -> DataFrame:
+    """What an archive (node_id, text) needs for nodes (node_id, text; null: no file) to be moved there: node_id, path, action, text.
+
+    The same text is in the archive already: the note's own file goes. Another text is there: that
+    one is kept beside it under its hash, and the new one takes its place. Without a file the note
+    stays where it is (skip).
+    """
+    df = nodes.join(archive.withColumnRenamed("text", "there"), "node_id", "left")
+    own = F.concat(F.col("node_id"), F.lit(".md"))
+    aside = F.concat(F.lit(".collisions/"), F.col("node_id"), F.lit("."), F.substring(F.sha1(F.col("there").cast("binary")), 1, 8), F.lit(".md"))
+    row = lambda path, action, text: F.struct(path.alias("path"), F.lit(action).alias("action"), text.alias("text"))
+    move = row(own, "write", F.col("text"))
+    steps = F.when(F.col("text").isNull(), F.array(row(own, "skip", F.lit(None).cast("string")))).when(F.col("there").isNull(), F.array(move)).when(F.col("there") == F.col("text"), F.array(row(own, "same", F.lit(None).cast("string")))).otherwise(F.array(row(aside, "write", F.col("there")), move))
+    return df.select("node_id", F.explode(steps).alias("x")).select("node_id", "x.*")
+
+
+def without_transcripts(vectors: DataFrame, edges: DataFrame, transcripts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors, and edges that touch none, of what is no transcript (node_id)."""
+    gone = transcripts.select("node_id").distinct()
+    left = edges
+    for end in ("source_id", "target_id"):
+        left = left.join(gone.withColumnRenamed("node_id", end), end, "left_anti")
+    return vectors.join(gone, "node_id", "left_anti"), left.select(*edges.columns)
+
+
+# --- writes
+
+
+def write_path(drafts: DataFrame, nodes: DataFrame, candidates: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What becomes of drafts (draft_id, new_id, title, content, sources), and the next snapshot of nodes.
+
+    A draft that says what an active node says is left (identical). Of the others the decision
+    (draft_id, action, targets, confidence) is checked; a wrong one holds the draft back (invalid,
+    with the reason). A supersede of a target that is curated, claimed or would lose literals becomes
+    a complement (downgraded). Then drafts are written as new nodes, and their targets changed.
+
+    Returns (draft_id, outcome, detail), and nodes with node_id, title, content, status,
+    superseded_by, sources and, of new ones, supersedes.
+    """
+    same = N.identical_active(drafts, nodes).select("draft_id", F.col("node_id").alias("twin"))
+    open_ = drafts.join(same, "draft_id", "left_anti")
+    checked = decision_errors(decisions.join(open_.select("draft_id"), "draft_id", "left_semi"), candidates, nodes.where(N.is_session(F.col("node_id"))))
+    fine = open_.join(checked.where("error IS NULL").select("draft_id"), "draft_id", "left_semi").join(decisions.select("draft_id", "action", "targets"), "draft_id")
+    aims = fine.select("draft_id", "new_id", "content", "action", F.explode("targets").alias("target"))
+    final = downgraded(aims.select("draft_id", "action", "target", "content"), nodes).join(fine.select("draft_id", "new_id"), "draft_id")
+    each = final.groupBy("draft_id").agg(F.bool_or(F.col("reason").isNotNull()).alias("softer"), F.array_sort(F.collect_set(F.when(F.col("action") == "supersede", F.col("target")))).alias("supersedes"))
+    done = fine.join(each, "draft_id", "left")
+    outcome = F.when(F.col("twin").isNotNull(), "identical").when(F.col("error").isNotNull(), "invalid").when(F.col("softer"), "downgraded").otherwise(F.coalesce("action", F.lit("undecided")))
+    report = drafts.select("draft_id").join(same, "draft_id", "left").join(checked, "draft_id", "left").join(done.select("draft_id", "action", "softer"), "draft_id", "left").select("draft_id", outcome.alias("outcome"), F.coalesce("twin", "error").alias("detail"))
+    keep = ["node_id", "title", "content", "status", "superseded_by", "sources"]
+    none = F.array().cast("array<string>")
+    old = executed(nodes.select(*keep), final.select("new_id", "action", "target")).select(*keep, none.alias("supersedes"))
+    new = done.select(F.col("new_id").alias("node_id"), "title", "content", F.lit("active").alias("status"), F.lit(None).cast("string").alias("superseded_by"), "sources", F.coalesce("supersedes", none).alias("supersedes"))
+    return report, old.unionByName(new)
+
+
+def merge_updates(nodes: DataFrame, updates: DataFrame) -> DataFrame:
+    """Nodes updated in place (node_id, new content, new sources): node_id, content, sources, lost.
+
+    The text is merged section by section, sources are added in order. lost counts knowledge lines
+    that the result lacks; it is 0 by construction, and the gate that a caller asks.
+    """
+    u = updates.select("node_id", F.col("content").alias("new"), F.col("sources").alias("more"))
+    df = nodes.select("node_id", "content", "sources").join(u, "node_id").withColumn("m", merged(F.col("content"), F.col("new")))
+    return df.select("node_id", F.col("m").alias("content"), F.array_distinct(F.concat("sources", "more")).alias("sources"), F.size(omitted_lines(F.col("content"), F.col("m"))).alias("lost"))
+
+
+def retrieved_lessons(results: DataFrame) -> DataFrame:
+    """episode_id, node_id, score, pos: what an episode's queries (episode_id, query_id, node_id, score) found, each node once with its best score."""
+    best = results.groupBy("episode_id", "node_id").agg(F.max("score").alias("score"))
+    return best.withColumn("pos", F.row_number().over(W.partitionBy("episode_id").orderBy(F.desc("score"), "node_id")))

@@ -88,9 +88,16 @@ def links_woven(t):
     return L.links_woven(t.nodes(), V.similar_pairs(t.vectors(), 0.33)).select("node_id", "added")
 
 
-@query(sql("SELECT project, n, tags FROM (SELECT project, count(*) AS n FROM g GROUP BY project) JOIN (SELECT project, string_agg(tag, ',' ORDER BY k DESC, tag) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY k DESC, tag) AS p FROM (SELECT project, unnest(tags) AS tag, count(*) AS k FROM g GROUP BY project, tag)) WHERE p <= 3 GROUP BY project) USING (project)", "g AS (SELECT * FROM nodes WHERE status = 'superseded' AND project IS NOT NULL)").replace("SELECT project, unnest(tags) AS tag, count(*) AS k FROM g GROUP BY project, tag", "SELECT project, tag, count(*) AS k FROM (SELECT project, unnest(tags) AS tag FROM g) GROUP BY project, tag"))
+_TAGS = "SELECT project, string_agg(tag, ',' ORDER BY k DESC, tag) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY k DESC, tag) AS p FROM (SELECT project, tag, count(*) AS k FROM (SELECT project, unnest(tags) AS tag FROM g) GROUP BY project, tag)) WHERE p <= 3 GROUP BY project"
+_TEXT = "'## Takeaway' || n || n || 'Merged ' || count(*) || ' notes' || n || n || '## Context' || n || n || string_agg('- **' || title || '** (`' || node_id || '`): z' || w, chr(10) ORDER BY node_id) || n || n || '## Sources' || n || n || string_agg('- [[' || node_id || ']]', chr(10) ORDER BY node_id)"
+
+
+@query(sql(f"SELECT project, k AS n, tags, digest FROM (SELECT project, count(*) AS k, sha256({_TEXT}) AS digest FROM (SELECT *, chr(10) AS n, rtrim(left(regexp_replace(content, '[^a-z]+', ' ', 'g'), 100)) AS w FROM g) GROUP BY project, n) JOIN ({_TAGS}) USING (project)", "g AS (SELECT * FROM nodes WHERE status = 'superseded' AND project IS NOT NULL)"))
 def condensation(t):
-    return L.condensed(t.nodes().where("status = 'superseded' AND project IS NOT NULL"), "project").select("project", "n", "tags")
+    """B3; a note's first line is the first hundred of its letters, the rest follows."""
+    n = t.nodes().where("status = 'superseded' AND project IS NOT NULL")
+    n = n.withColumn("content", F.concat(F.lit("## Head\nuser:\n- z"), F.rtrim(F.substring(F.regexp_replace("content", "[^a-z]+", " "), 1, 100)), F.lit("\n"), F.col("content")))
+    return L.condensed(n, "project").select("project", "n", "tags", F.sha2("content", 256).alias("digest"))
 
 
 @query(sql("SELECT g, CAST(sum(used_count) AS BIGINT) AS used_count, CAST(sum(injected_count) AS BIGINT) AS injected_count, max(retrieved_count) AS retrieved_count, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags, array_to_string(list_sort(list_distinct(flatten(list(sources)))), ',') AS sources, CAST(sum(used_count) + sum(injected_count) AS BIGINT) AS access_count FROM (SELECT *, seq // 4 AS g FROM nodes) GROUP BY g"))
@@ -156,3 +163,67 @@ def retention_prune(t):
 def later_stage(t):
     n = t.nodes()
     return L.without(n.where("seq % 3 = 0"), n.where("seq % 2 = 0")).select(F.lit("condense").alias("stage"), "node_id")
+
+
+@query(sql(f"SELECT node_id, status, CAST(epoch(CASE WHEN status = 'active' AND seq % 5 = 0 THEN {TS} ELSE last_accessed END) AS BIGINT) AS last_accessed, CASE WHEN status <> 'active' THEN 'untouched' WHEN seq % 5 = 0 THEN 'kept' WHEN seq % 5 = 1 THEN 'archived' WHEN seq % 5 = 2 THEN 'condensed' ELSE 'untouched' END AS fate FROM nodes"))
+def triage(t):
+    """B2."""
+    n = t.nodes()
+    d = n.where("seq % 5 < 3").selectExpr("node_id", "CASE seq % 5 WHEN 0 THEN 'keep' WHEN 1 THEN 'archive' ELSE 'condense' END decision").union(t.spark.createDataFrame([("gone", "keep")], "node_id string, decision string"))
+    return L.triage_applied(n, d, NOW).withColumn("last_accessed", F.unix_seconds("last_accessed"))
+
+
+@query(sql("SELECT node_id, node_id || '.md' AS path, CASE seq % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'same' ELSE 'write' END AS action, CASE WHEN seq % 4 > 1 THEN sha256(content) END AS digest FROM nodes UNION ALL SELECT node_id, '.collisions/' || node_id || '.' || left(sha1(content || ' old'), 8) || '.md', 'write', sha256(content || ' old') FROM nodes WHERE seq % 4 = 3"))
+def archive_moves(t):
+    """B9."""
+    n = t.nodes()
+    texts = n.select("node_id", F.when(F.col("seq") % 4 > 0, F.col("content")).alias("text"))
+    there = n.where("seq % 4 in (1, 3)").select("node_id", F.when(F.col("seq") % 4 == 1, F.col("content")).otherwise(F.concat("content", F.lit(" old"))).alias("text"))
+    return L.archived(texts, there).select("node_id", "path", "action", F.sha2("text", 256).alias("digest"))
+
+
+@query(sql("SELECT 'vector' AS what, node_id AS a, '' AS b FROM vectors WHERE node_id NOT IN (SELECT node_id FROM nodes WHERE type = 'transient') UNION ALL SELECT 'edge', source_id, target_id FROM edges WHERE source_id NOT IN (SELECT node_id FROM nodes WHERE type = 'transient') AND target_id NOT IN (SELECT node_id FROM nodes WHERE type = 'transient')"))
+def transcripts_pruned(t):
+    """B12."""
+    v, e = L.without_transcripts(t.vectors(), t.edges(), t.nodes().where("type = 'transient'"))
+    return v.select(F.lit("vector").alias("what"), F.col("node_id").alias("a"), F.lit("").alias("b")).union(e.select(F.lit("edge"), "source_id", "target_id"))
+
+
+_DRAFTS = """dr AS (SELECT seq AS draft_id, 'x' || seq AS new_id, title, CASE WHEN seq % 6 = 0 THEN content ELSE content || chr(10) || 'more ' || node_id END AS content, sources AS new_sources, node_id AS target, CASE seq % 6 WHEN 1 THEN 'create' WHEN 2 THEN 'complement' WHEN 5 THEN 'erase' ELSE 'supersede' END AS action FROM nodes),
+tw AS (SELECT d.draft_id, arg_max(n.node_id, struct_pack(t := n.created_at, n := n.node_id)) AS twin FROM dr d JOIN nodes n ON n.title = d.title AND n.content = d.content AND n.status = 'active' GROUP BY d.draft_id),
+ok AS (SELECT d.*, list_contains(list_transform(n.sources, lambda s: starts_with(s, 'session:') OR starts_with(s, 'mem_session_')), true) AS distilled, n.superseded_by IS NOT NULL AS claimed FROM dr d JOIN nodes n ON n.node_id = d.target WHERE draft_id NOT IN (SELECT draft_id FROM tw) AND action <> 'erase'),
+fin AS (SELECT *, action = 'supersede' AND (NOT distilled OR claimed) AS softer FROM ok)"""
+
+
+@query(sql("SELECT d.draft_id, CASE WHEN twin IS NOT NULL THEN 'identical' WHEN d.action = 'erase' THEN 'invalid' WHEN softer THEN 'downgraded' ELSE d.action END AS outcome, CASE WHEN twin IS NOT NULL THEN twin WHEN d.action = 'erase' THEN 'unsupported_action' END AS detail FROM dr d LEFT JOIN tw USING (draft_id) LEFT JOIN fin f ON f.draft_id = d.draft_id", _DRAFTS))
+def write_outcomes(t):
+    """A draft for each node, most of which say more than it."""
+    return _written(t)[0]
+
+
+@query(sql("SELECT n.node_id, CASE WHEN heir IS NOT NULL THEN 'superseded' ELSE status END AS status, coalesce(heir, superseded_by) AS superseded_by, sha256(CASE WHEN link IS NOT NULL THEN rtrim(content, ' ') || chr(10) || chr(10) || '- [[' || link || ']]' ELSE content END) AS digest, '' AS supersedes FROM nodes n LEFT JOIN (SELECT target, CASE WHEN action = 'supersede' AND NOT softer THEN new_id END AS heir, CASE WHEN action = 'complement' OR softer THEN new_id END AS link FROM fin WHERE action <> 'create') f ON f.target = n.node_id UNION ALL SELECT new_id, 'active', NULL, sha256(content), CASE WHEN action = 'supersede' AND NOT softer THEN target ELSE '' END FROM fin", _DRAFTS))
+def write_snapshot(t):
+    """The nodes after the drafts were written."""
+    return _written(t)[1].select("node_id", "status", "superseded_by", F.sha2("content", 256).alias("digest"), F.array_join("supersedes", ",").alias("supersedes"))
+
+
+def _written(t):
+    n = t.nodes()
+    drafts = n.select(F.col("seq").alias("draft_id"), F.expr("concat('x', cast(seq as string))").alias("new_id"), "title", F.when(F.col("seq") % 6 == 0, F.col("content")).otherwise(F.concat("content", F.lit("\nmore "), F.col("node_id"))).alias("content"), "sources")
+    d = n.select(F.col("seq").alias("draft_id"), F.expr("CASE seq % 6 WHEN 1 THEN 'create' WHEN 2 THEN 'complement' WHEN 5 THEN 'erase' ELSE 'supersede' END").alias("action"), F.expr("CASE WHEN seq % 6 = 1 THEN cast(array() as array<string>) ELSE array(node_id) END").alias("targets"), F.lit(0.9).alias("confidence"))
+    return L.write_path(drafts, n, n.selectExpr("seq draft_id", "node_id"), d)
+
+
+@query(sql("SELECT node_id, sha256(concat('## Details', n, '- ', w, n, '- common', n, n, '- new ', seq, n, n, '## Sources', n, '- mem_2')) AS digest, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS sources, 0 AS lost FROM (SELECT *, list_concat(sources, ['session:1', 'mem_2']) AS l, chr(10) AS n, concat('z', regexp_replace(content, '[^a-zA-Z]+', ' ', 'g'), 'z') AS w FROM nodes)"))
+def merge_updates(t):
+    """B17."""
+    n = t.nodes().withColumn("content", F.concat(F.lit("## Details\n- z"), F.regexp_replace("content", "[^a-zA-Z]+", " "), F.lit("z\n- common\n")))
+    u = n.select("node_id", F.expr("concat('## Details\\n- Common\\n- new ', seq, '\\n\\n## Sources\\n- mem_2')").alias("content"), F.array(F.lit("session:1"), F.lit("mem_2")).alias("sources"))
+    return L.merge_updates(n, u).select("node_id", F.sha2("content", 256).alias("digest"), F.array_join(F.array_distinct("sources"), ",").alias("sources"), "lost")
+
+
+@query(sql("SELECT episode_id, node_id, score, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, node_id) AS INTEGER) AS pos FROM (SELECT event_id // 50 AS episode_id, node_id, max(1.0 / rank) AS score FROM hits GROUP BY ALL)"))
+def retrieved_lessons(t):
+    """Every fifty searches are one episode's."""
+    r = E.hits(t.searches()).selectExpr("event_id div 50 episode_id", "event_id query_id", "node_id", "1.0D / rank score")
+    return L.retrieved_lessons(r)

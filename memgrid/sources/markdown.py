@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memgrid.functions.bodies import without_banners
 from memgrid.functions.text import kebab
 
 FRONT = r"(?s)\A---[ \t]*\n(.*?)(?:\n)?^---[ \t]*(?:\n|\z)"
-BANNER = r"(?m)^> \*\*Super(?:sedes|seded by)\*\*:[^\n]*\n?"
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +23,12 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.regexp_replace("value", r"\r\n?", "\n").alias("raw"))
 
 
+def archived(spark: SparkSession, path: str) -> DataFrame:
+    """node_id and sources of every readable note below a folder's .archive; what can't be parsed is left out."""
+    df = parsed(scan(spark, f"{path.rstrip('/')}/.archive"))
+    return df.where("not error").select("node_id", "sources")
+
+
 def front_matter(raw: Column) -> tuple[Column, Column]:
     """(front matter, body); an unterminated one is body."""
     pattern = "(?m)" + FRONT
@@ -54,7 +60,7 @@ META = "id string, title string, type string, status string, created_at string,
 def parsed(files: DataFrame) -> DataFrame:
     """Nodes with defaults; `error` says that the front matter is no mapping."""
     meta, body = front_matter(F.col("raw"))
-    df = files.withColumn("__json", yaml_to_json(meta)).withColumn("content", F.regexp_replace(F.regexp_replace(body, BANNER, ""), r"\s+\z", "")).withColumn("m", F.from_json("__json", META))
+    df = files.withColumn("__json", yaml_to_json(meta)).withColumn("content", F.regexp_replace(without_banners(body), r"\s+\z", "")).withColumn("m", F.from_json("__json", META))
     name = F.regexp_extract("path", r"([^/]+)\.md$", 1)
     heading = F.nullif(F.trim(F.regexp_extract("content", r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*$", 1)), F.lit(""))
     title = F.coalesce(F.nullif(F.trim("m.title"), F.lit("")), heading, F.nullif(F.initcap(F.trim(F.regexp_replace(name, r"[-_]+", " "))), F.lit("")), F.lit("Untitled Node"))
@@ -69,7 +75,11 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def rendered(nodes: DataFrame) -> DataFrame:
-    """path (relative, slug.md; a second one with a hash) and text of each node, front matter first."""
+    """path and text of each node, front matter first.
+
+    The path is relative: project/slug.md; of several nodes with one slug the first has it, the
+    next that were created on a day of their own have the day behind it, the others a hash.
+    """
     fields = ["title", "type", "status", "okf_type", "project", "superseded_by", "verified"]
     line = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.to_json(F.array(F.col(c).cast("string"))) if c == "title" else F.col(c).cast("string")))
     title = F.concat(F.lit("title: "), F.regexp_replace(F.to_json(F.array("title")), r"^\[|\]$", ""))
@@ -77,9 +87,12 @@ def rendered(nodes: DataFrame) -> DataFrame:
     text = F.concat(F.lit("---\n"), F.array_join(F.array_compact(F.array(*head)), "\n"), F.lit("\n---\n"), F.col("content"), F.lit("\n"))
     slug = F.coalesce(F.nullif(F.rtrim(F.substring(kebab(F.col("title")), 1, 80), F.lit("-")), F.lit("")), F.lit("untitled"))
     folder = F.coalesce("project", F.lit("unassigned"))
-    df = nodes.select("node_id", folder.alias("folder"), slug.alias("slug"), text.alias("text"))
+    df = nodes.select("node_id", folder.alias("folder"), slug.alias("slug"), F.date_format("created_at", "yyyyMMdd").alias("day"), text.alias("text"))
     n = F.expr("row_number() over (partition by folder, slug order by node_id)")
-    return df.withColumn("n", n).select(F.concat("folder", F.lit("/"), "slug", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.substring(F.sha1(F.col("node_id").cast("binary")), 1, 8))).otherwise(""), F.lit(".md")).alias("path"), "text")
+    # the first is out of the way of the days of the others
+    k = F.expr("row_number() over (partition by folder, slug, day, n = 1 order by node_id)")
+    suffix = F.when(F.col("n") == 1, "").when(F.col("k") == 1, F.concat(F.lit("-"), F.col("day"))).otherwise(F.concat(F.lit("-"), F.substring(F.sha1(F.col("node_id").cast("binary")), 1, 8)))
+    return df.withColumn("n", n).withColumn("k", k).select(F.concat("folder", F.lit("/"), "slug", suffix, F.lit(".md")).alias("path"), "text")
 
 
 def write(nodes: DataFrame, folder: str) -> DataFrame:

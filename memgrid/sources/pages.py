@@ -10,6 +10,10 @@ from memgrid.functions.text import kebab, table_cell
 from memgrid.operators.lifecycle import unique_slugs
 
 
+#: Rows of a table in a report.
+ROWS = 1000
+
+
 def handbook(nodes: DataFrame) -> DataFrame:
     """A page for each project (path, text): what is known, by kind, then title; and an index page.
 
@@ -30,10 +34,12 @@ def handbook(nodes: DataFrame) -> DataFrame:
 
 
 def report(title: str, **parts: DataFrame) -> str:
-    """A Markdown document with a table for each aggregate; aggregates are small by what they are."""
+    """A Markdown document with a table for each aggregate; one of more than ROWS rows is refused, not cut."""
     out = [f"# {title}"]
     for name, df in parts.items():
         out += ["", f"## {name.replace('_', ' ').capitalize()}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        rows = df.limit(1000).collect()
+        rows = df.limit(ROWS + 1).collect()
+        if len(rows) > ROWS:
+            raise ValueError(f"{name} has more than {ROWS} rows: no table for a report")
         out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows] or ["| " + " | ".join([""] * len(df.columns)) + " |"]
     return "\n".join(out) + "\n"
