@@ -12,18 +12,14 @@ Pairs inside a bucket are never listed. In three rounds, a text is held against:
 1. of the leaders of its buckets the one that it shares most buckets with; a bucket's leader is the
    text whose buckets are the largest together, so the one most in the middle of a group;
 2. its other leaders, if they aren't in its class yet;
-3. the texts of other classes in its buckets (the exact way for what the leaders left; inside one
-   class no link can change anything). In a bucket of no more than HOT texts, each is held against
-   each. In a larger one, as texts that share a passage make it, a text is only held against those
-   that share one of its rarest shingles: alike texts have THRESHOLD of either's weight in common,
-   so with all shingles in one order, rare ones first, both have their first common shingle within
-   the first 1 - THRESHOLD of their weight. A pair is looked at once, and goes on if its full
-   signatures agree in EST of FULL registers at least.
+3. the texts of other classes in its buckets, where longer signatures agree in EST of FULL registers
+   at least (the exact way for what the leaders left; inside one class no link can change
+   anything). A pair is looked at in the first bucket that it shares only.
 Each pair is verified on the whole texts: J_P, or the Jaccard similarity of the sets, is at least
 THRESHOLD. Verified links make classes (connected components).
 
 Loss: a pair at the threshold shares no bucket with probability (1 - 0.8^5)^24 = 7e-5, and falls
-short of EST with 1e-5 (in the third round only). Texts are told apart by a 64-bit hash.
+short of EST with 7e-5 (in the third round only). Texts are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -41,9 +37,7 @@ from memgrid.llm.common import arrow_map, fresh, written
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, REGISTERS = 24, 5, 240
 #: Registers of the signatures that pairs are compared by before verification, and the share that must agree.
-FULL, EST = 480, 0.72
-#: Texts of a bucket up to which each is held against each, and those that share a shingle up to which it counts as rare.
-HOT, RARE = 64, 64
+FULL, EST = 360, 0.72
 #: Pairs with one text up to which they may be verified in one task.
 PAIRS = 2000
 #: Keys up to which a side is broadcast (16 MB); beyond it Spark shuffles.
@@ -302,13 +296,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # 3: texts of different classes in a bucket, if their signatures agree enough; in the first bucket that they share
     placed = _relabelled(members, labels).persist()
-    open_ = placed.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", (F.col("n") > HOT).alias("hot"))
-    placed_open = written(placed.join(open_, "key").select("key", "node", "lab", "hot"), "open")
-    signed = texts.select("node", "sig", "wsig")
-    pairs = _alike(placed_open.where("not hot").select("key", "node", "lab"), signed)
-    hot = placed_open.where("hot").select("node", "lab").distinct()
-    if not hot.isEmpty():
-        pairs = pairs.union(_alike(_rarest(hot, texts, threshold), signed)).distinct()
+    open_ = placed.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo != hi").select("key")
+    pairs = _alike(placed.join(open_, "key", "left_semi").select("key", "node", "lab"), texts.select("node", "sig", "wsig"))
     labels = _merged(labels, written(_verified(pairs, texts, threshold), "links"))
     placed.unpersist()
     members.unpersist()
@@ -326,31 +315,6 @@ def _alike(placed: DataFrame, signed: DataFrame) -> DataFrame:
     return left.join(right, "key").where(alike).selectExpr("node_a a", "node_b b")
 
 
-def _rarest(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """key, node, lab: of each node the shingles that come first, up to 1 - threshold of its weight.
-
-    Shingles that more than RARE of the nodes have come last, by how many have them; the others are
-    ordered by hash. Shingles that only one node has make no pair, but count as weight.
-    """
-
-    def make():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            each = [weighted_shingles(x) for x in batch.column("text").to_pylist()]
-            sizes = [len(h) for h, _ in each]
-            columns = [np.repeat(batch.column("node").to_numpy(), sizes), np.concatenate([h for h, _ in each]).view(np.int64), np.concatenate([n / n.sum() for _, n in each]), np.concatenate([np.full(k, 1 / k) for k in sizes])]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "key", "w", "u"])
-
-        return f
-
-    own = _small(nodes.select("node"))
-    shingles = written(arrow_map(texts.select("node", "text").join(own, "node", "left_semi"), make, "node long, key long, w double, u double"), "shingles")
-    common = shingles.groupBy("key").count().where(F.col("count") > RARE)
-    before = "over (partition by node order by common, key rows between unbounded preceding and 1 preceding)"
-    ranked = shingles.join(_small(common.withColumnRenamed("count", "common")), "key", "left").selectExpr("node", "key", "w", "u", "coalesce(common, 0) common")
-    ranked = ranked.selectExpr("node", "key", f"coalesce(sum(w) {before}, 0) w", f"coalesce(sum(u) {before}, 0) u").where(F.least("w", "u") <= 1 - threshold + 1e-9)
-    return ranked.select("key", "node").join(nodes, "node")
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, class_size, is_kept, node; a row for each row of docs.
 

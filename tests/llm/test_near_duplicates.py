@@ -82,11 +82,8 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert sum(t is None for _, t in texts) == 2
 
 
-@pytest.mark.parametrize(("hot", "rare"), [(2, 2), (5, 10**6), (10**6, 1)])
-def test_large_buckets_of_texts_that_share_passages(spark, monkeypatch, hot, rare):
+def test_large_buckets_of_texts_that_share_passages(spark, monkeypatch):
     """Texts with a passage in common, as much as 0.7 of each, and some near copies among them."""
-    monkeypatch.setattr(N, "HOT", hot)
-    monkeypatch.setattr(N, "RARE", rare)
     monkeypatch.setattr(N, "PAIRS", 3)
     rng = random.Random(9)
     passage = words(rng, 90)
@@ -100,20 +97,6 @@ def test_large_buckets_of_texts_that_share_passages(spark, monkeypatch, hot, rar
     assert got == dict(zip([d for d, _ in rows], plain_classes(rows)))
 
 
-def test_rarest_shingles_hold_a_common_one(spark):
-    """Each alike pair shares one of the shingles that _rarest() names."""
-    rng = random.Random(10)
-    base = [words(rng, 40) for _ in range(6)]
-    texts = {i: " ".join(rng.choices(base, k=rng.randint(1, 4))) + " " + words(rng, rng.randint(0, 8)) for i in range(60)}
-    df = spark.createDataFrame(list(texts.items()), "node long, text string")
-    first: dict[int, set] = {}
-    for r in N._rarest(df.selectExpr("node", "node lab"), df, N.THRESHOLD).collect():
-        first.setdefault(r.node, set()).add(r.key)
-    s = {i: N.weighted_shingles(t) for i, t in texts.items()}
-    pairs = [(i, j) for i in texts for j in texts if i < j and max(N.similarity(s[i], s[j])) >= N.THRESHOLD]
-    assert len(pairs) > 20 and all(first[i] & first[j] for i, j in pairs)
-
-
 def test_repeated_rows_and_clashing_names(spark):
     rng = random.Random(11)
     text = words(rng, 50)
