@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes of strings of one slice of an Arrow batch, so that long texts fit a small Python worker too.
-BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 2 << 20
 #: What separates words wherever a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
 

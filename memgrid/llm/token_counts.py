@@ -25,12 +25,14 @@ from memgrid.llm.common import arrow_map, texts_of
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT, BATCH_BYTES = 1024, 1 << 18
 #: Units whose counts a worker remembers, and bytes of the longest such unit; so the memory is bounded, too.
-CACHE, CACHE_BYTES = 600_000, 96
+CACHE, CACHE_BYTES = 400_000, 96
 #: Characters from which a run without white space is split further.
 LONG = 64
 #: The property White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: A run without white space that is split further.
+RUN = re.compile(f"[^{SPACE}]{{{LONG}}}")
 #: Parts of a long unit: up to the end of a run of letters or of numbers.
 PART = regex.compile(r"[^\p{L}\p{N}]*+(?:\p{L}++|\p{N}++)|[^\p{L}\p{N}]++")
 
@@ -65,7 +67,7 @@ class Counter:
 
     def units(self, text: str) -> list[str]:
         found = UNIT.findall(text)
-        if max(map(len, found), default=0) <= LONG:
+        if not RUN.search(text):
             return found
         out = []
         for u in found:
@@ -80,10 +82,13 @@ class Counter:
             self.known.clear()
             new = set().union(*units)
         ordered = list(new)
-        learned = dict(zip(ordered, self.encoded(ordered), strict=True))
-        self.known.update((u, n) for u, n in learned.items() if len(u) * 4 <= CACHE_BYTES or len(u.encode()) <= CACHE_BYTES)
         known = self.known
-        return [sum(known[x] if x in known else learned[x] for x in u) for u in units]
+        known.update(zip(ordered, self.encoded(ordered), strict=True))
+        out = [sum(map(known.__getitem__, u)) for u in units]
+        for u in ordered:  # what is long is not remembered
+            if len(u) * 4 > CACHE_BYTES and len(u.encode()) > CACHE_BYTES:
+                del known[u]
+        return out
 
 
 @lru_cache(maxsize=4)
