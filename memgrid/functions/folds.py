@@ -33,3 +33,13 @@ def chunks(sizes: Column, limit: int, joiner: int = 0, most: int | None = None)
         return F.struct(chunk.alias("chunk"), F.when(full, x).otherwise(s["size"] + added).cast("long").alias("size"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.concat(s["out"], F.array(chunk)).alias("out"))
 
     return F.aggregate(sizes, start, step, lambda s: s["out"])
+
+
+def document_batches(tokens: Column, budget: int, most: int = 32, special: int = 2) -> Column:
+    """The request, from 0, that each document goes into: no more than `most`, and tokens with `special` ones each within budget."""
+    return chunks(F.transform(tokens, lambda x: (x + special).cast("long")), budget, 0, most)
+
+
+def lesson_batches(sizes: Column, budget: int, most: int) -> Column:
+    """The call that each lesson goes into, by the size of its evidence and by number; null if one lesson alone is over the budget."""
+    return F.when(~F.exists(sizes, lambda x: x > budget), chunks(sizes, budget, 0, most))

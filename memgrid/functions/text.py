@@ -92,6 +92,18 @@ def short(text: Column, n: int) -> Column:
     return F.when(F.length(line) > n, F.concat(F.rtrim(F.substring(line, 1, n - 1)), F.lit("…"))).otherwise(line)
 
 
+def write_query(title: Column, content: Column, hint: Column | None = None, most: int = 240) -> Column:
+    """what a draft is looked up by: a hint, or its title and first line, unless they say the same."""
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    name = plain(title)
+    line = plain(F.try_element_at(F.filter(F.split(F.coalesce(content, F.lit("")), "\r\n|\r|\n"), lambda x: plain(x) != ""), F.lit(1)))
+    both = F.array_join(F.filter(F.array(name, F.when(F.lower(line) == F.lower(name), "").otherwise(line)), lambda x: x != ""), " — ")
+    cut = F.when(F.length(both) > most, F.concat(F.rtrim(F.substring(both, 1, most - 1)), F.lit("…"))).otherwise(both)
+    if hint is None:
+        return cut
+    return F.when(F.coalesce(F.trim(hint), F.lit("")) != "", F.trim(F.substring(F.trim(hint), 1, most))).otherwise(cut)
+
+
 def wiki_links(text: Column) -> Column:
     """targets of [[target]] and [[target|alias]], trimmed, blanks dropped."""
     inner = F.regexp_extract_all(text, F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -72,6 +73,35 @@ def embedded(text: Column, engine: str = "hashing", dimension: int = 64) -> Colu
     return f(text)
 
 
+#: A function of two columns, the query and a document, that returns their score as a column.
+Reranker = Callable[[Column, Column], Column]
+_rerankers: dict[str, Reranker] = {}
+
+
+def register_reranker(name: str, score: Reranker) -> None:
+    """A reranker by name."""
+    _rerankers[name] = score
+
+
+def reranked(query: Column, document: Column, engine: str) -> Column:
+    """Scores by a named engine; 0 where none of that name is there, so penalties alone decide."""
+    score = _rerankers.get(engine)
+    return score(query, document) if score else F.lit(0.0)
+
+
+def fingerprint(provider: str, model: str, dimension: int | None, base_url: str | None = None, endpoint: str | None = None, api_key_env: str | None = None) -> str:
+    """what an index of vectors was made with; another one means that it has to be built anew.
+
+    A provider that is reached over the network is told apart by where it is reached as well.
+    """
+    settings: dict[str, object] = {"provider": provider, "model": model, "dimension": dimension}
+    if provider in ("ollama", "remote_api"):
+        settings |= {"base_url": base_url, "endpoint": endpoint}
+    if provider == "remote_api":
+        settings["api_key_env"] = api_key_env
+    return "sha1:" + hashlib.sha1(json.dumps(settings, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
 def query_chunks(queries: DataFrame, least: int = 24) -> DataFrame:
     """V3: the whole query (chunk 0) and its parts between rules, if they are long enough; each has a vote."""
     parts = F.filter(F.transform(F.split("text", "\n---\n"), lambda c: F.trim(c, F.lit(" \n\t"))), lambda c: (F.length(c) >= least) & (c != F.trim(F.col("text"), F.lit(" \n\t"))))

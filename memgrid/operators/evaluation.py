@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memgrid.operators.events import nearest_rank
+
 
 def per_query(results: DataFrame, golden: DataFrame) -> DataFrame:
     """A row for each golden query (query_id, slice, must array) from results (query_id, pos, node_id, score, inject).
@@ -43,6 +45,15 @@ def report(rows: DataFrame) -> DataFrame:
     return both.groupBy("part").agg(F.count("*").alias("n"), *[mean(c).alias(c) for c in measures], share("positive").alias("positive_rate"), share("injected").alias("inject_rate"), none("empty_ok").alias("no_result_rate"), none("empty_ok_inject").alias("no_result_rate_inject"))
 
 
+def latency_and_zero_hits(rows: DataFrame) -> DataFrame:
+    """Of each slice and of all (part): p50 and p95 of latency_ms by nearest rank, and the share of queries without a lexical hit.
+
+    rows: query_id, slice, latency_ms, lexical_hits.
+    """
+    both = rows.select(F.explode(F.array("slice", F.lit("overall"))).alias("part"), "latency_ms", "lexical_hits")
+    return both.groupBy("part").agg(nearest_rank("latency_ms", 0.5).alias("p50"), nearest_rank("latency_ms", 0.95).alias("p95"), F.round(F.avg((F.col("lexical_hits") == 0).cast("double")), 4).alias("lexical_zero_rate"))
+
+
 def median_run(runs: DataFrame) -> DataFrame:
     """Of each query's runs the one in the middle by latency."""
     w = W.partitionBy("query_id")

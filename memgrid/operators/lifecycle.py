@@ -51,9 +51,15 @@ def usage_credited(nodes: DataFrame, usage: DataFrame) -> DataFrame:
 # --- selection
 
 
-def idle_transcripts(nodes: DataFrame, cutoff: Column, limit: int) -> DataFrame:
-    """Active transient nodes idle since the cutoff whose content isn't distilled yet, oldest first."""
-    df = nodes.where("status = 'active' AND type = 'transient'").where(F.col("last_accessed") <= cutoff).where(~N.distilled_current())
+def idle_transcripts(nodes: DataFrame, cutoff: Column, limit: int, deferred_hash: str | None = None, force_retry: str | None = None) -> DataFrame:
+    """Active transient nodes idle since the cutoff whose content isn't distilled yet, oldest first.
+
+    deferred_hash, force_retry: columns; a node whose content was put off waits, unless it is to be tried again.
+    """
+    df = nodes.where("status = 'active' AND type = 'transient'").where(F.col("last_accessed") <= cutoff).where(~N.distilled_current(force_retry=force_retry))
+    if deferred_hash:
+        again = F.coalesce(F.col(force_retry), F.lit(False)) if force_retry else F.lit(False)
+        df = df.where(again | ~F.col(deferred_hash).eqNullSafe(F.sha2("content", 256)))
     return df.orderBy("last_accessed", "node_id").limit(limit)
 
 

@@ -85,6 +85,14 @@ def multi_get(nodes: DataFrame, ids: list[str]) -> DataFrame:
     return nodes.join(F.broadcast(wanted), "node_id").orderBy("pos")
 
 
+def included(include: str, transcript: Column, session: Column | None = None, excluded: str | None = None) -> Column:
+    """What a search may return: knowledge alone by default, transcripts too with `all` or `transcripts`; never an excluded session's."""
+    out = F.lit(True) if include in ("all", "transcripts") else ~transcript
+    if session is not None and excluded:
+        out = out & ~session.eqNullSafe(F.lit(excluded))
+    return out
+
+
 # --- counts
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memgrid.functions.text import jaccard, token_set
+from memgrid.functions.text import inferred_project, jaccard, project_slug, token_set
 from memgrid.operators.cuts import checkpointed
 
 BLOCK = 1024
@@ -207,12 +207,30 @@ def connected(pairs: DataFrame) -> DataFrame:
     return labels
 
 
-def typed(nodes: DataFrame, vectors: DataFrame, hubs: bool = True) -> DataFrame:
+#: V9: what holds clusters apart: a project as it is written, its slug, or the one that a node's text tells.
+PROJECT_MODES = ("raw", "explicit_slug", "inferred")
+
+
+def cluster_project(mode: str, domains: list[tuple[str, list[str]]] | None = None) -> Column:
+    """V9: a node's project in one of PROJECT_MODES; '' without one."""
+    if mode == "inferred":
+        return inferred_project(F.col("project"), F.col("node_id"), F.col("title"), F.col("content"), domains or [])
+    raw = F.coalesce(F.trim("project"), F.lit(""))
+    return raw if mode == "raw" else F.when(raw == "", "").otherwise(project_slug(raw))
+
+
+def recent(vectors: DataFrame, nodes: DataFrame, cutoff: Column) -> DataFrame:
+    """Vectors of active nodes that were read since a cutoff."""
+    fit = nodes.where((F.col("status") == "active") & (F.col("last_accessed") >= cutoff))
+    return vectors.join(fit.select("node_id"), "node_id", "left_semi")
+
+
+def typed(nodes: DataFrame, vectors: DataFrame, hubs: bool = True, project: Column | None = None) -> DataFrame:
     """Active persistent nodes with a kind and a vector."""
     df = nodes.where("status = 'active' AND type = 'persistent' AND okf_type IS NOT NULL")
     if not hubs:
         df = df.where(~F.array_contains("tags", "dreamer-hub"))
-    return df.select("node_id", F.coalesce("project", F.lit("")).alias("project")).join(vectors, "node_id")
+    return df.select("node_id", (F.coalesce("project", F.lit("")) if project is None else project).alias("project")).join(vectors, "node_id")
 
 
 def single_linkage(nodes: DataFrame, vectors: DataFrame, threshold: float = 0.80, least: int = 4, most: int = 20) -> DataFrame:
@@ -222,14 +240,14 @@ def single_linkage(nodes: DataFrame, vectors: DataFrame, threshold: float = 0.80
     return labels.join(sizes.select("label"), "label").select("label", "node_id")
 
 
-def complete_linkage(nodes: DataFrame, vectors: DataFrame, seed: float = 0.86, floor: float = 0.84, most: int = 6) -> DataFrame:
+def complete_linkage(nodes: DataFrame, vectors: DataFrame, seed: float = 0.86, floor: float = 0.84, most: int = 6, project: Column | None = None) -> DataFrame:
     """V9: clusters of which all pairs reach `floor`; project, cluster (its least node), node_id.
 
     Seeds are taken by similarity; a cluster grows by the node whose least similarity to it is the
     highest, if one similarity reaches `seed`. The order matters, so the pairs of one component of
     the `floor` graph (which no cluster leaves) are folded together.
     """
-    t = typed(nodes, vectors, hubs=False)
+    t = typed(nodes, vectors, hubs=False, project=project)
     pairs = similar_pairs(t, floor, by="project")
     labels = connected(pairs)
     df = pairs.join(labels.withColumnRenamed("node_id", "id_a"), "id_a")

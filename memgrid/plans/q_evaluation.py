@@ -51,3 +51,9 @@ def eval_slices(t):
 @query(sql("SELECT query_id, run, latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY latency_ms, run) AS p, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT user_id AS query_id, event_id AS run, value AS latency_ms FROM events)) WHERE p = n // 2 + 1"))
 def median_run(t):
     return E.median_run(t.raw("events").selectExpr("user_id query_id", "event_id run", "value latency_ms"))
+
+
+@query(sql("SELECT part, round(quantile_disc(latency_ms, 0.5), 1) AS p50, round(quantile_disc(latency_ms, 0.95), 1) AS p95, round(avg(CASE WHEN hits = 0 THEN 1.0 ELSE 0.0 END), 4) AS lexical_zero_rate FROM (SELECT unnest([event_type, 'overall']) AS part, value AS latency_ms, CAST(event_id AS BIGINT) % 7 AS hits FROM events) GROUP BY part"))
+def eval_latency(t):
+    rows = t.raw("events").selectExpr("event_id query_id", "event_type slice", "value latency_ms", "event_id % 7 lexical_hits")
+    return E.latency_and_zero_hits(rows)

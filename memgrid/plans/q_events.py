@@ -84,9 +84,9 @@ def wilson_precision(t):
     return E.precision_by(judged, "source")
 
 
-@query(sql("SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS earliest FROM (SELECT min(ts) AS ts FROM searches UNION ALL SELECT min(created_at) FROM nodes)"))
+@query(sql("SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS earliest FROM (SELECT min(ts) AS ts FROM searches UNION ALL SELECT min(created_at) FROM nodes UNION ALL SELECT min(created_at) FROM writes UNION ALL SELECT min(started_at) FROM runs UNION ALL SELECT min(started_at) FROM runs WHERE run_id % 2 = 0)"))
 def earliest_event(t):
-    return E.earliest((t.searches(), "ts"), (t.nodes(), "created_at")).select(F.date_format("earliest", "yyyy-MM-dd HH:mm:ss").alias("earliest"))
+    return E.earliest((t.searches(), "ts"), (t.nodes(), "created_at"), (t.writes(), "created_at"), (t.runs(), "started_at"), (t.runs().where("run_id % 2 = 0"), "started_at")).select(F.date_format("earliest", "yyyy-MM-dd HH:mm:ss").alias("earliest"))
 
 
 _SNAP = f"SELECT coalesce(a.day, b.day) AS day, coalesce(searches, 0) AS searches, p95, coalesce(injected, 0) AS injected, coalesce(writes, 0) AS writes, coalesce(failures, 0) AS failures FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS searches, {P.format(0.95)} AS p95, CAST(sum(k) AS BIGINT) AS injected FROM s GROUP BY 1) a FULL JOIN (SELECT CAST(created_at AS DATE) AS day, count(*) AS writes, count(*) FILTER (NOT execution_succeeded) AS failures FROM writes GROUP BY 1) b ON a.day = b.day"

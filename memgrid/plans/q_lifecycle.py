@@ -227,3 +227,10 @@ def retrieved_lessons(t):
     """Every fifty searches are one episode's."""
     r = E.hits(t.searches()).selectExpr("event_id div 50 episode_id", "event_id query_id", "node_id", "1.0D / rank score")
     return L.retrieved_lessons(r)
+
+
+@query(sql(f"SELECT node_id FROM (SELECT *, CASE WHEN seq % 4 < 2 THEN sha256(content) END AS put_off, seq % 6 = 1 AS retry FROM nodes) WHERE status = 'active' AND type = 'transient' AND last_accessed <= {TS} - INTERVAL 10 DAY AND (retry OR NOT coalesce(distilled_hash = sha256(content), false)) AND (retry OR put_off IS NULL OR put_off <> sha256(content)) ORDER BY last_accessed, node_id LIMIT 50"))
+def deferred_sessions(t):
+    """P13 with what was put off and what is to be tried again."""
+    n = t.nodes().withColumn("put_off", F.when(F.col("seq") % 4 < 2, F.sha2("content", 256))).withColumn("retry", F.col("seq") % 6 == 1)
+    return L.idle_transcripts(n, N.days_before(NOW, 10), 50, "put_off", "retry").select("node_id")

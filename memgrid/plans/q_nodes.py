@@ -206,3 +206,11 @@ def last_runs(t):
 def cursor_union(t):
     """U7."""
     return N.cursor_union(t.nodes(), F.col("type") == "transient").select("node_id")
+
+
+@query(sql("SELECT 'knowledge' AS include, count(*) AS n FROM nodes WHERE type <> 'transient' AND project IS DISTINCT FROM 'web' UNION ALL SELECT 'all', count(*) FROM nodes WHERE project IS DISTINCT FROM 'web' UNION ALL SELECT 'transcripts', count(*) FROM nodes"))
+def include_modes(t):
+    """P9; a project stands for a session here."""
+    n, talk = t.nodes(), F.col("type") == "transient"
+    one = lambda mode, out: n.where(N.included(mode, talk, F.col("project"), out)).agg(F.count("*").alias("n")).select(F.lit(mode).alias("include"), "n")
+    return one("knowledge", "web").union(one("all", "web")).union(one("transcripts", None))

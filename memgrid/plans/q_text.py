@@ -211,3 +211,21 @@ def budget_pack(t):
     df = t.turns().select("conv_id", F.struct("number", (F.length("body") + 10).cast("long").alias("s")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     df = df.select("conv_id", F.arrays_zip(F.transform("x", lambda y: y["number"]).alias("number"), folds.greedy_budget(F.transform("x", lambda y: y["s"]), 1500).alias("take")).alias("z"))
     return df.select("conv_id", F.explode("z").alias("z")).select("conv_id", "z.number", "z.take")
+
+
+@query(sql("SELECT seq, CASE WHEN seq % 9 = 0 THEN left('hint ' || seq, 12) WHEN length(q) > 60 THEN rtrim(left(q, 59)) || '…' ELSE q END AS query FROM (SELECT seq, CASE WHEN seq % 2 = 0 THEN t WHEN l = '' THEN t ELSE t || ' — ' || l END AS q FROM (SELECT seq, 'T ' || seq AS t, trim(regexp_replace(string_split(w, chr(10))[1], '\\s+', ' ', 'g')) AS l FROM (SELECT seq, regexp_replace(content, '[^a-zA-Z\\n]+', ' ', 'g') AS w FROM nodes)))".replace("string_split(w, chr(10))[1]", "coalesce(list_filter(string_split(w, chr(10)), lambda x: trim(x) <> '')[1], '')")))
+def write_queries(t):
+    """every second note repeats its title in its first line."""
+    w = F.regexp_replace("content", r"[^a-zA-Z\n]+", " ")
+    title = F.concat(F.lit("T "), F.col("seq").cast("string"))
+    text = F.when(F.col("seq") % 2 == 0, F.concat(F.lit(" \n t  "), F.col("seq").cast("string"), F.lit("\n"), w)).otherwise(w)
+    hint = F.when(F.col("seq") % 9 == 0, F.concat(F.lit(" hint "), F.col("seq").cast("string")))
+    return t.nodes().select("seq", T.write_query(title, text, hint, 60).alias("query"))
+
+
+@query(sql("SELECT conv_id, number, CAST(batch AS INTEGER) AS batch FROM f", "o AS (SELECT conv_id, number, length(body) // 4 + 2 AS s, row_number() OVER (PARTITION BY conv_id ORDER BY number) AS i FROM turns)", "f AS (SELECT conv_id, number, i, s AS size, 1 AS n, 0 AS batch FROM o WHERE i = 1 UNION ALL SELECT o.conv_id, o.number, o.i, CASE WHEN f.size + o.s > 300 OR n >= 3 THEN o.s ELSE f.size + o.s END, CASE WHEN f.size + o.s > 300 OR n >= 3 THEN 1 ELSE n + 1 END, batch + CASE WHEN f.size + o.s > 300 OR n >= 3 THEN 1 ELSE 0 END FROM f JOIN o ON o.conv_id = f.conv_id AND o.i = f.i + 1)"))
+def document_batches(t):
+    """T10."""
+    df = t.turns().select("conv_id", F.struct("number", F.expr("length(body) div 4").alias("s")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    df = df.select("conv_id", F.arrays_zip(F.transform("x", lambda y: y["number"]).alias("number"), folds.document_batches(F.transform("x", lambda y: y["s"]), 300, 3).alias("batch")).alias("z"))
+    return df.select("conv_id", F.explode("z").alias("z")).select("conv_id", "z.number", "z.batch")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memgrid.operators import vectors as V
+from memgrid.operators import nodes as N, vectors as V
 from memgrid.plans.catalog import query
-from memgrid.sources.logical import sql
+from memgrid.sources.logical import NOW, sql
 
 SIM = "list_dot_product(a.embedding, b.embedding)"
 _CLIP = "greatest(-1, least(1, {}))"
@@ -101,3 +101,17 @@ def vector_changes(t):
     new = v.where("n % 3 = 1").select("node_id", F.transform("embedding", lambda x: -x).alias("embedding"))
     out = V.changed(v.drop("n"), new, v.where("n % 3 = 2").select("node_id"))
     return out.select("node_id", F.floor(F.element_at("embedding", 1) * 1000).alias("first"))
+
+
+@query(sql(f"SELECT id_a, id_b, round(sim, 5) AS sim FROM pairs WHERE sim >= 0.3 AND NOT EXISTS (SELECT 1 FROM edges e WHERE (e.source_id = id_a AND e.target_id = id_b) OR (e.source_id = id_b AND e.target_id = id_a))", f"v AS (SELECT node_id, embedding FROM vectors JOIN nodes USING (node_id) WHERE status = 'active' AND last_accessed >= TIMESTAMP '{NOW}' - INTERVAL 60 DAY)", _PAIRS))
+def recent_missing_links(t):
+    """Among active nodes that were read in the last sixty days."""
+    v = V.recent(t.vectors(), t.nodes(), N.days_before(NOW, 60))
+    return V.unlinked(V.similar_pairs(v, 0.3), t.edges()).withColumn("sim", F.round("sim", 5))
+
+
+@query(sql(f"SELECT id_a, id_b FROM pairs JOIN v a ON a.node_id = id_a JOIN v b ON b.node_id = id_b WHERE a.project = b.project AND sim >= 0.25", f"v AS (SELECT node_id, embedding, CASE WHEN project IS NOT NULL THEN project WHEN contains(lower(concat_ws(' ', node_id, title, content)), 'the') THEN 'english' ELSE 'general' END AS project FROM vectors JOIN nodes USING (node_id) WHERE {TYPED})", _PAIRS))
+def inferred_project_pairs(t):
+    """V9: projects as their texts tell them."""
+    p = V.cluster_project("inferred", [("english", ["the"])])
+    return V.similar_pairs(V.typed(t.nodes(), t.vectors(), project=p), 0.25, by="project").select("id_a", "id_b")

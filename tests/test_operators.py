@@ -185,3 +185,51 @@ def test_supersede_downgrade_judges_all_drafts(spark, sf_dir):
     t = Tables(spark, sf_dir)
     got = {r[0] for r in q_lifecycle.supersede_downgrade(t).select("draft_id").collect()}
     assert got == {r[0] for r in t.nodes().select("seq").collect()}
+
+
+def test_nearest_in_blocks_equals_nearest_at_once(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"n{i:03d}", [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(150)] + [("other", [1.0, 0.0]), ("none", None)]
+    vectors = spark.createDataFrame(rows, "node_id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows[:40])] + [(90, [0.0, 1.0]), (91, None)], "query_id long, vector array<double>")
+    at_once = sorted(map(tuple, V.top_k_many(vectors, queries, 7).collect()))
+    monkeypatch.setattr(V, "PER_QUERY_BLOCK", 16)
+    monkeypatch.setattr(V, "PER_BLOCK", 5)
+    assert sorted(map(tuple, V.top_k_many(vectors, queries, 7, sent=0).collect())) == at_once
+    assert len(at_once) == 40 * 7 + 1 and {r[0] for r in at_once} == {*range(40), 90}
+    assert V.top_k_many(vectors, queries.where("false"), 7).collect() == []
+
+
+def test_search_by_chunks_and_without_reranker(spark):
+    from memgrid.operators import engines
+    from memgrid.plans import hybrid as H
+
+    none = "cast(array() as array<string>)"
+    nodes = spark.createDataFrame([("a", "alpha", "about gates"), ("b", "beta", "about rivers"), ("c", "gamma", "about hills")], "node_id string, title string, content string")
+    nodes = nodes.selectExpr("*", "'persistent' type", "'active' status", f"{none} tags", f"{none} sources", "cast(null as string) project", "0 used_count", "0 injected_count", "timestamp'2024-01-01' last_accessed", "cast(null as boolean) verified")
+    edges = spark.createDataFrame([], "source_id string, target_id string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0, 1.0, 0.0]), ("c", [0.0, 0.0, 1.0])], "node_id string, embedding array<double>")
+    queries = spark.createDataFrame([(1, "gates", [1.0, 0.1, 0.05])], "query_id long, text string, vector array<double>")
+    run = lambda **k: [tuple(r) for r in H.search(queries, nodes, edges, vectors, "2024-01-02 00:00:00", max_candidates=1, **k).select("node_id", "rerank_score", "is_anchor").collect()]
+    assert run()[0][0] == "a" and run()[0][1] > 0
+    assert run(reranks=False) == [("a", 0.0, True)]
+    chunks = spark.createDataFrame([(1, 1, [0.0, 0.0, 1.0])], "query_id long, chunk int, vector array<double>")
+    both = H.search(queries, nodes, edges, vectors, "2024-01-02 00:00:00", max_candidates=2, chunks=chunks).select("node_id").collect()
+    assert {r.node_id for r in both} == {"a", "c"}  # c is first for the chunk alone
+    engines.register_reranker("length", lambda q, d: F.length(d) * 1.0)
+    assert [one(spark, engines.reranked(F.lit("q"), F.lit("four"), x)) for x in ("length", "gone")] == [4.0, 0.0]
+
+
+def test_fingerprint():
+    from memgrid.operators.engines import fingerprint
+
+    assert fingerprint("local", "m", 3) == fingerprint("local", "m", 3, "http://x") != fingerprint("ollama", "m", 3, "http://x") != fingerprint("ollama", "m", 3, "http://y")
+    assert fingerprint("local", "m", None).startswith("sha1:")
+
+
+def test_provenance_of_long_chains_and_cycles(spark):
+    rows = [(f"m{i:03d}", [f"m{i + 1:03d}"]) for i in range(90)] + [("m090", ["session:1", "session:2"]), ("x", ["y"]), ("y", ["x", "session:3"]), ("z", ["x", "gone"]), ("w", [])]
+    nodes = spark.createDataFrame(rows, "node_id string, sources array<string>").selectExpr("*", "'active' status", "'persistent' type")
+    got = {r.node_id: tuple(r)[1:] for r in G.provenance(nodes).collect()}
+    assert got["m000"] == (1, 2, False, False) and got["m090"] == (2, 2, False, False)
+    assert got["x"] == got["y"][:0] + (1, 1, False, True) and got["y"] == (2, 1, False, True) and got["z"] == (2, 1, True, True) and got["w"] == (0, 0, False, False)
