@@ -30,7 +30,7 @@ from memgrid.llm.common import arrow_filter, arrow_map, crc_mod, share, texts_of
 
 ORDER, MAX_PER_LANG, KEEP_OUT = 4, 600, 4
 #: Rates that the limit is set by, and the standard errors that a text's length is allowed.
-LET_PASS, FALSE_REJECT, ERRORS = 0.05, 0.001, 3.0
+LET_PASS, FALSE_REJECT, ERRORS = 0.25, 0.001, 3.0
 #: Texts of one language below which none of it is kept out, and kept-out texts below which nothing is rejected.
 LEAST_TEXTS = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
