@@ -59,7 +59,7 @@ def capped_lessons(lessons: Column, source_chars: Column, short: int = 1500, mos
     return F.when((source_chars >= short) | (F.size(lessons) <= most), lessons).otherwise(F.filter(lessons, lambda x, i: F.array_contains(keep, i)))
 
 
-def shards(content: Column, limit: int) -> Column:
+def shards(content: Column, limit: int | Column) -> Column:
     """Knowledge sections packed into shards of at most `limit` bytes; null where that can't be done.
 
     Provenance never stands alone (it is left out), nor does the takeaway; a section is never cut.

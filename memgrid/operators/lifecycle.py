@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from memgrid.functions.knowledge import keeps_anchors, merged, omitted_lines, section, summary_line, takeaway
+from memgrid.functions.episodes import shards
+from memgrid.functions.knowledge import anchors, keeps_anchors, merged, missing_anchors, omitted_lines, section, summary_line, takeaway
+from memgrid.functions.text import sections
 from memgrid.operators import graph, nodes as N
 
 
@@ -303,3 +305,73 @@ def retrieved_lessons(results: DataFrame) -> DataFrame:
     """episode_id, node_id, score, pos: what an episode's queries (episode_id, query_id, node_id, score) found, each node once with its best score."""
     best = results.groupBy("episode_id", "node_id").agg(F.max("score").alias("score"))
     return best.withColumn("pos", F.row_number().over(W.partitionBy("episode_id").orderBy(F.desc("score"), "node_id")))
+
+
+# --- merging and splitting knowledge
+
+
+def semantic_merge(nodes: DataFrame, clusters: DataFrame, drafts: DataFrame, now: str, tolerance: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Drafts for clusters of like notes, gated, and the next snapshot of nodes.
+
+    clusters: cluster, node_id (as complete_linkage() finds them); drafts: cluster, new_id, title,
+    content. A draft is rejected if it lacks more than a share of its members' literals, or than one.
+    An accepted one becomes a node with its members' counters, tags and sources; they are superseded
+    by it and no longer valid from now on.
+
+    Returns (cluster, accepted, missing, total), and nodes with node_id, title, content, status,
+    superseded_by, valid_until, sources, tags and counters.
+    """
+    members = clusters.join(nodes, "node_id")
+    texts = members.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "content"))), lambda x: x["content"]), "\n\n").alias("old"))
+    gate = drafts.join(texts, "cluster").select("cluster", "new_id", "title", "content", F.size(missing_anchors(F.col("old"), F.col("content"))).alias("missing"), F.size(anchors(F.col("old"))).alias("total"))
+    gate = gate.withColumn("accepted", F.col("missing") <= F.greatest(F.lit(1), F.floor(F.col("total") * tolerance)))
+    good = gate.where("accepted")
+    counters = ["retrieved_count", "injected_count", "used_count", "access_count"]
+    keep = ["node_id", "title", "content", "status", "superseded_by", "valid_until", "sources", "tags", *counters]
+    heirs = clusters.join(good.select("cluster", "new_id"), "cluster").groupBy("node_id").agg(F.min("new_id").alias("heir"))
+    gone = F.col("heir").isNotNull()
+    old = nodes.join(heirs, "node_id", "left").withColumns({"status": F.when(gone, "superseded").otherwise(F.col("status")), "superseded_by": F.coalesce("heir", "superseded_by"), "valid_until": F.when(gone, F.lit(now).cast("timestamp"))}).select(*keep)
+    new = good.join(merged_counters(members, "cluster"), "cluster").select(F.col("new_id").alias("node_id"), "title", "content", F.lit("active").alias("status"), F.lit(None).cast("string").alias("superseded_by"), F.lit(None).cast("timestamp").alias("valid_until"), "sources", "tags", *counters)
+    return gate.select("cluster", "accepted", "missing", "total"), old.unionByName(new)
+
+
+#: Passes in which the room for links between siblings is estimated from the number of parts.
+PASSES = 3
+
+
+def siblings(nodes: DataFrame, limit: int) -> DataFrame:
+    """Parts of notes that are too long: node_id, part, part_id, title, content; part is null for a note that can't be split.
+
+    Knowledge sections are packed in order, none is cut. Each part has the takeaway, links to its
+    siblings and the note as its source, and all of it within limit bytes; as the links take room,
+    the packing is done anew with the number of parts found before.
+    """
+    t = F.substring(takeaway(F.col("content"), F.col("title")), 1, 200)
+    head = F.concat(F.lit("## Takeaway\n\n"), t, F.lit("\n\n"))
+    foot = F.concat(F.lit("\n\n## Sources\n\n- [["), F.col("node_id"), F.lit("]]"))
+    rest = F.array_join(F.transform(F.filter(sections(F.col("content")), lambda s: F.lower(s["heading"]) != "takeaway"), lambda s: F.concat(F.lit("## "), s["heading"], F.lit("\n"), s["body"])), "\n\n")
+    df = nodes.select("node_id", "title", head.alias("head"), foot.alias("foot"), rest.alias("rest"), F.lit(1).alias("n"))
+    name = F.octet_length("node_id") + 20
+    for _ in range(PASSES):
+        room = F.lit(limit) - F.octet_length("head") - F.octet_length("foot") - F.octet_length(F.lit("\n\n## Related\n")) - F.col("n") * name
+        df = df.withColumn("parts", shards(F.col("rest"), room)).withColumn("n", F.coalesce(F.nullif(F.size("parts"), F.lit(-1)), F.col("n")))
+    df = df.select("node_id", "title", "head", "foot", F.size("parts").alias("n"), F.posexplode_outer("parts").alias("k", "body"))
+    of = lambda k: F.concat(F.col("node_id"), F.lit("_part_"), k.cast("string"))
+    links = F.array_join(F.transform(F.filter(F.sequence(F.lit(1), F.col("n")), lambda k: k != F.col("k") + 1), lambda k: F.concat(F.lit("\n- [["), of(k), F.lit("]]"))), "")
+    content = F.concat("head", "body", F.lit("\n\n## Related\n"), links, "foot")
+    part = (F.col("k") + 1).alias("part")
+    return df.select("node_id", part, F.when(F.col("k").isNotNull(), of(F.col("k") + 1)).alias("part_id"), F.concat("title", F.lit(" — part "), (F.col("k") + 1).cast("string")).alias("title"), F.when(F.col("n") > 0, content).alias("content"))
+
+
+def oversized_plan(nodes: DataFrame, compacted: DataFrame, limit: int, required: tuple[str, ...] = ()) -> DataFrame:
+    """What becomes of each note over limit bytes (node_id, action): compacted, split, or attempted, which is not tried again with this text.
+
+    compacted: node_id, content, a shorter version by a hook. It is taken if it is short enough and
+    loses nothing important; else the note is split if its sections allow it.
+    """
+    big = nodes.where(F.octet_length("content") > limit)
+    c = compacted.select("node_id", F.col("content").alias("short"))
+    fits = F.coalesce((F.octet_length("short") <= limit) & compaction_ok(F.col("content"), F.col("short"), required), F.lit(False))
+    parts = siblings(big, limit).groupBy("node_id").agg(F.count("part").alias("parts"))
+    df = big.join(c, "node_id", "left").join(parts, "node_id")
+    return df.select("node_id", F.when(fits, "compacted").when(F.col("parts") > 1, "split").otherwise("attempted").alias("action"), F.when(fits, 1).otherwise(F.col("parts")).cast("int").alias("parts"))

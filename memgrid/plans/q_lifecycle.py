@@ -234,3 +234,54 @@ def deferred_sessions(t):
     """P13 with what was put off and what is to be tried again."""
     n = t.nodes().withColumn("put_off", F.when(F.col("seq") % 4 < 2, F.sha2("content", 256))).withColumn("retry", F.col("seq") % 6 == 1)
     return L.idle_transcripts(n, N.days_before(NOW, 10), 50, "put_off", "retry").select("node_id")
+
+
+_MERGE = "cl AS (SELECT seq // 3 AS cluster, * FROM nodes), ac AS (SELECT cluster, count(*) AS total, cluster % 4 <> 0 OR count(*) < 2 AS accepted FROM cl GROUP BY cluster)"
+
+
+@query(sql("SELECT cluster, accepted, CAST(CASE WHEN cluster % 4 = 0 THEN total ELSE 0 END AS INTEGER) AS missing, CAST(total AS INTEGER) AS total FROM ac", _MERGE))
+def merge_gate(t):
+    """Notes with a literal each, of which every fourth draft keeps none."""
+    return _merged(t)[0]
+
+
+@query(sql("SELECT node_id, CASE WHEN accepted THEN 'superseded' ELSE status END AS status, CASE WHEN accepted THEN 'x' || cluster ELSE superseded_by END AS superseded_by, accepted AS ended, used_count FROM cl JOIN ac USING (cluster) UNION ALL SELECT 'x' || cluster, 'active', NULL, false, CAST(sum(used_count) AS BIGINT) FROM cl JOIN ac USING (cluster) WHERE accepted GROUP BY cluster", _MERGE))
+def merge_snapshot(t):
+    """The nodes after the merge."""
+    return _merged(t)[1].select("node_id", "status", "superseded_by", F.col("valid_until").isNotNull().alias("ended"), "used_count")
+
+
+def _merged(t):
+    flag = F.concat(F.lit("flag_"), F.col("seq").cast("string"))
+    n = t.nodes().withColumn("content", F.concat(F.lit("## Details\n- sets `"), flag, F.lit("` "), F.lower(F.regexp_replace("content", "[^a-zA-Z]+", " "))))
+    clusters = n.selectExpr("seq div 3 cluster", "node_id")
+    drafts = n.withColumn("cluster", F.expr("seq div 3")).groupBy("cluster").agg(F.array_join(F.collect_list(flag), " and ").alias("flags"))
+    drafts = drafts.select("cluster", F.concat(F.lit("x"), F.col("cluster").cast("string")).alias("new_id"), F.lit("Merged").alias("title"), F.when(F.col("cluster") % 4 == 0, "## Details\n- nothing").otherwise(F.concat(F.lit("## Details\n- all of "), F.col("flags"))).alias("content"))
+    return L.semantic_merge(n, clusters, drafts, NOW)
+
+
+def _long(t):
+    """Notes of twelve sections, or of one, as long as all of them."""
+    w = F.concat(F.lit("z"), F.substring(F.regexp_replace("content", "[^a-zA-Z]+", " "), 1, 120))
+    many = F.concat(F.lit("## Takeaway\n\nT.\n\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.concat(F.lit("## S"), F.char(k + 96), F.lit("\n"), w, F.repeat(F.lit("."), 60))), "\n\n"))
+    one = F.concat(F.lit("## Takeaway\n\nT.\n\n## Details\n"), F.repeat(F.lit("word "), 500))
+    return t.nodes().select("seq", "node_id", "title", F.when(F.col("seq") % 4 == 0, one).otherwise(many).alias("content"))
+
+
+@query(sql("SELECT seq, CASE WHEN seq % 4 > 0 THEN 12 ELSE 0 END AS sections, true AS fits, true AS linked FROM nodes"))
+def sibling_parts(t):
+    """All sections are in some part, each part is short enough, and links to each other one."""
+    n = _long(t)
+    p = L.siblings(n, 900)
+    size = p.groupBy("node_id").agg(F.count("part").alias("n"))
+    p = p.join(size, "node_id").withColumns({"s": F.regexp_count("content", F.lit(r"(?m)^## S[a-l]$")), "l": F.regexp_count("content", F.lit(r"_part_\d+\]\]"))})
+    p = p.groupBy("node_id").agg(F.coalesce(F.sum("s"), F.lit(0)).cast("int").alias("sections"), F.bool_and(F.coalesce(F.octet_length("content") <= 900, F.lit(True))).alias("fits"), F.bool_and(F.coalesce(F.col("l") == F.col("n") - 1, F.lit(True))).alias("linked"))
+    return n.join(p, "node_id").select("seq", "sections", "fits", "linked")
+
+
+@query(sql("SELECT node_id, CASE WHEN seq % 3 = 0 THEN 'compacted' WHEN seq % 4 > 0 THEN 'split' ELSE 'attempted' END AS action FROM nodes"))
+def oversized_actions(t):
+    """Every third note has a compact version."""
+    n = _long(t)
+    short = n.where("seq % 3 = 0").select("node_id", F.lit("## Takeaway\n\nT.\n\n## Details\nshort").alias("content"))
+    return L.oversized_plan(n, short, 900).select("node_id", "action")
