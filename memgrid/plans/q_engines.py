@@ -46,7 +46,7 @@ def lesson_cap(t):
 def deterministic_embed(t):
     """V4: vectors of the notes; as numbers that a run on other data can be held against."""
     v = t.nodes().select("node_id", engines.embedded(F.col("content"), dimension=64).alias("embedding"))
-    return v.select("node_id", F.round(V.dot("embedding", "embedding"), 4).alias("norm"))
+    return v.select("node_id", F.round(V.dot("embedding", "embedding"), 4).alias("norm"), F.sha2(F.to_json(F.transform("embedding", lambda x: F.round(x, 6))), 256).alias("digest"))
 
 
 _C = "c AS (SELECT label, node_id FROM lab WHERE label IN (SELECT label FROM lab GROUP BY label HAVING count(*) BETWEEN 3 AND 20)), cov AS (SELECT label FROM (SELECT c.label, h.node_id, count(*) AS k FROM c JOIN (SELECT DISTINCT node_id, unnest(sources) AS s FROM nodes WHERE status = 'active' AND okf_type IS NOT NULL) h ON h.s = c.node_id WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.label = c.label AND x.node_id = h.node_id) GROUP BY ALL) JOIN (SELECT label, count(*) AS n FROM c GROUP BY label) USING (label) WHERE k >= 0.7 * n)"
