@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +80,13 @@ def scratch() -> Iterator[None]:
         yield
     finally:
         _noted.remove(notes)
-        for spark, path, schema in notes:
-            spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+        def empty(note: tuple) -> None:
+            spark, path, schema = note
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+        with ThreadPoolExecutor(8) as pool:  # small jobs, side by side
+            list(pool.map(empty, notes))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
