@@ -45,10 +45,9 @@ def leg_scores(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     cut into tokens once for their postings, of which only those that some query asks for leave the
     task, with the length of their node, and once for the lengths' sum. leg is null while both are the same.
     """
-    terms = queries.select("query_id", F.posexplode(or_terms(F.col("text"))).alias("term", "t")).select("query_id", fts_tokens(F.col("t")).alias("tokens")).withColumn("size", F.size("tokens")).where("size > 0")
+    terms = queries.select("query_id", F.posexplode(or_terms(F.col("text"))).alias("term", "t")).select("query_id", fts_tokens(F.col("t")).alias("tokens")).where(F.size("tokens") > 0).select("query_id", F.array_join("tokens", " ").alias("phrase"))
     # the same phrase in several queries is looked up once
-    phrases = terms.select("tokens", "size").distinct()
-    wanted = phrases.select("tokens", "size", F.posexplode("tokens").alias("i", "token"))
+    wanted = terms.select("phrase").distinct().select("phrase", F.split("phrase", " ").alias("tokens")).select("phrase", F.size("tokens").alias("size"), F.posexplode("tokens").alias("i", "token"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     def posts(fields: Column, leg: Column) -> Column:
@@ -59,17 +58,20 @@ def leg_scores(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     same = F.col("bigram").isNull()
     both = F.when(same, posts(F.col("plain"), F.lit(None).cast("int"))).otherwise(F.concat(posts(F.col("plain"), F.lit(0)), posts(F.col("bigram"), F.lit(1))))
     rows = cut.select("node_id", length(F.col("plain")).alias("len0"), length(F.coalesce("bigram", "plain")).alias("len1"), F.explode(both).alias("p")).select("node_id", "len0", "len1", "p.*")
-    found = rows.join(wanted, "token").groupBy("tokens", "size", "node_id", "leg", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("votes"), F.first("len0").alias("len0"), F.first("len1").alias("len1"))
-    tf = found.where("votes = size").groupBy("tokens", "node_id", "leg").agg(F.count("*").alias("tf"), F.first("len0").alias("len0"), F.first("len1").alias("len1"))
-    tf = tf.select("tokens", "node_id", "tf", "len0", "len1", F.explode(F.when(F.col("leg").isNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array("leg"))).alias("leg"))
-    tf = tf.select("tokens", "node_id", "tf", "leg", F.when(F.col("leg") == 0, F.col("len0")).otherwise(F.col("len1")).alias("len"))
-    df = tf.groupBy("tokens", "leg").agg(F.count("*").alias("df"))
+    # a word alone needs no vote; a node's postings are in one task, so both counts add up there
+    start = F.when(F.col("size") > 1, F.col("pos") - F.col("i"))
+    found = rows.join(wanted, "token").groupBy("node_id", "phrase", "leg", "size", "len0", "len1", start.alias("start")).agg(F.count("*").alias("votes"))
+    times = F.when(F.col("size") == 1, F.col("votes")).otherwise((F.col("votes") == F.col("size")).cast("long"))
+    tf = found.groupBy("node_id", "phrase", "leg", "len0", "len1").agg(F.sum(times).alias("tf")).where("tf > 0")
+    tf = tf.select("phrase", "node_id", "tf", "len0", "len1", F.explode(F.when(F.col("leg").isNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array("leg"))).alias("leg"))
+    tf = tf.select("phrase", "node_id", "tf", "leg", F.when(F.col("leg") == 0, F.col("len0")).otherwise(F.col("len1")).alias("len"))
+    df = tf.groupBy("phrase", "leg").agg(F.count("*").alias("df"))
     total = cut.agg(F.count("*").alias("n"), F.sum(length(F.col("plain"))).alias("sum0"), F.sum(length(F.coalesce("bigram", "plain"))).alias("sum1"))  # one row
     idf = F.greatest(F.lit(1e-6), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    df = df.crossJoin(F.broadcast(total)).select("tokens", "leg", idf.alias("idf"), (F.when(F.col("leg") == 0, F.col("sum0")).otherwise(F.col("sum1")) / F.col("n")).alias("avg"))
+    df = df.crossJoin(F.broadcast(total)).select("phrase", "leg", idf.alias("idf"), (F.when(F.col("leg") == 0, F.col("sum0")).otherwise(F.col("sum1")) / F.col("n")).alias("avg"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    weight = tf.join(df, ["tokens", "leg"]).select("tokens", "leg", "node_id", part.alias("part"))
-    return terms.select("query_id", "tokens").join(weight, "tokens").groupBy("query_id", "leg", "node_id").agg(F.sum("part").alias("score"))
+    weight = tf.join(df, ["phrase", "leg"]).select("phrase", "leg", "node_id", part.alias("part"))
+    return terms.join(weight, "phrase").groupBy("query_id", "leg", "node_id").agg(F.sum("part").alias("score"))
 
 
 def bm25(queries: DataFrame, nodes: DataFrame, bigrams: bool = False) -> DataFrame:
