@@ -34,7 +34,7 @@ from memgrid.llm.common import arrow_map, texts_of
 RANKS = "byte_bpe_50k.tiktoken"
 LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS = 256, 8, 1024
 #: Pieces, and pairs of tokens, whose encoding a worker remembers, and bytes of the longest such piece; so the memory is bounded, too.
-CACHE, PAIRS, CACHE_BYTES = 100_000, 50_000, 128
+CACHE, PAIRS, CACHE_BYTES = 60_000, 30_000, 128
 #: Characters after its end that a match may depend on, and the first window to the right of a seam.
 LOOK, WINDOW = 3, 64
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -114,6 +115,14 @@ def slices(batch: pa.RecordBatch, rows: int | None = None) -> Iterator[pa.Record
         at = end
 
 
+def give_back() -> None:
+    """Returns memory that a finished task has freed to the system; a worker waits for the next stage, maybe of another kind, with what it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with a function that is made once for each task, on slices of the batches."""
 
@@ -121,6 +130,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
         f = make()
         for batch in batches:
             yield from map(f, slices(batch))
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -133,6 +143,7 @@ def arrow_filter(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], li
         for batch in batches:
             for part in slices(batch):
                 yield part.filter(pa.array(keep(part), pa.bool_()))
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 
@@ -146,6 +157,7 @@ def arrow_replace(df: DataFrame, column: str, make: Callable[[], Callable[[str |
             for part in slices(batch):
                 i = part.schema.get_field_index(column)
                 yield part.set_column(i, part.schema.field(i), pa.array(map(f, part.column(i).to_pylist()), part.schema.field(i).type))
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 
