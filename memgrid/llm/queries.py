@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memgrid.llm import bpe, decontaminate, hmm, language_id, near_duplicates, quality, quality_rules, secret_scan, token_counts, url_filter
+from memgrid.llm import alignment, bpe, decontaminate, hmm, language_id, mixing, near_duplicates, quality, quality_rules, secret_scan, token_counts, url_filter, whitening
 from memgrid.llm.common import read
 
 
@@ -55,5 +55,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_near_duplicates, op4_language, op5_quality, op6_urls, op7_decontaminate, op8_token_counts, op9_language_model, op10_quality_rules)}
-ORACLES = {"op6_urls": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = read(spark, sf_dir, "embeddings")
+    found = whitening.whiten(embeddings, whitening.fit(embeddings))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.schedule(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("taken_turns")).alias("taken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_near_duplicates, op4_language, op5_quality, op6_urls, op7_decontaminate, op8_token_counts, op9_language_model, op10_quality_rules, op11_whitening, op12_alignment, op13_mixing)}
+ORACLES = {"op6_urls": url_filter.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_quality_rules": quality_rules.ORACLE, "op13_mixing": mixing.ORACLE}
