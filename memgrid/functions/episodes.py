@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -9,17 +11,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memgrid.functions.knowledge import PROVENANCE
-from memgrid.functions.text import accents, sections
+from memgrid.functions.text import sections
 
 #: Words that a slug leaves out; kinds by how much they matter.
-SLUG_STOPWORDS = "a an and are as at by for from in is of on or the to with".split()
+SLUG_STOPWORDS = (
+    "a", "an", "the", "of", "to", "for", "and", "or", "in", "on", "at", "by", "is", "are", "be", "with", "via", "from", "into", "as", "that", "this",
+    "it", "its", "when", "then", "than", "if", "but", "not", "no", "do", "does", "did", "can", "could", "should", "would", "will", "was", "were",
+    "has", "have", "had", "also", "which", "who", "whom", "whose", "what", "how", "why", "where", "while", "during", "about", "after",
+    "before", "between", "under", "over", "again", "further", "once", "here", "there", "all", "any", "both", "each", "few", "more",
+    "most", "other", "some", "such", "only", "own", "same", "so", "too", "very", "s", "t", "just", "don", "now",
+)
 PRIORITY = ("pitfall", "decision", "procedure", "fact")
 
 
+def ascii_letters() -> tuple[str, str]:
+    """Characters whose compatibility decomposition has one ASCII letter or digit, and those."""
+    pairs = {}
+    for i in range(0x80, 0x10000):
+        base = [c for c in unicodedata.normalize("NFKD", chr(i)) if c.isascii()]
+        if len(base) == 1 and base[0].isalnum():
+            pairs[chr(i)] = base[0]
+    return "".join(pairs), "".join(pairs.values())
+
+
 def english_slug(title: Column) -> Column:
-    """up to eight telling words and 48 characters; '' if fewer than two words or eight characters are left."""
-    a, b = accents()
-    words = F.regexp_extract_all(F.translate(F.lower(title), a, b), F.lit("[a-z0-9]+"), F.lit(0))
+    """up to eight telling words and 48 characters; '' if fewer than two words or eight characters are left.
+
+    Characters that do not come down to one of ASCII go, and do not part words.
+    """
+    a, b = ascii_letters()
+    plain = F.lower(F.regexp_replace(F.translate(title, a, b), r"[^\x00-\x7F]+", ""))
+    words = F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0))
     telling = F.filter(words, lambda w: ~w.isin(*SLUG_STOPWORDS) & ~F.rlike(w, F.lit(r"^\d+$")))
     chosen = F.when(F.size(telling) > 0, telling).otherwise(words)
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"), F.lit(False).alias("end"))

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 CJK = r"[\x{4E00}-\x{9FFF}]"
 #: Words that a query leaves out.
 STOPWORDS = (
-    "the a an and or of to in is are was for on it this that with as be at by from but not what how why do does can should would please tell me about "
-    "的 了 是 在 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 先 吧 呢 吗 啊 把 给 让 用 能 没 还 再 才 只 等 被 跟 对 下 里 来"
-).split()
+    "the", "a", "an", "and", "or", "of", "to", "in", "is", "are", "was", "for", "on", "it", "this", "that", "with", "as", "be", "at", "by", "from",
+    "but", "not", "what", "how", "why", "do", "does", "can", "should", "would", "please", "tell", "me", "about",
+    "的", "了", "是", "在", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有",
+    "看", "好", "自己", "这", "先", "吧", "呢", "吗", "啊", "把", "给", "让", "用", "能", "没", "还", "再", "才", "只", "等", "被", "跟", "对", "下",
+    "里", "来",
+)
 MAX_TERMS = 24
 
 

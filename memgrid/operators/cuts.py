@@ -12,20 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """checkpoint() in the folder that spark.checkpoint.dir names, or a persist where none is set (one process)."""
-    context, shared = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not context.getCheckpointDir():
-        return lambda df: df.persist()
+    """checkpoint() in the folder that driver and executors share; see shared_folder()."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(spark))
     return lambda df: df.checkpoint()
 
 
 _own: dict[str, str] = {}
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or where that is unset and Spark runs in one process a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and Spark runs in one process a temporary one."""
     shared, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not shared:
         if not (context.master == "local" or context.master.startswith("local[")):
@@ -34,4 +32,9 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             _own[context.applicationId] = tempfile.mkdtemp(prefix="memgrid-")
             atexit.register(shutil.rmtree, _own[context.applicationId], ignore_errors=True)
         shared = _own[context.applicationId]
-    return f"{shared.rstrip('/')}/memgrid-{name}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder within the shared one."""
+    return f"{shared_folder(spark)}/memgrid-{name}-{uuid.uuid4().hex}"

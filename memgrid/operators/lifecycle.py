@@ -339,7 +339,7 @@ def semantic_merge(nodes: DataFrame, clusters: DataFrame, drafts: DataFrame, now
 PASSES = 3
 
 
-def siblings(nodes: DataFrame, limit: int) -> DataFrame:
+def siblings(nodes: DataFrame, limit: int | Column) -> DataFrame:
     """Parts of notes that are too long: node_id, part, part_id, title, content; part is null for a note that can't be split.
 
     Knowledge sections are packed in order, none is cut. Each part has the takeaway, links to its
@@ -350,10 +350,10 @@ def siblings(nodes: DataFrame, limit: int) -> DataFrame:
     head = F.concat(F.lit("## Takeaway\n\n"), t, F.lit("\n\n"))
     foot = F.concat(F.lit("\n\n## Sources\n\n- [["), F.col("node_id"), F.lit("]]"))
     rest = F.array_join(F.transform(F.filter(sections(F.col("content")), lambda s: F.lower(s["heading"]) != "takeaway"), lambda s: F.concat(F.lit("## "), s["heading"], F.lit("\n"), s["body"])), "\n\n")
-    df = nodes.select("node_id", "title", head.alias("head"), foot.alias("foot"), rest.alias("rest"), F.lit(1).alias("n"))
+    df = nodes.select("node_id", "title", head.alias("head"), foot.alias("foot"), rest.alias("rest"), F.lit(1).alias("n"), (F.lit(limit) if isinstance(limit, int) else limit).alias("most"))
     name = F.octet_length("node_id") + 20
     for _ in range(PASSES):
-        room = F.lit(limit) - F.octet_length("head") - F.octet_length("foot") - F.octet_length(F.lit("\n\n## Related\n")) - F.col("n") * name
+        room = F.col("most") - F.octet_length("head") - F.octet_length("foot") - F.octet_length(F.lit("\n\n## Related\n")) - F.col("n") * name
         df = df.withColumn("parts", shards(F.col("rest"), room)).withColumn("n", F.coalesce(F.nullif(F.size("parts"), F.lit(-1)), F.col("n")))
     df = df.select("node_id", "title", "head", "foot", F.size("parts").alias("n"), F.posexplode_outer("parts").alias("k", "body"))
     of = lambda k: F.concat(F.col("node_id"), F.lit("_part_"), k.cast("string"))
@@ -363,15 +363,15 @@ def siblings(nodes: DataFrame, limit: int) -> DataFrame:
     return df.select("node_id", part, F.when(F.col("k").isNotNull(), of(F.col("k") + 1)).alias("part_id"), F.concat("title", F.lit(" — part "), (F.col("k") + 1).cast("string")).alias("title"), F.when(F.col("n") > 0, content).alias("content"))
 
 
-def oversized_plan(nodes: DataFrame, compacted: DataFrame, limit: int, required: tuple[str, ...] = ()) -> DataFrame:
+def oversized_plan(nodes: DataFrame, compacted: DataFrame, limit: int | Column, required: tuple[str, ...] = ()) -> DataFrame:
     """What becomes of each note over limit bytes (node_id, action): compacted, split, or attempted, which is not tried again with this text.
 
     compacted: node_id, content, a shorter version by a hook. It is taken if it is short enough and
     loses nothing important; else the note is split if its sections allow it.
     """
-    big = nodes.where(F.octet_length("content") > limit)
+    big = nodes.withColumn("most", F.lit(limit) if isinstance(limit, int) else limit).where(F.octet_length("content") > F.col("most"))
     c = compacted.select("node_id", F.col("content").alias("short"))
-    fits = F.coalesce((F.octet_length("short") <= limit) & compaction_ok(F.col("content"), F.col("short"), required), F.lit(False))
-    parts = siblings(big, limit).groupBy("node_id").agg(F.count("part").alias("parts"))
+    fits = F.coalesce((F.octet_length("short") <= F.col("most")) & compaction_ok(F.col("content"), F.col("short"), required), F.lit(False))
+    parts = siblings(big, F.col("most")).groupBy("node_id").agg(F.count("part").alias("parts"))
     df = big.join(c, "node_id", "left").join(parts, "node_id")
     return df.select("node_id", F.when(fits, "compacted").when(F.col("parts") > 1, "split").otherwise("attempted").alias("action"), F.when(fits, 1).otherwise(F.col("parts")).cast("int").alias("parts"))

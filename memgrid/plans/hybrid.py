@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memgrid.functions import scoring as S
-from memgrid.operators import lexical, nodes as N, vectors as V
+from memgrid.operators import lexical, lexical_index, nodes as N, vectors as V
 from memgrid.operators.cuts import checkpointed
 
 MAX_CANDIDATES, LEG_LIMIT, TOP_K, RRF_K = 9, 20, 5, 60
@@ -58,14 +58,17 @@ def scored(candidates: DataFrame, now: str) -> DataFrame:
     return candidates.withColumn("score", F.col("rerank_score") + penalty)
 
 
-def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, now: str, keep: Column | None = None, top_k: int = TOP_K, max_candidates: int = MAX_CANDIDATES, chunks: DataFrame | None = None, reranks: bool = True) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, now: str, keep: Column | None = None, top_k: int = TOP_K, max_candidates: int = MAX_CANDIDATES, chunks: DataFrame | None = None, reranks: bool = True, index: lexical_index.LexicalIndex | None = None) -> DataFrame:
     """Results of each query (query_id, text, vector): query_id, pos, node_id, rerank_score, score, is_anchor, inject.
 
     V3: chunks (query_id, chunk > 0, vector) of a long query each vote as a dense leg of their own.
     R3: without a reranker (reranks false) all rerank scores are 0, and penalties alone decide.
+    The lexical leg reads a stored index of the nodes; without one it cuts all of them into tokens.
     """
     allowed = nodes.where(keep) if keep is not None else nodes
-    lex = lexical.merged_legs(queries.select("query_id", "text"), nodes, LEG_LIMIT).select("query_id", F.lit("lexical").alias("leg"), "node_id", "rank")
+    asked_texts = queries.select("query_id", "text")
+    lex = lexical_index.merged(index, asked_texts, LEG_LIMIT) if index else lexical.merged_legs(asked_texts, nodes, LEG_LIMIT)
+    lex = lex.select("query_id", F.lit("lexical").alias("leg"), "node_id", "rank")
     asked = queries.select("query_id", F.lit(0).alias("chunk"), "vector")
     if chunks is not None:
         asked = asked.unionByName(chunks.select("query_id", "chunk", "vector"))

@@ -261,27 +261,28 @@ def _merged(t):
 
 
 def _long(t):
-    """Notes of twelve sections, or of one, as long as all of them."""
-    w = F.concat(F.lit("z"), F.substring(F.regexp_replace("content", "[^a-zA-Z]+", " "), 1, 120))
-    many = F.concat(F.lit("## Takeaway\n\nT.\n\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.concat(F.lit("## S"), F.char(k + 96), F.lit("\n"), w, F.repeat(F.lit("."), 60))), "\n\n"))
-    one = F.concat(F.lit("## Takeaway\n\nT.\n\n## Details\n"), F.repeat(F.lit("word "), 500))
-    return t.nodes().select("seq", "node_id", "title", F.when(F.col("seq") % 4 == 0, one).otherwise(many).alias("content"))
+    """Notes of three to twelve sections, the first with the whole text, or of one that can't be split; `most` is 500 bytes more than the text."""
+    w = F.concat(F.lit("z"), F.regexp_replace("content", "[^a-zA-Z]+", " "))
+    body = lambda k: F.concat(F.lit("## S"), F.char(k + 96), F.lit("\n"), F.when(k == 1, w).otherwise("z"), F.repeat(F.lit("."), 60))
+    many = F.concat(F.lit("## Takeaway\n\nT.\n\n"), F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("seq") % 10 + 3), body), "\n\n"))
+    one = F.concat(F.lit("## Takeaway\n\nT.\n\n## Details\n"), w, F.repeat(F.lit(" word"), 140))
+    return t.nodes().select("seq", "node_id", "title", F.when(F.col("seq") % 4 == 0, one).otherwise(many).alias("content"), (F.length(w) + 500).alias("most"))
 
 
-@query(sql("SELECT seq, CASE WHEN seq % 4 > 0 THEN 12 ELSE 0 END AS sections, true AS fits, true AS linked FROM nodes"))
+@query(sql("SELECT seq, CASE WHEN seq % 4 > 0 AND seq % 10 >= 4 THEN CAST(seq % 10 + 3 AS INTEGER) ELSE 0 END AS sections, true AS fits, true AS linked FROM nodes"))
 def sibling_parts(t):
     """All sections are in some part, each part is short enough, and links to each other one."""
     n = _long(t)
-    p = L.siblings(n, 900)
+    p = L.siblings(n, F.col("most"))
     size = p.groupBy("node_id").agg(F.count("part").alias("n"))
-    p = p.join(size, "node_id").withColumns({"s": F.regexp_count("content", F.lit(r"(?m)^## S[a-l]$")), "l": F.regexp_count("content", F.lit(r"_part_\d+\]\]"))})
-    p = p.groupBy("node_id").agg(F.coalesce(F.sum("s"), F.lit(0)).cast("int").alias("sections"), F.bool_and(F.coalesce(F.octet_length("content") <= 900, F.lit(True))).alias("fits"), F.bool_and(F.coalesce(F.col("l") == F.col("n") - 1, F.lit(True))).alias("linked"))
+    p = p.join(size, "node_id").join(n.select("node_id", "most"), "node_id").withColumns({"s": F.regexp_count("content", F.lit(r"(?m)^## S[a-l]$")), "l": F.regexp_count("content", F.lit(r"_part_\d+\]\]"))})
+    p = p.groupBy("node_id").agg(F.coalesce(F.sum("s"), F.lit(0)).cast("int").alias("sections"), F.bool_and(F.coalesce(F.octet_length("content") <= F.col("most"), F.lit(True))).alias("fits"), F.bool_and(F.coalesce(F.col("l") == F.col("n") - 1, F.lit(True))).alias("linked"))
     return n.join(p, "node_id").select("seq", "sections", "fits", "linked")
 
 
-@query(sql("SELECT node_id, CASE WHEN seq % 3 = 0 THEN 'compacted' WHEN seq % 4 > 0 THEN 'split' ELSE 'attempted' END AS action FROM nodes"))
+@query(sql("SELECT node_id, CASE WHEN seq % 3 = 0 THEN 'compacted' WHEN seq % 4 > 0 THEN 'split' ELSE 'attempted' END AS action FROM nodes WHERE seq % 4 = 0 OR seq % 10 >= 5"))
 def oversized_actions(t):
-    """Every third note has a compact version."""
+    """Of the notes that are over their limit; every third one has a compact version."""
     n = _long(t)
     short = n.where("seq % 3 = 0").select("node_id", F.lit("## Takeaway\n\nT.\n\n## Details\nshort").alias("content"))
-    return L.oversized_plan(n, short, 900).select("node_id", "action")
+    return L.oversized_plan(n.drop("seq"), short, F.col("most")).select("node_id", "action")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from memgrid.functions import scoring as S
 from memgrid.functions.text import STOPWORDS
-from memgrid.operators import lexical as L, nodes as N
+from memgrid.operators import lexical_index as X, nodes as N
+from memgrid.operators.cuts import scratch_folder
 from memgrid.plans import hybrid as H
 from memgrid.plans.catalog import query
 from memgrid.sources.logical import NOW, sql
@@ -52,17 +53,28 @@ CTX = [DEG, SES]
 
 @query(sql("SELECT query_id, node_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM leg", *LEX))
 def bm25_leg(t):
-    return L.ranked(L.bm25(queries_of(t), t.nodes()), 20).withColumn("score", F.round("score", 6))
+    return t.lexical_index().top(queries_of(t), 20).where("leg = 0").select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(sql("SELECT query_id, node_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM mg", *LEX))
 def lexical_merge(t):
-    return L.merged_legs(queries_of(t), t.nodes()).withColumn("score", F.round("score", 6))
+    return X.merged(t.lexical_index(), queries_of(t)).withColumn("score", F.round("score", 6))
 
 
 @query(sql("SELECT query_id, CAST(count(node_id) AS BIGINT) AS hits FROM q LEFT JOIN mg USING (query_id) GROUP BY query_id", *LEX))
 def lexical_hits(t):
-    return L.hit_count(queries_of(t), t.nodes())
+    return X.hit_count(t.lexical_index(), queries_of(t))
+
+
+@query(sql("SELECT query_id, node_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM leg", *LEX))
+def lexical_index_changes(t):
+    """The index of notes as they once were (a third not there yet, a third shorter, some since gone), after what has changed."""
+    n = t.nodes().select("seq", "node_id", "title", "content", "tags")
+    gone = n.where("seq % 4 = 0").withColumn("node_id", F.concat(F.lit("gone"), F.col("node_id")))
+    once = n.where("seq % 3 > 0").withColumn("content", F.when(F.col("seq") % 3 == 1, F.reverse("content")).otherwise(F.col("content")))
+    index = X.LexicalIndex.build(once.union(gone), scratch_folder(t.spark, "lexical"))
+    index = index.changed(n.where("seq % 3 < 2"), gone.select("node_id"))
+    return index.top(queries_of(t), 20).where("leg = 0").select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(sql("SELECT query_id, node_id, round(score, 6) AS score, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS pos FROM (SELECT query_id, node_id, max(1 / (60 + rank)) AS score FROM (SELECT seq % 30 AS query_id, 'a' AS leg, node_id, row_number() OVER (PARTITION BY seq % 30 ORDER BY used_count DESC, node_id) AS rank FROM nodes UNION ALL SELECT seq % 30, 'b', node_id, row_number() OVER (PARTITION BY seq % 30 ORDER BY retrieved_count DESC, node_id) FROM nodes) GROUP BY ALL)) WHERE pos <= 9"))
@@ -108,7 +120,7 @@ CANDIDATES = [
 @query(sql(f"SELECT query_id, CAST(pos AS INTEGER) AS pos, node_id, rerank_score, score, anchor AS is_anchor, rerank_score >= 0.25 AND rerank_score >= max(rerank_score) OVER (PARTITION BY query_id) - 2.5 AND verified IS DISTINCT FROM false AS inject FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS pos FROM (SELECT *, round(rerank_score + {_PEN} + {_STATUS}, 6) AS score FROM rk JOIN deg USING (node_id) LEFT JOIN ses USING (project))) WHERE pos <= 5", *LEX, *LEGS, *CTX, *CANDIDATES, *RERANK))
 def hybrid_search(t):
     keep = ~((F.col("type") == "transient") & (F.col("seq") % 10 == 0))
-    return H.search(queries_of(t), t.nodes(), t.edges(), t.vectors(), NOW, keep)
+    return H.search(queries_of(t), t.nodes(), t.edges(), t.vectors(), NOW, keep, index=t.lexical_index())
 
 
 _FOUND = f"sc AS (SELECT query_id // 4 AS draft_id, query_id, node_id, round(rerank_score + {_PEN} + {_STATUS}, 6) AS score FROM rk JOIN deg USING (node_id) LEFT JOIN ses USING (project)), fit AS (SELECT * FROM sc WHERE least(1, greatest(0, score)) >= 0.3), top AS (SELECT draft_id, node_id, max(score) AS best FROM fit GROUP BY ALL), since AS (SELECT draft_id, node_id, best, min(query_id) AS q0 FROM fit JOIN top USING (draft_id, node_id) WHERE score = best GROUP BY ALL)"
@@ -118,7 +130,7 @@ _FOUND = f"sc AS (SELECT query_id // 4 AS draft_id, query_id, node_id, round(rer
 def write_candidates(t):
     """Every four queries are one draft's."""
     keep = ~((F.col("type") == "transient") & (F.col("seq") % 10 == 0))
-    found = H.search(queries_of(t), t.nodes(), t.edges(), t.vectors(), NOW, keep, top_k=H.MAX_CANDIDATES)
+    found = H.search(queries_of(t), t.nodes(), t.edges(), t.vectors(), NOW, keep, top_k=H.MAX_CANDIDATES, index=t.lexical_index())
     found = H.write_candidates(found.selectExpr("query_id div 4 draft_id", "query_id", "node_id", "score"))
     return found.withColumn("matched", F.array_join("matched", ","))
 

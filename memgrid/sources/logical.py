@@ -13,6 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memgrid.operators.cuts import scratch_folder
+from memgrid.operators.lexical_index import LexicalIndex
+
 NOW = "2024-01-31 00:00:00"
 NOW_S = 1_706_659_200
 
@@ -100,7 +103,7 @@ def write_columns(d: Dialect) -> dict[str, str]:
 
 
 def run_columns(d: Dialect) -> dict[str, str]:
-    """Runs of the distiller, one for each order of the first tenth of the keys."""
+    """Runs of the distiller, one for each order."""
     o = "o_orderkey"
     attempt = d.struct(
         {
@@ -124,6 +127,10 @@ def run_columns(d: Dialect) -> dict[str, str]:
 COUNTERS = {"retrieved": "view", "injected": "click", "used": "purchase"}
 
 
+#: Folders of the lexical indexes that this application has written, by application and data folder.
+_indexes: dict[tuple[str, str], str] = {}
+
+
 class Tables:
     """DataFrames of the logical tables of one data folder."""
 
@@ -153,6 +160,15 @@ class Tables:
     def vectors(self) -> DataFrame:
         return self.raw("embeddings").selectExpr(f"{nid('vec_id')} node_id", "cast(embedding as array<double>) embedding")
 
+    def lexical_index(self, anew: bool = False) -> LexicalIndex:
+        """The stored index of the notes; written once for an application, or `anew`."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if anew or key not in _indexes:
+            path = scratch_folder(self.spark, "lexical")
+            LexicalIndex.build(self.nodes(), path)
+            _indexes[key] = path
+        return LexicalIndex.open(self.spark, _indexes[key])
+
     def searches(self) -> DataFrame:
         return self.raw("events").selectExpr(*[f"{v} as {k}" for k, v in search_columns(SPARK, self.n()).items()])
 
