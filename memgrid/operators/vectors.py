@@ -12,11 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memgrid.functions.text import inferred_project, jaccard, project_slug, token_set
+from memgrid.operators.blocks import BLOCK, PER_BLOCK, PER_QUERY_BLOCK, Nearest
 from memgrid.operators.cuts import checkpointed
-
-BLOCK = 1024
-#: Vectors to a block of the similarity join.
-PER_BLOCK = 8192
+from memgrid.operators.vector_cells import VectorIndex, similar_pairs
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -46,37 +44,8 @@ def changed(vectors: DataFrame, upserts: DataFrame, deletes: DataFrame) -> DataF
     return vectors.join(gone, "node_id", "left_anti").unionByName(upserts.select("node_id", "embedding"))
 
 
-#: Numbers in the queries' vectors (64 MB) up to which they are sent to each task; and queries of a block beyond that.
-SENT, PER_QUERY_BLOCK = 8_000_000, 4096
-
-
-class _Nearest:
-    """The k nearest of what was seen so far for each of a block of queries; ties go to the lower id."""
-
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
-        self.ids, self.k = ids, k
-        self.q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        self.best: list[list[tuple[float, str]]] = [[] for _ in ids]
-
-    def see(self, names: np.ndarray, vectors: list) -> None:
-        fits = np.array([x is not None and len(x) == self.q.shape[1] for x in vectors], bool)
-        names = names[fits]
-        if not len(names):
-            return
-        m = np.array([x for x, f in zip(vectors, fits, strict=True) if f], float)
-        for at in range(0, len(self.q), 256):
-            d = np.round(1 - np.clip(self.q[at : at + 256] @ m.T, -1, 1), 8) + 0.0
-            cut = np.partition(d, self.k - 1, axis=1)[:, self.k - 1] if d.shape[1] > self.k else d.max(1)
-            for i, row in enumerate(d):
-                own = self.best[at + i]
-                most = min(cut[i], own[-1][0]) if len(own) == self.k else cut[i]
-                new = np.flatnonzero(row <= most)
-                if len(new):
-                    self.best[at + i] = sorted([*own, *zip(row[new].tolist(), names[new].tolist(), strict=True)])[: self.k]
-
-    def found(self) -> pa.RecordBatch:
-        rows = [(i, name, d) for i, best in zip(self.ids.tolist(), self.best, strict=True) for d, name in best]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "node_id", "distance"])
+#: Numbers in the queries' vectors (64 MB) up to which they are sent to each task.
+SENT = 8_000_000
 
 
 def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, sent: int = SENT) -> DataFrame:
@@ -96,7 +65,7 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, sent: int = SENT)
         blocks = [(np.array([r.query_id for r in rows]), np.array([r.vector for r in rows], float)) for rows in by.values()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            near = [_Nearest(ids, q, k) for ids, q in blocks]
+            near = [Nearest(ids, q, k) for ids, q in blocks]
             for batch in batches:
                 names, rows = np.array(batch.column("node_id").to_pylist(), object), batch.column("embedding").to_pylist()
                 for x in near:
@@ -112,7 +81,7 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, sent: int = SENT)
         def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame([], columns=["query_id", "node_id", "distance"])
-            near = _Nearest(left.id.to_numpy(), np.vstack(left.vector.to_numpy()).astype(float), k)
+            near = Nearest(left.id.to_numpy(), np.vstack(left.vector.to_numpy()).astype(float), k)
             for at in range(0, len(right), BLOCK):
                 part = right.iloc[at : at + BLOCK]
                 near.see(part.node_id.to_numpy(object), list(part.embedding))
@@ -123,43 +92,6 @@ def top_k_many(vectors: DataFrame, queries: DataFrame, k: int, sent: int = SENT)
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, by: str | None = None, blocks: int | None = None) -> DataFrame:
-    """id_a, id_b, sim of pairs of unit vectors with one size (and one `by`) and sim >= threshold.
-
-    Vectors are dealt to blocks by a hash; a cell is a pair of blocks, and each vector goes to the
-    cells of its row and column: blocks copies. A cell is one matrix product, cut into strips.
-    blocks follows from the number of vectors (of the largest group, with `by`), so that a cell
-    holds about 2 x PER_BLOCK at the most.
-    """
-    if not blocks:
-        largest = vectors.groupBy(by).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] if by else vectors.count()
-        blocks = largest // PER_BLOCK + 1
-    group = F.coalesce(F.col(by), F.lit("")) if by else F.lit("")
-    df = vectors.where("embedding IS NOT NULL").select("node_id", "embedding", group.alias("g"), F.pmod(F.xxhash64("node_id"), F.lit(blocks)).cast("int").alias("b"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("b", k).alias("i"), F.greatest("b", k).alias("j")))
-    df = df.select("node_id", "embedding", "g", "b", F.explode(F.array_distinct(cells)).alias("c")).select("*", "c.i", "c.j", F.size("embedding").alias("d")).drop("c")
-
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf.i.iloc[0], pdf.j.iloc[0]
-        pdf = pdf.sort_values("node_id")
-        left, right = (pdf[pdf.b == k] for k in (i, j))
-        found = []
-        if len(left) and len(right):
-            m = np.vstack(right.embedding.to_numpy()).astype(float)
-            ids = right.node_id.to_numpy()
-            for at in range(0, len(left), BLOCK):
-                part = left.iloc[at : at + BLOCK]
-                s = np.clip(np.vstack(part.embedding.to_numpy()).astype(float) @ m.T, -1, 1)
-                x, y = np.where(s >= threshold - 1e-6)
-                a, b = part.node_id.to_numpy(str)[x], ids[y].astype(str)
-                sim = np.round(1 - np.round(1 - s[x, y], 8), 8)
-                keep = (sim >= threshold) & ((a != b) if i != j else (a < b))
-                found.append(pd.DataFrame({"id_a": np.where(a < b, a, b)[keep], "id_b": np.where(a < b, b, a)[keep], "sim": sim[keep]}))
-        return pd.concat(found) if found else pd.DataFrame([], columns=["id_a", "id_b", "sim"])
-
-    return df.groupBy("g", "d", "i", "j").applyInPandas(cell, "id_a string, id_b string, sim double")
-
-
 def unlinked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs that no edge links in either direction."""
     linked = edges.select(F.least("source_id", "target_id").alias("id_a"), F.greatest("source_id", "target_id").alias("id_b"))
@@ -171,13 +103,14 @@ def histogram(pairs: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     return pairs.select(F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col("sim") >= t)).alias("threshold")).groupBy("threshold").agg(F.count("*").alias("n"))
 
 
-def near_duplicates(vectors: DataFrame, nodes: DataFrame, sources: DataFrame, threshold: float = 0.88, candidates: int = 25, overlap: float | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, nodes: DataFrame, sources: DataFrame, threshold: float = 0.88, candidates: int = 25, overlap: float | None = None, index: VectorIndex | None = None) -> DataFrame:
     """Of each source's nearest `candidates` (itself among them) those that pass; the filter comes after the cut.
 
-    With `overlap`, the token sets of both contents must have that Jaccard similarity as well.
+    With `overlap`, the token sets of both contents must have that Jaccard similarity as well. With a
+    stored index of the vectors only cells that may hold one of the nearest are read.
     """
     q = sources.join(vectors, "node_id").select(F.xxhash64("node_id").alias("query_id"), F.col("node_id").alias("source"), F.col("embedding").alias("vector"))
-    hits = top_k_many(vectors, q, candidates).join(q.select("query_id", "source"), "query_id").where(F.col("node_id") != F.col("source")).withColumn("sim", F.round(1 - F.col("distance"), 8)).where(F.col("sim") >= threshold)
+    hits = (index.nearest(q, candidates) if index else top_k_many(vectors, q, candidates)).join(q.select("query_id", "source"), "query_id").where(F.col("node_id") != F.col("source")).withColumn("sim", F.round(1 - F.col("distance"), 8)).where(F.col("sim") >= threshold)
     fit = nodes.where("status = 'active' AND type = 'persistent' AND okf_type IS NOT NULL").select("node_id", F.coalesce("project", F.lit("")).alias("p"))
     own = nodes.select(F.col("node_id").alias("source"), F.coalesce("project", F.lit("")).alias("p"))
     hits = hits.join(fit, "node_id").join(own, ["source", "p"]).select("source", "node_id", "sim")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from memgrid.functions import scoring as S
 from memgrid.operators import lexical, lexical_index, nodes as N, vectors as V
 from memgrid.operators.cuts import checkpointed
+from memgrid.operators.vector_cells import VectorIndex
 
 MAX_CANDIDATES, LEG_LIMIT, TOP_K, RRF_K = 9, 20, 5, 60
 
@@ -58,12 +59,13 @@ def scored(candidates: DataFrame, now: str) -> DataFrame:
     return candidates.withColumn("score", F.col("rerank_score") + penalty)
 
 
-def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, now: str, keep: Column | None = None, top_k: int = TOP_K, max_candidates: int = MAX_CANDIDATES, chunks: DataFrame | None = None, reranks: bool = True, index: lexical_index.LexicalIndex | None = None) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame, now: str, keep: Column | None = None, top_k: int = TOP_K, max_candidates: int = MAX_CANDIDATES, chunks: DataFrame | None = None, reranks: bool = True, index: lexical_index.LexicalIndex | None = None, stored: VectorIndex | None = None) -> DataFrame:
     """Results of each query (query_id, text, vector): query_id, pos, node_id, rerank_score, score, is_anchor, inject.
 
     V3: chunks (query_id, chunk > 0, vector) of a long query each vote as a dense leg of their own.
     R3: without a reranker (reranks false) all rerank scores are 0, and penalties alone decide.
     The lexical leg reads a stored index of the nodes; without one it cuts all of them into tokens.
+    The dense legs read cells of stored vectors, or without those all vectors.
     """
     allowed = nodes.where(keep) if keep is not None else nodes
     asked_texts = queries.select("query_id", "text")
@@ -73,7 +75,9 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: Data
     if chunks is not None:
         asked = asked.unionByName(chunks.select("query_id", "chunk", "vector"))
     asked = asked.withColumn("ask", F.xxhash64("query_id", "chunk"))
-    dense = V.top_k_many(vectors, asked.selectExpr("ask query_id", "vector"), LEG_LIMIT).withColumnRenamed("query_id", "ask").join(asked.drop("vector"), "ask")
+    by_ask = asked.selectExpr("ask query_id", "vector")
+    hits = stored.nearest(by_ask, LEG_LIMIT) if stored else V.top_k_many(vectors, by_ask, LEG_LIMIT)
+    dense = hits.withColumnRenamed("query_id", "ask").join(asked.drop("vector"), "ask")
     dense = dense.select("query_id", F.concat(F.lit("dense"), F.col("chunk")).alias("leg"), "node_id", "rank")
     # a few rows for each query, which five later joins start from
     anchors = checkpointed(queries.sparkSession)(fused(reranked_legs(lex.unionByName(dense), allowed), max_candidates).select("query_id", "node_id", F.col("score").alias("anchor_score")))

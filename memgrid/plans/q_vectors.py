@@ -30,7 +30,7 @@ _DQ = "round(1 - greatest(-1, least(1, list_dot_product(a.embedding, CAST(b.embe
 @query(sql(f"SELECT query_id, node_id, greatest(0, round(d, 5)) AS distance, CAST(rank AS INTEGER) AS rank FROM (SELECT b.vec_id AS query_id, a.node_id, {_DQ} AS d, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_DQ}, a.node_id) AS rank FROM vectors a, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) b) WHERE rank <= 10"))
 def vector_search(t):
     q = t.raw("embeddings").where("vec_id % 100 = 0").selectExpr("vec_id query_id", "cast(embedding as array<double>) vector")
-    return V.top_k_many(t.vectors(), q, 10).withColumn("distance", F.greatest(F.lit(0.0), F.round("distance", 5)))
+    return t.vector_index().nearest(q, 10).withColumn("distance", F.greatest(F.lit(0.0), F.round("distance", 5)))
 
 
 @query(sql("SELECT id_a, id_b, round(sim, 5) AS sim FROM pairs WHERE sim >= 0.3", _V, _PAIRS))
@@ -72,7 +72,7 @@ _NN = f"nn AS (SELECT s.node_id AS source, a.node_id, 1 - round(1 - {_CLIP.forma
 @query(sql(f"SELECT source, n.node_id, round(sim, 5) AS sim FROM nn n JOIN nodes x ON x.node_id = n.node_id JOIN nodes y ON y.node_id = source WHERE r <= 25 AND n.node_id <> source AND sim >= 0.1 AND x.status = 'active' AND x.type = 'persistent' AND x.okf_type IS NOT NULL AND coalesce(x.project, '') = coalesce(y.project, '')", _NN))
 def near_duplicate_nodes(t):
     n = t.nodes()
-    return V.near_duplicates(t.vectors(), n, n.select("node_id"), 0.1).withColumn("sim", F.round("sim", 5))
+    return V.near_duplicates(t.vectors(), n, n.select("node_id"), 0.1, index=t.vector_index()).withColumn("sim", F.round("sim", 5))
 
 
 @query(sql("SELECT DISTINCT label FROM (SELECT c.label, h.node_id, count(*) AS k FROM c JOIN (SELECT DISTINCT node_id, unnest(sources) AS s FROM nodes WHERE status = 'active' AND okf_type IS NOT NULL) h ON h.s = c.node_id WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.label = c.label AND x.node_id = h.node_id) GROUP BY ALL) JOIN (SELECT label, count(*) AS n FROM c GROUP BY label) USING (label) WHERE k >= 0.7 * n", "c AS (SELECT seq // 2 AS label, node_id FROM nodes)"))
@@ -85,7 +85,7 @@ def covered_clusters(t):
 def near_duplicate_gate(t):
     """Near by vectors and by tokens."""
     n = t.nodes()
-    return V.near_duplicates(t.vectors(), n, n.select("node_id"), 0.1, overlap=0.3).withColumn("sim", F.round("sim", 5))
+    return V.near_duplicates(t.vectors(), n, n.select("node_id"), 0.1, overlap=0.3, index=t.vector_index()).withColumn("sim", F.round("sim", 5))
 
 
 @query(sql("SELECT id_a, id_b FROM pairs WHERE sim >= 0.3 ORDER BY id_a, id_b LIMIT 100", _V, _PAIRS))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from memgrid.operators.cuts import scratch_folder
 from memgrid.operators.lexical_index import LexicalIndex
+from memgrid.operators.vector_cells import VectorIndex
 
 NOW = "2024-01-31 00:00:00"
 NOW_S = 1_706_659_200
@@ -129,6 +130,7 @@ COUNTERS = {"retrieved": "view", "injected": "click", "used": "purchase"}
 
 #: Folders of the lexical indexes that this application has written, by application and data folder.
 _indexes: dict[tuple[str, str], str] = {}
+_vectors: dict[tuple[str, str], VectorIndex] = {}
 
 
 class Tables:
@@ -169,6 +171,13 @@ class Tables:
             _indexes[key] = path
         return LexicalIndex.open(self.spark, _indexes[key])
 
+    def vector_index(self) -> VectorIndex:
+        """The vectors stored by cell; written once for an application."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _vectors:
+            _vectors[key] = VectorIndex.build(self.vectors(), scratch_folder(self.spark, "vectors"))
+        return _vectors[key]
+
     def searches(self) -> DataFrame:
         return self.raw("events").selectExpr(*[f"{v} as {k}" for k, v in search_columns(SPARK, self.n()).items()])
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memgrid.functions import folds, knowledge as K, scoring as S, text as T
-from memgrid.operators import graph as G, lexical as L, lifecycle as B, nodes as N, vectors as V
+from memgrid.operators import graph as G, lexical as L, lifecycle as B, nodes as N, vector_cells as C, vectors as V
 from memgrid.plans import hybrid as H
 
 NODE = "node_id string, title string, content string, type string, status string, superseded_by string, okf_type string, project string, verified boolean, tags array<string>, sources array<string>, created_at timestamp, last_accessed timestamp, retrieved_count long, injected_count long, used_count long, access_count long"
@@ -68,18 +68,52 @@ def test_one_hop(spark):
 
 
 @pytest.mark.parametrize("threshold", [0.0, 0.5, 0.84])
-@pytest.mark.parametrize("blocks", [1, 3])
-def test_similar_pairs_equal_all_pairs(spark, threshold, blocks):
+@pytest.mark.parametrize(("k", "per_cell"), [(1, 8192), (1, 11), (6, 8192), (6, 3)])
+def test_similar_pairs_equal_all_pairs(spark, threshold, k, per_cell):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(8, 16))
     m = np.vstack([base[i % 8] + rng.normal(size=16) * 0.2 for i in range(40)])
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     rows = [(f"n{i:02}", v.tolist()) for i, v in enumerate(m)] + [("odd", [1.0, 0.0]), ("none", None)]
-    got = {(r.id_a, r.id_b): r.sim for r in V.similar_pairs(spark.createDataFrame(rows, "node_id string, embedding array<double>"), threshold, blocks=blocks).collect()}
+    df = spark.createDataFrame(rows, "node_id string, embedding array<double>")
+    got = {(r.id_a, r.id_b): r.sim for r in V.similar_pairs(df, threshold, centres=C.learned(df, k), per_cell=per_cell).collect()}
     want = {(f"n{i:02}", f"n{j:02}"): m[i] @ m[j] for i in range(40) for j in range(i + 1, 40) if round(1 - round(1 - m[i] @ m[j], 8), 8) >= threshold}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in got)
 
 
+def clustered(spark, n=400, d=12, seed=5, copies=60):
+    """Vectors around a few directions, many of them alike, and some that are odd."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(9, d))
+    m = np.vstack([base[i % 9] * 2 + rng.normal(size=d) * 0.3 for i in range(n)] + [base[0]] * copies)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    odd = [("zero", [0.0] * d), ("long", [3.0] * d), ("other", [1.0, 0.0]), ("none", None), ("empty", [])]
+    return spark.createDataFrame([(f"n{i:04}", v.tolist()) for i, v in enumerate(m)] + odd, "node_id string, embedding array<double>")
+
+
+def test_fewer_pairs_are_compared_as_the_threshold_rises(spark):
+    df = clustered(spark)
+    centres = C.learned(df, 9)
+    seen = [C.comparisons(df, t, centres=centres) for t in (-1.0, 0.5, 0.8, 0.95)]
+    assert seen == sorted(seen, reverse=True) and seen[0] >= 460 * 459 // 2 and seen[2] < 0.35 * seen[0]
+    assert C.comparisons(df, 0.8, centres=C.learned(df, 1)) >= 460 * 459 // 2
+
+
+@pytest.mark.parametrize(("k", "per_cell"), [(1, 8192), (9, 8192), (9, 8)])
+def test_stored_vectors_give_the_nearest(spark, tmp_path, k, per_cell, monkeypatch):
+    monkeypatch.setattr(C, "PER_BLOCK", per_cell)
+    df = clustered(spark)
+    index = C.VectorIndex.build(df, str(tmp_path / "v"), k=k)
+    rng = np.random.default_rng(1)
+    queries = [(i, v) for i, v in enumerate(rng.normal(size=(20, 12)).tolist())] + [(100 + i, r.embedding) for i, r in enumerate(df.where("node_id < 'n0010'").collect())] + [(200, [0.0] * 12), (201, [1.0, 1.0]), (202, None), (203, [1.0] * 5)]
+    q = spark.createDataFrame(queries, "query_id long, vector array<double>")
+    want = sorted(map(tuple, V.top_k_many(df, q, 7).collect()))
+    assert sorted(map(tuple, index.nearest(q, 7, count=True).collect())) == want
+    assert index.compared[0] <= index.compared[1] and (k == 1 or index.compared[0] < 0.75 * index.compared[1])
+    none = C.VectorIndex.build(df.where("false"), str(tmp_path / "none"))
+    assert none.nearest(q, 3).count() == 0
+
+
 def test_complete_linkage_does_not_chain(spark):
     nodes = node(spark, *({"node_id": x} for x in "abc"))
     v = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.92, 0.391918, 0.0]), ("c", [0.64, 0.768375, 0.0])], "node_id string, embedding array<double>")
