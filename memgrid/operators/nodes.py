@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memgrid.operators.prefixes import newest_longer
+
 STATUSES = ("active", "superseded", "disputed")
 #: Kinds of sources that nothing else stands behind.
 ROOT_PREFIXES = ("mem_session_", "skill://", "managed-skill:", "http://", "https://", "session:")
@@ -235,23 +237,17 @@ def exact_duplicates(nodes: DataFrame) -> DataFrame:
     return rows.join(keeper, ["t", "h"]).where("node_id <> keeper").select("node_id", "keeper")
 
 
-#: Characters after the title that texts must share before their prefixes are compared.
-HEAD = 64
-
-
 def prefix_duplicates(nodes: DataFrame) -> DataFrame:
     """Nodes whose collapsed content is a strict prefix of a newer one's with the same title; `newer` is the newest such.
 
-    Many texts may share a title, so longer texts are joined by what follows it as well; a text
-    that ends before that has few characters that can differ.
+    Copies of a text are one text in the pass over them; see prefixes.
     """
-    flat = nodes.select("node_id", "title", "created_at", F.lower(F.trim(F.regexp_replace("content", r"[ \t\n\x0B\f\r]+", " "))).alias("body"))
-    flat = flat.withColumn("head", F.expr(f"CASE WHEN length(body) >= length(title) + {HEAD} THEN left(body, length(title) + {HEAD}) END"))
-    a, b = flat.select([F.col(c).alias(f"a_{c}") for c in flat.columns]), flat.select([F.col(c).alias(f"b_{c}") for c in flat.columns])
-    longer = (F.col("a_created_at") < F.col("b_created_at")) & (F.length("a_body") < F.length("b_body")) & F.col("b_body").startswith(F.col("a_body"))
-    same = F.col("a_title") == F.col("b_title")
-    pairs = a.where("a_head IS NOT NULL").join(b, same & (F.col("a_head") == F.col("b_head")) & longer).unionByName(a.where("a_head IS NULL").join(b, same & longer))
-    return pairs.groupBy(F.col("a_node_id").alias("node_id")).agg(F.max(F.struct("b_created_at", "b_node_id")).alias("m")).select("node_id", F.col("m.b_node_id").alias("newer"))
+    body = F.lower(F.trim(F.regexp_replace("content", r"[ \t\n\x0B\f\r]+", " ")))
+    flat = nodes.select("node_id", "title", body.alias("body"), F.unix_micros("created_at").alias("stamp")).where("title IS NOT NULL AND body IS NOT NULL AND stamp IS NOT NULL")
+    key = F.unhex(F.sha2(F.concat(F.length("title").cast("string"), F.lit(" "), F.col("title"), F.col("body")), 256))
+    texts = flat.groupBy("title", "body").agg(F.max(F.struct("stamp", "node_id")).alias("m")).select(F.col("title").alias("grp"), "body", key.alias("key"), "m.stamp", F.col("m.node_id").alias("best"))
+    longer = newest_longer(texts.select("grp", "body", "key", "stamp", "best")).withColumnRenamed("stamp", "newer_stamp")
+    return flat.select("node_id", "stamp", key.alias("key")).join(longer, "key").where("stamp < newer_stamp").select("node_id", F.col("best").alias("newer"))
 
 
 def identical_active(drafts: DataFrame, nodes: DataFrame) -> DataFrame:
