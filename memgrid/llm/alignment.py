@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,8 +37,8 @@ from memgrid.llm.common import give_back, slices, written
 SIDE_A, SIDE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The property White_Space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-#: Units whose ids a worker remembers, and characters of the longest such unit; tokens of one block.
-CACHE, CACHE_CHARS, BLOCK = 150_000, 40, 1 << 15
+#: Units of each of the two generations that a worker remembers, and characters of the longest such unit; tokens of one block.
+CACHE, CACHE_CHARS, BLOCK = 200_000, 40, 1 << 15
 #: Pairs whose counts go to all tasks: 2^18 rows of 16 bytes.
 HEAD = 1 << 18
 #: Pairs that a task counts before it gives them out.
@@ -81,49 +82,64 @@ class Sides:
         self.unit = re.compile(f"{space}*[^{re.escape(SPACE)}]+{more}|{space}+")
         if any("▁" in p.lstrip("▁") for p in pieces):  # a piece over two words: no unit is safe
             self.unit = re.compile(r"(?s:.+)")
+        if len(ranks) < 256 or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("side A has no token for some byte")  # else its bytes are those of the text
+        #: Ids of units, those used of late and those before them.
         self.known: dict[str, tuple[bytes, bytes, bool]] = {}
-        self.kind_a, self.kind_b = (np.dtype("<u2" if len(x) <= 1 << 16 else "<u4") for x in (self.bytes_a, self.bytes_b))
+        self.before: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.kind_a, self.kind_b = (np.dtype("H" if len(x) <= 1 << 16 else "I") for x in (self.bytes_a, self.bytes_b))
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
 
-    def ids_a(self, unit: str) -> list[int]:
-        return [i for p in self.pattern.findall(unit) for i in self.core.encode_single_piece(p.encode())]
-
-    def ids_b(self, unit: str) -> list[int]:
-        """Ids of a unit; the library puts a space before what it is given."""
-        if unit == " ":
-            return [self.blank]
-        if unit[0] == " ":
-            return self.pieces.encode(unit[1:])
-        ids = self.pieces.encode(unit)
-        if ids[0] != self.blank:
-            raise ValueError("the added space is merged with what follows")
-        return ids[1:]
-
-    def look_up(self, unit: str) -> tuple[bytes, bytes, bool]:
-        a, b = self.ids_a(unit), self.ids_b(unit)
-        data = unit.encode()
-        same = b"".join(map(self.bytes_a.__getitem__, a)) == data and b"".join(map(self.bytes_b.__getitem__, b)) == data
-        out = np.array(a, self.kind_a).tobytes(), np.array(b, self.kind_b).tobytes(), same
-        if len(unit) <= CACHE_CHARS:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[unit] = out
+    def ids_b(self, units: list[str]) -> list[list[int]]:
+        """Ids of units; the library puts a space before what it is given."""
+        out = self.pieces.encode([u[1:] if u[0] == " " else u for u in units])
+        for i, u in enumerate(units):
+            if u == " ":
+                out[i] = [self.blank]
+            elif u[0] != " ":
+                if out[i][0] != self.blank:
+                    raise ValueError("the added space is merged with what follows")
+                del out[i][0]
         return out
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of space and text on both sides; none for a null or empty text, or one whose bytes a side does not give back."""
-        if not text:
-            return np.empty(0, self.kind_a), np.empty(0, self.kind_b)
-        known, look_up = self.known.get, self.look_up
-        found = [known(u) or look_up(u) for u in self.unit.findall(" " + text)]
-        a = np.frombuffer(b"".join([x[0] for x in found]), self.kind_a)
-        b = np.frombuffer(b"".join([x[1] for x in found]), self.kind_b)
-        if not all([x[2] for x in found]):
-            data = (" " + text).encode()
-            if any(b"".join(map(table.__getitem__, ids.tolist())) != data for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
-                return a[:0], b[:0]
-        return a, b
+    def learn(self, units: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
+        """Ids of units that are not remembered yet; those of short ones will be."""
+        find, single, bytes_b, found = self.pattern.findall, self.core.encode_single_piece, self.bytes_b, {}
+        kind_a, kind_b = self.kind_a.char, self.kind_b.char
+        for u, b in zip(units, self.ids_b(units), strict=True):
+            a = []
+            for p in find(u):
+                a += single(p.encode())
+            found[u] = array(kind_a, a).tobytes(), array(kind_b, b).tobytes(), b"".join([bytes_b[i] for i in b]) == u.encode()
+        return found
+
+    def look_up(self, texts: list[list[str]]) -> dict[str, tuple[bytes, bytes, bool]]:
+        """Ids of all units of some texts."""
+        wanted = set().union(*texts)
+        now = {u: x for u in wanted if (x := self.known.get(u)) is not None}
+        missing = wanted.difference(now)
+        now |= (more := {u: x for u in missing if (x := self.before.get(u)) is not None})
+        more |= self.learn(list(missing.difference(more)))
+        now |= more
+        if len(self.known) + len(more) > CACHE:
+            self.known, self.before = {}, self.known
+        self.known.update((u, x) for u, x in more.items() if len(u) <= CACHE_CHARS)
+        return now
+
+    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of space and text on both sides; none for a null or empty text, or one whose bytes side B does not give back."""
+        units = [self.unit.findall(" " + t) if t else [] for t in texts]
+        known = self.look_up(units)
+        out = []
+        for text, of in zip(texts, units, strict=True):
+            found = [known[u] for u in of]
+            a = np.frombuffer(b"".join([x[0] for x in found]), self.kind_a)
+            b = np.frombuffer(b"".join([x[1] for x in found]), self.kind_b)
+            if not all([x[2] for x in found]) and b"".join(map(self.bytes_b.__getitem__, b.tolist())) != (" " + text).encode():
+                a, b = a[:0], b[:0]
+            out.append((a, b))
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -150,12 +166,12 @@ def events(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             for piece in slices(batch):
                 rows = []
-                for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
+                texts = piece.column("text").to_pylist()
+                for doc_id, text, (a, b) in zip(piece.column("doc_id").to_pylist(), texts, s.tokens(texts), strict=True):
                     # numbered by content, so that a task that runs again in another order gives the same rows
                     digest = int.from_bytes(hashlib.blake2b(f"{doc_id} {text}".encode(), digest_size=5).digest(), "little")
                     nth = seen[digest] = seen.get(digest, -1) + 1
                     row = digest << 23 | nth
-                    a, b = s.tokens(text)
                     rows.append((part, row, doc_id, -1, 0, b""))  # a document without tokens has a row, too
                     for side, ids, lengths in ((0, a, s.length_a), (1, b, s.length_b)):
                         ends = np.cumsum(lengths[ids])

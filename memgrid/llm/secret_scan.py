@@ -210,9 +210,9 @@ def scan_secrets(docs: DataFrame, chars_per_token: float = CHARS_PER_TOKEN, rank
 
     docs: doc_id, text (other columns are not read). A null text counts as empty: no spans, the
     digest of nothing. Repeated rows give repeated results. Returns doc_id, n_assign, n_access,
-    n_hex, n_random, base_sha256, spans, values (the strings found, in the order of spans).
+    n_hex, base_sha256, spans, n_random, values (the strings found, in the order of spans).
     """
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string, values array<string>"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long, values array<string>"
 
     def make():
         s = scanner(ranks_path or public_tokenizers.path(RANKS), chars_per_token)
@@ -221,8 +221,8 @@ def scan_secrets(docs: DataFrame, chars_per_token: float = CHARS_PER_TOKEN, rank
             texts = texts_of(batch)
             found = [s.spans(x) for x in texts]
             counts = [pa.array([sum(y[1] == k for y in more) for _, more in found], pa.int64()) for k in range(4)]
-            columns = [batch.column("doc_id"), *counts, pa.array([hashlib.sha256(shown(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([shown(more) for _, more in found], pa.string()), pa.array([[x[a:b] for a, _, b in more] for x, (_, more) in zip(texts, found, strict=True)], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", "values"])
+            columns = [batch.column("doc_id"), *counts[:3], pa.array([hashlib.sha256(shown(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([shown(more) for _, more in found], pa.string()), counts[3], pa.array([[x[a:b] for a, _, b in more] for x, (_, more) in zip(texts, found, strict=True)], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random", "values"])
 
         return f
 
