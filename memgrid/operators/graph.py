@@ -96,8 +96,71 @@ def provenance(nodes: DataFrame) -> DataFrame:
     return out.select(F.col("a").alias("node_id"), "n_direct", F.coalesce("n_roots", F.lit(0)).cast("long").alias("n_roots"), F.coalesce("unknown", F.lit(False)).alias("unknown"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
+def provenance_states(nodes: DataFrame, rounds: list[tuple[int, int]] | None = None) -> DataFrame:
+    """As provenance(), but n_roots is 0, 1 or 2 (two or more), which is all that A20 asks; chains take the logarithm of their length in rounds.
+
+    What is known of a node is the least and the greatest root behind it, and two flags; that adds up
+    over paths, however often a path is taken. In a round a node takes in what its sources know. A
+    source that is finished (whose own links are gone) is let go; a source with one link left, to
+    one that is not finished, is replaced by that, so a chain is half as long each time; a link to
+    oneself is a cycle.
+    Nodes that finish are put aside, so rounds get smaller. What is left when nothing changes any
+    more leads to a cycle. Where each node has several sources, level upon level, a round takes off one level.
+    rounds, if given, gets the nodes and links that each round starts with.
+    """
+    cut = checkpointed(nodes.sparkSession)
+    links = nodes.select(F.col("node_id").alias("a"), F.explode("sources").alias("b")).where("b IS NOT NULL").distinct()
+    heads = links.select(F.col("a").alias("b")).distinct().withColumn("there", F.lit(True))
+    links = cut(links.withColumn("root", is_root_source(F.col("b"))).join(heads, "b", "left").withColumn("there", F.coalesce("there", F.lit(False))))
+    root, inner = F.when(F.col("root"), F.col("b")), ~F.col("root") & F.col("there")
+    known = links.groupBy("a").agg(F.min(root).alias("lo"), F.max(root).alias("hi"), F.bool_or(~F.col("root") & ~F.col("there")).alias("unknown"), F.bool_or(inner & (F.col("a") == F.col("b"))).alias("cyclic"))
+    edges = cut(links.where(inner & (F.col("a") != F.col("b"))).select("a", "b"))
+
+    def with_links(df: DataFrame) -> DataFrame:
+        """df with its nodes' number of links, the least target, and whether that has links itself."""
+        degrees = edges.groupBy("a").agg(F.count("*").alias("deg"), F.min("b").alias("p"))
+        goes_on = degrees.select(F.col("a").alias("p"), F.lit(True).alias("p_open"))
+        return df.join(degrees, "a", "left").join(goes_on, "p", "left").na.fill(0, ["deg"])
+
+    state = cut(with_links(known))
+    ready, facts, size = [], ["lo", "hi", "unknown", "cyclic"], None
+    while True:
+        n_links = edges.count()
+        if rounds is not None:
+            rounds.append((state.count(), n_links))
+        if not n_links:
+            ready.append(state)
+            break
+        seen = edges.join(state.select(F.col("a").alias("b"), *[F.col(c).alias(f"b_{c}") for c in facts], F.col("deg").alias("b_deg"), F.col("p").alias("b_p"), F.col("p_open").alias("b_open")), "b")
+        to = F.when((F.col("b_deg") == 1) & F.col("b_open"), F.col("b_p")).when(F.col("b_deg") > 0, F.col("b"))
+        seen = seen.withColumn("to", to)
+        taken = seen.groupBy("a").agg(F.min("b_lo").alias("t_lo"), F.max("b_hi").alias("t_hi"), F.bool_or("b_unknown").alias("t_unknown"), F.bool_or(F.col("b_cyclic") | F.coalesce(F.col("to") == F.col("a"), F.lit(False))).alias("t_cyclic"))
+        edges = cut(seen.where("to IS NOT NULL AND to <> a").select("a", F.col("to").alias("b")).distinct())
+        # those that had finished before this round have told all that ask, and are put aside
+        ready.append(state.where("deg = 0"))
+        new = with_links(state.where("deg > 0").drop("deg", "p", "p_open").join(taken, "a", "left"))
+        both = [F.least("lo", "t_lo").alias("n_lo"), F.greatest("hi", "t_hi").alias("n_hi"), (F.col("unknown") | F.coalesce("t_unknown", F.lit(False))).alias("n_unknown"), (F.col("cyclic") | F.coalesce("t_cyclic", F.lit(False))).alias("n_cyclic")]
+        new = new.select("a", "deg", "p", "p_open", *facts, *both)
+        changed = F.lit(False)
+        for c in facts:
+            changed = changed | ~F.col(c).eqNullSafe(F.col(f"n_{c}"))
+        new = cut(new.withColumn("changed", changed).select("a", *[F.col(f"n_{c}").alias(c) for c in facts], "deg", "p", "p_open", "changed"))
+        now = new.agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"), F.sum("deg").alias("links")).first()
+        state = new.drop("changed")
+        if now["n"] and not now["changed"] and (now["n"], now["links"]) == size:
+            ready.append(state.withColumn("cyclic", F.lit(True)))
+            break
+        size = now["n"], now["links"]
+    every = ready[0].select("a", *facts)
+    for df in ready[1:]:
+        every = every.unionByName(df.select("a", *facts))
+    n_roots = F.when(F.col("lo").isNull(), 0).when(F.col("lo") == F.col("hi"), 1).otherwise(2)
+    df = nodes.where("status = 'active' AND type = 'persistent'").select(F.col("node_id").alias("a"), F.size("sources").alias("n_direct")).join(every, "a", "left")
+    return df.select(F.col("a").alias("node_id"), "n_direct", n_roots.alias("n_roots"), F.coalesce("unknown", F.lit(False)).alias("unknown"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
 def provenance_counts(stats: DataFrame) -> DataFrame:
-    """Three counts that may overlap."""
+    """Three counts that may overlap, of provenance() or provenance_states()."""
     bad = F.col("unknown") | F.col("cyclic")
     return stats.agg(F.count_if(F.col("n_roots") >= 2).alias("multi_source"), F.count_if((F.col("n_roots") == 1) & (F.col("n_direct") >= 2) & ~bad).alias("same_root"), F.count_if(bad).alias("unknown_or_cyclic"))
 

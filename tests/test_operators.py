@@ -261,6 +261,46 @@ def test_fingerprint():
     assert fingerprint("local", "m", None).startswith("sha1:")
 
 
+def reached(links: dict, a: str) -> tuple[set, set, bool]:
+    """Nodes and roots behind a, and whether something unknown is."""
+    seen, roots, unknown, todo = set(), set(), False, [a]
+    while todo:
+        for b in links.get(todo.pop()) or []:
+            if b.startswith("session:"):
+                roots.add(b)
+            elif not links.get(b):
+                unknown = True
+            elif b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen, roots, unknown
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_provenance_in_rounds_equals_a_search(spark, seed):
+    rng = random.Random(seed)
+    n = 60
+    rows = []
+    for i in range(n):
+        pick = lambda: rng.choice([f"n{rng.randrange(n)}" if seed % 2 else f"n{rng.randrange(max(1, i))}", f"session:{rng.randrange(4)}", "gone"])  # noqa: E731, B023
+        rows.append((f"n{i}", [pick() for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]))
+    rows += [(f"c{i}", [f"c{(i + 1) % 7}", *(["session:1"] if i == 3 else [])]) for i in range(7)] + [("t", ["c0"]), ("self", ["self"])]
+    links = dict(rows)
+    behind = {a: reached(links, a) for a in links}
+    want = {a: (min(2, len(r)), u, any(x in behind[x][0] for x in {a} | s if x in behind)) for a, (s, r, u) in behind.items()}
+    df = node(spark, *({"node_id": a, "sources": s} for a, s in rows))
+    assert {r.node_id: (r.n_roots, r.unknown, r.cyclic) for r in G.provenance_states(df).collect()} == want
+
+
+def test_provenance_of_a_chain_takes_few_rounds(spark):
+    n = 5000
+    df = spark.range(n).selectExpr("concat('n', id) node_id", "'active' status", "'persistent' type", f"CASE WHEN id = {n - 1} THEN array('session:1') ELSE array(concat('n', id + 1)) END sources")
+    rounds: list = []
+    stats = G.provenance_states(df, rounds)
+    assert stats.where("n_roots = 1 AND NOT unknown AND NOT cyclic").count() == n and len(rounds) <= 15
+    assert [a for a, _ in rounds] == sorted((a for a, _ in rounds), reverse=True)
+
+
 def test_provenance_of_long_chains_and_cycles(spark):
     rows = [(f"m{i:03d}", [f"m{i + 1:03d}"]) for i in range(90)] + [("m090", ["session:1", "session:2"]), ("x", ["y"]), ("y", ["x", "session:3"]), ("z", ["x", "gone"]), ("w", [])]
     nodes = spark.createDataFrame(rows, "node_id string, sources array<string>").selectExpr("*", "'active' status", "'persistent' type")
