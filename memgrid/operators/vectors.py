@@ -173,17 +173,12 @@ def single_linkage(nodes: DataFrame, vectors: DataFrame, threshold: float = 0.80
     return labels.join(sizes.select("label"), "label").select("label", "node_id")
 
 
-def complete_linkage(nodes: DataFrame, vectors: DataFrame, seed: float = 0.86, floor: float = 0.84, most: int = 6, project: Column | None = None) -> DataFrame:
-    """V9: clusters of which all pairs reach `floor`; project, cluster (its least node), node_id.
+#: Pairs of a component up to which its clusters are told in one task, and rounds after which components are looked for again.
+COMPONENT_PAIRS, PEEL = 200_000, 4
 
-    Seeds are taken by similarity; a cluster grows by the node whose least similarity to it is the
-    highest, if one similarity reaches `seed`. The order matters, so the pairs of one component of
-    the `floor` graph (which no cluster leaves) are folded together.
-    """
-    t = typed(nodes, vectors, hubs=False, project=project)
-    pairs = similar_pairs(t, floor, by="project")
-    labels = connected(pairs)
-    df = pairs.join(labels.withColumnRenamed("node_id", "id_a"), "id_a")
+
+def folded(pairs: DataFrame, seed: float, most: int) -> DataFrame:
+    """V9's clusters of pairs (label, id_a, id_b, sim), the pairs of a label one after the other: cluster, node_id."""
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, dict[str, float]] = {}
@@ -206,7 +201,76 @@ def complete_linkage(nodes: DataFrame, vectors: DataFrame, seed: float = 0.86, f
             out += [(min(members), m) for m in members]
         return pd.DataFrame(out, columns=["cluster", "node_id"])
 
-    found = df.groupBy("label").applyInPandas(grow, "cluster string, node_id string")
+    return pairs.groupBy("label").applyInPandas(grow, "cluster string, node_id string")
+
+
+def dominant_clusters(pairs: DataFrame, seed: float, most: int) -> DataFrame:
+    """One round of V9 over pairs (id_a, id_b, sim): cluster, node_id of the clusters of all locally dominant seeds.
+
+    A cluster lies among the neighbours of its seed's nodes. So a seed that comes before all seeds with
+    a node within two links of its own is not touched by any of those, nor they by it: all such seeds
+    grow as they would one after the other. Each step adds to each cluster the candidate whose least
+    similarity is the highest, if one of its similarities reaches `seed`; it is a join along links.
+    """
+    cut = checkpointed(pairs.sparkSession)
+    both = pairs.select("id_a", "id_b", "sim").union(pairs.select("id_b", "id_a", "sim")).toDF("v", "other", "sim")
+    seeds = pairs.where(F.col("sim") >= seed).select("id_a", "id_b", F.struct((-F.col("sim")).alias("s"), "id_a", "id_b").alias("key"))
+    first = seeds.select(F.col("id_a").alias("v"), "key").union(seeds.select("id_b", "key")).groupBy("v").agg(F.min("key").alias("key"))
+    for _ in range(2):
+        told = both.join(first.withColumnRenamed("v", "other"), "other").select("v", "key").union(first.select("v", "key"))
+        first = told.groupBy("v").agg(F.min("key").alias("key"))
+    chosen = cut(seeds.join(first.select(F.col("v").alias("id_a"), F.col("key").alias("first")), "id_a").where(F.col("key") == F.col("first")).select("id_a", "id_b"))
+    members = chosen.select(F.col("id_a").alias("seed"), F.explode(F.array("id_a", "id_b")).alias("node_id"))
+    # candidates: linked to each member so far; a node that is the a of two chosen seeds can't be
+    near = members.join(both.withColumnRenamed("v", "node_id"), "node_id").join(chosen.select(F.col("id_a").alias("seed"), "id_b"), "seed").where("other <> seed AND other <> id_b")
+    candidates = cut(near.groupBy("seed", F.col("other").alias("v")).agg(F.count("*").alias("n"), F.min("sim").alias("lo"), F.max("sim").alias("hi")).where("n = 2").drop("n"))
+    for _ in range(most - 2):
+        best = cut(candidates.where(F.col("hi") >= seed).groupBy("seed").agg(F.min(F.struct((-F.col("lo")).alias("lo"), "v")).alias("b")).select("seed", F.col("b.v").alias("added")))
+        if best.isEmpty():
+            break
+        members = members.union(best.select("seed", "added"))
+        step = candidates.join(best, "seed").where("v <> added").join(both.select(F.col("v").alias("added"), F.col("other").alias("v"), "sim"), ["added", "v"])
+        candidates = cut(step.select("seed", "v", F.least("lo", "sim").alias("lo"), F.greatest("hi", "sim").alias("hi")))
+    name = members.groupBy("seed").agg(F.min("node_id").alias("cluster"))
+    return members.join(name, "seed").select("cluster", "node_id")
+
+
+def linked(pairs: DataFrame, seed: float, most: int, component_pairs: int = COMPONENT_PAIRS) -> DataFrame:
+    """V9's clusters of pairs (id_a, id_b, sim): as if seeds were taken one after the other by similarity, then ids; cluster, node_id.
+
+    A component of the graph of pairs, which no cluster leaves, is told in one task if it has no more
+    than component_pairs. Larger ones lose their locally dominant clusters round by round, until none
+    is left or what is left falls into such components.
+    """
+    cut = checkpointed(pairs.sparkSession)
+    left, out, k = cut(pairs.select("id_a", "id_b", "sim")), [], 0
+    while not left.where(F.col("sim") >= seed).isEmpty():
+        if k % PEEL == 0:
+            rows = cut(left.join(connected(left).withColumnRenamed("node_id", "id_a"), "id_a"))
+            sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+            small = sizes.where(F.col("n") <= component_pairs).select("label")
+            out.append(folded(rows.join(small, "label"), seed, most))
+            left = cut(rows.join(small, "label", "left_anti").select("id_a", "id_b", "sim"))
+        else:
+            found = cut(dominant_clusters(left, seed, most))
+            out.append(found)
+            gone = found.select("node_id")
+            left = cut(left.join(gone.withColumnRenamed("node_id", "id_a"), "id_a", "left_anti").join(gone.withColumnRenamed("node_id", "id_b"), "id_b", "left_anti").select("id_a", "id_b", "sim"))
+        k += 1
+    every = out[0] if out else pairs.sparkSession.createDataFrame([], "cluster string, node_id string")
+    for df in out[1:]:
+        every = every.unionByName(df)
+    return every
+
+
+def complete_linkage(nodes: DataFrame, vectors: DataFrame, seed: float = 0.86, floor: float = 0.84, most: int = 6, project: Column | None = None, component_pairs: int = COMPONENT_PAIRS) -> DataFrame:
+    """V9: clusters of which all pairs reach `floor`; project, cluster (its least node), node_id.
+
+    Seeds are taken by similarity; a cluster grows by the node whose least similarity to it is the
+    highest, if one similarity reaches `seed`.
+    """
+    t = typed(nodes, vectors, hubs=False, project=project)
+    found = linked(similar_pairs(t, floor, by="project"), seed, most, component_pairs)
     return found.join(t.select("node_id", "project"), "node_id")
 
 

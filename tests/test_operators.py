@@ -121,6 +121,20 @@ def test_complete_linkage_does_not_chain(spark):
     assert {(r.cluster, r.node_id) for r in got} == {("a", "a"), ("a", "b")}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_linkage_in_rounds_equals_one_by_one(spark, seed, monkeypatch):
+    monkeypatch.setattr(V, "PEEL", 100)
+    rng = np.random.default_rng(seed)
+    m = np.vstack([b + rng.normal(size=6) * 0.45 for b in rng.normal(size=(5, 6)) * 1.5 for _ in range(14)])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    sim = np.round(m @ m.T, 2)  # ties
+    rows = [(f"n{i:02}", f"n{j:02}", float(sim[i, j])) for i in range(70) for j in range(i + 1, 70) if sim[i, j] >= 0.8]
+    df = spark.createDataFrame(rows, "id_a string, id_b string, sim double")
+    want = sorted(map(tuple, V.folded(df.withColumn("label", F.lit("all")), 0.85, 6).collect()))
+    got = sorted(map(tuple, V.linked(df, 0.85, 6, component_pairs=0).collect()))
+    assert got == want and len({c for c, _ in want}) > 5
+
+
 def test_connected(spark):
     pairs = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("x", "y")], "id_a string, id_b string")
     got = {r.node_id: r.label for r in V.connected(pairs).collect()}
