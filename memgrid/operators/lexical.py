@@ -16,15 +16,15 @@ COLUMN = 1 << 24
 BROADCAST_ROWS = 1_000_000
 
 
-def tokenized(nodes: DataFrame) -> DataFrame:
-    """L1, L2: node_id, plain and bigram: tokens of title, content and tags, an array for each field.
+def tokenized(nodes: DataFrame, *kept: str) -> DataFrame:
+    """L1, L2: node_id, other columns to be kept, plain and bigram: tokens of title, content and tags, an array for each field.
 
     bigram is the shadow index; it is null where the fields hold no CJK character, as both are the same then.
     """
     fields = [F.coalesce(f, F.lit("")) for f in (F.col("title"), F.col("content"), F.array_join("tags", " "))]
     plain = F.array(*map(fts_tokens, fields))
     bigram = F.when(has_cjk(F.concat(*fields)), F.array(*[fts_tokens(cjk_bigrams(f)) for f in fields]))
-    return nodes.select("node_id", plain.alias("plain"), bigram.alias("bigram"))
+    return nodes.select("node_id", *kept, plain.alias("plain"), bigram.alias("bigram"))
 
 
 def postings(nodes: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """A stored lexical index: postings in blocks, kept up with changes, and the best notes of each query without the rest.
 
-Notes fall into cells by a hash of their id and by the class of their length. A block is what a cell
-has of one token: how many notes, the highest number of occurrences, the least length, and the notes
-themselves with the token's positions. Blocks are sorted by token within the parts (folders) of the
-index, so a search reads the row groups of asked tokens only, and never a note's text.
-
-The best notes of a query are found by block maxima: what a note of a cell can score at most is the
-sum over the query's terms of what the block's maxima allow. The cells with the highest bounds are
+Notes fall into slots by a hash of their id, and a slot into cells by the notes' length. A block is
+what a cell has of one token: how many notes, the highest number of occurrences, the least length,
+and the notes themselves with the token's positions. Notes are dealt out by slot before they are cut
+into tokens, so no token travels. Blocks are sorted by token within the files of an index, so a
+search reads the row groups of asked tokens only, and never a note's text.
+
+The best notes of queries are found by block maxima: what a note of a cell can score at most is the
+sum over a query's terms of what the block's maxima allow. The cells with the highest bounds are
 scored first; the score of the last note that would still be returned is a threshold, and cells whose
-bound is below it are never read. No note is lost by that.
+bound is below it for all queries are never read. No note is lost by that. Blocks of a cell meet in
+one task, which hands on its best notes of each query and nothing else.
 
 A version of the index is complete once its manifest is written, which names the version that holds
 each part: a change rewrites the parts that its notes are in, and a run that was cut short leaves the
@@ -17,8 +19,11 @@ version before as it was.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,10 +33,10 @@ from memgrid.functions.text import fts_tokens, or_terms
 from memgrid.operators.cuts import checkpointed
 from memgrid.operators.lexical import B, COLUMN, K1, length, ranked, tokenized
 
-#: Notes to a slot, parts at most, and classes of length to a slot.
-PER_SLOT, PARTS, CLASSES = 4096, 1024, 64
-#: Cells of a query that are scored for its threshold, and tokens up to which a search names them to the scan one by one.
-SEEDS, NAMED = 2, 20_000
+#: Notes to a slot, parts at most, classes of length to a slot, and slots from which several are written together.
+PER_SLOT, PARTS, CLASSES, BUNDLED = 1024, 1024, 64, 2048
+#: Cells of a query that are scored for its threshold; queries of one search, beyond which there are several.
+SEEDS, QUERIES = 8, 10_000
 #: What rounding of scores may hide.
 SLACK = 1e-6
 
@@ -43,41 +48,188 @@ SAME = -1
 
 
 def cut_notes(nodes: DataFrame, slots: int, parts: int) -> DataFrame:
-    """node_id, len0, len1, cell, part, and the note's tokens."""
-    t = tokenized(nodes).withColumns({"len0": length(F.col("plain")), "len1": length(F.coalesce("bigram", "plain"))})
+    """slot, node_id, len0, len1, cell, part, and the note's tokens; all notes of a slot are in one task."""
     slot = F.pmod(F.xxhash64("node_id"), F.lit(slots))
-    kind = F.least(F.floor(2 * F.log2(F.col("len1") + 1)), F.lit(CLASSES - 1))
-    return t.withColumns({"cell": slot * CLASSES + kind, "part": F.pmod(slot, F.lit(parts)).cast("int")})
+    chars = F.length(F.coalesce("content", F.lit("")))
+    bundle = F.floor(F.col("slot") / max(1, slots // BUNDLED))
+    rows = nodes.select("node_id", "title", "content", "tags", slot.alias("slot"), F.least(F.floor(2 * F.log2(chars + 1)), F.lit(CLASSES - 1)).alias("kind"))
+    rows = rows.withColumns({"part": F.pmod(bundle, F.lit(parts)).cast("int"), "cell": F.col("slot") * CLASSES + F.col("kind")}).repartition("part", "slot")
+    t = tokenized(rows, "part", "slot", "cell")
+    return t.withColumns({"len0": length(F.col("plain")), "len1": length(F.coalesce("bigram", "plain"))})
 
 
-def occurrences(notes: DataFrame) -> DataFrame:
-    """A row for each note, leg and token, with its positions: part, cell, leg, token, node_id, len0, len1, at.
+def part_of(slots: int, parts: int) -> Column:
+    """The part of a note, by its node_id."""
+    return F.pmod(F.floor(F.pmod(F.xxhash64("node_id"), F.lit(slots)) / max(1, slots // BUNDLED)), F.lit(parts)).cast("int")
 
-    Dealt out by token and cell, so that a token that all notes have is in as many tasks as there are cells.
-    """
+
+def occurrences(notes: DataFrame) -> DataFrame:
+    """A row for each note, leg and token, with its positions: part, slot, cell, leg, token, node_id, len0, len1, at."""
 
     def posts(fields: str, leg: int) -> Column:
         each = F.transform(fields, lambda f, k: F.transform(f, lambda t, i: F.struct(F.lit(leg).alias("leg"), (i + k * COLUMN).cast("int").alias("pos"), t.alias("token"))))
         return F.flatten(each)
 
     both = F.when(F.col("bigram").isNull(), posts("plain", SAME)).otherwise(F.concat(posts("plain", 0), posts("bigram", 1)))
-    rows = notes.select("part", "cell", "node_id", "len0", "len1", F.explode(both).alias("p")).select("part", "cell", "node_id", "len0", "len1", "p.*")
-    rows = rows.repartition("token", "cell")
-    return rows.groupBy("part", "cell", "leg", "token", "node_id", "len0", "len1").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    keys = ["part", "slot", "cell", "node_id", "len0", "len1"]
+    rows = notes.select(*keys, F.explode(both).alias("p")).select(*keys, "p.*")
+    return rows.groupBy("part", "slot", "cell", "leg", "token", "node_id", "len0", "len1").agg(F.sort_array(F.collect_list("pos")).alias("at"))
 
 
 def blocks(rows: DataFrame) -> DataFrame:
     """Occurrences as blocks."""
     doc = F.struct("node_id", F.col("len0").cast("int").alias("len0"), F.col("len1").cast("int").alias("len1"), "at")
-    out = rows.groupBy("part", "cell", "leg", "token").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("max_tf"), F.min("len0").cast("int").alias("min_len0"), F.min("len1").cast("int").alias("min_len1"), F.collect_list(doc).alias("docs"))
+    out = rows.groupBy("part", "slot", "cell", "leg", "token").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("max_tf"), F.min("len0").cast("int").alias("min_len0"), F.min("len1").cast("int").alias("min_len1"), F.collect_list(doc).alias("docs"))
     return out.select("token", "leg", "cell", "n", "max_tf", "min_len0", "min_len1", "docs", "part")
 
 
-def saturated(tf: Column, size: Column, avg: Column) -> Column:
+def saturated(tf: np.ndarray, size: np.ndarray, avg: float) -> np.ndarray:
     """BM25's part of a term but for its idf: rises with tf, falls with the note's length."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / avg))
 
 
+@dataclass(frozen=True)
+class Asked:
+    """The queries of one search, as tasks need them: of each query the numbers of its terms, of each leg the terms' idf."""
+
+    queries: tuple
+    phrases: tuple[str, ...]
+    terms: np.ndarray  # numbers of phrases, query by query
+    starts: np.ndarray  # where each query's terms start
+    idf: tuple[np.ndarray, ...]
+    avg: tuple[float, ...]
+    #: Scores below which nothing is wanted, by leg and query.
+    floors: tuple[np.ndarray, ...]
+
+    def bounds(self, most: np.ndarray) -> np.ndarray:
+        """Of each query the sum of its terms' values."""
+        return np.add.reduceat(most[self.terms], self.starts)
+
+
+HEADS = "no int, leg int, cell long, n long, max_tf int, min_len0 int, min_len1 int"
+
+
+def dealt_by_cell(rows: DataFrame) -> DataFrame:
+    """Rows with all of a cell in one task, one after the other.
+
+    By a digest of the cell, not the cell: after a join on that in both branches of a union Spark
+    would take the rows as dealt already, and then put the branches' partitions together one by one.
+    """
+    return rows.repartition(F.xxhash64("cell")).sortWithinPartitions("cell")
+
+
+def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows in the order of cells, a cell at a time."""
+    cell, held = None, []
+    for batch in batches:
+        at = batch.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and at[a] != cell:
+                yield cell, held
+                held = []
+            cell = int(at[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield cell, held
+
+
+def cell_bounds(asked: Asked, rows: list[pa.RecordBatch], leg: int) -> np.ndarray:
+    """What a note of a cell can score at most, by query, from the heads of the cell's blocks."""
+    most = np.zeros(len(asked.phrases))
+    for r in rows:
+        no, of, tf, size = (r.column(c).to_numpy() for c in ("no", "leg", "max_tf", f"min_len{leg}"))
+        fits = (of == leg) | (of == SAME)
+        no = no[fits]
+        # a cell holds two kinds of block of a phrase: of notes whose legs differ and of others
+        np.maximum.at(most, no, asked.idf[leg][no] * saturated(tf[fits].astype(float), size[fits].astype(float), asked.avg[leg]))
+    return asked.bounds(most)
+
+
+def best_cells(asked: Asked, legs: tuple[int, ...], seeds: int) -> Callable:
+    """Of each task the cells with the highest bounds of each query: q, leg, cell, most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = {leg: (np.zeros((seeds, len(asked.queries))), np.full((seeds, len(asked.queries)), -1, np.int64)) for leg in legs}
+        for cell, rows in cells_of(batches):
+            for leg in legs:
+                value, which = cell_bounds(asked, rows, leg), np.full(len(asked.queries), cell, np.int64)
+                most, cells = top[leg]
+                for k in range(seeds):  # an insertion into each query's short list
+                    up = value > most[k]
+                    most[k], value = np.where(up, value, most[k]), np.where(up, most[k], value)
+                    cells[k], which = np.where(up, which, cells[k]), np.where(up, cells[k], which)
+        for leg in legs:
+            most, cells = top[leg]
+            k, q = np.nonzero(cells >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(np.full(len(q), leg, np.int32)), pa.array(cells[k, q]), pa.array(most[k, q])], ["q", "leg", "cell", "most"])
+
+    return run
+
+
+def open_cells(asked: Asked, legs: tuple[int, ...]) -> Callable:
+    """Cells in which some query may find a note above its floor, and of how many queries and legs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, rows in cells_of(batches):
+            n = sum(int((((b := cell_bounds(asked, rows, leg)) >= asked.floors[leg]) & (b > 0)).sum()) for leg in legs)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([n], pa.int64())], ["cell", "n"])
+
+    return run
+
+
+def best_notes(asked: Asked, legs: tuple[int, ...], limit: int) -> Callable:
+    """Of each cell the best notes of each query, with ties at the last place: q, leg, node_id, score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in cells_of(batches):
+            names: list[str] = []
+            number: dict[str, int] = {}
+            found: dict[int, dict[int, list]] = {leg: {} for leg in legs}
+            for r in rows:
+                docs, offsets = r.column("docs").flatten(), np.concatenate([[0], np.cumsum(r.column("docs").value_lengths().to_numpy())])
+                ids = docs.field("node_id").to_pylist()
+                local = np.empty(len(ids), np.int64)
+                for i, name in enumerate(ids):
+                    if (at := number.get(name)) is None:
+                        at = number[name] = len(names)
+                        names.append(name)
+                    local[i] = at
+                size = [docs.field(f"len{k}").to_numpy().astype(float) for k in range(2)]
+                tf = docs.field("tf").to_numpy().astype(float)
+                for i, (no, of) in enumerate(zip(r.column("no").to_pylist(), r.column("leg").to_pylist(), strict=True)):
+                    a, b = offsets[i], offsets[i + 1]
+                    for leg in legs:
+                        if of in (leg, SAME):
+                            found[leg].setdefault(no, []).append((local[a:b], asked.idf[leg][no] * saturated(tf[a:b], size[leg][a:b], asked.avg[leg])))
+            for leg in legs:
+                most = np.zeros(len(asked.phrases))
+                for no, parts in found[leg].items():
+                    most[no] = max(float(p.max()) for _, p in parts)
+                bounds = asked.bounds(most)
+                out = [], [], []
+                for q in np.flatnonzero((bounds > 0) & (bounds >= asked.floors[leg])).tolist():
+                    end = asked.starts[q + 1] if q + 1 < len(asked.starts) else len(asked.terms)
+                    score = np.zeros(len(names))
+                    for no in asked.terms[asked.starts[q] : end].tolist():
+                        for at, part in found[leg].get(no, ()):
+                            score[at] += part  # a note is in a block once
+                    hit = np.flatnonzero((score > 0) & (score >= asked.floors[leg][q]))
+                    if len(hit) > limit:
+                        value = np.round(score[hit], 7)
+                        hit = hit[value >= np.partition(value, len(value) - limit)[len(value) - limit]]
+                    out[0].extend([q] * len(hit))
+                    out[1].extend(names[i] for i in hit)
+                    out[2].extend(score[hit].tolist())
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([leg] * len(out[0]), pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["q", "leg", "node_id", "score"])
+
+    return run
+
+
 @dataclass
 class LexicalIndex:
     """An index in a folder that driver and executors share."""
@@ -94,7 +246,7 @@ class LexicalIndex:
     def build(nodes: DataFrame, path: str, per_slot: int = PER_SLOT) -> LexicalIndex:
         """Writes the index of nodes (node_id, title, content, tags) to path."""
         slots = max(1, -(-nodes.count() // per_slot))
-        index = LexicalIndex(nodes.sparkSession, path, 0, slots, min(slots, PARTS))
+        index = LexicalIndex(nodes.sparkSession, path, 0, slots, min(-(-slots // max(1, slots // BUNDLED)), PARTS))
         notes = cut_notes(nodes, slots, index.parts)
         index._write(occurrences(notes), notes, None)
         return index
@@ -128,9 +280,7 @@ class LexicalIndex:
     def _write(self, rows: DataFrame, notes: DataFrame, only: list[int] | None) -> None:
         """Writes parts as a new version, and then the manifest."""
         version = 0 if only is None else self.version + 1
-        # by range, so that files hold neighbouring tokens and a token of many cells is split
-        out = blocks(rows).repartitionByRange("part", "token", "cell").sortWithinPartitions("part", "token", "leg", "cell")
-        out.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/version={version}")
+        blocks(rows).sortWithinPartitions("part", "token", "leg", "cell").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/version={version}")
         notes.select("node_id", F.col("len0").cast("int").alias("len0"), F.col("len1").cast("int").alias("len1"), "cell", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/notes/version={version}")
         written = self.spark.read.schema(NODES).parquet(f"{self.path}/notes").where(F.col("version") == version)
         sums = written.groupBy("part").agg(F.count("*").alias("n"), F.sum("len0").alias("sum0"), F.sum("len1").alias("sum1"))
@@ -150,13 +300,13 @@ class LexicalIndex:
         notes have grown several times over, build anew.
         """
         new = cut_notes(upserts, self.slots, self.parts)
-        slot = F.pmod(F.xxhash64("node_id"), F.lit(self.slots))
         gone = upserts.select("node_id").union(deletes.select("node_id")).distinct()
-        touched = [r[0] for r in gone.select(F.pmod(slot, F.lit(self.parts)).cast("int").alias("part")).distinct().collect()]  # no more than PARTS
+        touched = [r[0] for r in gone.select(part_of(self.slots, self.parts).alias("part")).distinct().collect()]  # no more than PARTS
         if not touched:
             return self
-        old = self.postings(touched).select("part", "cell", "leg", "token", F.explode("docs").alias("d")).select("part", "cell", "leg", "token", "d.*")
-        rows = old.join(gone, "node_id", "left_anti").select("part", "cell", "leg", "token", "node_id", "len0", "len1", "at")
+        old = self.postings(touched).withColumn("slot", F.floor(F.col("cell") / CLASSES)).repartition("part", "slot")
+        old = old.select("part", "slot", "cell", "leg", "token", F.explode("docs").alias("d")).select("part", "slot", "cell", "leg", "token", "d.*")
+        rows = old.join(gone, "node_id", "left_anti").select("part", "slot", "cell", "leg", "token", "node_id", "len0", "len1", "at")
         kept = self.notes(touched).join(gone, "node_id", "left_anti").select("node_id", "len0", "len1", "cell", "part")
         self._write(rows.unionByName(occurrences(new).select(*rows.columns)), kept.unionByName(new.select("node_id", "len0", "len1", "cell", "part")), touched)
         return self
@@ -170,77 +320,89 @@ class LexicalIndex:
         """query_id, leg (0 plain, 1 bigrams), node_id, score, rank of the best `limit` notes of each leg.
 
         queries: query_id, text. A term is a phrase of one or more tokens; a phrase's occurrences are
-        counted by positions in all of its cells, as its idf needs their number.
+        counted by positions in all of its cells, as its idf needs their number. Queries are sent to
+        the tasks, QUERIES of them at a time.
         """
-        cut = checkpointed(self.spark)
-        terms = queries.select("query_id", F.posexplode(or_terms(F.col("text"))).alias("term", "t")).select("query_id", fts_tokens(F.col("t")).alias("tokens")).where(F.size("tokens") > 0)
-        terms = cut(terms.select("query_id", F.array_join("tokens", " ").alias("phrase"), F.size("tokens").alias("size")))
-        phrases = terms.select("phrase", "size").distinct()
-        held = self._asked(phrases.select(F.explode(F.split("phrase", " ")).alias("token")).distinct())
+        n = queries.count()
+        if n > QUERIES:
+            k = -(-n // QUERIES)
+            each = [self.top(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(k)) == i), limit, seeds) for i in range(k)]
+            out = each[0]
+            for df in each[1:]:
+                out = out.unionByName(df)
+            return out
+        kind = queries.schema["query_id"].dataType.simpleString()
+        none = f"query_id {kind}, leg int, node_id string, score double, rank int"
+        tokens = F.filter(F.transform(or_terms(F.col("text")), fts_tokens), lambda t: F.size(t) > 0)
+        rows = [r for r in queries.select("query_id", F.transform(tokens, lambda t: F.array_join(t, " ")).alias("phrases")).collect() if r["phrases"]]
         total = self.manifest().agg(F.sum("n").alias("n"), F.sum("sum0").alias("sum0"), F.sum("sum1").alias("sum1")).first()
-        if not total["n"]:
-            return self.spark.createDataFrame([], terms.select("query_id").schema).selectExpr("query_id", "0 leg", "'' node_id", "0D score", "1 rank")
-        n, avg = total["n"], [total["sum0"] / total["n"], total["sum1"] / total["n"]]
-        one = phrases.where("size = 1").select(F.col("phrase").alias("token"))
-        heads = held.join(F.broadcast(one) if one.count() <= NAMED else one, "token", "left_semi").select(F.col("token").alias("phrase"), "leg", "cell", "n", "max_tf", "min_len0", "min_len1")
-        several = self._phrases(held, phrases.where("size > 1"))
+        if not rows or not total["n"]:
+            return self.spark.createDataFrame([], none)
+        phrases = tuple(sorted({p for r in rows for p in r["phrases"]}))
+        number = {p: i for i, p in enumerate(phrases)}
+        terms = np.array([number[p] for r in rows for p in r["phrases"]])
+        starts = np.cumsum([0] + [len(r["phrases"]) for r in rows])[:-1]
+
+        cut = checkpointed(self.spark)
+        held = self.postings().where(F.col("token").isin(sorted({t for p in phrases for t in p.split(" ")})))
+        one = F.broadcast(self.spark.createDataFrame([(p, i) for p, i in number.items() if " " not in p], "token string, no int"))
+        single = held.join(one, "token")
+        heads = single.select("no", "leg", "cell", "n", "max_tf", "min_len0", "min_len1")
+        several = self._phrases(held, [(i, p) for p, i in number.items() if " " in p])
         if several is not None:
             several = cut(several)
-            heads = heads.unionByName(several.groupBy("phrase", "leg", "cell").agg(F.count("*").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("len0").cast("int").alias("min_len0"), F.min("len1").cast("int").alias("min_len1")))
+            heads = heads.unionByName(several.select("no", "leg", "cell", F.size("docs").cast("long").alias("n"), F.array_max("docs.tf").alias("max_tf"), F.array_min("docs.len0").alias("min_len0"), F.array_min("docs.len1").alias("min_len1")))
         heads = cut(heads)
+        avg = total["sum0"] / total["n"], total["sum1"] / total["n"]
+        df = np.zeros((2, len(phrases)))
+        for r in heads.groupBy("no", "leg").agg(F.sum("n").alias("n")).collect():  # no more than phrases, three times over
+            for leg in (0, 1):
+                df[leg, r["no"]] += r["n"] if r["leg"] in (leg, SAME) else 0
         # both legs are the same where no asked token stands in a note whose bigrams differ
-        alike = avg[0] == avg[1] and heads.where(F.col("leg") != SAME).isEmpty()
-        legs = F.array(F.lit(0)) if alike else F.when(F.col("leg") == SAME, F.array(F.lit(0), F.lit(1))).otherwise(F.array("leg"))
-        mean = F.when(F.col("leg") == 0, F.lit(avg[0])).otherwise(F.lit(avg[1]))
-        per_leg = heads.withColumn("leg", F.explode(legs))
-        idf = F.greatest(F.lit(1e-6), F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        weights = cut(per_leg.groupBy("phrase", "leg").agg(F.sum("n").alias("df")).select("phrase", "leg", idf.alias("idf")))
-        least = F.when(F.col("leg") == 0, F.col("min_len0")).otherwise(F.col("min_len1"))
-        top = per_leg.join(weights, ["phrase", "leg"]).select("phrase", "leg", "cell", (F.col("idf") * saturated(F.col("max_tf"), least, mean)).alias("most"))
-        # a cell holds two kinds of block of a phrase: of notes whose legs differ and of others
-        top = top.groupBy("phrase", "leg", "cell").agg(F.max("most").alias("most"))
-        bounds = cut(terms.join(top, "phrase").groupBy("query_id", "leg", "cell").agg(F.sum("most").alias("most")))
-
-        def scores(cells: DataFrame) -> DataFrame:
-            """Scores of all notes of cells (query_id, leg, cell) that hold a term."""
-            asked = cells.join(terms, "query_id").select("query_id", "leg", "cell", "phrase")
-            wanted = asked.select(F.col("phrase").alias("token"), "cell").distinct()
-            found = held.join(wanted, ["token", "cell"], "left_semi").select(F.col("token").alias("phrase"), "leg", "cell", F.explode("docs").alias("d"))
-            tf = found.select("phrase", "leg", "cell", "d.node_id", "d.len0", "d.len1", F.size("d.at").cast("long").alias("tf"))
-            if several is not None:
-                tf = tf.join(one.withColumnRenamed("token", "phrase"), "phrase", "left_semi").unionByName(several.select(*tf.columns))
-            tf = tf.withColumn("leg", F.explode(legs)).join(weights, ["phrase", "leg"])
-            size = F.when(F.col("leg") == 0, F.col("len0")).otherwise(F.col("len1"))
-            part = tf.select("phrase", "leg", "cell", "node_id", (F.col("idf") * saturated(F.col("tf"), size, mean)).alias("part"))
-            return asked.join(part, ["phrase", "leg", "cell"]).groupBy("query_id", "leg", "node_id").agg(F.sum("part").alias("score"))
-
-        order = F.row_number().over(W.partitionBy("query_id", "leg").orderBy(F.desc("most"), "cell"))
-        first = cut(ranked(scores(bounds.withColumn("o", order).where(F.col("o") <= seeds).select("query_id", "leg", "cell")), limit, "leg"))
-        floor = first.where(F.col("rank") == limit).select("query_id", "leg", (F.col("score") - SLACK).alias("floor"))
-        rest = bounds.withColumn("o", order).where(F.col("o") > seeds).join(floor, ["query_id", "leg"], "left").where(F.col("floor").isNull() | (F.col("most") >= F.col("floor")))
+        legs = (0,) if avg[0] == avg[1] and heads.where(F.col("leg") != SAME).isEmpty() else (0, 1)
+        idf = tuple(np.maximum(1e-6, np.log((total["n"] - df[leg] + 0.5) / (df[leg] + 0.5))) for leg in (0, 1))
+        asked = Asked(tuple(r["query_id"] for r in rows), phrases, terms, starts, idf, avg, (np.zeros(len(rows)), np.zeros(len(rows))))
+
+        by_cell = dealt_by_cell(heads)
+        found = by_cell.mapInArrow(best_cells(asked, legs, seeds), "q int, leg int, cell long, most double")
+        order = F.row_number().over(W.partitionBy("q", "leg").orderBy(F.desc("most"), "cell"))
+        first_cells = [r[0] for r in found.withColumn("o", order).where(F.col("o") <= seeds).select("cell").distinct().collect()]  # `seeds` for each query and leg at most
+
+        docs = F.transform("docs", lambda d: F.struct(d["node_id"].alias("node_id"), d["len0"].alias("len0"), d["len1"].alias("len1"), F.size(d["at"]).alias("tf")))
+        every = single.select("no", "leg", "cell", docs.alias("docs"))
+        every = every.unionByName(several) if several is not None else every
+
+        def notes(rows: DataFrame, asked: Asked) -> DataFrame:
+            return dealt_by_cell(rows).mapInArrow(best_notes(asked, legs, limit), "q int, leg int, node_id string, score double")
+
+        place = F.row_number().over(W.partitionBy("q", "leg").orderBy(F.desc(F.round("score", 8)), "node_id"))
+        first = cut(notes(every.where(F.col("cell").isin(first_cells)), asked).withColumn("rank", place).where(F.col("rank") <= limit))
+        floors = np.full((2, len(rows)), 0.0)
+        for r in first.where(F.col("rank") == limit).select("q", "leg", "score").collect():  # one for each query and leg
+            floors[r["leg"], r["q"]] = r["score"] - SLACK
+        asked = Asked(asked.queries, phrases, terms, starts, idf, avg, (floors[0], floors[1]))
+        left = cut(by_cell.where(~F.col("cell").isin(first_cells)).mapInArrow(open_cells(asked, legs), "cell long, n long"))
         if count_visits:
-            self.visited = {"cells": bounds.count(), "first": bounds.withColumn("o", order).where(F.col("o") <= seeds).count(), "rest": rest.count()}
-        out = ranked(first.drop("rank").unionByName(scores(rest.select("query_id", "leg", "cell"))), limit, "leg")
-        return out.withColumn("leg", F.explode(F.array(F.lit(0), F.lit(1)))) if alike else out
-
-    def _asked(self, tokens: DataFrame) -> DataFrame:
-        """Postings of these tokens; the scan is told which, if they are few."""
-        if tokens.count() <= NAMED:
-            return self.postings().where(F.col("token").isin([r[0] for r in tokens.collect()]))
-        return self.postings().join(tokens, "token", "left_semi")
+            cells = heads.select("cell").distinct().count()
+            self.visited = {"cells": cells, "first": len(first_cells), "rest": left.count(), "searches": cells * len(rows) * len(legs), "searched": (left.agg(F.sum("n")).first()[0] or 0) + len(first_cells) * len(rows) * len(legs)}
+        out = first.drop("rank").unionByName(notes(every.join(left.select("cell"), "cell", "left_semi"), asked))
+        out = out.withColumn("rank", place).where(F.col("rank") <= limit)
+        names = F.broadcast(self.spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(rows)], f"q int, query_id {kind}"))
+        out = out.join(names, "q").select("query_id", "leg", "node_id", "score", "rank")
+        return out if len(legs) > 1 else out.withColumn("leg", F.explode(F.array(F.lit(0), F.lit(1))))
 
-    def _phrases(self, held: DataFrame, phrases: DataFrame) -> DataFrame | None:
-        """Occurrences of phrases of several tokens: phrase, leg, cell, node_id, len0, len1, tf; None if none is asked.
+    def _phrases(self, held: DataFrame, phrases: list[tuple[int, str]]) -> DataFrame | None:
+        """Blocks of phrases of several tokens: no, leg, cell, docs; None if none is asked.
 
         The i-th token at position p votes for a phrase that starts at p - i; a start with all votes is an occurrence.
         """
-        if phrases.isEmpty():
+        if not phrases:
             return None
-        want = phrases.select("phrase", "size", F.posexplode(F.split("phrase", " ")).alias("i", "token"))
-        rows = held.join(F.broadcast(want) if want.count() <= NAMED else want, "token")
-        rows = rows.select("phrase", "size", "i", "leg", "cell", F.explode("docs").alias("d")).select("phrase", "size", "i", "leg", "cell", "d.node_id", "d.len0", "d.len1", F.explode("d.at").alias("pos"))
-        starts = rows.groupBy("phrase", "size", "leg", "cell", "node_id", "len0", "len1", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("votes")).where("votes = size")
-        return starts.groupBy("phrase", "leg", "cell", "node_id", "len0", "len1").agg(F.count("*").alias("tf"))
+        want = F.broadcast(self.spark.createDataFrame([(no, len(p.split(" ")), i, t) for no, p in phrases for i, t in enumerate(p.split(" "))], "no int, size int, i int, token string"))
+        rows = held.join(want, "token").select("no", "size", "i", "leg", "cell", F.explode("docs").alias("d")).select("no", "size", "i", "leg", "cell", "d.node_id", "d.len0", "d.len1", F.explode("d.at").alias("pos"))
+        starts = rows.groupBy("no", "size", "leg", "cell", "node_id", "len0", "len1", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("votes")).where("votes = size")
+        tf = starts.groupBy("no", "leg", "cell", "node_id", "len0", "len1").agg(F.count("*").cast("int").alias("tf"))
+        return tf.groupBy("no", "leg", "cell").agg(F.collect_list(F.struct("node_id", "len0", "len1", "tf")).alias("docs"))
 
 
 def merged(index: LexicalIndex, queries: DataFrame, limit: int = 20) -> DataFrame:

@@ -237,17 +237,27 @@ def exact_duplicates(nodes: DataFrame) -> DataFrame:
     return rows.join(keeper, ["t", "h"]).where("node_id <> keeper").select("node_id", "keeper")
 
 
+#: Copies of a text from which they are put together before the pass, and such texts up to which they are broadcast.
+COPIES, COPIED_TEXTS = 1000, 1_000_000
+
+
 def prefix_duplicates(nodes: DataFrame) -> DataFrame:
     """Nodes whose collapsed content is a strict prefix of a newer one's with the same title; `newer` is the newest such.
 
-    Copies of a text are one text in the pass over them; see prefixes.
+    Texts travel once, to the range they are sorted in (see prefixes); a text of many copies is one row there.
     """
     body = F.lower(F.trim(F.regexp_replace("content", r"[ \t\n\x0B\f\r]+", " ")))
     flat = nodes.select("node_id", "title", body.alias("body"), F.unix_micros("created_at").alias("stamp")).where("title IS NOT NULL AND body IS NOT NULL AND stamp IS NOT NULL")
-    key = F.unhex(F.sha2(F.concat(F.length("title").cast("string"), F.lit(" "), F.col("title"), F.col("body")), 256))
-    texts = flat.groupBy("title", "body").agg(F.max(F.struct("stamp", "node_id")).alias("m")).select(F.col("title").alias("grp"), "body", key.alias("key"), "m.stamp", F.col("m.node_id").alias("best"))
-    longer = newest_longer(texts.select("grp", "body", "key", "stamp", "best")).withColumnRenamed("stamp", "newer_stamp")
-    return flat.select("node_id", "stamp", key.alias("key")).join(longer, "key").where("stamp < newer_stamp").select("node_id", F.col("best").alias("newer"))
+    flat = flat.withColumn("key", F.unhex(F.sha2(F.concat(F.length("title").cast("string"), F.lit(" "), F.col("title"), F.col("body")), 256)))
+    copied = flat.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > COPIES).select("key")
+    n = copied.count()
+    texts = flat.select(F.col("title").alias("grp"), "body", "key", "stamp", F.col("node_id").alias("best"))
+    if n:
+        copied = F.broadcast(copied) if n <= COPIED_TEXTS else copied
+        one = texts.join(copied, "key", "left_semi").groupBy("grp", "body", "key").agg(F.max(F.struct("stamp", "best")).alias("m")).select("grp", "body", "key", "m.stamp", "m.best")
+        texts = texts.join(copied, "key", "left_anti").select(*one.columns).unionByName(one)
+    longer = newest_longer(texts).withColumnRenamed("stamp", "newer_stamp")
+    return flat.select("node_id", "stamp", "key").join(longer, "key").where("stamp < newer_stamp").select("node_id", F.col("best").alias("newer"))
 
 
 def identical_active(drafts: DataFrame, nodes: DataFrame) -> DataFrame:

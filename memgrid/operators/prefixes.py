@@ -56,6 +56,10 @@ class _Pass:
         self.agree, self.step = -1, NEVER  # bytes in which all texts so far agree with the first, best since they do
 
     def row(self, group: str, body: bytes, key: bytes, own: tuple[int, str]) -> None:
+        if self.last == (group, body):  # a copy
+            self.open[-1][3] = max(self.open[-1][3], own)
+            self.step = max(self.step, own)
+            return
         if self.last is None:
             self.first, self.agree, self.step = (group, body), len(body), own
         else:
@@ -132,9 +136,10 @@ def _ranges(rows: DataFrame) -> list[tuple[int, int, int, tuple[int, str]]]:
 
 
 def newest_longer(texts: DataFrame) -> DataFrame:
-    """key, stamp, best: of each text (grp, body, key, stamp, best: distinct by grp and body) that begins others of its group, the greatest (stamp, best) among those.
+    """key, stamp, best: of each text (grp, body, key, stamp, best) that begins others of its group, the greatest (stamp, best) among those.
 
-    Linear in the texts but for sorting, whatever their number in a group and however they nest.
+    Linear in the texts but for sorting, whatever their number in a group and however they nest. All
+    copies of a text (one key) are in one range, so many of them should come as one row with their greatest (stamp, best).
     """
     rows = checkpointed(texts.sparkSession)(swept(texts.select("grp", F.col("body").cast("binary").alias("body"), "key", "stamp", "best")))
     ranges = _ranges(rows)

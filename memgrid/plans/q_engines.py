@@ -38,7 +38,7 @@ _SW = ", ".join(f"'{w}'" for w in E.SLUG_STOPWORDS)
 @query(sql(f"SELECT seq, CASE WHEN n < 2 OR length(s) < 8 THEN '' ELSE s END AS slug FROM (SELECT seq, n, array_to_string(list_slice(l, 1, n), '_') AS s FROM (SELECT seq, l, len(list_filter(range(1, least(8, len(l)) + 1), lambda k: length(array_to_string(list_slice(l, 1, k), '_')) <= 48)) AS n FROM (SELECT seq, CASE WHEN len(t) > 0 THEN t ELSE w END AS l FROM (SELECT seq, w, list_filter(w, lambda x: x NOT IN ({_SW}) AND NOT regexp_full_match(x, '[0-9]+')) AS t FROM (SELECT seq, regexp_extract_all(lower(regexp_replace(strip_accents(content), '[^\\x00-\\x7F]+', '', 'g')), '[a-z0-9]+') AS w FROM nodes)))))"))
 def english_slugs(t):
     """F6, of whole texts, so that every stopword comes up."""
-    return t.nodes().select("seq", E.english_slug(F.col("content")).alias("slug"))
+    return t.texts().select("seq", E.english_slug(F.col("content")).alias("slug"))
 
 
 @query(sql("SELECT conv_id, string_agg(number, ',' ORDER BY number) AS kept FROM (SELECT conv_id, CAST(number AS VARCHAR) AS number, row_number() OVER (PARTITION BY conv_id ORDER BY -(number % 3), CASE number % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 9 END, turns.number) AS p, sum(length(body)) OVER (PARTITION BY conv_id) AS c, count(*) OVER (PARTITION BY conv_id) AS n FROM turns) WHERE c >= 1500 OR n <= 3 OR p <= 3 GROUP BY conv_id"))
@@ -70,7 +70,7 @@ def synthesis_hubs(t):
 @query(sql("SELECT seq, type <> 'transient' AS has_vector, coalesce(n, 0) AS postings, coalesce(c, 0) AS chars, coalesce(e, 0) AS edges FROM nodes LEFT JOIN (SELECT node_id, count(*) AS n, CAST(sum(length(token)) AS BIGINT) AS c FROM posts GROUP BY node_id) USING (node_id) LEFT JOIN (SELECT node_id, len(regexp_extract_all(content, '\\[\\[')) AS e FROM nodes) USING (node_id)", LEX[3]))
 def index_rebuild(t):
     """What is derived from each note, written anew: a vector or none, postings of the stored index, links."""
-    n = t.nodes()
+    n = t.texts()
     vectors = n.where("type <> 'transient'").select("node_id", engines.embedded(F.col("content")).alias("embedding")).where("embedding IS NOT NULL").select("node_id", F.lit(True).alias("v"))
     posts = t.lexical_index(anew=True).tokens()
     edges = graph.edges_from_text(n).groupBy(F.col("source_id").alias("node_id")).agg(F.count("*").alias("edges"))

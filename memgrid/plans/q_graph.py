@@ -46,7 +46,7 @@ def provenance_paths(t):
 
 @query(sql("SELECT count(*) FILTER (n_roots >= 2) AS multi_source, count(*) FILTER (n_roots = 1 AND n_direct >= 2 AND NOT unknown AND NOT cyclic) AS same_root, count(*) FILTER (unknown OR cyclic) AS unknown_or_cyclic FROM prov", *_PROV))
 def provenance_counts(t):
-    return G.provenance_counts(G.provenance_states(t.nodes()))
+    return G.provenance_counts(G.provenance_states(t.texts()))
 
 
 _TXT = "CASE seq % 4 WHEN 0 THEN concat(content, ' [[', {0}, ']] and [[ ', {1}, ' | other ]]') WHEN 1 THEN concat('[[', title, ']]') WHEN 2 THEN concat('[[none]] [[', node_id, ']]') ELSE content END"

@@ -117,7 +117,7 @@ _DUP = [
 
 @query(sql("SELECT node_id, min(rule) AS rule FROM (SELECT node_id, 'A' AS rule FROM ra UNION ALL SELECT node_id, 'B' FROM rb UNION ALL SELECT node_id, 'C' FROM rc) GROUP BY node_id", *_DUP))
 def session_duplicates(t):
-    return L.session_duplicates(t.nodes())
+    return L.session_duplicates(t.texts())
 
 
 @query(sql("SELECT 'mem_session_' || left(sha1(k), 16) AS node_id, CASE WHEN seq % 3 = 0 THEN 'created' WHEN seq % 3 = 1 THEN 'unchanged' ELSE 'updated' END AS action FROM (SELECT seq, concat('key', cast(seq as string)) AS k FROM nodes)"))
@@ -266,7 +266,7 @@ def _long(t):
     body = lambda k: F.concat(F.lit("## S"), F.char(k + 96), F.lit("\n"), F.when(k == 1, w).otherwise("z"), F.repeat(F.lit("."), 60))
     many = F.concat(F.lit("## Takeaway\n\nT.\n\n"), F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.col("seq") % 10 + 3), body), "\n\n"))
     one = F.concat(F.lit("## Takeaway\n\nT.\n\n## Details\n"), w, F.repeat(F.lit(" word"), 140))
-    return t.nodes().select("seq", "node_id", "title", F.when(F.col("seq") % 4 == 0, one).otherwise(many).alias("content"), (F.length(w) + 500).alias("most"))
+    return t.texts().select("seq", "node_id", "title", F.when(F.col("seq") % 4 == 0, one).otherwise(many).alias("content"), (F.length(w) + 500).alias("most"))
 
 
 @query(sql("SELECT seq, CASE WHEN seq % 4 > 0 AND seq % 10 >= 4 THEN CAST(seq % 10 + 3 AS INTEGER) ELSE 0 END AS sections, true AS fits, true AS linked FROM nodes"))

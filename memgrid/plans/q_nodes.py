@@ -137,7 +137,7 @@ _CUT = "src AS (SELECT node_id, title, content, created_at FROM nodes UNION ALL
 
 @query(sql("SELECT a.node_id, arg_max(b.node_id, struct_pack(t := b.created_at, n := b.node_id)) AS newer FROM flat a JOIN flat b ON a.title = b.title AND a.created_at < b.created_at AND length(a.body) < length(b.body) AND starts_with(b.body, a.body) GROUP BY a.node_id", _CUT, _FLAT.replace("FROM nodes", "FROM src")))
 def prefix_duplicates(t):
-    n = t.nodes().select("node_id", "seq", "title", "content", "created_at")
+    n = t.texts().select("node_id", "seq", "title", "content", "created_at")
     cut = n.where("seq % 3 = 0").withColumns({"node_id": F.concat("node_id", F.lit("p")), "content": F.expr("left(content, length(content) div 2)"), "created_at": F.expr("created_at - interval 1 day")})
     return N.prefix_duplicates(n.union(cut))
 

@@ -69,7 +69,7 @@ def lexical_hits(t):
 @query(sql("SELECT query_id, node_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM leg", *LEX))
 def lexical_index_changes(t):
     """The index of notes as they once were (a third not there yet, a third shorter, some since gone), after what has changed."""
-    n = t.nodes().select("seq", "node_id", "title", "content", "tags")
+    n = t.texts().select("seq", "node_id", "title", "content", "tags")
     gone = n.where("seq % 4 = 0").withColumn("node_id", F.concat(F.lit("gone"), F.col("node_id")))
     once = n.where("seq % 3 > 0").withColumn("content", F.when(F.col("seq") % 3 == 1, F.reverse("content")).otherwise(F.col("content")))
     index = X.LexicalIndex.build(once.union(gone), scratch_folder(t.spark, "lexical"))

@@ -149,6 +149,12 @@ class Tables:
         df = df.selectExpr(*[f"{v} as {k}" for k, v in node_columns(SPARK).items()])
         return df.withColumn("title", F.substring_index("content", "\n", 1)).withColumn("distilled_hash", F.when(F.col("seq") % 3 == 0, F.sha2("content", 256)).when(F.col("seq") % 3 == 1, F.lit("stale")))
 
+    def texts(self) -> DataFrame:
+        """The nodes without what other tables say about them (verified and counters): no join, so no text travels."""
+        joined = {"verified", "retrieved_count", "injected_count", "used_count", "access_count"}
+        df = self.raw("documents").selectExpr(*[f"{v} as {k}" for k, v in node_columns(SPARK).items() if k not in joined])
+        return df.withColumn("title", F.substring_index("content", "\n", 1))
+
     def n(self) -> str:
         """Number of documents, as SQL."""
         return str(max(1, self.raw("documents").count()))
@@ -167,7 +173,7 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.dir)
         if anew or key not in _indexes:
             path = scratch_folder(self.spark, "lexical")
-            LexicalIndex.build(self.nodes(), path)
+            LexicalIndex.build(self.texts(), path)
             _indexes[key] = path
         return LexicalIndex.open(self.spark, _indexes[key])
 

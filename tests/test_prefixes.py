@@ -53,8 +53,10 @@ def test_pass_equals_all_pairs(spark, ranges, seed, n):
     assert got == want
 
 
-def test_prefix_duplicates_of_copies_and_odd_rows(spark):
-    rows = [("a", "T", "one  two", 1), ("b", "T", "One two three", 5), ("c", "T", "one two three", 9), ("d", "T", "one two three four", 9), ("e", "U", "one two three four five", 99), ("f", None, "one", 1), ("g", "T", None, 1), ("h", "T", "", 4), ("i", "T", "one two", 20), ("j", "T", "one two", None)]
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_prefix_duplicates_of_copies_and_odd_rows(spark, copies, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", copies)
+    rows = [("a", "T", "one  two", 1), ("b", "T", "One two three", 5), ("c", "T", "one two three", 9), ("d", "T", "one two three four", 9), ("e", "U", "one two three four five", 99), ("f", None, "one", 1), ("g", "T", None, 1), ("h", "T", "", 4), ("i", "T", "one two", 20), ("k", "T", "One two", 2), ("j", "T", "one two", None)]
     df = spark.createDataFrame(rows, "node_id string, title string, content string, at long").selectExpr("node_id", "title", "content", "timestamp_seconds(at) created_at")
-    assert sorted(map(tuple, N.prefix_duplicates(df).collect())) == [("a", "d"), ("b", "d"), ("h", "i")]
+    assert sorted(map(tuple, N.prefix_duplicates(df).collect())) == [("a", "d"), ("b", "d"), ("h", "i"), ("k", "d")]
     assert N.prefix_duplicates(df.where("false")).count() == 0
