@@ -63,23 +63,80 @@ def part_of(slots: int, parts: int) -> Column:
     return F.pmod(F.floor(F.pmod(F.xxhash64("node_id"), F.lit(slots)) / max(1, slots // BUNDLED)), F.lit(parts)).cast("int")
 
 
-def occurrences(notes: DataFrame) -> DataFrame:
-    """A row for each note, leg and token, with its positions: part, slot, cell, leg, token, node_id, len0, len1, at."""
+BLOCK = "token string, leg int, cell long, n long, max_tf int, min_len0 int, min_len1 int, docs array<struct<node_id:string,len0:int,len1:int,at:array<int>>>, part int"
+_DOC = pa.struct([("node_id", pa.string()), ("len0", pa.int32()), ("len1", pa.int32()), ("at", pa.list_(pa.int32()))])
+
+
+def _cut(leg: int, cell: int, part: int, fields: pa.ListArray, notes: np.ndarray, ids: pa.Array, sizes: list[np.ndarray]) -> pa.RecordBatch | None:
+    """Blocks of one leg of a cell: fields are the notes' (numbers in ids and sizes) tokens, a list for each field."""
+    lists = fields.flatten()
+    tokens = lists.flatten()
+    if not len(tokens):
+        return None
+    of_field = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    per_note = fields.value_lengths().to_numpy()
+    field_note = np.repeat(notes, per_note)
+    starts = np.cumsum(per_note) - per_note
+    field_number = np.arange(len(lists)) - np.repeat(starts, per_note)
+    field_start = np.cumsum(lists.value_lengths().to_numpy()) - lists.value_lengths().to_numpy()
+    at = np.arange(len(tokens)) - field_start[of_field] + field_number[of_field] * COLUMN
+    note = field_note[of_field]
+    coded = tokens.dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")  # notes and positions stay in their order within a token
+    code, note, at = code[order], note[order], at[order]
+    new_doc = np.concatenate([[True], (code[1:] != code[:-1]) | (note[1:] != note[:-1])])
+    doc = np.flatnonzero(new_doc)  # where a note's positions start
+    doc_end = np.append(doc[1:], len(code))
+    new_block = np.concatenate([[True], code[doc[1:]] != code[doc[:-1]]])
+    block = np.flatnonzero(new_block)
+    block_end = np.append(block[1:], len(doc))
+    members, tf = note[doc], doc_end - doc
+    len0, len1 = (x[members].astype(np.int32) for x in sizes)
+    places = pa.ListArray.from_arrays(pa.array(np.append(doc, len(code)), pa.int32()), pa.array(at.astype(np.int32)))
+    docs = pa.StructArray.from_arrays([ids.take(pa.array(members)), pa.array(len0), pa.array(len1), places], fields=list(_DOC))
+    m = len(block)
+    columns = [
+        coded.dictionary.take(pa.array(code[doc[block]])),
+        pa.array(np.full(m, leg, np.int32)),
+        pa.array(np.full(m, cell, np.int64)),
+        pa.array(block_end - block),
+        pa.array(np.maximum.reduceat(tf, block).astype(np.int32)),
+        pa.array(np.minimum.reduceat(len0, block)),
+        pa.array(np.minimum.reduceat(len1, block)),
+        pa.ListArray.from_arrays(pa.array(np.append(block, len(doc)), pa.int32()), docs, type=pa.list_(_DOC)),
+        pa.array(np.full(m, part, np.int32)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ("token", "leg", "cell", "n", "max_tf", "min_len0", "min_len1", "docs", "part")])
+
+
+def cut_blocks(notes: DataFrame) -> DataFrame:
+    """Blocks of cut notes, a cell at a time; a token never leaves the task of its note."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, rows in cells_of(batches):
+            t = pa.Table.from_batches(rows).combine_chunks()
+            plain, bigram, ids = (t.column(c).combine_chunks() for c in ("plain", "bigram", "node_id"))
+            sizes, part = [t.column(c).to_numpy() for c in ("len0", "len1")], t.column("part")[0].as_py()
+            same = np.asarray(bigram.is_null().to_numpy(zero_copy_only=False), bool)
+            for leg, fields, own in ((SAME, plain, same), (0, plain, ~same), (1, bigram, ~same)):
+                which = np.flatnonzero(own)
+                if len(which) and (out := _cut(leg, cell, part, fields.take(pa.array(which)), which, ids, sizes)) is not None:
+                    yield out
+
+    rows = notes.select("part", "cell", "node_id", F.col("len0").cast("int").alias("len0"), F.col("len1").cast("int").alias("len1"), "plain", "bigram")
+    return rows.sortWithinPartitions("part", "cell").mapInArrow(run, BLOCK)
 
-    def posts(fields: str, leg: int) -> Column:
-        each = F.transform(fields, lambda f, k: F.transform(f, lambda t, i: F.struct(F.lit(leg).alias("leg"), (i + k * COLUMN).cast("int").alias("pos"), t.alias("token"))))
-        return F.flatten(each)
 
-    both = F.when(F.col("bigram").isNull(), posts("plain", SAME)).otherwise(F.concat(posts("plain", 0), posts("bigram", 1)))
-    keys = ["part", "slot", "cell", "node_id", "len0", "len1"]
-    rows = notes.select(*keys, F.explode(both).alias("p")).select(*keys, "p.*")
-    return rows.groupBy("part", "slot", "cell", "leg", "token", "node_id", "len0", "len1").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+def rows_of(blocks: DataFrame) -> DataFrame:
+    """A row for each note of each block."""
+    return blocks.select("part", "cell", "leg", "token", F.explode("docs").alias("d")).select("part", "cell", "leg", "token", "d.*")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Occurrences as blocks."""
-    doc = F.struct("node_id", F.col("len0").cast("int").alias("len0"), F.col("len1").cast("int").alias("len1"), "at")
-    out = rows.groupBy("part", "slot", "cell", "leg", "token").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("max_tf"), F.min("len0").cast("int").alias("min_len0"), F.min("len1").cast("int").alias("min_len1"), F.collect_list(doc).alias("docs"))
+    """Rows of notes as blocks again."""
+    doc = F.struct("node_id", "len0", "len1", "at")
+    out = rows.groupBy("part", "cell", "leg", "token").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("max_tf"), F.min("len0").alias("min_len0"), F.min("len1").alias("min_len1"), F.collect_list(doc).alias("docs"))
     return out.select("token", "leg", "cell", "n", "max_tf", "min_len0", "min_len1", "docs", "part")
 
 
@@ -248,7 +305,7 @@ class LexicalIndex:
         slots = max(1, -(-nodes.count() // per_slot))
         index = LexicalIndex(nodes.sparkSession, path, 0, slots, min(-(-slots // max(1, slots // BUNDLED)), PARTS))
         notes = cut_notes(nodes, slots, index.parts)
-        index._write(occurrences(notes), notes, None)
+        index._write(cut_blocks(notes), notes, None)
         return index
 
     @staticmethod
@@ -277,10 +334,10 @@ class LexicalIndex:
     def notes(self, only: list[int] | None = None) -> DataFrame:
         return self._table("notes", NODES, only)
 
-    def _write(self, rows: DataFrame, notes: DataFrame, only: list[int] | None) -> None:
+    def _write(self, blocks: DataFrame, notes: DataFrame, only: list[int] | None) -> None:
         """Writes parts as a new version, and then the manifest."""
         version = 0 if only is None else self.version + 1
-        blocks(rows).sortWithinPartitions("part", "token", "leg", "cell").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/version={version}")
+        blocks.sortWithinPartitions("part", "token", "leg", "cell").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/version={version}")
         notes.select("node_id", F.col("len0").cast("int").alias("len0"), F.col("len1").cast("int").alias("len1"), "cell", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/notes/version={version}")
         written = self.spark.read.schema(NODES).parquet(f"{self.path}/notes").where(F.col("version") == version)
         sums = written.groupBy("part").agg(F.count("*").alias("n"), F.sum("len0").alias("sum0"), F.sum("len1").alias("sum1"))
@@ -304,11 +361,10 @@ class LexicalIndex:
         touched = [r[0] for r in gone.select(part_of(self.slots, self.parts).alias("part")).distinct().collect()]  # no more than PARTS
         if not touched:
             return self
-        old = self.postings(touched).withColumn("slot", F.floor(F.col("cell") / CLASSES)).repartition("part", "slot")
-        old = old.select("part", "slot", "cell", "leg", "token", F.explode("docs").alias("d")).select("part", "slot", "cell", "leg", "token", "d.*")
-        rows = old.join(gone, "node_id", "left_anti").select("part", "slot", "cell", "leg", "token", "node_id", "len0", "len1", "at")
+        rows = rows_of(self.postings(touched)).join(gone, "node_id", "left_anti").select("part", "cell", "leg", "token", "node_id", "len0", "len1", "at")
         kept = self.notes(touched).join(gone, "node_id", "left_anti").select("node_id", "len0", "len1", "cell", "part")
-        self._write(rows.unionByName(occurrences(new).select(*rows.columns)), kept.unionByName(new.select("node_id", "len0", "len1", "cell", "part")), touched)
+        both = rows.unionByName(rows_of(cut_blocks(new)).select(*rows.columns)).repartition(F.xxhash64("part", "cell"))
+        self._write(blocks(both), kept.unionByName(new.select("node_id", "len0", "len1", "cell", "part")), touched)
         return self
 
     def tokens(self) -> DataFrame:

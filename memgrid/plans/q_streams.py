@@ -22,11 +22,31 @@ def changes_applied(t):
     return S.apply_changes(index, c)
 
 
-@query("SELECT conv_id, CAST(0 AS BIGINT) AS from_turn, max(turn) AS to_turn, false AS rescan FROM conversations GROUP BY conv_id")
+_LATE, _OTHER, _AGAIN = "(conv_id % 3 = 1 AND turn = 1)", "(conv_id % 5 = 2 AND turn = 0)", "conv_id % 7 = 3"
+
+
+@query(f"WITH a AS (SELECT conv_id, min(turn) AS lo, max(turn) AS hi FROM conversations WHERE NOT {_LATE} GROUP BY conv_id), b AS (SELECT c.conv_id, bool_or({_OTHER} OR ({_LATE} AND turn <= hi)) AS rescan, max(turn) AS top, min(turn) FILTER (turn > coalesce(hi, -1)) AS first, max(hi) AS hi FROM conversations c LEFT JOIN a USING (conv_id) WHERE {_LATE} OR {_OTHER} OR {_AGAIN} GROUP BY c.conv_id) SELECT 1 AS delivery, conv_id, lo AS from_turn, hi AS to_turn, false AS rescan FROM a UNION ALL SELECT 2, conv_id, CASE WHEN coalesce(rescan, false) THEN 0 ELSE first END, greatest(top, coalesce(hi, -1)), coalesce(rescan, false) FROM b WHERE coalesce(rescan, false) OR first IS NOT NULL")
 def pending_turns(t):
-    df = t.spark.readStream.schema(t.raw("conversations").schema).parquet(_folder(t, "conversations"))
-    df = df.selectExpr("conv_id", "turn number", "text body")
-    return S.drained(t.spark, S.pending_turns(df), scratch_folder(t.spark, "pending"), "update").groupBy("conv_id").agg(F.min("from_turn").alias("from_turn"), F.max("to_turn").alias("to_turn"), F.bool_or("rescan").alias("rescan"))
+    """Turns in two deliveries: some of the second come late, some have another text, some are the same again."""
+    c = t.raw("conversations").select("conv_id", "turn", F.col("turn").alias("number"), F.col("text").alias("body"))
+    folder = scratch_folder(t.spark, "pending")
+    again = c.where(f"{_LATE} OR {_OTHER} OR {_AGAIN}").withColumn("body", F.when(F.expr(_OTHER), F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    for k, rows in enumerate((c.where(f"NOT {_LATE}"), again), 1):
+        rows.drop("turn").write.parquet(f"{folder}/in/delivery={k}")
+        df = t.spark.readStream.schema("conv_id long, number long, body string").parquet(f"{folder}/in/delivery=*")
+        S.drained(t.spark, S.pending_turns(df), folder, "update", f"rows/delivery={k}")
+    return t.spark.read.schema(f"{S.PENDING}, delivery int").parquet(f"{folder}/rows").select("delivery", "conv_id", "from_turn", "to_turn", "rescan")
+
+
+_WM = "SELECT max(ts) AS wm FROM events"
+
+
+@query(f"WITH e AS (SELECT user_id, ts, (floor((epoch(ts) - 10800) / 86400) + 1) * 86400 + 10800 AS due FROM events), g AS (SELECT user_id, due, count(*) AS n FROM e GROUP BY ALL), c AS (SELECT user_id, due, ts, row_number() OVER (PARTITION BY user_id, due ORDER BY ts) AS k FROM e) SELECT CAST(user_id AS VARCHAR) AS key, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CAST(4 AS BIGINT) AS fired, 'count' AS reason FROM c WHERE k % 4 = 0 UNION ALL SELECT CAST(user_id AS VARCHAR), strftime(make_timestamp(CAST(due AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S'), n % 4, 'time' FROM g WHERE n % 4 > 0 AND (due <= (SELECT epoch(wm) FROM ({_WM})) OR EXISTS (SELECT 1 FROM e x WHERE x.user_id = g.user_id AND epoch(x.ts) >= g.due))")
+def count_or_clock(t):
+    """Each user's events fire at every fourth of a day, and what is left at three o'clock; what is left after the last slot does not."""
+    df = t.spark.readStream.schema(t.raw("events").schema).parquet(_folder(t, "events")).select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("n"))
+    rows = S.drained(t.spark, S.threshold_trigger(df, threshold=4), scratch_folder(t.spark, "trigger"))
+    return rows.select("key", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "fired", "reason")
 
 
 @query("SELECT user_id, CAST(min(event_id) AS BIGINT) AS first_event, count(*) AS events FROM events GROUP BY user_id")

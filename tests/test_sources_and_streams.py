@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -109,9 +110,10 @@ def test_watermark_by_key(spark, tmp_path):
     put(1, [(1, 0, "a"), (1, 1, "b"), (2, 0, "x")])
     name, done = "marks", []
 
-    def run():
-        df = S.pending_turns(spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*")))
-        q = df.writeStream.foreachBatch(lambda b, _: done.extend(tuple(r) for r in b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    def run(**ttl):
+        df = S.pending_turns(spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*")), **ttl)
+        with S.without_idle_batches(spark):
+            q = df.writeStream.foreachBatch(lambda b, _: done.extend(tuple(r) for r in b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
         out = sorted(done)
         done.clear()
@@ -121,15 +123,52 @@ def test_watermark_by_key(spark, tmp_path):
     put(2, [(1, 2, "c")])
     assert run() == [(1, 2, 2, False)]
     put(3, [(1, 1, "changed"), (2, 0, "x")])
-    assert run() == [(1, 0, 1, True)]
-
-
-def test_threshold(spark, tmp_path):
-    for k, rows in enumerate([[("a", 20), ("b", 5)], [("a", 15)], [("a", 10), ("b", 26)]]):
-        spark.createDataFrame(rows, "key string, n long").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
-    df = spark.readStream.schema("key string, n long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    got = sorted((r.key, r.fired) for r in S.drained(spark, S.threshold_trigger(df), str(tmp_path / "fires"), "update").collect())
-    assert [k for k, _ in got] == ["a", "b"] and all(n >= 30 for _, n in got)
+    assert run() == [(1, 0, 2, True)]
+    put(4, [(1, 1, "changed"), (1, 3, "d"), (2, 2, "z")])  # the same again, and what goes on
+    assert run() == [(1, 3, 3, False), (2, 2, 2, False)]
+    put(5, [(2, 1, "late")])
+    assert run() == [(2, 0, 2, True)]
+
+
+def test_a_forgotten_turn_is_known_by_its_prefix(spark, tmp_path):
+    """Once digests have gone, a turn below the mark is doubtful, but a whole prefix is not."""
+
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        exists = lambda self: self.v is not None
+        get = lambda self: self.v
+
+        def update(self, v):
+            self.v = v
+
+    class Map(dict):
+        containsKey = lambda self, k: k in self
+        getValue = dict.__getitem__
+        updateValue = dict.__setitem__
+        iterator = dict.items
+
+    p = S.PendingTurns(1, 1)
+    p.mark, p.turns = Value(), Map()
+    told = lambda rows: [tuple(x) for df in p.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["number", "body"])]), None) for x in df.itertuples(index=False)]
+    assert told([(0, "a"), (1, "b")]) == [(7, 0, 1, False)]
+    assert told([(2, "c")]) == [(7, 2, 2, False)]
+    p.turns.clear()
+    assert told([(0, "a"), (1, "b"), (2, "c"), (3, "d")]) == [(7, 3, 3, False)]
+    p.turns.clear()
+    assert told([(1, "b")]) == [(7, 0, 3, True)]
+
+
+def test_count_or_clock(spark, tmp_path):
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    rows = [[("a", at(1, 4), 20), ("b", at(1, 5), 5)], [("a", at(1, 6), 15), ("a", at(1, 7), 1)], [("c", at(2, 2), 3), ("c", at(2, 4), 3), ("b", at(3, 1), 2)]]
+    for k, r in enumerate(rows):
+        spark.createDataFrame(r, "key string, ts timestamp, n long").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    df = spark.readStream.schema("key string, ts timestamp, n long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    got = sorted((r.key, r["at"], r.fired, r.reason) for r in S.drained(spark, S.threshold_trigger(df), str(tmp_path / "fires")).collect())
+    # what is left of c at the slot of the third and of b at that of the third has not come up yet
+    assert got == [("a", at(1, 6), 35, "count"), ("a", at(2, 3), 1, "time"), ("b", at(2, 3), 5, "time"), ("c", at(2, 3), 3, "time")]
 
 
 def test_days(spark):
