@@ -3,8 +3,8 @@
 Notes fall into slots by a hash of their id, and a slot into cells by the notes' length. A block is
 what a cell has of one token: how many notes, the highest number of occurrences, the least length,
 and the notes themselves with the token's positions. Notes are dealt out by slot before they are cut
-into tokens, so no token travels. Blocks are sorted by token within the files of an index, so a
-search reads the row groups of asked tokens only, and never a note's text.
+into tokens, so no token travels. Blocks are sorted by token within the files of an index, so a scan
+leaves out row groups beyond the range of asked tokens; it never reads a note's text.
 
 The best notes of queries are found by block maxima: what a note of a cell can score at most is the
 sum over a query's terms of what the block's maxima allow. The cells with the highest bounds are

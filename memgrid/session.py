@@ -13,7 +13,6 @@ def make_session(name: str = "memgrid", master: str | None = None, shuffle_parti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.cteRecursionLevelLimit", "100")
-        .config("spark.sql.parquet.pushdown.inFilterThreshold", "20000")  # a search names its tokens to the scan of postings
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
