@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memgrid.operators.nodes import hash_sample, ratio
@@ -164,6 +165,17 @@ def funnel(nodes: DataFrame, searches: DataFrame) -> DataFrame:
     return df.select("*", ratio(F.col("injected"), F.col("retrieved")).alias("pass_rate"), ratio(F.col("used"), F.col("injected")).alias("conversion_rate"))
 
 
+def run_totals(runs: DataFrame, now: Column, counters: tuple[str, ...]) -> DataFrame:
+    """Of each counter of the runs its sum and average, and its sums over the last day, week and month: one pass, a row for each counter."""
+
+    def since(c: str, days: int) -> Column:
+        at = F.col("started_at")
+        return F.coalesce(F.sum(F.when((at >= now - F.make_dt_interval(F.lit(days))) & (at <= now), F.col(c))), F.lit(0)).alias(f"last_{days}d")
+
+    each = [F.struct(F.lit(c).alias("counter"), F.coalesce(F.sum(c), F.lit(0)).alias("total"), F.round(F.avg(c), 4).alias("average"), since(c, 1), since(c, 7), since(c, 30)) for c in counters]
+    return runs.agg(F.array(*each).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def earliest(*tables: tuple[DataFrame, str]) -> DataFrame:
     """The first instant in any table."""
     out = None
@@ -180,6 +192,28 @@ def daily_snapshot(searches: DataFrame, writes: DataFrame) -> DataFrame:
     return s.join(w, "day", "full_outer").na.fill(0, ["searches", "injected", "writes", "failures"])
 
 
+def daily_snapshots(searches: DataFrame, writes: DataFrame, runs: DataFrame, nodes: DataFrame, today: str, backfill: int) -> DataFrame:
+    """A row for each of the last `backfill` days and today, whether or not anything happened: its events, and stocks at its end.
+
+    Events are counted by day. Stocks (nodes, transcripts, bytes of notes) add up over the days at
+    which notes were created; they are null before the first of those. Days before the first event of
+    any table are left out. The spine has a row for each day, so the sums over it are small.
+    """
+    first = earliest((searches, "ts"), (writes, "created_at"), (runs, "started_at"), (nodes, "created_at")).select(F.to_date("earliest").alias("first"))
+    last = F.to_date(F.lit(today))
+    spine = first.where(F.col("first") <= last).select(F.explode(F.sequence(F.greatest("first", F.date_sub(last, backfill)), last)).alias("day"))
+    r = runs.groupBy(F.to_date("started_at").alias("day")).agg(F.count("*").alias("runs"), F.sum("items_created").alias("created"))
+    transient = F.col("type") == "transient"
+    made = nodes.groupBy(F.to_date("created_at").alias("day")).agg(F.count_if(~transient).alias("nodes"), F.count_if(transient).alias("transcripts"), F.sum(F.octet_length("content")).alias("bytes"))
+    stocks = ["nodes", "transcripts", "bytes"]
+    # what was there before the spine begins belongs to its first day
+    made = made.join(F.broadcast(spine.agg(F.min("day").alias("from"))), F.lit(True)).where(F.col("day") <= last).groupBy(F.greatest("day", "from").alias("day")).agg(*[F.sum(c).alias(c) for c in stocks])
+    upto = W.orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    out = spine.join(daily_snapshot(searches, writes), "day", "left").join(r, "day", "left").join(made, "day", "left")
+    out = out.na.fill(0, ["searches", "injected", "writes", "failures", "runs", "created"])
+    return out.withColumns({c: F.sum(c).over(upto) for c in stocks})
+
+
 def upsert_snapshots(old: DataFrame, new: DataFrame, replace: bool) -> DataFrame:
     """K4: by day; a new row replaces an old one, or is ignored where there is one."""
     keep, add = (old.join(new, "day", "left_anti"), new) if replace else (old, new.join(old, "day", "left_anti"))

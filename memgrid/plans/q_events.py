@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memgrid.operators import events as E
 from memgrid.plans.catalog import query
-from memgrid.sources.logical import NOW, sql
+from memgrid.sources.logical import NOW, RUN_COUNTERS, sql
 
 P = "round(coalesce(quantile_disc(latency_ms, {}), 0), 1)"
 _S = "s AS (SELECT *, len(list_filter(results, lambda r: r.inject)) AS k, len(results) AS m FROM searches)"
@@ -84,9 +84,9 @@ def wilson_precision(t):
     return E.precision_by(judged, "source")
 
 
-@query(sql("SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS earliest FROM (SELECT min(ts) AS ts FROM searches UNION ALL SELECT min(created_at) FROM nodes UNION ALL SELECT min(created_at) FROM writes UNION ALL SELECT min(started_at) FROM runs UNION ALL SELECT min(started_at) FROM runs WHERE run_id % 2 = 0)"))
+@query(sql("SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS earliest FROM (SELECT min(ts) AS ts FROM searches UNION ALL SELECT min(created_at) FROM nodes UNION ALL SELECT min(created_at) FROM writes UNION ALL SELECT min(started_at) FROM runs UNION ALL SELECT min(started_at) FROM maintenance)"))
 def earliest_event(t):
-    return E.earliest((t.searches(), "ts"), (t.nodes(), "created_at"), (t.writes(), "created_at"), (t.runs(), "started_at"), (t.runs().where("run_id % 2 = 0"), "started_at")).select(F.date_format("earliest", "yyyy-MM-dd HH:mm:ss").alias("earliest"))
+    return E.earliest((t.searches(), "ts"), (t.nodes(), "created_at"), (t.writes(), "created_at"), (t.runs(), "started_at"), (t.maintenance(), "started_at")).select(F.date_format("earliest", "yyyy-MM-dd HH:mm:ss").alias("earliest"))
 
 
 _SNAP = f"SELECT coalesce(a.day, b.day) AS day, coalesce(searches, 0) AS searches, p95, coalesce(injected, 0) AS injected, coalesce(writes, 0) AS writes, coalesce(failures, 0) AS failures FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS searches, {P.format(0.95)} AS p95, CAST(sum(k) AS BIGINT) AS injected FROM s GROUP BY 1) a FULL JOIN (SELECT CAST(created_at AS DATE) AS day, count(*) AS writes, count(*) FILTER (NOT execution_succeeded) AS failures FROM writes GROUP BY 1) b ON a.day = b.day"
@@ -97,6 +97,25 @@ def daily_snapshot(t):
     return E.daily_snapshot(t.searches(), t.writes()).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+_BACK = 200
+_DAYS = f"ev AS (SELECT min(ts) AS t FROM (SELECT min(ts) AS ts FROM searches UNION ALL SELECT min(created_at) FROM writes UNION ALL SELECT min(started_at) FROM runs UNION ALL SELECT min(created_at) FROM nodes)), spine AS (SELECT CAST(unnest(generate_series(greatest(CAST(CAST(t AS DATE) AS TIMESTAMP), TIMESTAMP '{NOW}' - INTERVAL {_BACK} DAY), TIMESTAMP '{NOW}', INTERVAL 1 DAY)) AS DATE) AS day FROM ev), snap AS ({_SNAP}), made AS (SELECT CAST(created_at AS DATE) AS day, type = 'transient' AS tr, strlen(content) AS b FROM nodes)"
+
+
+@query(sql("SELECT strftime(day, '%Y-%m-%d') AS day, coalesce(searches, 0) AS searches, p95, coalesce(injected, 0) AS injected, coalesce(writes, 0) AS writes, coalesce(failures, 0) AS failures, coalesce(r.n, 0) AS runs, CAST(coalesce(r.c, 0) AS BIGINT) AS created, CASE WHEN k > 0 THEN nodes END AS nodes, CASE WHEN k > 0 THEN transcripts END AS transcripts, CAST(bytes AS BIGINT) AS bytes FROM spine LEFT JOIN snap USING (day) LEFT JOIN (SELECT CAST(started_at AS DATE) AS day, count(*) AS n, sum(items_created) AS c FROM runs GROUP BY 1) r USING (day) LEFT JOIN (SELECT spine.day, count(made.day) AS k, count(*) FILTER (NOT tr) AS nodes, count(*) FILTER (tr) AS transcripts, sum(b) AS bytes FROM spine LEFT JOIN made ON made.day <= spine.day GROUP BY spine.day) USING (day)", _S, _DAYS))
+def daily_stocks(t):
+    """Each day of the last two hundred, with events and stocks."""
+    return E.daily_snapshots(t.searches(), t.writes(), t.runs(), t.nodes(), NOW, _BACK).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+_SUMS = "CAST(coalesce(sum({0}), 0) AS BIGINT) AS total, round(avg({0}), 4) AS average, " + ", ".join(f"CAST(coalesce(sum({{0}}) FILTER ({_W.format(d)}), 0) AS BIGINT) AS last_{d}d" for d in (1, 7, 30))
+
+
+@query(sql(" UNION ALL ".join(f"SELECT '{c}' AS counter, {_SUMS.format(c)} FROM maintenance" for c in ("duration_ms", *RUN_COUNTERS))))
+def maintenance_totals(t):
+    """All counters of the maintenance runs."""
+    return E.run_totals(t.maintenance(), F.lit(RUNS_NOW).cast("timestamp"), ("duration_ms", *RUN_COUNTERS))
+
+
 @query(sql("SELECT day, CAST(max(n) AS BIGINT) AS n FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM searches WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1 UNION ALL SELECT strftime(ts, '%Y-%m-%d'), 0 FROM searches WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1) GROUP BY day"))
 def snapshot_upsert(t):
     day = F.date_format("ts", "yyyy-MM-dd").alias("day")

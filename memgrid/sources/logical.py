@@ -125,6 +125,19 @@ def run_columns(d: Dialect) -> dict[str, str]:
     }
 
 
+#: What a maintenance run counts, besides its duration.
+RUN_COUNTERS = (
+    "batch_size", "stale_scanned", "superseded_scanned", "disputed_scanned", "missing_link_pairs_scanned", "triage_keep", "triage_condense", "triage_archive", "links_added",
+    "conflicts_superseded", "conflicts_both_valid", "archived", "condensed", "warnings", "sampling_failures", "synthesized_hubs", "semantic_merges", "oversized_compacted", "repointed_links",
+)
+
+
+def maintenance_columns(d: Dialect) -> dict[str, str]:
+    """Runs of the maintenance, one for each line of an order."""
+    k = "(l_orderkey * 8 + l_linenumber)"
+    return {"run_id": k, "started_at": "l_shipdate", "duration_ms": f"{k} * 37 % 9001"} | {c: f"{k} * {j + 3} % {j + 7}" for j, c in enumerate(RUN_COUNTERS)}
+
+
 COUNTERS = {"retrieved": "view", "injected": "click", "used": "purchase"}
 
 
@@ -193,6 +206,9 @@ class Tables:
     def runs(self) -> DataFrame:
         return self.raw("orders").selectExpr(*[f"{v} as {k}" for k, v in run_columns(SPARK).items()])
 
+    def maintenance(self) -> DataFrame:
+        return self.raw("lineitem").selectExpr(*[f"{v} as {k}" for k, v in maintenance_columns(SPARK).items()])
+
     def turns(self) -> DataFrame:
         return self.raw("conversations").select("conv_id", F.col("turn").alias("number"), "role", F.col("text").alias("body"))
 
@@ -213,6 +229,7 @@ searches AS ({_select(search_columns(DUCK, "n"))} FROM events, n_docs),
 hits AS (SELECT event_id, ts, source, session_hash, r.rank AS rank, r.node_id AS node_id, r.inject AS inject FROM searches, LATERAL (SELECT unnest(results) AS r)),
 writes AS ({_select(write_columns(DUCK))} FROM events),
 runs AS ({_select(run_columns(DUCK))} FROM orders),
+maintenance AS ({_select(maintenance_columns(DUCK))} FROM lineitem),
 turns AS (SELECT conv_id, turn AS number, role, text AS body FROM conversations)
 """
 
