@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import datetime as dt
 import json
 
@@ -95,21 +97,25 @@ def rendered(nodes: DataFrame) -> DataFrame:
     return df.withColumn("n", n).withColumn("k", k).select(F.concat("folder", F.lit("/"), "slug", suffix, F.lit(".md")).alias("path"), "text")
 
 
+def put(folder: str, path: str, text: str) -> None:
+    """Writes one file under a folder, by rename."""
+    to = os.path.join(folder, path)
+    os.makedirs(os.path.dirname(to), exist_ok=True)
+    part = f"{to}.{os.getpid()}.tmp"
+    with open(part, "w", encoding="utf-8") as f:
+        f.write(text)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(part, to)
+
+
 def write(nodes: DataFrame, folder: str) -> DataFrame:
     """K1: writes each node's file under a folder that all executors share, by rename; returns the paths written."""
-    import os
 
     def run(batches):
         for pdf in batches:
             for path, text in zip(pdf.path, pdf.text, strict=True):
-                to = os.path.join(folder, path)
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                part = f"{to}.{os.getpid()}.tmp"
-                with open(part, "w", encoding="utf-8") as f:
-                    f.write(text)
-                    f.flush()
-                    os.fsync(f.fileno())
-                os.replace(part, to)
+                put(folder, path, text)
             yield pdf[["path"]]
 
     return rendered(nodes).mapInPandas(run, "path string")

@@ -75,6 +75,55 @@ def test_handbook(spark, sf_dir):
     assert "| a | b |" in pages.report("r", part=spark.createDataFrame([(1, "x|y")], "a int, b string"))
 
 
+def test_published_pages(spark, tmp_path):
+    folder, ledger = tmp_path / "book", str(tmp_path / "ledger")
+    folder.mkdir()
+    (folder / "mine.md").write_text("my own")
+    (folder / "b.md").write_text("mine as well")
+
+    def publish(**pages):
+        df = spark.createDataFrame([(k.replace("__", "/") + ".md", v) for k, v in pages.items()] or [("x", "")], "path string, text string")
+        done = {r.path: r.action for r in pages_.published(df if pages else df.where("false"), str(folder), ledger).collect()}
+        return done, {str(p.relative_to(folder)): p.read_text() for p in folder.rglob("*.md")}
+
+    pages_ = pages
+    mine = {"mine.md": "my own", "b.md": "mine as well"}
+    assert publish(a="A", p__q="Q", b="B") == ({"a.md": "written", "p/q.md": "written", "b.md": "foreign"}, {"a.md": "A", "p/q.md": "Q", **mine})
+    assert publish(a="A", p__q="Q2", p__r="R") == ({"a.md": "kept", "p/q.md": "written", "p/r.md": "written"}, {"a.md": "A", "p/q.md": "Q2", "p/r.md": "R", **mine})
+    # a project goes, and with it its folder
+    assert publish(a="A") == ({"a.md": "kept", "p/q.md": "removed", "p/r.md": "removed"}, {"a.md": "A", **mine})
+    assert not (folder / "p").exists()
+    assert publish() == ({"a.md": "removed"}, mine)
+    assert publish(a="again") == ({"a.md": "written"}, {"a.md": "again", **mine})
+
+
+def test_a_run_of_pages_that_was_cut_short(spark, tmp_path, monkeypatch):
+    folder, ledger = tmp_path / "book", str(tmp_path / "ledger")
+    folder.mkdir()
+    df = spark.createDataFrame([("a.md", "A"), ("b.md", "B")], "path string, text string")
+    real = pages.checkpointed
+    calls = []
+
+    def failing(spark):
+        cut = real(spark)
+
+        def f(df):
+            calls.append(1)
+            out = cut(df)
+            if len(calls) == 2:
+                raise RuntimeError("the driver went")
+            return out
+
+        return f
+
+    monkeypatch.setattr(pages, "checkpointed", failing)
+    with pytest.raises(RuntimeError):
+        pages.published(df, str(folder), ledger)
+    monkeypatch.setattr(pages, "checkpointed", real)
+    done = {r.path: r.action for r in pages.published(df.where("path = 'a.md'"), str(folder), ledger).collect()}
+    assert done == {"a.md": "written", "b.md": "removed"} and sorted(p.name for p in folder.iterdir()) == ["a.md"]
+
+
 def test_changes(spark):
     index = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "path string, v int")
     changes = spark.createDataFrame([("a", 2, 5, "upsert"), ("a", 1, 0, "delete"), ("b", 9, 0, "delete"), ("d", 1, 7, "upsert")], "path string, ts int, v int, action string")
