@@ -61,6 +61,16 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[A-Za-z0-9]+(?:['_-][A-Za-z0-9]+)*")) + F.regexp_count(text, F.lit(CJK))
 
 
+#: Words that the body of a note should not go beyond.
+WORD_LIMIT = 3500
+
+
+def word_check(text: Column, limit: int = WORD_LIMIT) -> Column:
+    """words, limit, within (the limit) and overage (words beyond it); a null text has no words."""
+    n = F.coalesce(word_count(text), F.lit(0))
+    return F.struct(n.alias("words"), F.lit(limit).alias("limit"), (n <= limit).alias("within"), F.greatest(n - limit, F.lit(0)).alias("overage"))
+
+
 def cjk_ratio(text: Column) -> Column:
     """F23."""
     n = F.length(F.regexp_replace(text, r"[^\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}]", ""))

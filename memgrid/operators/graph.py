@@ -58,6 +58,25 @@ def resolved_labels(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels.join(ends.select("node_id", live.alias("live")), "node_id", "left").select("query_id", F.col("live").alias("node_id")).distinct()
 
 
+def label_states(golden: DataFrame, nodes: DataFrame) -> DataFrame:
+    """E5: of each golden query (query_id, expect_no_result, relevant: ids) its live labels, how many are stale, and whether it counts.
+
+    query_id, must (distinct live ends, sorted), stale (labels whose chain ends in no live node), counted
+    (queries whose labels are all stale are left out of the measures) and counted_strict (they count as
+    misses). A query that expects no result, or has no labels, has its labels as they are.
+    """
+    asked = golden.where("NOT expect_no_result AND size(relevant) > 0")
+    labels = asked.select("query_id", F.posexplode("relevant").alias("i", "node_id"))
+    followed = nodes.select("node_id", "status", F.when(F.col("status") == "superseded", F.col("superseded_by")).alias("next"))
+    ends = chain_ends(followed, "next").join(nodes.select(F.col("node_id").alias("end"), F.col("status").alias("s")), "end", "left")
+    live = F.when((F.col("outcome") == "terminal") & (F.col("s") != "superseded"), F.col("end"))
+    found = labels.join(ends.select("node_id", live.alias("live")), "node_id", "left").groupBy("query_id").agg(F.sort_array(F.collect_set("live")).alias("must"), F.count_if(F.col("live").isNull()).alias("stale"))
+    out = golden.select("query_id", "expect_no_result", "relevant").join(found, "query_id", "left")
+    must = F.coalesce("must", "relevant", F.array().cast("array<string>"))
+    strict = ~F.col("expect_no_result")
+    return out.select("query_id", must.alias("must"), F.coalesce("stale", F.lit(0)).alias("stale"), (strict & ~(F.col("must").isNotNull() & (F.size("must") == 0))).alias("counted"), strict.alias("counted_strict"))
+
+
 def provenance(nodes: DataFrame) -> DataFrame:
     """For each active persistent node its roots, and whether something unknown or a cycle is behind it.
 

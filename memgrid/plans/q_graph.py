@@ -72,3 +72,15 @@ def resolved_labels(t):
     n = t.nodes()
     labels = n.selectExpr("seq % 40 query_id", "node_id").union(n.sparkSession.createDataFrame([(1, "gone")], "query_id long, node_id string"))
     return G.resolved_labels(labels, n)
+
+
+_GOLD = "g AS (SELECT seq AS query_id, seq % 9 = 0 AS expect_no_result, CASE seq % 6 WHEN 0 THEN [] WHEN 1 THEN [node_id] WHEN 2 THEN [node_id, 'gone'] ELSE [node_id, concat('n', lpad(cast(seq + 1 as string), 8, '0')), concat('n', lpad(cast(seq - 1 as string), 8, '0'))] END AS relevant FROM nodes), el AS (SELECT w.node_id, CASE WHEN d < 64 AND n.nx IS NULL AND s.status <> 'superseded' THEN w.cur END AS live FROM (SELECT node_id, arg_max(cur, d) AS cur, max(d) AS d FROM wl GROUP BY node_id) w JOIN fo n ON n.node_id = w.cur JOIN nodes s ON s.node_id = w.cur), rs AS (SELECT query_id, list_sort(list(DISTINCT live) FILTER (live IS NOT NULL)) AS must, count(*) FILTER (live IS NULL) AS stale FROM (SELECT query_id, unnest(relevant) AS node_id FROM g WHERE NOT expect_no_result) LEFT JOIN el USING (node_id) GROUP BY query_id)"
+
+
+@query(sql("SELECT query_id, array_to_string(CASE WHEN stale IS NULL THEN relevant ELSE coalesce(must, []) END, ',') AS must, coalesce(stale, 0) AS stale, NOT expect_no_result AND NOT (stale IS NOT NULL AND len(coalesce(must, [])) = 0) AS counted, NOT expect_no_result AS counted_strict FROM g LEFT JOIN rs USING (query_id)", "fo AS (SELECT node_id, CASE WHEN status = 'superseded' THEN superseded_by END AS nx FROM nodes)", "wl AS (SELECT node_id, node_id AS cur, 0 AS d FROM nodes UNION ALL SELECT w.node_id, n.nx, d + 1 FROM wl w JOIN fo n ON n.node_id = w.cur JOIN nodes s ON s.node_id = n.nx WHERE d < 70)", _GOLD))
+def label_states(t):
+    """E5: labels of which some have a successor, some are stale, and some were never there."""
+    n = t.texts()
+    near = "concat('n', lpad(cast(seq {} 1 as string), 8, '0'))"
+    g = n.selectExpr("seq query_id", "seq % 9 = 0 expect_no_result", f"CASE seq % 6 WHEN 0 THEN cast(array() as array<string>) WHEN 1 THEN array(node_id) WHEN 2 THEN array(node_id, 'gone') ELSE array(node_id, {near.format('+')}, {near.format('-')}) END relevant")
+    return G.label_states(g, n).withColumn("must", F.array_join("must", ","))

@@ -16,6 +16,11 @@ def word_count(t):
     return t.nodes().select("seq", T.word_count(F.col("content")).alias("words"))
 
 
+@query(sql(f"SELECT seq, w AS words, 3500 AS \"limit\", w <= 3500 AS within, greatest(w - 3500, 0) AS overage FROM (SELECT seq, CAST(len(regexp_extract_all(content, '[A-Za-z0-9]+(?:[''_-][A-Za-z0-9]+)*')) + len(regexp_extract_all(content, '[{CJK}]')) AS INTEGER) AS w FROM nodes)"))
+def word_limits(t):
+    return t.texts().select("seq", T.word_check(F.col("content")).alias("c")).select("seq", "c.*")
+
+
 _MIX = "CASE seq % 3 WHEN 0 THEN concat(content, '数据库连接') WHEN 1 THEN concat('全部是中文字 ', content, ' a数b') ELSE content END"
 
 
@@ -191,9 +196,7 @@ def evidence_check(t):
 
 @query(sql("SELECT conv_id, array_to_string(list(CASE WHEN length(body) > 350 THEN left(body, 347) || '...' ELSE body END ORDER BY number), chr(10)) AS spine FROM turns WHERE role = 'user' GROUP BY conv_id"))
 def user_spine(t):
-    line = F.when(F.length("body") > 350, F.concat(F.substring("body", 1, 347), F.lit("..."))).otherwise(F.col("body"))
-    df = t.turns().where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("number", line.alias("l")))).alias("x"))
-    return df.select("conv_id", F.array_join(F.transform("x", lambda y: y["l"]), "\n").alias("spine"))
+    return K.user_spine(t.turns())
 
 
 _O = "o AS (SELECT conv_id, number, length(body) + 10 AS s, row_number() OVER (PARTITION BY conv_id ORDER BY number) AS i FROM turns)"
