@@ -34,14 +34,15 @@ from memgrid.operators.cuts import checkpointed
 from memgrid.operators.lexical import B, COLUMN, K1, length, ranked, tokenized
 
 #: Notes to a slot, parts at most, classes of length to a slot, and slots from which several are written together.
-PER_SLOT, PARTS, CLASSES, BUNDLED = 1024, 1024, 64, 2048
+PER_SLOT, PARTS, CLASSES, BUNDLED = 4096, 1024, 64, 2048
 #: Cells of a query that are scored for its threshold; queries of one search, beyond which there are several.
 SEEDS, QUERIES = 8, 10_000
 #: What rounding of scores may hide.
 SLACK = 1e-6
 
 POSTINGS = "token string, leg int, cell long, n long, max_tf int, min_len0 int, min_len1 int, docs array<struct<node_id:string,len0:int,len1:int,at:array<int>>>, version int, part int"
-NODES = "node_id string, len0 int, len1 int, cell long, version int, part int"
+#: What no token is: the block of all notes of a cell, without positions.
+EVERY = ""
 MANIFEST = "part int, held int, n long, sum0 long, sum1 long, slots int, parts int, version int"
 #: leg of a note whose two indexes are the same; else 0 is the plain one and 1 that of bigrams.
 SAME = -1
@@ -110,14 +111,25 @@ def _cut(leg: int, cell: int, part: int, fields: pa.ListArray, notes: np.ndarray
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ("token", "leg", "cell", "n", "max_tf", "min_len0", "min_len1", "docs", "part")])
 
 
+def _all(cell: int, part: int, ids: pa.Array, sizes: list[np.ndarray]) -> pa.RecordBatch:
+    """The block of all notes of a cell, those without a token among them."""
+    n = len(ids)
+    none = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int32()))
+    docs = pa.StructArray.from_arrays([ids, *(pa.array(x.astype(np.int32)) for x in sizes), none], fields=list(_DOC))
+    columns = [pa.array([EVERY]), pa.array([SAME], pa.int32()), pa.array([cell], pa.int64()), pa.array([n], pa.int64()), pa.array([0], pa.int32())]
+    columns += [pa.array([int(x.min())], pa.int32()) for x in sizes] + [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), docs, type=pa.list_(_DOC)), pa.array([part], pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["token", "leg", "cell", "n", "max_tf", "min_len0", "min_len1", "docs", "part"])
+
+
 def cut_blocks(notes: DataFrame) -> DataFrame:
-    """Blocks of cut notes, a cell at a time; a token never leaves the task of its note."""
+    """Blocks of cut notes, a cell at a time; a token never leaves the task of its note. The notes themselves are the block EVERY."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, rows in cells_of(batches):
             t = pa.Table.from_batches(rows).combine_chunks()
             plain, bigram, ids = (t.column(c).combine_chunks() for c in ("plain", "bigram", "node_id"))
             sizes, part = [t.column(c).to_numpy() for c in ("len0", "len1")], t.column("part")[0].as_py()
+            yield _all(cell, part, ids, sizes)
             same = np.asarray(bigram.is_null().to_numpy(zero_copy_only=False), bool)
             for leg, fields, own in ((SAME, plain, same), (0, plain, ~same), (1, bigram, ~same)):
                 which = np.flatnonzero(own)
@@ -304,8 +316,7 @@ class LexicalIndex:
         """Writes the index of nodes (node_id, title, content, tags) to path."""
         slots = max(1, -(-nodes.count() // per_slot))
         index = LexicalIndex(nodes.sparkSession, path, 0, slots, min(-(-slots // max(1, slots // BUNDLED)), PARTS))
-        notes = cut_notes(nodes, slots, index.parts)
-        index._write(cut_blocks(notes), notes, None)
+        index._write(cut_blocks(cut_notes(nodes, slots, index.parts)), None)
         return index
 
     @staticmethod
@@ -318,7 +329,8 @@ class LexicalIndex:
         """A row for each part: the version that holds it, its notes and their lengths' sums."""
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest").where(F.col("version") == self.version)
 
-    def _table(self, name: str, schema: str, only: list[int] | None = None) -> DataFrame:
+    def postings(self, only: list[int] | None = None) -> DataFrame:
+        """All blocks of this version, or those of some parts."""
         held: dict[int, list[int]] = {}
         for r in self.manifest().select("part", "held").collect():  # no more than PARTS
             if only is None or r["part"] in only:
@@ -326,21 +338,14 @@ class LexicalIndex:
         here = F.lit(False)
         for version, parts in held.items():
             here = here | ((F.col("version") == version) & F.col("part").isin(parts))
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(here)
-
-    def postings(self, only: list[int] | None = None) -> DataFrame:
-        return self._table("postings", POSTINGS, only)
-
-    def notes(self, only: list[int] | None = None) -> DataFrame:
-        return self._table("notes", NODES, only)
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings").where(here)
 
-    def _write(self, blocks: DataFrame, notes: DataFrame, only: list[int] | None) -> None:
+    def _write(self, blocks: DataFrame, only: list[int] | None) -> None:
         """Writes parts as a new version, and then the manifest."""
         version = 0 if only is None else self.version + 1
         blocks.sortWithinPartitions("part", "token", "leg", "cell").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/version={version}")
-        notes.select("node_id", F.col("len0").cast("int").alias("len0"), F.col("len1").cast("int").alias("len1"), "cell", "part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/notes/version={version}")
-        written = self.spark.read.schema(NODES).parquet(f"{self.path}/notes").where(F.col("version") == version)
-        sums = written.groupBy("part").agg(F.count("*").alias("n"), F.sum("len0").alias("sum0"), F.sum("len1").alias("sum1"))
+        written = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings").where((F.col("version") == version) & (F.col("token") == EVERY))
+        sums = written.select("part", F.explode("docs").alias("d")).groupBy("part").agg(F.count("*").alias("n"), F.sum("d.len0").alias("sum0"), F.sum("d.len1").alias("sum1"))
         every = list(range(self.parts)) if only is None else only
         mine = self.spark.createDataFrame([(p,) for p in every], "part int").join(sums, "part", "left").na.fill(0).withColumn("held", F.lit(version))
         if only is not None:
@@ -360,16 +365,15 @@ class LexicalIndex:
         gone = upserts.select("node_id").union(deletes.select("node_id")).distinct()
         touched = [r[0] for r in gone.select(part_of(self.slots, self.parts).alias("part")).distinct().collect()]  # no more than PARTS
         if not touched:
-            return self
+            return self  # nothing has changed
         rows = rows_of(self.postings(touched)).join(gone, "node_id", "left_anti").select("part", "cell", "leg", "token", "node_id", "len0", "len1", "at")
-        kept = self.notes(touched).join(gone, "node_id", "left_anti").select("node_id", "len0", "len1", "cell", "part")
         both = rows.unionByName(rows_of(cut_blocks(new)).select(*rows.columns)).repartition(F.xxhash64("part", "cell"))
-        self._write(blocks(both), kept.unionByName(new.select("node_id", "len0", "len1", "cell", "part")), touched)
+        self._write(blocks(both), touched)
         return self
 
     def tokens(self) -> DataFrame:
         """Occurrences of the shadow index by note: node_id, postings, chars."""
-        p = self.postings().where(F.col("leg") != 0).select("token", F.explode("docs").alias("d"))
+        p = self.postings().where((F.col("leg") != 0) & (F.col("token") != EVERY)).select("token", F.explode("docs").alias("d"))
         return p.groupBy(F.col("d.node_id").alias("node_id")).agg(F.sum(F.size("d.at")).alias("postings"), F.sum(F.size("d.at") * F.length("token")).alias("chars"))
 
     def top(self, queries: DataFrame, limit: int, seeds: int = SEEDS, count_visits: bool = False) -> DataFrame:
