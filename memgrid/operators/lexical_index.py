@@ -37,6 +37,8 @@ from memgrid.operators.lexical import B, COLUMN, K1, length, ranked, tokenized
 PER_SLOT, PARTS, CLASSES, BUNDLED = 4096, 1024, 64, 2048
 #: Cells of a query that are scored for its threshold; queries of one search, beyond which there are several.
 SEEDS, QUERIES = 8, 10_000
+#: Tokens that are put into blocks at a time.
+TOKENS = 250_000
 #: What rounding of scores may hide.
 SLACK = 1e-6
 
@@ -121,20 +123,33 @@ def _all(cell: int, part: int, ids: pa.Array, sizes: list[np.ndarray]) -> pa.Rec
     return pa.RecordBatch.from_arrays(columns, ["token", "leg", "cell", "n", "max_tf", "min_len0", "min_len1", "docs", "part"])
 
 
+def at_once(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with TOKENS tokens at most, but one note at least."""
+    ends, at = np.cumsum(batch.column("len1").to_numpy().astype(np.int64)), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def cut_blocks(notes: DataFrame) -> DataFrame:
-    """Blocks of cut notes, a cell at a time; a token never leaves the task of its note. The notes themselves are the block EVERY."""
+    """Blocks of cut notes; a token never leaves the task of its note. The notes themselves are the block EVERY.
+
+    A cell of many tokens has several blocks of a token, each with its own maxima: no note is in two of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, rows in cells_of(batches):
-            t = pa.Table.from_batches(rows).combine_chunks()
-            plain, bigram, ids = (t.column(c).combine_chunks() for c in ("plain", "bigram", "node_id"))
-            sizes, part = [t.column(c).to_numpy() for c in ("len0", "len1")], t.column("part")[0].as_py()
-            yield _all(cell, part, ids, sizes)
-            same = np.asarray(bigram.is_null().to_numpy(zero_copy_only=False), bool)
-            for leg, fields, own in ((SAME, plain, same), (0, plain, ~same), (1, bigram, ~same)):
-                which = np.flatnonzero(own)
-                if len(which) and (out := _cut(leg, cell, part, fields.take(pa.array(which)), which, ids, sizes)) is not None:
-                    yield out
+        for batch in batches:
+            for cell, rows in cells_of(iter([batch])):
+                for t in at_once(rows[0]):
+                    plain, bigram, ids = (t.column(c) for c in ("plain", "bigram", "node_id"))
+                    sizes, part = [t.column(c).to_numpy() for c in ("len0", "len1")], t.column("part")[0].as_py()
+                    yield _all(cell, part, ids, sizes)
+                    same = np.asarray(bigram.is_null().to_numpy(zero_copy_only=False), bool)
+                    for leg, fields, own in ((SAME, plain, same), (0, plain, ~same), (1, bigram, ~same)):
+                        which = np.flatnonzero(own)
+                        if len(which) and (out := _cut(leg, cell, part, fields.take(pa.array(which)), which, ids, sizes)) is not None:
+                            yield out
 
     rows = notes.select("part", "cell", "node_id", F.col("len0").cast("int").alias("len0"), F.col("len1").cast("int").alias("len1"), "plain", "bigram")
     return rows.sortWithinPartitions("part", "cell").mapInArrow(run, BLOCK)
@@ -212,7 +227,7 @@ def cell_bounds(asked: Asked, rows: list[pa.RecordBatch], leg: int) -> np.ndarra
         no, of, tf, size = (r.column(c).to_numpy() for c in ("no", "leg", "max_tf", f"min_len{leg}"))
         fits = (of == leg) | (of == SAME)
         no = no[fits]
-        # a cell holds two kinds of block of a phrase: of notes whose legs differ and of others
+        # a cell may hold several blocks of a phrase, but a note is in one of them
         np.maximum.at(most, no, asked.idf[leg][no] * saturated(tf[fits].astype(float), size[fits].astype(float), asked.avg[leg]))
     return asked.bounds(most)
 
