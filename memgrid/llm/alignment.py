@@ -241,8 +241,8 @@ def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Sweep:
     """The machine: takes events in order, cuts groups off where both sides end, and gives documents out as they end."""
 
-    def __init__(self, s: Sides):
-        self.s = s
+    def __init__(self, s: Sides, large: int):
+        self.s, self.large = s, large
         self.digits = digits(max(len(s.bytes_a), len(s.bytes_b)))
         self.key, self.document = None, None
         # tokens of the document in hand after the last common end: ids and ends
@@ -327,11 +327,10 @@ class Sweep:
             begin = end
         return n_a, n_b
 
-    @staticmethod
-    def links(a, b, links, start_a, start_b, size_a, size_b, of):
+    def links(self, a, b, links, start_a, start_b, size_a, size_b, of):
         """Pairs of ids, their documents and times: one by one in small groups, by counts of ids in large ones."""
         a, b = a.astype(np.uint64), b.astype(np.uint64)
-        small = links <= LARGE
+        small = links <= self.large
         n, sa, sb, kb = links[small], start_a[small], start_b[small], size_b[small]
         group = np.repeat(np.arange(len(n)), n)
         i = np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
@@ -360,7 +359,7 @@ def swept(ordered: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Events in order (a document's all in one partition) to a row for each document with its packed links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Sweep(sides(path_a, path_b))
+        machine = Sweep(sides(path_a, path_b), LARGE)
 
         def given(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _SWEPT, strict=True)], [c.split()[0] for c in SWEPT.split(", ")])
