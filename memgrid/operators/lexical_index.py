@@ -123,11 +123,11 @@ def _all(cell: int, part: int, ids: pa.Array, sizes: list[np.ndarray]) -> pa.Rec
     return pa.RecordBatch.from_arrays(columns, ["token", "leg", "cell", "n", "max_tf", "min_len0", "min_len1", "docs", "part"])
 
 
-def at_once(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with TOKENS tokens at most, but one note at least."""
+def at_once(batch: pa.RecordBatch, tokens: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with so many tokens at most, but one note at least."""
     ends, at = np.cumsum(batch.column("len1").to_numpy().astype(np.int64)), 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, "right")))
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + tokens, "right")))
         yield batch.slice(at, end - at)
         at = end
 
@@ -141,7 +141,7 @@ def cut_blocks(notes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cell, rows in cells_of(iter([batch])):
-                for t in at_once(rows[0]):
+                for t in at_once(rows[0], TOKENS):
                     plain, bigram, ids = (t.column(c) for c in ("plain", "bigram", "node_id"))
                     sizes, part = [t.column(c).to_numpy() for c in ("len0", "len1")], t.column("part")[0].as_py()
                     yield _all(cell, part, ids, sizes)
