@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memgrid.functions.knowledge import PROVENANCE
-from memgrid.functions.text import sections
+from memgrid.functions.text import once, sections
 
 #: Words that a slug leaves out; kinds by how much they matter.
 SLUG_STOPWORDS = (
@@ -86,19 +86,30 @@ def shards(content: Column, limit: int | Column) -> Column:
 
     Provenance never stands alone (it is left out), nor does the takeaway; a section is never cut.
     """
+    return packed(shard_blocks(content), limit)
+
+
+def shard_blocks(content: Column) -> Column:
+    """What shards are packed from: t, the text of a section, and real, whether it may stand alone."""
     kept = F.filter(sections(content), lambda s: ~F.lower(s["heading"]).isin(*PROVENANCE))
-    blocks = F.transform(kept, lambda s: F.struct(F.concat(F.lit("## "), s["heading"], F.lit("\n"), s["body"]).alias("t"), (F.lower(s["heading"]) != "takeaway").alias("real")))
+    return F.transform(kept, lambda s: F.struct(F.concat(F.lit("## "), s["heading"], F.lit("\n"), s["body"]).alias("t"), (F.lower(s["heading"]) != "takeaway").alias("real")))
+
+
+def packed(blocks: Column, limit: int | Column) -> Column:
+    """shards() of shard_blocks()."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(False).alias("real"), F.lit(False).alias("bad"))
 
-    def step(acc: Column, x: Column) -> Column:
-        joined = F.when(acc["now"] == "", x["t"]).otherwise(F.concat(acc["now"], F.lit("\n\n"), x["t"]))
-        over = (acc["now"] != "") & (F.octet_length(joined) > limit)
-        bad = acc["bad"] | (F.octet_length(x["t"]) > limit) | (over & ~acc["real"])
-        return F.struct(F.when(over, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.when(over, x["t"]).otherwise(joined).alias("now"), (x["real"] | (acc["real"] & ~over)).alias("real"), bad.alias("bad"))
+    def pack(blocks: Column, limit: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            over = (acc["now"] != "") & (F.octet_length(acc["now"]) + 2 + F.octet_length(x["t"]) > limit)
+            bad = acc["bad"] | (F.octet_length(x["t"]) > limit) | (over & ~acc["real"])
+            now = F.when(over | (acc["now"] == ""), x["t"]).otherwise(F.concat(acc["now"], F.lit("\n\n"), x["t"]))
+            return F.struct(F.when(over, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), now.alias("now"), (x["real"] | (acc["real"] & ~over)).alias("real"), bad.alias("bad"))
+
+        out = F.aggregate(blocks, start, step, lambda acc: F.when(acc["bad"] | ~acc["real"], None).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
+        return F.when(F.size(F.filter(blocks, lambda x: x["real"])) >= 2, once(out, lambda x: F.when(F.size(x) > 1, x)))
 
-    enough = F.size(F.filter(blocks, lambda x: x["real"])) >= 2
-    out = F.aggregate(blocks, start, step, lambda acc: F.when(acc["bad"] | ~acc["real"], None).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
-    return F.when(enough & (F.size(out) > 1), out)
+    return once(F.struct(blocks.alias("blocks"), (F.lit(limit) if isinstance(limit, int) else limit).alias("limit")), lambda v: pack(v["blocks"], v["limit"]))
 
 
 def prefix_kept(content: Column, first_pending: Column, previous_hash: Column) -> Column:
